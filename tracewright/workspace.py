@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def session(app: str = "tracewright", cores: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster hands in its own."""
     return (
@@ -27,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tracewright-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
