@@ -1,8 +1,10 @@
 """Queries of the numbered operators, and their SQL where SQL can express them."""
 
 from tracewright.llm.minhash import op3_minmax_dedup
+from tracewright.llm.passages import op2_repeated_passages
 
 QUERIES = {
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
 }
 ORACLE_SQL = {}
