@@ -148,7 +148,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = clusters.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("own"))
     grid = (
         docs.select("doc_id", "text")
-        .join(members, "doc_id")
+        .join(members.hint("merge"), "doc_id")  # members grow with the documents: never broadcast
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "text")
     )
