@@ -208,7 +208,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list(F.struct("pos", "gram", "salt")).alias("marks"))
     )
-    around = contexts(own.join(marks, ["doc_id", "text_key"]))
+    around = contexts(own.join(marks.hint("merge"), ["doc_id", "text_key"]))
     spans = (
         around.repartition("gram", "salt")
         .sortWithinPartitions("gram", "salt", "right", "doc_id", "pos")
@@ -241,7 +241,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     cuts = repeats(docs).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     joined = docs.withColumn("_key", F.xxhash64("text")).join(
-        cuts.withColumnsRenamed({"doc_id": "_id", "text_key": "_of"}), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_of")), "left"
+        cuts.withColumnsRenamed({"doc_id": "_id", "text_key": "_of"}).hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_of")), "left"
     ).drop("_key", "_id", "_of")
     columns = [c for c in joined.columns if c != "text"]
 
