@@ -160,8 +160,18 @@ def _matches(t: pa.Table) -> pa.Table:
     r, l = _common(right[i], right[j]), _common(left[i], left[j])
     hit = r + l >= LEAST
     i, j, r, l = i[hit], j[hit], r[hit], l[hit]
-    key = t.column("text_key").take(pa.array(i))
-    return pa.table({"doc_id": doc[i], "text_key": key, "start": (pos[i] - l).astype(np.int32), "end": (pos[i] + r).astype(np.int32), "other_doc_id": doc[j]})
+    return _joined(doc[i], t.column("text_key").to_numpy()[i], pos[i] - l, pos[i] + r, doc[j])
+
+
+def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.Table:
+    """Spans of one document that touch as one, with the smallest other document."""
+    o = np.lexsort((start, key, doc))
+    doc, key, start, end, other = doc[o], key[o], start[o], end[o], other[o]
+    text = np.r_[0, np.cumsum((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))] if len(doc) else np.zeros(0, np.int64)
+    reach = np.maximum.accumulate(end + text * (1 << 40)) - text * (1 << 40)
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (start[1:] > reach[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    ends, others = (np.maximum.reduceat(end, first), np.minimum.reduceat(other, first)) if len(doc) else (end, other)
+    return pa.table({"doc_id": doc[first], "text_key": key[first], "start": start[first].astype(np.int32), "end": ends.astype(np.int32), "other_doc_id": others})
 
 
 def _compare(batches):
@@ -199,7 +209,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = materialize(own.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.expr(WORD_COUNT)).alias("words")), "texts")
     grams = materialize(suffixes(own).groupBy("gram", "text_key", "pos").agg(F.min("doc_id").alias("doc_id")), "grams")
     least = F.min(F.struct("doc_id", "text_key", "pos")).alias("least")
-    stats = grams.groupBy("gram").agg(F.count("*").alias("n"), least, F.max("doc_id").alias("last")).where("least.doc_id < last")
+    # a table of its own, so that the join below reads two plain shuffles and AQE can split a hot gram
+    stats = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), least, F.max("doc_id").alias("last")).where("least.doc_id < last"), "shared")
     salts = F.ceil(F.col("n") / HOT).cast("int")
     everywhere = F.struct("doc_id", "text_key", "pos") == F.col("least")
     marks = (
