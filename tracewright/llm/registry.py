@@ -1,14 +1,19 @@
 """Queries of the numbered operators, and their SQL where SQL can express them."""
 
+from tracewright.llm.fingerprints import op7_scaled_sketches
+from tracewright.llm import licenses
+from tracewright.llm.licenses import op8_license_dice
 from tracewright.llm.minhash import op3_minmax_dedup
 from tracewright.llm.mixing import op9_mix_sources
 from tracewright.llm.passages import op2_repeated_passages
 from tracewright.llm.sharding import op4_minimax_shards
 
 QUERIES = {
+    "op8_license_dice": op8_license_dice,
+    "op7_scaled_sketches": op7_scaled_sketches,
     "op4_minimax_shards": op4_minimax_shards,
     "op9_mix_sources": op9_mix_sources,
     "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
 }
-ORACLE_SQL = {}
+ORACLE_SQL = {"op8_license_dice": licenses.ORACLE_SQL}
