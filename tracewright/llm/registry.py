@@ -7,8 +7,10 @@ from tracewright.llm.minhash import op3_minmax_dedup
 from tracewright.llm.mixing import op9_mix_sources
 from tracewright.llm.passages import op2_repeated_passages
 from tracewright.llm.sharding import op4_minimax_shards
+from tracewright.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op8_license_dice": op8_license_dice,
     "op7_scaled_sketches": op7_scaled_sketches,
     "op4_minimax_shards": op4_minimax_shards,
