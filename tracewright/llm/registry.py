@@ -2,6 +2,7 @@
 
 from tracewright.llm.fingerprints import op7_scaled_sketches
 from tracewright.llm import licenses
+from tracewright.llm.language import op6_language
 from tracewright.llm.licenses import op8_license_dice
 from tracewright.llm.minhash import op3_minmax_dedup
 from tracewright.llm.mixing import op9_mix_sources
@@ -10,6 +11,7 @@ from tracewright.llm.sharding import op4_minimax_shards
 from tracewright.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op6_language": op6_language,
     "op1_toxicity": op1_toxicity,
     "op8_license_dice": op8_license_dice,
     "op7_scaled_sketches": op7_scaled_sketches,
