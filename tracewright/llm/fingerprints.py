@@ -16,6 +16,8 @@ SHINGLE = 5
 SCALE = 8
 #: Documents that a block is meant to have, and quantiles of doc_id that the blocks start from.
 BLOCK, QUANTILES = 2_000, 256
+#: Blocks at most, however many documents: their first keys are broadcast, 3 MB then.
+BLOCKS = 100_000
 _LIMIT = -(1 << 63) + (1 << 64) // SCALE
 
 
@@ -65,7 +67,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows, low, high, marks = docs.agg(F.count("*"), F.min("key"), F.max("key"), F.percentile_approx("key", [i / QUANTILES for i in range(1, QUANTILES)], F.lit(10_000))).first()
     marks = sorted({m for m in marks or [] if m > low}) if rows else []
     low, high = (low, high) if rows else (0, 0)
-    parts = max(1, -(-rows // (BLOCK * (len(marks) + 1))))
+    parts = max(1, -(-min(rows, BLOCK * BLOCKS) // (BLOCK * (len(marks) + 1))))
     array = lambda xs: F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in xs)})")
     coarse = F.size(F.filter(array(marks or [high + 1]), lambda m: m <= F.col("key")))
     lows, highs = array([low, *marks]), array([*marks, high + 1] if high < (1 << 63) - 1 else [*marks, high])
@@ -76,7 +78,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("block")
     before = F.coalesce(F.lag("block").over(order), F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     ghosts = firsts.withColumn("to", before).withColumn("wraps", F.lag("block").over(order).isNull())
-    ghost_rows = docs.join(ghosts.select("key", "to", "wraps"), "key").groupBy("to", "wraps").agg(F.min(F.struct("key", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
+    ghost_rows = docs.join(F.broadcast(ghosts.select("key", "to", "wraps")), "key").groupBy("to", "wraps").agg(F.min(F.struct("key", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
     ghost_rows = ghost_rows.select(F.col("to").alias("block"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"), F.col("row.key").alias("key"), F.col("row.text").alias("text"))
     sketched = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).withColumn("sketch", sketch(F.col("text")))
     following = F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("ghost", "key", "text"))
