@@ -1,5 +1,6 @@
 """Queries of the numbered operators, and their SQL where SQL can express them."""
 
+from tracewright.llm.bpe import op10_bpe_trie
 from tracewright.llm.fingerprints import op7_scaled_sketches
 from tracewright.llm import licenses
 from tracewright.llm.language import op6_language
@@ -11,6 +12,7 @@ from tracewright.llm.sharding import op4_minimax_shards
 from tracewright.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op10_bpe_trie": op10_bpe_trie,
     "op6_language": op6_language,
     "op1_toxicity": op1_toxicity,
     "op8_license_dice": op8_license_dice,
