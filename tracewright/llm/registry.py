@@ -2,16 +2,18 @@
 
 from tracewright.llm.bpe import op10_bpe_trie
 from tracewright.llm.fingerprints import op7_scaled_sketches
-from tracewright.llm import licenses
+from tracewright.llm import licenses, topk
 from tracewright.llm.language import op6_language
 from tracewright.llm.licenses import op8_license_dice
 from tracewright.llm.minhash import op3_minmax_dedup
 from tracewright.llm.mixing import op9_mix_sources
 from tracewright.llm.passages import op2_repeated_passages
 from tracewright.llm.sharding import op4_minimax_shards
+from tracewright.llm.topk import op5_nra_topk
 from tracewright.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op5_nra_topk": op5_nra_topk,
     "op10_bpe_trie": op10_bpe_trie,
     "op6_language": op6_language,
     "op1_toxicity": op1_toxicity,
@@ -22,4 +24,4 @@ QUERIES = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
 }
-ORACLE_SQL = {"op8_license_dice": licenses.ORACLE_SQL}
+ORACLE_SQL = {"op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
