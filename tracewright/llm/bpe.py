@@ -191,9 +191,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         c = coder(path)
         for batch in batches:
             for a, texts in _portions(batch):
-                packed = c.encode_batch(texts)
-                ends = np.r_[0, np.cumsum([len(p) // 4 for p in packed])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), _lists(c.encode_batch(texts))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -223,25 +221,31 @@ def _portions(batch: pa.RecordBatch, most: int = 4_000_000):
         yield first, texts
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encoding and then decoding each whole text gives. Null texts count as empty; other columns play no part."""
+def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids: what encoding and then decoding each whole text gives. Null texts count as empty; other columns play no part."""
 
     def run(batches):
         c = coder(path)
         for batch in batches:
             for a, texts in _portions(batch):
                 packed = c.encode_batch(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, len(texts)),
-                        pa.array([len(p) // 4 for p in packed], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                        pa.array([hashlib.sha256(c.decode(p).encode()).hexdigest() for p in packed], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                columns = {
+                    "doc_id": batch.column(0).slice(a, len(texts)),
+                    "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(c.decode(p).encode()).hexdigest() for p in packed], pa.string()),
+                }
+                if keep_ids:
+                    columns["ids"] = _lists(packed)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(p) // 4 for p in packed])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
 def vocabulary() -> str:

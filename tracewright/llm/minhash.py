@@ -175,9 +175,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near-duplicate detection keeps: of each group the one with the smallest doc_id."""
-    kept = components(docs, size, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """The rows of docs that near-duplicate detection keeps: of each group the document with the smallest doc_id, once. Rows without doc_id stay."""
+    gone = components(docs, size, percent).where("not kept").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3_minmax_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,15 @@ from tracewright.llm.sharding import op4_minimax_shards
 from tracewright.llm.topk import op5_nra_topk
 from tracewright.llm.toxicity import op1_toxicity
 
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op5_nra_topk": op5_nra_topk,
     "op10_bpe_trie": op10_bpe_trie,
     "op6_language": op6_language,
