@@ -1,5 +1,8 @@
-"""Queries over the library's own operators, with their SQL."""
+"""Queries over the library's own operators, with their SQL where SQL can express them on whole tables."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = "coverage"
+from tracewright.plans import incidents
+
+MODULES = [incidents]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
+FLAGSHIP = "incidents_by_user"
