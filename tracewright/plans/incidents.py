@@ -127,5 +127,5 @@ SELECT *, CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHE
     "rule_params": f"""WITH {_ISLANDS}, g AS (SELECT user_id, island, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS ids, count(DISTINCT event_type) AS k, count(DISTINCT props) AS hosts, count(DISTINCT event_id) AS n, epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS span FROM i GROUP BY ALL)
 SELECT user_id, island, ids, CASE WHEN hosts = 1 THEN 'host' ELSE 'user' END AS correlate_by, CAST(greatest(15, least(1440, floor(span / 60 * 1.5) + 1)) AS INTEGER) AS window_minutes, CAST(least(n, 3) AS INTEGER) AS threshold FROM g WHERE k >= 2""",
     "ioc_distinct": "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS value FROM pages), c AS (SELECT *, lower(value) AS l FROM h WHERE value <> '') SELECT 'host' AS kind, arg_min(value, page_id) AS value, count(*) AS n FROM c GROUP BY l",
-    "reputation_lookup_quota": "SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, min(page_id) AS first_page FROM pages GROUP BY ALL HAVING host <> '' ORDER BY first_page, host LIMIT 10",
+    "reputation_lookup_quota": "WITH h AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, page_id FROM pages) SELECT host, min(page_id) AS first_page FROM h WHERE host <> '' GROUP BY host ORDER BY first_page, host LIMIT 10",
 }
