@@ -58,8 +58,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 5_000)
     its k best of a query before they meet.
     """
     blocks = max(1, -(-vectors.count() // block))
-    near = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    far = queries.select("query_id", F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"))
+    near = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint"))
+    far = queries.select("query_id", F.col("v").alias("q"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
     pairs = far.join(near, "block").where("query_id <> id")
     return ranked(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
 
