@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright.llm.memory import trimmed
+
 #: Pieces whose encodings a task keeps at most; and pairs of tokens.
 KEEP = 300_000
 #: Pieces longer than this are not kept from batch to batch.
@@ -193,7 +195,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for a, texts in _portions(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), _lists(c.encode_batch(texts))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id bigint, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -205,7 +207,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             texts = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return rows.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id bigint, text string")
 
 
 def _portions(batch: pa.RecordBatch, most: int = 4_000_000):
@@ -240,7 +242,7 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def _lists(packed: list[bytes]) -> pa.ListArray:

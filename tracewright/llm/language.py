@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracewright.llm.memory import trimmed
+
 #: Documents fitted on at most, shared evenly among languages: in each the first by a hash of doc_id.
 FIT_ROWS = 4_000
 #: Hashed trigrams; a power of two.
@@ -108,7 +110,7 @@ def train(docs: DataFrame) -> Model | None:
             made = [(lang, v.tobytes()) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary())], ["lang", "v"])
 
-    rows = sorted(map(tuple, docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang").mapInArrow(run, "lang string, v binary").collect()))
+    rows = sorted(map(tuple, docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang").mapInArrow(trimmed(run), "lang string, v binary").collect()))
     return Model(np.array([np.frombuffer(v, np.float32) for _, v in rows]), [lang for lang, _ in rows]) if rows else None
 
 
@@ -129,7 +131,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                         langs[i] = lang
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id bigint, lang_pred string, score double")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

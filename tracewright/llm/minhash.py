@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright.llm.memory import trim, trimmed
 from tracewright.llm.words import U, mix, shingles, slices, text_arrays, Words
 from tracewright.operators.graph import connected_components
 from tracewright.workspace import materialize
@@ -75,7 +76,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     ["doc_id", "n", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def walk(ids: list[int], h: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -157,6 +158,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         data, offsets = text_arrays(t.column("text").combine_chunks())
         h, at = shingles(Words(data, offsets), size)
         links = walk(t.column("doc_id").to_pylist(), h, at, percent)
+        if t.num_rows > 100:
+            trim()
         return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
 
     links = grid.groupBy("component", "i", "j").applyInArrow(confirm, "src bigint, dst bigint")

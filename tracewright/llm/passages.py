@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracewright.llm.memory import trimmed
 from tracewright.llm.words import U, mix, slices
 from tracewright.workspace import materialize
 
@@ -80,7 +81,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 rows = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32))], ["gram", "doc_id", "text_key", "pos"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "gram bigint, doc_id bigint, text_key bigint, pos int")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int")
 
 
 def _around(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def contexts(found: DataFrame) -> DataFrame:
                         part = flat.slice(c, 20_000)
                         yield pa.RecordBatch.from_arrays([part.field("gram"), part.field("salt"), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos[s]), *blobs], ["gram", "salt", "doc_id", "text_key", "pos", "right", "left"])
 
-    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(run, "gram bigint, salt int, doc_id bigint, text_key bigint, pos int, right binary, left binary")
+    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "gram bigint, salt int, doc_id bigint, text_key bigint, pos int, right binary, left binary")
 
 
 def nearest_earlier(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -223,7 +224,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = (
         around.repartition("gram", "salt")
         .sortWithinPartitions("gram", "salt", "right", "doc_id", "pos")
-        .mapInArrow(_compare, "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint")
+        .mapInArrow(trimmed(_compare), "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint")
     )
     copies = (
         own.select("doc_id", "text_key")
@@ -272,7 +273,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             keep = pa.array([c is False or bool(t.strip(WHITE)) for t, c in zip((t or "" for t in new), cuts.is_valid().to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(new, pa.string())], [*columns, "text"]).filter(keep)
 
-    out = joined.select(*columns, "text").mapInArrow(run, joined.select(*columns, "text").schema).select(*docs.columns)
+    out = joined.select(*columns, "text").mapInArrow(trimmed(run), joined.select(*columns, "text").schema).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

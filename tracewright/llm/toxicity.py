@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright.llm.memory import trimmed
+
 #: Labelled rows that the lexicon and the score are learnt from at most, the first by a hash of doc_id.
 FIT_ROWS = 20_000
 #: Entries of the learnt lexicon at most, the heaviest by support; toxic pairs and log odds that one needs.
@@ -56,14 +58,14 @@ def entry_counts(docs: DataFrame) -> DataFrame:
     """(entry, toxic, other) over docs(text, toxic): entry is a word with "=" before it or a word's beginning."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
             toxic, other = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (toxic if label else other).update(set(folded(text)))
             words = list(toxic | other)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], ["word", "toxic", "other"])
 
-    words = docs.select("text", "toxic").mapInArrow(run, "word string, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    words = docs.select("text", "toxic").mapInArrow(trimmed(run), "word string, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     starts = [F.when(F.char_length("word") >= n, F.expr(f"left(word, {n})")) for n in PREFIXES]
     return words.select(F.explode(F.array_compact(F.array(F.concat(F.lit("="), "word"), *starts))).alias("entry"), "toxic", "other").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
@@ -166,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [[*model.features(t, y), float(y)] for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T], ["a", "b", "c", "y"])
 
-    xy = np.array([tuple(r) for r in rows.mapInArrow(run, "a double, b double, c double, y double").collect()])
+    xy = np.array([tuple(r) for r in rows.mapInArrow(trimmed(run), "a double, b double, c double, y double").collect()])
     xy = xy[np.lexsort(xy.T)]
     model.coefficients = logistic(xy[:, :3], xy[:, 3]).tolist()
     return model
@@ -183,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], [*columns, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
