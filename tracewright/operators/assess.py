@@ -161,3 +161,31 @@ def quoted_matches(quotes: DataFrame, texts: DataFrame, least: float = 0.5) -> D
     t = texts.select("text_id", F.explode(words(F.col("text"))).alias("word"))
     share = F.count("*") / F.first("n")
     return q.join(t, "word").groupBy("quote_id", "text_id").agg(F.round(share, 6).alias("share")).where(F.col("share") >= least)
+
+
+# Programs whose scheduled tasks are routine; rights that read memory; products that open every process.
+ROUTINE_TASKS = r"(?i)\\windows\\system32\\(sc|wevtutil|defrag|compattelrunner)\.exe|\\program files\\windows defender\\|\\program files\\microsoft\\.*\\updater\.exe|\\windows\\system32\\usoclient\.exe"
+MEMORY_READ = r"(?i)(0x1010|0x1410|0x143a|PROCESS_VM_READ|VMRead)"
+SECURITY_TOOLS = r"(?i)\\(MsMpEng|MpDefenderCoreService|CSFalconService|SentinelAgent|cb\.exe|xagt|SysmonDrv)\b|\\windows defender\\"
+
+
+def review(technique: Column, level: Column, text: Column, polarity: Column) -> Column:
+    """Struct of reviewer, verdict and downgrade_to for techniques that have a fixed reviewer, null for others.
+
+    Scheduled tasks on another machine are confirmed, routine programs rejected; process memory opened by security products is rejected, with rights to read it confirmed, else medium at most; firewall
+    changes need evidence of a broken control.
+    """
+    say = lambda who, v, to=None: F.struct(F.lit(who).alias("reviewer"), F.lit(v).alias("verdict"), F.lit(to).cast("string").alias("downgrade_to"))
+    task = F.when(text.rlike(r"(?i)/s\s+\S+"), say("scheduled-task", "confirm")).when(text.rlike(ROUTINE_TASKS), say("scheduled-task", "reject")).otherwise(say("scheduled-task", "abstain"))
+    weaker = level_rank(level) < level_rank(F.lit("medium"))
+    memory = F.when(text.rlike(SECURITY_TOOLS), say("process-memory", "reject")).when(text.rlike(MEMORY_READ), say("process-memory", "confirm")).when(weaker, say("process-memory", "downgrade", "medium")).otherwise(say("process-memory", "abstain"))
+    wall = F.when(polarity == "breaking", say("firewall", "confirm")).otherwise(say("firewall", "reject"))
+    return F.when(technique == "T1053.005", task).when(technique == "T1003.001", memory).when(technique == "T1686.003", wall)
+
+
+def benign_signals(text: Column) -> Column:
+    """Struct of strong and weak: signs that an activity is approved work. A ticket is strong, and so are two weak ones."""
+    ticket = text.rlike(r"(?i)\b(CHG|INC|RFC|REQ|TASK|CR)[-#]?\d{3,}\b")
+    weak = [text.rlike(p).cast("int") for p in (r"(?i)\b(approved|authori[sz]ed|scheduled maintenance|change window)\b", r"(?i)\b(it team|sysadmin|administrator|help ?desk)\b", r"(?i)\b(sccm|wsus|intune|patch management|backup server)\b")]
+    n = reduce(lambda a, b: a + b, weak)
+    return F.struct((ticket | (n >= 2)).alias("strong"), n.alias("weak"))
