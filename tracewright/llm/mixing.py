@@ -110,10 +110,10 @@ def mixture(docs: DataFrame) -> DataFrame:
     doc_id, text and source are interchangeable: their copies come back as copies of one of them.
     """
     timed, cut = schedule(docs)
-    taken = timed.select("h", "text_key", taken_times(cut).alias("_times")).where("size(_times) > 0").groupBy("h", "text_key").agg(F.flatten(F.collect_list("_times")).alias("_times"))
+    taken = timed.select("h", "text_key", taken_times(cut).alias("_times")).where("size(_times) > 0").groupBy(F.col("h").alias("_h2"), F.col("text_key").alias("_text2")).agg(F.flatten(F.collect_list("_times")).alias("_times"))
     key = F.xxhash64("text")
     named = docs.withColumn("_text", key).withColumn("_h", F.xxhash64(F.col("doc_id").cast("bigint"), key, "source")).dropDuplicates(["_h", "_text"])
-    joined = named.join(taken, (F.col("_h") == F.col("h")) & (F.col("_text") == F.col("text_key")))
+    joined = named.join(taken, (F.col("_h") == F.col("_h2")) & (F.col("_text") == F.col("_text2")))
     return joined.withColumn("_time", F.explode("_times")).select(*docs.columns, "_time").repartitionByRange("_time").sortWithinPartitions("_time").drop("_time")
 
 

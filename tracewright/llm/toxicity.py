@@ -174,24 +174,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on). Null and empty texts have no hit and get the lowest score; extra columns stay as they are."""
-    columns = docs.columns
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with a score (0 to 1) and a prediction (1 from THRESHOLD on), which take the place of columns of those names. Null and empty texts have no hit and get the lowest score; other columns stay as they are."""
+    kept = docs.drop(score, predicted)
+    columns = [*kept.columns, score, predicted]
+    schema = kept.withColumns({score: F.lit(0.0), predicted: F.lit(0)}).schema
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            scores = [model.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], [*columns, "score", "predicted"])
+            scores = [model.score(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], columns)
 
-    return docs.mapInArrow(trimmed(run), schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model doesn't reject."""
-    key = docs.withColumn("_keep", F.lit(True))
-    return scored(key, model).where("predicted = 0").select(*docs.columns)
+    return scored(docs, model, "_score", "_predicted").where("_predicted = 0").select(*docs.columns)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
