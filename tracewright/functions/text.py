@@ -15,9 +15,14 @@ def norm_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s_]+", ""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def present(c: Column) -> Column:
-    """The trimmed value, or null if it is empty or says nothing."""
-    v = F.trim(c)
+    """The stripped value, or null if it is empty or says nothing."""
+    v = stripped(c)
     return F.when(~F.lower(v).isin(catalog.NON_INFORMATIVE), v)
 
 
