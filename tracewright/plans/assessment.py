@@ -8,9 +8,6 @@ from tracewright.operators import assess, evaluate
 from tracewright.operators.rules import LEVELS
 from tracewright.workspace import table
 
-_NONE = F.lit(None).cast("string")
-
-
 def quote_check(spark, d):
     """Benchmark items that a document bears out by half of their longer words."""
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))

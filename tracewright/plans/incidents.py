@@ -9,7 +9,6 @@ from tracewright.workspace import table
 
 # A phase or two for each event type, so that the chain has something to place.
 TACTICS_OF = {"click": ["Execution"], "error": ["Impact", "Credential Access"], "purchase": ["Exfiltration"], "signup": ["Persistence", "Initial Access"], "view": ["Discovery"]}
-_MAP = F.create_map(*[x for k, v in TACTICS_OF.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 _PRIMARY = {"click": ("Execution", 4), "error": ("Credential Access", 9), "purchase": ("Exfiltration", 14), "signup": ("Initial Access", 3), "view": ("Discovery", 10)}
 _PRIMARY_SQL = "(VALUES " + ", ".join(f"('{k}', '{t}', {p})" for k, (t, p) in _PRIMARY.items()) + ") m(event_type, tactic, phase)"
 _ALL_SQL = "(VALUES " + ", ".join(f"('{k}', '{t}', {incident.TACTICS.index(t) + 1})" for k, v in TACTICS_OF.items() for t in v) + ") m(event_type, tactic, phase)"
@@ -49,8 +48,9 @@ def strong_weak_split(spark, d):
 
 
 def _techniques(spark, d):
+    tactics_of = F.create_map(*[x for k, v in TACTICS_OF.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     t = incident.dedupe_techniques(_entries(spark, d), ["user_id", "island"])
-    return t.withColumn("tactics", _MAP[F.col("technique")]).withColumn("score", F.col("max_score"))
+    return t.withColumn("tactics", tactics_of[F.col("technique")]).withColumn("score", F.col("max_score"))
 
 
 def attack_chain_primary(spark, d):
