@@ -8,7 +8,7 @@ from tracewright.functions import logparse, text
 from tracewright.operators import rules
 from tracewright.operators.rules import Condition, Rule
 from tracewright.sources import catalog
-from tracewright.workspace import table
+from tracewright.workspace import materialize, table
 
 _RULES = [
     Rule("T1", "Bulk purchase", "TA1", ("purchase",), (), ((Condition("value", r"^[2-4]\d\d"),),), 3, "high"),
@@ -72,8 +72,8 @@ def kv_serialize(spark, d):
 def kv_parse_roundtrip(spark, d):
     o = table(spark, d, "orders")
     raw = logparse.serialised(o, {"o_orderkey": "EventID", "o_custkey": "SubjectUserName", "o_orderstatus": "Hostname", "o_orderpriority": "CommandLine"})
-    f = logparse.parse_fields(o.select(F.col("o_orderkey").alias("event_id"), raw.alias("raw")))
-    return f.select("event_id", "name", "value", "in_schema")
+    logs = materialize(o.select(F.col("o_orderkey").alias("event_id"), raw.alias("raw")), "logs")
+    return logparse.parse_fields(logs).select("event_id", "name", "value", "in_schema")
 
 
 def json_field_extract(spark, d):
