@@ -124,36 +124,36 @@ REVIEW_RULES = [
 # Events as id: access class, whether the access took place, data components, fields that say most.
 EVENTS = {
     '4656': ('read', False, ['File Access', 'Windows Registry Key Access'], ['object.name', 'object.type', 'access.list', 'access.mask', 'process.name', 'account.name']),
-    '4657': ('write', False, ['Windows Registry Key Modification'], ['object.name', 'object.value_name', 'value.old', 'value.new', 'operation.type', 'process.name', 'account.name']),
-    '4658': ('audit', False, [], ['handle.id', 'process.name']),
-    '4660': ('delete', False, ['File Deletion', 'Windows Registry Key Deletion'], ['object.name', 'handle.id', 'process.name', 'account.name']),
-    '4663': ('read', False, ['File Access', 'Windows Registry Key Access'], ['object.name', 'object.type', 'access.list', 'access.mask', 'process.name', 'account.name']),
-    '4670': ('write', False, ['Active Directory Object Modification'], ['object.name', 'process.name', 'account.name']),
-    '4624': ('auth', False, ['Logon Session Creation'], ['account.name', 'logon.type', 'source.ip', 'host.name', 'logon.id']),
-    '4625': ('auth', False, ['Logon Session Creation'], ['account.name', 'logon.type', 'source.ip', 'host.name']),
-    '4648': ('auth', False, ['Logon Session Creation'], ['account.name', 'process.name', 'host.name']),
-    '4672': ('auth', False, [], ['account.name', 'logon.id']),
-    '4673': ('audit', False, [], ['account.name', 'process.name']),
-    '4634': ('auth', False, [], ['account.name', 'logon.id']),
-    '4688': ('create', False, ['Process Creation'], ['process.name', 'process.command_line', 'parent.process.name', 'account.name']),
-    '4689': ('audit', False, [], ['process.name', 'account.name']),
-    '1': ('create', False, ['Process Creation'], ['process.name', 'process.command_line', 'parent.process.name', 'account.name']),
-    '4720': ('create', False, ['User Account Creation'], ['account.name', 'user.domain']),
-    '4726': ('delete', False, ['User Account Deletion'], ['account.name', 'user.domain']),
-    '4732': ('write', False, ['User Account Modification'], ['account.name', 'group.id']),
-    '4738': ('write', False, ['User Account Modification'], ['account.name', 'user.domain']),
-    '7045': ('create', False, ['Service Creation'], ['service.name', 'service.image_path', 'account.name']),
-    '4697': ('create', False, ['Service Creation'], ['service.name', 'service.image_path', 'account.name']),
-    '4719': ('write', False, [], ['account.name', 'host.name']),
-    '1102': ('delete', False, ['Windows Event Log Deletion'], ['account.name', 'host.name']),
-    '5140': ('read', False, ['Network Share Access'], ['share.name', 'account.name', 'source.ip']),
-    '5156': ('audit', False, ['Network Connection Creation'], ['source.ip', 'destination.ip', 'destination.port', 'process.name']),
-    '5158': ('audit', False, [], ['source.ip', 'source.port', 'process.name']),
-    '3': ('audit', False, ['Network Connection Creation'], ['process.name', 'destination.ip', 'destination.port']),
-    '10': ('read', False, ['Process Access'], ['process.name', 'target.image', 'access.mask']),
-    '11': ('create', False, ['File Creation'], ['process.name', 'file.name', 'file.path']),
-    '13': ('write', False, ['Windows Registry Key Modification'], ['object.name', 'value.new', 'process.name']),
-    '4104': ('create', False, ['Script Execution'], ['script.block_text', 'account.name', 'host.name']),
+    '4657': ('write', True, ['Windows Registry Key Modification'], ['object.name', 'object.value_name', 'value.old', 'value.new', 'operation.type', 'process.name', 'account.name']),
+    '4658': ('audit', True, [], ['handle.id', 'process.name']),
+    '4660': ('delete', True, ['File Deletion', 'Windows Registry Key Deletion'], ['object.name', 'handle.id', 'process.name', 'account.name']),
+    '4663': ('read', True, ['File Access', 'Windows Registry Key Access'], ['object.name', 'object.type', 'access.list', 'access.mask', 'process.name', 'account.name']),
+    '4670': ('write', True, ['Active Directory Object Modification'], ['object.name', 'process.name', 'account.name']),
+    '4624': ('auth', True, ['Logon Session Creation'], ['account.name', 'logon.type', 'source.ip', 'host.name', 'logon.id']),
+    '4625': ('auth', True, ['Logon Session Creation'], ['account.name', 'logon.type', 'source.ip', 'host.name']),
+    '4648': ('auth', True, ['Logon Session Creation'], ['account.name', 'process.name', 'host.name']),
+    '4672': ('auth', True, [], ['account.name', 'logon.id']),
+    '4673': ('audit', True, [], ['account.name', 'process.name']),
+    '4634': ('auth', True, [], ['account.name', 'logon.id']),
+    '4688': ('create', True, ['Process Creation'], ['process.name', 'process.command_line', 'parent.process.name', 'account.name']),
+    '4689': ('audit', True, [], ['process.name', 'account.name']),
+    '1': ('create', True, ['Process Creation'], ['process.name', 'process.command_line', 'parent.process.name', 'account.name']),
+    '4720': ('create', True, ['User Account Creation'], ['account.name', 'user.domain']),
+    '4726': ('delete', True, ['User Account Deletion'], ['account.name', 'user.domain']),
+    '4732': ('write', True, ['User Account Modification'], ['account.name', 'group.id']),
+    '4738': ('write', True, ['User Account Modification'], ['account.name', 'user.domain']),
+    '7045': ('create', True, ['Service Creation'], ['service.name', 'service.image_path', 'account.name']),
+    '4697': ('create', True, ['Service Creation'], ['service.name', 'service.image_path', 'account.name']),
+    '4719': ('write', True, [], ['account.name', 'host.name']),
+    '1102': ('delete', True, ['Windows Event Log Deletion'], ['account.name', 'host.name']),
+    '5140': ('read', True, ['Network Share Access'], ['share.name', 'account.name', 'source.ip']),
+    '5156': ('audit', True, ['Network Connection Creation'], ['source.ip', 'destination.ip', 'destination.port', 'process.name']),
+    '5158': ('audit', True, [], ['source.ip', 'source.port', 'process.name']),
+    '3': ('audit', True, ['Network Connection Creation'], ['process.name', 'destination.ip', 'destination.port']),
+    '10': ('read', True, ['Process Access'], ['process.name', 'target.image', 'access.mask']),
+    '11': ('create', True, ['File Creation'], ['process.name', 'file.name', 'file.path']),
+    '13': ('write', True, ['Windows Registry Key Modification'], ['object.name', 'value.new', 'process.name']),
+    '4104': ('create', True, ['Script Execution'], ['script.block_text', 'account.name', 'host.name']),
 }
 # Registry assets as path, level, family.
 ASSETS = [
