@@ -98,3 +98,20 @@ def test_criticality(spark):
     got = {r.row: (r.level, r.family) for r in rules.criticality(spark.createDataFrame(rows, "row bigint, path string")).collect()}
     assert got[1] == ("critical", "credential-hive") and got[3] == ("critical", "lsa-provider") and got[4] == ("critical", "lsa-secrets")
     assert got[2][0] == got[5][0] == got[6][0] == "unknown"
+
+
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("reg save HKLM\\SAM C:\\out\\sam.hive", ["HKLM\\SAM"]),
+        ("reg.exe save HKLM\\SECURITY copy", ["HKLM\\SECURITY"]),
+        ('reg add "HKLM\\SOFTWARE\\Windows Defender" /v x', ["HKLM\\SOFTWARE\\Windows Defender"]),
+        ("reg add HKLM\\SOFTWARE\\Windows Defender /v x", ["HKLM\\SOFTWARE\\Windows Defender"]),
+        ("Set-ItemProperty HKLM:\\SOFTWARE\\Foo -Name x", ["HKLM\\SOFTWARE\\Foo"]),
+        ("reg query HKLM\\A\\B HKCU\\C", ["HKLM\\A\\B", "HKCU\\C"]),
+        ("reg query HKLM", []),
+        ("notepad a.txt", []),
+    ],
+)
+def test_command_paths(spark, command, want):
+    assert one(spark, text.command_registry_paths, command) == want

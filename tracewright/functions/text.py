@@ -143,3 +143,30 @@ def shortened(c: Column, most: int = 200) -> Column:
     """At most so many characters, cut at the last blank, with an ellipsis if cut."""
     head = F.regexp_replace(F.substring(c, 1, most), r"\s+\S*$", "")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r"[.,;: ]+$", ""), F.lit("...")))
+
+
+_HIVE = r"(?:HKEY_[A-Z_]+|HKLM|HKCU|HKCR|HKCC|HKU)"
+_QUOTED_PATH = rf"""(?i)(?<=["'])((?:{_HIVE}:?\\|\\REGISTRY\\)[^"']*)(?=["'])"""
+_NEW = rf"(?:[A-Za-z]:[\\/]|\\\\|{_HIVE}[:\\]|[-/][A-Za-z-]|[\w.$-]+\.[A-Za-z0-9]{{1,5}}(?:\s|$))"
+_BARE_PATH = rf"""(?i)(?<![\w\\"'])((?:{_HIVE}:?\\|\\REGISTRY\\)[^\s"']*(?: (?!{_NEW})[^\s"']+)*)"""
+
+
+def command_registry_paths(c: Column) -> Column:
+    """Registry paths in a command line, quoted ones first, once each; bare hives are none.
+
+    A quoted path goes up to its quote. Another goes on over a blank, unless what follows is a new root, a flag or a file's name. For commands that take a
+    second argument, such as save or copy, the last word of a path that runs to the end of the line is that argument.
+    """
+    two = c.rlike(r"(?i)(?<![\w.])reg(?:\.exe)?\s+(save|restore|load|export|copy|compare)\b")
+    quoted = F.regexp_extract_all(c, F.lit(_QUOTED_PATH), F.lit(1))
+    rest = F.regexp_replace(c, r"""(["'])[^"']*\1""", "$1$1")
+    bare = F.transform(F.regexp_extract_all(rest, F.lit(_BARE_PATH), F.lit(1)), lambda p: F.when(two & F.endswith(F.rtrim(rest), p) & F.contains(p, F.lit(" ")), F.regexp_replace(p, r"\s+\S+$", "")).otherwise(p))
+    clean = F.transform(F.concat(quoted, bare), lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, rf"(?i)^({_HIVE}):", "$1"), r"[,;)]+$", ""), r"[\\ ]+$", ""))
+    return F.array_distinct(F.filter(clean, lambda p: p.rlike(r"[^\\]\\[^\\]")))
+
+
+def trusted_folder(path: Column) -> Column:
+    """Whether a program's folder, its drive aside, is trusted or below a trusted one; a name without folder is not."""
+    folder = F.lower(F.regexp_replace(F.regexp_extract(F.translate(F.trim(path), '/"', "\\"), r"^(.*)\\[^\\]*$", 1), r"^[A-Za-z]:", ""))
+    inside = [(folder == t.lower()) | F.startswith(folder, F.lit(t.lower() + "\\")) for t in catalog.TRUSTED]
+    return F.coalesce(reduce(lambda a, b: a | b, inside), F.lit(False))
