@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import batch
+from tracewright.operators import batch, flow
 from tracewright.workspace import table
 
 
@@ -50,7 +50,17 @@ def trusted_folders(spark, d):
     return p.select("p_partkey", text.trusted_folder(F.col("path")).alias("trusted"))
 
 
-QUERIES = {f.__name__: f for f in (batch_items, required_log_sources, alarm_merge, second_pass_candidates, noise_classes, token_usage, evidence_for_reader, trusted_folders)}
+def bulk_incidents(spark, d):
+    """Events as a log table, all the way to incidents; relations within two minutes, so that incidents stay apart."""
+    ids = {"click": "4688", "error": "4625", "purchase": "7045", "signup": "4720", "view": "4698"}
+    of = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    k = F.get_json_object("props", "$.k")
+    rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), of[F.col("event_type")].alias("EventID"), F.concat(F.lit("h"), k).alias("Hostname"), F.concat(F.lit("u"), "user_id").alias("SubjectUserName"), F.when(F.col("event_type") == "click", "C:\\Windows\\System32\\cmd.exe").alias("NewProcessName"))
+    i = flow.incidents(rows, hours=2 / 60)
+    return i.select("n_rows", "first_ts", "last_ts", "phases", "score", "severity", "chain", F.array_join("techniques", ",").alias("techniques"), "host", "account", F.length("report").alias("report_chars"))
+
+
+QUERIES = {f.__name__: f for f in (batch_items, required_log_sources, alarm_merge, second_pass_candidates, noise_classes, token_usage, evidence_for_reader, trusted_folders, bulk_incidents)}
 ORACLE_SQL = {
     "batch_items": "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders WHERE o_orderstatus <> 'P'",
     "required_log_sources": "WITH i AS (SELECT p_partkey * 7 % 8000 AS id, min(p_partkey) AS ord FROM part GROUP BY 1), s AS (SELECT *, CASE WHEN id IN (4104) THEN 'PowerShell operational' WHEN id IN (400, 403, 104) THEN 'PowerShell classic' WHEN id = 1102 THEN 'Windows Security' WHEN id BETWEEN 1 AND 30 THEN 'Sysmon' WHEN id BETWEEN 4000 AND 5999 THEN 'Windows Security' WHEN id BETWEEN 7000 AND 7999 THEN 'Windows System' ELSE 'unknown' END AS source FROM i) SELECT source, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ord) AS ids FROM s GROUP BY 1",
