@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.functions.text import evidence_allowed, polarity, registry_path
+from tracewright.functions.text import evidence_allowed, looks_like_registry, polarity, registry_path
 from tracewright.sources import catalog
 
 LEVELS = ["high", "medium", "low", "insufficient"]
@@ -21,10 +21,15 @@ class Condition:
     must: str | None = None
     must_not: str | None = None
 
-    def compiled(self, fields: Column) -> Column:
+    @property
+    def on_paths(self) -> bool:
+        return "\\\\" in f"{self.must}{self.must_not}"
+
+    def compiled(self, fields: Column, paths: dict[str, Column]) -> Column:
+        """paths: columns of registry spellings by field, for conditions on paths."""
         v = F.coalesce(fields[self.field], F.lit(""))
-        norm = F.coalesce(registry_path(v), F.lit("")) if "\\\\" in f"{self.must}{self.must_not}" else None
-        either = lambda p: v.rlike(p) if norm is None else v.rlike(p) | norm.rlike(p)
+        norm = paths.get(self.field) if self.on_paths else None
+        either = lambda p: v.rlike(p) if norm is None else v.rlike(p) | F.coalesce(norm.rlike(p), F.lit(False))
         out = F.lit(True)
         if self.must:
             out = out & either(self.must)
@@ -51,14 +56,14 @@ class Rule:
         if self.level not in LEVELS or self.min_events < 1:
             raise ValueError(f"{self.technique}: level or min_events")
 
-    def matches(self, event_id: Column, fields: Column) -> Column:
+    def matches(self, event_id: Column, fields: Column, paths: dict[str, Column]) -> Column:
         """Ids first, since they are cheap and most rows fail them."""
         ids = F.lit(True)
         if self.forbidden:
             ids = ids & ~F.coalesce(event_id.isin(list(self.forbidden)), F.lit(False))
         if self.required:
             ids = ids & F.coalesce(event_id.isin(list(self.required)), F.lit(False))
-        return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [c.compiled(fields) for c in any_of]) for any_of in self.conditions], ids)
+        return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [c.compiled(fields, paths) for c in any_of]) for any_of in self.conditions], ids)
 
 
 def catalogue() -> list[Rule]:
@@ -79,9 +84,12 @@ def event_number(fields: Column) -> Column:
 def hits(rows: DataFrame, rules: list[Rule], event_id: Column | None = None) -> DataFrame:
     """(row, rule, polarity): rule is the place in rules. rows: row and fields MAP. One projection tests all rules; no row meets another."""
     number = event_number(F.col("fields")) if event_id is None else event_id
-    tested = F.array_compact(F.array(*[F.when(r.matches(F.col("_id"), F.col("fields")), F.lit(i)) for i, r in enumerate(rules)]))
+    on_paths = sorted({c.field for r in rules for any_of in r.conditions for c in any_of if c.on_paths})
+    spelt = {f"_path{i}": F.when(looks_like_registry(F.col("fields")[f]), registry_path(F.col("fields")[f])) for i, f in enumerate(on_paths)}
+    paths = {f: F.col(f"_path{i}") for i, f in enumerate(on_paths)}
+    tested = F.array_compact(F.array(*[F.when(r.matches(F.col("_id"), F.col("fields"), paths), F.lit(i)) for i, r in enumerate(rules)]))
     source = F.coalesce(F.nullif(F.col("fields")["Message"], F.lit("")), F.array_join(F.map_values("fields"), " "))
-    return rows.withColumn("_id", number).select("row", polarity(source).alias("polarity"), F.explode(tested).alias("rule"))
+    return rows.withColumns({"_id": number, **spelt}).select("row", polarity(source).alias("polarity"), F.explode(tested).alias("rule"))
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
