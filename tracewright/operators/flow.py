@@ -33,7 +33,7 @@ def entries(rows: DataFrame, catalogue: list[rules.Rule]) -> DataFrame:
     events = rows.select(F.col("row").alias("event_id"), "raw")
     maps = materialize(logparse.rule_rows(events, logparse.parse_fields(events)).withColumnRenamed("event_id", "row"), "rows")
     table = F.broadcast(rules.rule_table(rows.sparkSession, catalogue))
-    found = rules.hits(maps, catalogue).join(table, "rule").where(rules.evidence_allowed(F.col("technique"), F.col("polarity")))
+    found = materialize(rules.hits(maps, catalogue).join(table, "rule").where(rules.evidence_allowed(F.col("technique"), F.col("polarity"))), "hits")
     enough = found.groupBy("rule", "min_events").agg(F.count_distinct("row").alias("n")).where("n >= min_events").select("rule")
     names = F.create_map(*[F.lit(x) for kv in TACTIC_NAMES.items() for x in kv])
     best = found.join(enough, "rule").groupBy("row", "technique").agg(F.min(F.struct("rank", "level")).alias("b"), F.array_sort(F.collect_set(F.coalesce(names[F.col("tactic")], F.col("tactic")))).alias("tactics"))
@@ -50,7 +50,7 @@ def incidents(table: DataFrame, catalogue: list[rules.Rule] | None = None, hours
     rows = materialize(items(table), "items")
     member = materialize(correlate.incident_groups(rows, SHARED, hours), "members")
     inside = rows.join(member, "row")
-    found = entries(rows, catalogue or rules.catalogue()).join(member, "row").join(rows.select("row", "ts"), "row").withColumn("ord", F.col("row"))
+    found = materialize(entries(rows, catalogue or rules.catalogue()).join(inside.select("row", "ts", "incident"), "row").withColumn("ord", F.col("row")), "found")
     by = ["incident"]
     tactics = found.groupBy("incident", "technique").agg(F.array_distinct(F.flatten(F.collect_list("tactics"))).alias("tactics"))
     techniques = materialize(incident.dedupe_techniques(found, by).join(tactics, ["incident", "technique"]).withColumn("strong", incident.is_strong(F.col("level"), F.col("max_score"))), "techniques")
