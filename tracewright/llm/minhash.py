@@ -187,3 +187,16 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def op3_minmax_dedup(spark, sf_dir: str) -> DataFrame:
     """Links at a likeness of 0.85 over 3-word shingles, for all documents."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 85)
+
+
+#: The same by brute force: all pairs that share a shingle, and the labels that reach each document.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * c >= 85 * (len(sa.s) + len(sb.s) - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc, label) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.label FROM r JOIN e ON r.doc = e.a WHERE r.label < e.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.label AS component_id, m.label = s.doc_id AS kept FROM s JOIN (SELECT doc, min(label) AS label FROM r GROUP BY doc) m ON m.doc = s.doc_id
+"""
