@@ -43,13 +43,28 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
+def _hash(c):
+    """60 bits of a digest, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def text_key():
+    return _hash(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n")))
+
+
+def shuffle_key():
+    """A document's place in the shuffle of its source, from doc_id, source and text_key."""
+    part = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    return _hash(F.concat_ws("|", part("doc_id"), part("source"), F.col("text_key").cast("string")))
+
+
 def schedule(docs: DataFrame) -> tuple[DataFrame, tuple | None]:
     """(doc_id, text_key, source, size, source_size, target, h, finish) a row of docs, and the last copy taken as (time, h, doc_id) or None if all are.
 
     finish is the document's place in its source's first pass, in words.
     """
     sized = materialize(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.expr(WORDS).cast("bigint").alias("size"), F.xxhash64("text").alias("text_key")).withColumn("h", F.xxhash64("doc_id", "text_key", "source")),
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.expr(WORDS).cast("bigint").alias("size"), text_key().alias("text_key")).withColumn("h", shuffle_key()),
         "sized",
     )
     rows = sized.agg(F.count("*")).first()[0]
@@ -111,12 +126,28 @@ def mixture(docs: DataFrame) -> DataFrame:
     """
     timed, cut = schedule(docs)
     taken = timed.select("h", "text_key", taken_times(cut).alias("_times")).where("size(_times) > 0").groupBy(F.col("h").alias("_h2"), F.col("text_key").alias("_text2")).agg(F.flatten(F.collect_list("_times")).alias("_times"))
-    key = F.xxhash64("text")
-    named = docs.withColumn("_text", key).withColumn("_h", F.xxhash64(F.col("doc_id").cast("bigint"), key, "source")).dropDuplicates(["_h", "_text"])
+    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", text_key().alias("text_key")).withColumn("_h", shuffle_key())
+    named = keys.select("_row", "_h", F.col("text_key").alias("_text")).dropDuplicates(["_h", "_text"])
     joined = named.join(taken, (F.col("_h") == F.col("_h2")) & (F.col("_text") == F.col("_text2")))
-    return joined.withColumn("_time", F.explode("_times")).select(*docs.columns, "_time").repartitionByRange("_time").sortWithinPartitions("_time").drop("_time")
+    return joined.withColumn("_time", F.explode("_times")).repartitionByRange("_time").sortWithinPartitions("_time").select("_row.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents mixed, a row each."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce('t' || text, 'n')), 1, 15) AS BIGINT) AS text_key FROM documents),
+k AS (SELECT *, CAST('0x' || substr(md5(coalesce('v' || doc_id, 'n') || '|' || coalesce('v' || source, 'n') || '|' || text_key), 1, 15) AS BIGINT) AS h, greatest(16, count(*) OVER () // {BUCKET}) AS buckets FROM d),
+f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h % buckets, h, doc_id, text_key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS finish FROM k),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, {PASSES} * source_size AS cap, row_number() OVER (ORDER BY {PASSES} * source_size / weight, source NULLS LAST) AS place FROM s),
+u AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT / (sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS share FROM c),
+t AS (SELECT source, source_size, least(cap::DOUBLE, max(share) OVER () * weight) AS target FROM u),
+j AS (SELECT f.*, source_size, target FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT doc_id, h, size, target, e, CASE WHEN target > 0 THEN (e * source_size + finish) / target ELSE 0 END AS time FROM j, range(0, {PASSES}) r(e) WHERE e < greatest(1, CASE WHEN target > 0 THEN ceil(target / source_size) ELSE 1 END)),
+o AS (SELECT *, sum(size) OVER (ORDER BY time, h, doc_id ROWS UNBOUNDED PRECEDING) <= (SELECT sum(size) FROM d) AS fits FROM m),
+n AS (SELECT h, doc_id, count(*) FILTER (fits) AS copies FROM o GROUP BY ALL)
+SELECT j.doc_id, CAST(j.size AS BIGINT) AS size, source_size, target, CAST(copies * j.size AS BIGINT) AS taken FROM j JOIN n ON j.h = n.h AND j.doc_id IS NOT DISTINCT FROM n.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from tracewright.llm.bpe import op10_bpe_trie
 from tracewright.llm.fingerprints import op7_scaled_sketches
-from tracewright.llm import licenses, minhash, topk
+from tracewright.llm import licenses, minhash, mixing, topk
 from tracewright.llm.language import op6_language
 from tracewright.llm.licenses import op8_license_dice
 from tracewright.llm.minhash import op3_minmax_dedup
@@ -32,4 +32,4 @@ QUERIES = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
 }
-ORACLE_SQL = {"op3_minmax_dedup": minhash.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
+ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op3_minmax_dedup": minhash.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
