@@ -14,8 +14,9 @@ position, the same one in each of its copies. Then:
    The match is extended left and right; from LEAST words on it is a repeat.
 5. Repeats that touch are joined by document.
 
-A gram with more than HOT suffixes is dealt over groups by document, each with the gram's earliest
-suffix, so that a passage in a third of all documents neither meets in one task nor loses its first copy.
+A gram with more than HOT suffixes, as in a passage that a third of all documents have, never meets in one group. Around its positions
+every window of LEAST words is hashed instead, once a document; the smallest document of each hash is found
+by a grouped minimum, which combines before the shuffle. A window that an earlier document has is a repeat: the same outcome without a sort.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from tracewright.workspace import materialize
 #: Words of the shortest passage that counts, of a gram, and grams that a window holds.
 LEAST, GRAM = 50, 12
 WINDOW = LEAST - GRAM + 1
-#: Suffixes of one gram that meet in one group.
+#: Suffixes of one gram that meet in one group at most.
 HOT = 20_000
 WORD_COUNT = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
 WHITE = " \t\n\v\f\r"
+SPAN = "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint"
 _MULTIPLY = U(0xD1342543DE82EF95)
 
 
@@ -93,32 +95,81 @@ def _around(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(gram, salt, doc_id, text_key, pos, right, left) for found(doc_id, text_key, text, marks), marks being structs of pos, gram, salt."""
+    """(gram, doc_id, text_key, pos, right, left) of the marks that aren't hot, for found(doc_id, text_key, text, marks), marks being structs of pos, gram, hot."""
 
     def run(batches):
         for batch in batches:
-            marks = batch.column(3)
             for a, b, w in slices(batch.column(2)):
-                m = marks.slice(a, b - a)
-                count = m.value_lengths().to_numpy(zero_copy_only=False)
-                flat = m.flatten()
-                row = np.repeat(np.arange(b - a), count)
+                row, flat = _marks(batch.column(3).slice(a, b - a), False)
                 pos = flat.field("pos").to_numpy(zero_copy_only=False)
+                first = np.searchsorted(row, np.arange(b - a + 1))
                 right = np.zeros((len(pos), LEAST), np.uint32)
                 left = np.zeros((len(pos), LEAST - GRAM), np.uint32)
-                first = np.r_[0, np.cumsum(count)]
                 for d in range(b - a):
                     s = slice(first[d], first[d + 1])
                     right[s], left[s] = _around(w.hash[w.at[d] : w.at[d + 1]], pos[s])
                 for c in range(0, len(pos), 20_000):
                     s = slice(c, c + 20_000)
                     rows = pa.array(row[s] + a)
-                    blobs = [pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, x.nbytes + 1, 4 * x.shape[1], dtype=np.int32)), pa.py_buffer(x.astype(">u4").tobytes())]) for x in (right[s], left[s]) if len(x)]
-                    if blobs:
-                        part = flat.slice(c, 20_000)
-                        yield pa.RecordBatch.from_arrays([part.field("gram"), part.field("salt"), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos[s]), *blobs], ["gram", "salt", "doc_id", "text_key", "pos", "right", "left"])
+                    blobs = [pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, x.nbytes + 1, 4 * x.shape[1], dtype=np.int32)), pa.py_buffer(x.astype(">u4").tobytes())]) for x in (right[s], left[s])]
+                    yield pa.RecordBatch.from_arrays([flat.field("gram").slice(c, 20_000), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos[s]), *blobs], ["gram", "doc_id", "text_key", "pos", "right", "left"])
 
-    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "gram bigint, salt int, doc_id bigint, text_key bigint, pos int, right binary, left binary")
+    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int, right binary, left binary")
+
+
+def _marks(marks: pa.Array, hot: bool) -> tuple[np.ndarray, pa.Array]:
+    """Row and struct of the marks that are hot, or of those that aren't."""
+    row = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False))
+    flat = marks.flatten()
+    some = flat.field("hot").to_numpy(zero_copy_only=False).astype(bool) == hot
+    return row[some], flat.filter(pa.array(some))
+
+
+def hot_windows(found: DataFrame) -> DataFrame:
+    """(window, doc_id, text_key, starts): hash and first words of each window of LEAST words that contains a hot mark's gram."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, w in slices(batch.column(2)):
+                row, flat = _marks(batch.column(3).slice(a, b - a), True)
+                pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+                out = []
+                for d in np.unique(row).tolist():
+                    h = w.hash[w.at[d] : w.at[d + 1]]
+                    starts = np.unique(pos[row == d][:, None] - np.arange(LEAST - GRAM + 1))
+                    starts = starts[(starts >= 0) & (starts + LEAST <= len(h))]
+                    v = np.zeros(len(starts), U)
+                    for j in range(LEAST):
+                        v = v * _MULTIPLY + h[starts + j]
+                    v = mix(v)
+                    order = np.argsort(v, kind="stable")
+                    cut = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]]) if len(v) else np.zeros(0, np.int64)
+                    out.append((d, v[order][cut], np.r_[cut, len(v)], starts[order]))
+                if out:
+                    rows = pa.array(np.repeat([d for d, *_ in out], [len(v) for _, v, *_ in out]) + a)
+                    ends = np.concatenate([[0], *[np.diff(c) for _, _, c, _ in out]]).cumsum()
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([s for *_, s in out]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for _, v, *_ in out]).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), lists], ["window", "doc_id", "text_key", "starts"])
+
+    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "window bigint, doc_id bigint, text_key bigint, starts array<int>")
+
+
+def hot_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, other_doc_id) of hot windows that an earlier document has; a row each window and run of touching starts."""
+    windows = hot_windows(found)
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("other_doc_id"), F.max("doc_id").alias("last")).where("other_doc_id < last").drop("last")
+    again = windows.join(first.hint("merge"), "window").where("other_doc_id < doc_id")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            get = lambda i: batch.column(i).to_numpy(zero_copy_only=False)[row]
+            if len(s):
+                yield from _joined(get(0), get(1), s, s + LEAST, get(3)).to_batches()
+
+    return again.select("doc_id", "text_key", "starts", "other_doc_id").mapInArrow(trimmed(run), SPAN)
 
 
 def nearest_earlier(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -143,10 +194,10 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _matches(t: pa.Table) -> pa.Table:
-    """Repeats among whole groups of suffixes, sorted by gram, salt and right words."""
+    """Repeats among whole groups of suffixes, sorted by gram and right words."""
     n = t.num_rows
-    gram, salt = t.column("gram").to_numpy(), t.column("salt").to_numpy()
-    group = np.r_[0, np.cumsum((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))]
+    gram = t.column("gram").to_numpy()
+    group = np.r_[0, np.cumsum(gram[1:] != gram[:-1])]
     doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy()
     before = t.column("left").to_pylist()
     right, left = (np.frombuffer(b"".join(x), ">u4").reshape(n, -1).astype(np.uint32) for x in (t.column("right").to_pylist(), before))
@@ -183,8 +234,8 @@ def _compare(batches):
         t = t if rest is None else pa.concat_tables([rest, t])
         if t.num_rows == 0:
             continue
-        gram, salt = t.column("gram").to_numpy(), t.column("salt").to_numpy()
-        changes = np.flatnonzero((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))
+        gram = t.column("gram").to_numpy()
+        changes = np.flatnonzero(gram[1:] != gram[:-1])
         cut = int(changes[-1]) + 1 if len(changes) else 0
         if cut:
             yield from _matches(t.slice(0, cut).combine_chunks()).to_batches()
@@ -209,23 +260,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     own = keyed(docs).where("doc_id is not null and text is not null")
     classes = materialize(own.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.expr(WORD_COUNT)).alias("words")), "texts")
     grams = materialize(suffixes(own).groupBy("gram", "text_key", "pos").agg(F.min("doc_id").alias("doc_id")), "grams")
-    least = F.min(F.struct("doc_id", "text_key", "pos")).alias("least")
     # a table of its own, so that the join below reads two plain shuffles and AQE can split a hot gram
-    stats = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), least, F.max("doc_id").alias("last")).where("least.doc_id < last"), "shared")
-    salts = F.ceil(F.col("n") / HOT).cast("int")
-    everywhere = F.struct("doc_id", "text_key", "pos") == F.col("least")
+    stats = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "shared")
     marks = (
-        grams.join(stats, "gram")
-        .withColumn("salt", F.explode(F.when(everywhere, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int")))))
+        grams.join(stats.select("gram", (F.col("n") > HOT).alias("hot")), "gram")
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("pos", "gram", "salt")).alias("marks"))
-    )
-    around = contexts(own.join(marks.hint("merge"), ["doc_id", "text_key"]))
-    spans = (
-        around.repartition("gram", "salt")
-        .sortWithinPartitions("gram", "salt", "right", "doc_id", "pos")
-        .mapInArrow(trimmed(_compare), "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint")
+        .agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("marks"))
     )
+    found = own.join(marks.hint("merge"), ["doc_id", "text_key"])
+    spans = contexts(found).repartition("gram").sortWithinPartitions("gram", "right", "doc_id", "pos").mapInArrow(trimmed(_compare), SPAN)
+    if not stats.where(F.col("n") > HOT).isEmpty():
+        spans = spans.unionByName(hot_spans(found))
     copies = (
         own.select("doc_id", "text_key")
         .join(classes.where("last > first").select("text_key", "first", "words"), "text_key")
