@@ -11,7 +11,8 @@ position, the same one in each of its copies. Then:
 4. Suffixes of a gram meet in one partition, sorted by the words to the right. In that order, and in the order of the
    words to the left, each is compared with the nearest suffix of an earlier document on either side, which has
    the longest common extension on that side of all earlier ones; also with the gram's earliest suffix.
-   The match is extended left and right; from LEAST words on it is a repeat.
+   The match is extended left and right; from LEAST words on it is a repeat. Windows around the positions
+   of a group of three or more are then checked for equality, since a suffix that is no neighbour may reach further on one side.
 5. Repeats that touch are joined by document.
 
 A gram with more than HOT suffixes, as in a passage that a third of all documents have, never meets in one group. Around its positions
@@ -212,7 +213,33 @@ def _matches(t: pa.Table) -> pa.Table:
     r, l = _common(right[i], right[j]), _common(left[i], left[j])
     hit = r + l >= LEAST
     i, j, r, l = i[hit], j[hit], r[hit], l[hit]
-    return _joined(doc[i], t.column("text_key").to_numpy()[i], pos[i] - l, pos[i] + r, doc[j])
+    # neighbours have the longest match on one side; a third suffix may reach further on the other
+    more, start, other = _other_windows(group, doc, left, right)
+    who, key = np.r_[i, more], t.column("text_key").to_numpy()
+    start = np.r_[pos[i] - l, pos[more] + start]
+    return _joined(doc[who], key[who], start, np.r_[pos[i] + r, start[len(i) :] + LEAST], np.r_[doc[j], other])
+
+
+def _other_windows(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, first word from its position, other document) of windows of LEAST words around it that an earlier document of its group has at the same place; for groups of three suffixes or more."""
+    some = np.flatnonzero(np.bincount(group)[group] > 2)
+    words = np.concatenate([left[some][:, ::-1], right[some]], 1)
+    places = LEAST - GRAM + 1
+    v = np.zeros((len(some), places), U)
+    for k in range(LEAST):
+        v = v * _MULTIPLY + words[:, k : k + places]
+    v = mix(v + (group[some].astype(U)[:, None] * U(places) + np.arange(places, dtype=U)) * U(0x9E3779B97F4A7C15))
+    row, place = np.nonzero((words[:, :places] != 0) & (words[:, LEAST - 1 :] != 0))
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    flat = v[row, place]
+    o = np.argsort(flat, kind="stable")
+    cut = np.flatnonzero(np.r_[True, flat[o][1:] != flat[o][:-1]])
+    first = np.repeat(np.minimum.reduceat(doc[some[row[o]]], cut), np.diff(np.r_[cut, len(o)]))
+    hit = doc[some[row[o]]] > first
+    return some[row[o][hit]], place[o][hit] - (LEAST - GRAM), first[hit]
+
+
 
 
 def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.Table:
