@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tracewright-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         found = _own[0]
     return found.rstrip("/")
 
