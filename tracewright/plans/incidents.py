@@ -126,6 +126,12 @@ SELECT *, CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHE
     "incident_primary_customer": "WITH c AS (SELECT o_orderpriority, o_orderstatus, o_custkey, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL) SELECT o_orderpriority, o_orderstatus, o_custkey, n FROM c QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY n DESC, f) = 1",
     "rule_params": f"""WITH {_ISLANDS}, g AS (SELECT user_id, island, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS ids, count(DISTINCT event_type) AS k, count(DISTINCT props) AS hosts, count(DISTINCT event_id) AS n, epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS span FROM i GROUP BY ALL)
 SELECT user_id, island, ids, CASE WHEN hosts = 1 THEN 'host' ELSE 'user' END AS correlate_by, CAST(greatest(15, least(1440, floor(span / 60 * 1.5) + 1)) AS INTEGER) AS window_minutes, CAST(least(n, 3) AS INTEGER) AS threshold FROM g WHERE k >= 2""",
+    # the pairwise definition, and the labels that reach each row
+    "incident_components": """WITH RECURSIVE k AS (SELECT event_id AS row, ts, 'u' || user_id AS key FROM events UNION ALL SELECT event_id, ts, 't' || event_type || ':' || json_extract_string(props, '$.k') FROM events),
+b AS (SELECT DISTINCT x.row AS a, y.row AS b FROM k x JOIN k y ON x.key = y.key AND x.row <> y.row AND y.ts BETWEEN x.ts - INTERVAL 180 SECOND AND x.ts + INTERVAL 180 SECOND),
+r(row, label) AS (SELECT DISTINCT a, a FROM b UNION SELECT b.b, r.label FROM r JOIN b ON r.row = b.a WHERE r.label < b.b),
+m AS (SELECT row, min(label) AS incident FROM r GROUP BY row)
+SELECT incident, count(*) AS n, max(row) AS last_row, CAST(sum(row) AS BIGINT) AS sum_rows FROM m GROUP BY incident""",
     "ioc_distinct": "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS value FROM pages), c AS (SELECT *, lower(value) AS l FROM h WHERE value <> '') SELECT 'host' AS kind, arg_min(value, page_id) AS value, count(*) AS n FROM c GROUP BY l",
     "reputation_lookup_quota": "WITH h AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, page_id FROM pages) SELECT host, min(page_id) AS first_page FROM h WHERE host <> '' GROUP BY host ORDER BY first_page, host LIMIT 10",
 }
