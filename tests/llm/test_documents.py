@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import DOCS, prose
-from tracewright.llm import bpe, fingerprints, language, licenses, mixing, sharding, topk, toxicity
+from tracewright.llm import bpe, fingerprints, licenses, mixing, sharding, topk, toxicity
 from tracewright.llm.registry import QUERIES
 
 
