@@ -101,10 +101,11 @@ def train(docs: DataFrame) -> Model | None:
     The rows chosen are FIT_ROWS at most, so their ids can be broadcast to the texts and their vectors come to the driver (32 MB).
     """
     of = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
-    counts = of.groupBy("_lang").agg(F.count("*").alias("_all"))
+    # as many languages as rows at most, the commonest, so the counts can be broadcast
+    counts = of.groupBy("_lang").agg(F.count("*").alias("_all")).orderBy(F.col("_all").desc(), "_lang").limit(FIT_ROWS)
     most = max(1, FIT_ROWS // max(1, counts.count()))
     # a language's hashes are thinned out to some more rows than are wanted, before they are ordered
-    thin = of.join(counts, "_lang").where(F.pmod("_h", F.lit(1 << 30)) * F.col("_all") <= 2 * most * (1 << 30))
+    thin = of.join(F.broadcast(counts), "_lang").where(F.pmod("_h", F.lit(1 << 30)) * F.col("_all") <= 2 * most * (1 << 30))
     first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_id"))
     chosen = thin.withColumn("_n", first).where(F.col("_n") <= most).select("_id", "_lang").distinct()
 
