@@ -164,6 +164,15 @@ def test_licenses(spark):
     assert got == want and (1, "gpl-3.0") in got and (2, "mit-permission") in got and 8 not in {i for i, _ in got}
 
 
+def test_licenses_of_documents(spark):
+    """The five kinds of licence lines that the test tables' documents hold, each among prose."""
+    rng = random.Random(7)
+    kinds = {"gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "all-rights-reserved-short": "All rights reserved.", "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.", "mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    rows = [(i, f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}") for i, line in enumerate(kinds.values())]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.matches(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: got.get((i, k)) for i, k in enumerate(kinds)} == dict.fromkeys(kinds, 1.0)
+
+
 def test_folding():
     assert toxicity.folded("You 1D10T, l0ser$ and іdiot ｉｄｉｏｔ") == ["you", "idiot", "loser", "and", "idiot", "idiot"]
     assert toxicity.folded("room 101 costs $50") == ["room", "101", "costs", "50"]
