@@ -140,6 +140,33 @@ def test_sketches_merge(spark):
     assert r.c == 1.0 and 20 < r.n < 60
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Likeness and containment are those of the shingle sets, however few."""
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in range(1, 60)]
+    texts += [" ".join(texts[-1].split()[:40]), texts[-1], "", "one two"]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        q = len(t) // 4
+        a, b, c = shingle_set(t), shingle_set(t[: len(t) - q] + after[:q]), shingle_set(after)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert (got[i].near_edited, got[i].near_next, got[i].contained_in_next) == pytest.approx((like(a, b), like(a, c), len(a & c) / len(a) if a else 1.0))
+
+
+def test_scaled_sketches_of_short_texts(spark):
+    """Under a fraction, the merged sketch is that of the union, and a text without hashes in it has no containment."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(prose(rng, 5), prose(rng, 40)) for _ in range(30)]
+    t = spark.createDataFrame(rows, "a string, b string").select(fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
+    limit = -(1 << 63) + (1 << 64) // fingerprints.SCALE
+    for r in t.select("x", "y", fingerprints.merged(F.array("x", "y")).alias("m"), fingerprints.containment(F.col("x"), fingerprints.merged(F.array("x", "y"))).alias("c")).collect():
+        low = sorted(h for h in {*r.x, *r.y} if h < limit)
+        assert r.m == (low or [min(*r.x, *r.y)]) and r.c == (1.0 if r.x[0] < limit else None)
+
+
 def test_licenses(spark):
     import re
 

@@ -2,7 +2,8 @@
 
 A sketch keeps every hash of five-word shingles below a fixed fraction of the hash range. So the sketch of a union is the union
 of the sketches, cut by nobody's size, and shared shares of hashes estimate likeness and containment even between a page and a book.
-A text whose shingles all lie above the fraction keeps its smallest hash instead, so that no text with words has an empty sketch.
+The fingerprints of documents take the whole range, so that likeness and containment of short texts are right too. Under a smaller
+fraction, a text whose shingles all lie above it keeps its smallest hash, so that no text with words has an empty sketch.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.llm.expressions import let
 
 SHINGLE = 5
-#: One in so many shingle hashes is kept.
-SCALE = 8
+#: One in so many shingle hashes is kept where a sketch is asked for without a scale; fingerprints keep all of them.
+SCALE, WHOLE = 8, 1
 #: Documents that a block is meant to have, and quantiles of doc_id that the blocks start from.
 BLOCK, QUANTILES = 2_000, 256
 #: Blocks at most, however many documents: their first keys are broadcast, 3 MB then.
 BLOCKS = 100_000
-_LIMIT = -(1 << 63) + (1 << 64) // SCALE
 
 
-def sketch(text: Column) -> Column:
+def under(s: Column, scale: int) -> Column:
+    """The hashes in the fraction of the range."""
+    return s if scale == WHOLE else F.filter(s, lambda x: x < F.lit(-(1 << 63) + (1 << 64) // scale))
+
+
+def sketch(text: Column, scale: int = SCALE) -> Column:
     """The sorted sketch of a text as array<bigint>: words are lower-cased runs of other than ASCII white space, fewer than five are one shingle. Null and empty texts have none."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -30,27 +35,28 @@ def sketch(text: Column) -> Column:
         long = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
         return F.when(F.size(h) >= SHINGLE, long).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    def kept(s: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(s, lambda x: x < F.lit(_LIMIT))))
-        return F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
+    return F.coalesce(let(let(hashes, of), lambda s: _kept(s, scale)), F.array().cast("array<bigint>"))
+
 
-    return F.coalesce(let(let(hashes, of), kept), F.array().cast("array<bigint>"))
+def _kept(s: Column, scale: int) -> Column:
+    if scale == WHOLE:
+        return F.sort_array(F.array_distinct(s))
+    return let(F.sort_array(F.array_distinct(under(s, scale))), lambda low: F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s))
 
 
-def merged(sketches: Column) -> Column:
+def merged(sketches: Column, scale: int = SCALE) -> Column:
     """The sketch of the union of documents from an array of their sketches."""
-    return F.array_sort(F.array_distinct(F.flatten(sketches)))
+    return let(F.flatten(sketches), lambda s: _kept(s, scale))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness; of two empty sketches 1, of one empty 0."""
-    both, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
+    return let(F.size(F.array_intersect(a, b)), lambda both: let(F.size(a) + F.size(b) - both, lambda all_: F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; of an empty a 1."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has, over hashes in the fraction; of an empty a 1, of an a without such hashes null, as nothing is known."""
+    return let(under(a, scale), lambda low: F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(low) > 0, F.size(F.array_intersect(low, b)) / F.size(low)))
 
 
 def printed(s: Column) -> Column:
@@ -59,7 +65,7 @@ def printed(s: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(key, text, ...) with next, the struct of text and sketch of the row after it in the order of (key, text); after the last comes the first.
+    """docs(key, text, ...) with next, the struct of text and whole sketch of the row after it in the order of (key, text); after the last comes the first.
 
     Rows are dealt into ranges of key. Ranges start from quantiles, each divided evenly, and the first row of
     each range is also dealt to the range before it. So texts cross the network once, and no task orders more than a range.
@@ -80,7 +86,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ghosts = firsts.withColumn("to", before).withColumn("wraps", F.lag("block").over(order).isNull())
     ghost_rows = docs.join(F.broadcast(ghosts.select("key", "to", "wraps")), "key").groupBy("to", "wraps").agg(F.min(F.struct("key", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
     ghost_rows = ghost_rows.select(F.col("to").alias("block"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"), F.col("row.key").alias("key"), F.col("row.text").alias("text"))
-    sketched = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).withColumn("sketch", sketch(F.col("text")))
+    # sketches may be larger than texts, so they are made after the rows are dealt
+    sketched = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).repartition("block").withColumn("sketch", sketch(F.col("text"), WHOLE))
     following = F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("ghost", "key", "text"))
     return sketched.withColumn("next", following).where("ghost = 0").drop("ghost", "block")
 
@@ -90,14 +97,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text ends in the first floor(n_chars / 4) code points of the next document (all of it, if it has fewer) in place
     of its own last as many. Next is the row after it by doc_id, then text, null doc_ids first; after the last comes the first. Null texts
-    count as empty. Fingerprints are sketches in hex, empty for texts without words; equal texts have equal ones. Other columns play no part.
+    count as empty. Fingerprints are sketches of the whole range in hex, empty for texts without words; equal texts have equal ones. Other columns play no part.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     rows = with_next(docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_null")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.substring(F.col("next.text"), F.lit(1), quarter)))
     sketched = edited.select(
-        F.when(~F.col("_null"), F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", F.col("next.sketch").alias("next_sketch"), sketch(F.col("edited")).alias("edited_sketch")
+        F.when(~F.col("_null"), F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", F.col("next.sketch").alias("next_sketch"), sketch(F.col("edited"), WHOLE).alias("edited_sketch")
     )
     return sketched.select(
         "doc_id",
@@ -107,7 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         printed(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"),
+        containment(F.col("sketch"), F.col("next_sketch"), WHOLE).alias("contained_in_next"),
     )
 
 
