@@ -66,3 +66,29 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src bigint, dst bigint")
     assert {r.component for r in connected_components(chain).collect()} == {0}
     assert connected_components(chain.limit(0)).count() == 0
+
+
+def test_queries_take_the_whole_window(spark, tmp_path):
+    """Events related within a day are in one incident, against the pairwise definition."""
+    import json
+
+    from tracewright.plans.registry import QUERIES
+
+    rng = random.Random(12)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    rows = [(i, T0 + timedelta(seconds=rng.randrange(60 * 86400)), rng.randrange(9), rng.choice(kinds), 1.0, json.dumps({"k": rng.randrange(40)})) for i in range(60)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+
+    def sizes(related):
+        label = {r[0]: r[0] for r in rows}
+        for a in rows:
+            for b in rows:
+                if abs(a[1] - b[1]) <= timedelta(hours=24) and related(a, b):
+                    x, y = label[a[0]], label[b[0]]
+                    label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return sorted(n for v in set(label.values()) if (n := list(label.values()).count(v)) > 1)
+
+    day = [r.n for r in QUERIES["incident_components_day"](spark, str(tmp_path)).collect()]
+    assert sorted(day) == sizes(lambda a, b: a[2] == b[2] or a[3] == b[3] and a[5] == b[5]) != []
+    bulk = [r.n_rows for r in QUERIES["bulk_incidents"](spark, str(tmp_path)).collect()]
+    assert sorted(bulk) == sizes(lambda a, b: a[2] == b[2] or a[5] == b[5])

@@ -51,12 +51,12 @@ def trusted_folders(spark, d):
 
 
 def bulk_incidents(spark, d):
-    """Events as a log table, all the way to incidents; relations within two minutes, so that incidents stay apart."""
+    """Events as a log table, all the way to incidents, related within the operator's own window."""
     ids = {"click": "4688", "error": "4625", "purchase": "7045", "signup": "4720", "view": "4698"}
     of = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     k = F.get_json_object("props", "$.k")
     rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), of[F.col("event_type")].alias("EventID"), F.concat(F.lit("h"), k).alias("Hostname"), F.concat(F.lit("u"), "user_id").alias("SubjectUserName"), F.when(F.col("event_type") == "click", "C:\\Windows\\System32\\cmd.exe").alias("NewProcessName"))
-    i = flow.incidents(rows, hours=2 / 60)
+    i = flow.incidents(rows)
     return i.select("n_rows", "first_ts", "last_ts", "phases", "score", "severity", "chain", F.array_join("techniques", ",").alias("techniques"), "host", "account", F.length("report").alias("report_chars"))
 
 

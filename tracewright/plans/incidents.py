@@ -82,12 +82,22 @@ def rule_params(spark, d):
     return incident.rule_parameters(hits, ["user_id", "island"]).withColumn("ids", F.array_join("ids", ","))
 
 
-def incident_components(spark, d):
+def _components(spark, d, **window):
     items = _events(spark, d).select(F.col("event_id").alias("row"), "ts", F.col("user_id").cast("string").alias("user"), F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("type_k"))
-    g = correlate.incident_groups(items, ["user", "type_k"], hours=0.05, lineage=False)
+    g = correlate.incident_groups(items, ["user", "type_k"], lineage=False, **window)
     return g.groupBy("incident").agg(F.count("*").alias("n"), F.max("row").alias("last_row"), F.sum("row").alias("sum_rows"))
 
 
+def incident_components(spark, d):
+    """Relations within three minutes only: its SQL compares pairs."""
+    return _components(spark, d, hours=0.05)
+
+
+def incident_components_day(spark, d):
+    """All relations within the operator's own window."""
+    return _components(spark, d)
+
+
 def ioc_distinct(spark, d):
     host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
     p = table(spark, d, "pages").select(F.lit(0).alias("inc"), F.col("page_id").alias("ord"), F.lit("host").alias("kind"), host.alias("value"))
@@ -105,7 +115,7 @@ _SCORED = f"""WITH {_ISLANDS},
 t AS (SELECT user_id, island, event_type AS technique, max(round(value / 500, 4)) AS score FROM i GROUP BY ALL),
 c AS (SELECT t.*, m.tactic, m.phase FROM t JOIN {_PRIMARY_SQL} ON m.event_type = t.technique)"""
 
-QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, ioc_distinct, reputation_lookup_quota)}
+QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, incident_components_day, ioc_distinct, reputation_lookup_quota)}
 ORACLE_SQL = {
     "incidents_by_user": f"""WITH {_ISLANDS}, g AS (SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS n_types, min(ts) AS first_ts, max(ts) AS last_ts, min(event_id) AS first_row FROM i GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT *, CAST(least(100, 15 * n_types + least(n, 25)) AS INTEGER) AS score FROM g)
