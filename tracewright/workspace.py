@@ -29,9 +29,12 @@ def session(app: str = "tracewright", cores: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master gets one of our own; a cluster would lose what a lost executor wrote, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not (master.startswith("local") and "cluster" not in master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tracewright-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -42,12 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back.
 
-    The table outlives lost executors, so a later failure never recomputes what lies before it.
+    The table outlives lost executors, so a later failure never recomputes what lies before it. It stays until the folder is
+    cleared, or until discard() where a caller knows that nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame from materialize()."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._table_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
