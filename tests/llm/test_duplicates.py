@@ -148,3 +148,15 @@ def test_without_repeats(spark):
     assert out[1][0] == rows[0][1]
     assert out[2] == ("é x\n\n the end", len("é x\n\n the end"))
     assert 3 not in out and {4, 5, 6} <= set(out)
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    """Of a repeated doc_id, each text has its own fate; for components they count as linked."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x"), (2, c, "z"), (2, c, "y"), (2, None, "x"), (None, a, "x"), (4, a + " end", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = sorted((r.doc_id or 0, r.text or "", r.lang) for r in minhash.dedup(docs).collect())
+    assert kept == sorted([(1, a, "x"), (2, b, "x"), (2, c, "y"), (2, "", "x"), (0, a, "x")])
+    got = sorted((r.doc_id or 0, r.n_shingles > 0, r.component_id or 0, r.kept) for r in minhash.components(docs).collect())
+    assert got == sorted([(1, True, 1, True), *[(2, True, 1, False)] * 4, (3, True, 1, False), (2, False, 2, True), (0, True, 0, True), (4, True, 1, False)])
