@@ -1,23 +1,19 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only at minimiser positions: of every WINDOW consecutive GRAM-word hashes the
-smallest is selected, so the text alone decides and any passage of LEAST words contains a selected
+smallest is selected, so the words of a window of LEAST words alone decide, and any passage of LEAST words contains a selected
 position, the same one in each of its copies. Then:
 
 1. Copies of a whole text form a class; the copy with the smallest doc_id stands for it.
 2. Each selected suffix sends its gram's hash, document and position. Grams of one document drop out.
 3. The suffixes that remain carry their words around the position (hashes, bounded): LEAST to the right
    from it, LEAST - GRAM to the left. That suffices, since a longer passage has further selected positions.
-4. Suffixes of a gram meet in one partition, sorted by the words to the right. In that order, and in the order of the
-   words to the left, each is compared with the nearest suffix of an earlier document on either side, which has
-   the longest common extension on that side of all earlier ones; also with the gram's earliest suffix.
-   The match is extended left and right; from LEAST words on it is a repeat. Windows around the positions
-   of a group of three or more are then checked for equality, since a suffix that is no neighbour may reach further on one side.
-5. Repeats that touch are joined by document.
-
-A gram with more than HOT suffixes, as in a passage that a third of all documents have, never meets in one group. Around its positions
-every window of LEAST words is hashed instead, once a document; the smallest document of each hash is found
-by a grouped minimum, which combines before the shuffle. A window that an earlier document has is a repeat: the same outcome without a sort.
+4. Suffixes are sorted by gram and the words to the right, over as many tasks as they need: ranges of that order cut
+   a frequent gram by its next words and then by document. In that order, and in the order of the words to the left, each is compared with its
+   neighbours and with the earliest suffix of its gram nearby. The match is extended left and right; from LEAST words on it is a repeat.
+5. Windows of LEAST words that the suffix was selected for and that no neighbour matched are left open: a suffix that is
+   no neighbour, or lies beyond the end of a range, may have them. They are checked exactly, by the least document of each such window.
+6. Repeats that touch are joined by document.
 """
 
 from __future__ import annotations
@@ -28,28 +24,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.llm.memory import trimmed
 from tracewright.llm.words import U, mix, slices
-from tracewright.workspace import materialize
+from tracewright.operators.graph import frequent, spread_join
+from tracewright.workspace import discard, materialize
 
 #: Words of the shortest passage that counts, of a gram, and grams that a window holds.
 LEAST, GRAM = 50, 12
 WINDOW = LEAST - GRAM + 1
-#: Suffixes of one gram that meet in one group at most.
-HOT = 20_000
 WORD_COUNT = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
 WHITE = " \t\n\v\f\r"
-SPAN = "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint"
+COMPARED = "doc_id bigint, text_key bigint, start int, end int, other_doc_id bigint, window bigint"
 _MULTIPLY = U(0xD1342543DE82EF95)
 
 
-def select(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word position within it, gram hash) of every minimiser of the documents whose word hashes lie at at[d]:at[d+1].
+def select(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, word position within it, gram hash, low, high) of every minimiser of the documents whose word hashes lie at at[d]:at[d+1].
 
-    Of equal smallest grams in a window the leftmost is taken, but in a run of one gram only every WINDOW-th
-    position and the last, so that a word repeated a thousand times gives few suffixes.
+    low and high are the least and the most words that a window selecting it has before it. A window selects the leftmost of its equal smallest
+    grams, but the last of a run of one gram that it begins with, so that a word repeated a thousand times
+    gives few suffixes. Where that run fills the window, all such windows in a row have the same words, and each WINDOW-th selects its first gram, and the last.
     """
     n = len(h) - GRAM + 1
     if n < WINDOW:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),) + (np.zeros(0, np.int32),) * 2
     g = np.zeros(n, U)
     for j in range(GRAM):
         g = g * _MULTIPLY + h[j : j + n]
@@ -64,27 +60,40 @@ def select(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         lo, where = np.where(less, other, lo), np.where(less, there, where)
         span += step
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    whole = doc[: len(where)] == doc[LEAST - 1 : LEAST - 1 + len(where)]
-    pos = np.unique(where[whole])
-    if len(pos):
-        fresh = np.ones(len(pos), bool)
-        fresh[1:] = (g[pos[1:]] != g[pos[:-1]]) | (pos[1:] != pos[:-1] + 1) | (doc[pos[1:]] != doc[pos[:-1]])
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(pos)), 0))
-        pos = pos[((np.arange(len(pos)) - run) % WINDOW == 0) | np.r_[fresh[1:], True]]
-    return doc[pos], pos - at[doc[pos]], g[pos]
+    last = np.flatnonzero(np.r_[g[1:] != g[:-1], True])
+    end = last[np.searchsorted(last, where)]  # of the run of one gram
+    first = np.arange(len(where))
+    run = (where == first) & (end > where)
+    full = run & (end >= where + WINDOW - 1)
+    where = np.where(run & ~full, end, where)
+    keep = doc[: len(where)] == doc[LEAST - 1 : LEAST - 1 + len(where)]
+    same = np.flatnonzero(full & keep)
+    if len(same):
+        fresh = np.r_[True, same[1:] != same[:-1] + 1]
+        place = np.arange(len(same)) - np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
+        keep[same[(place % WINDOW > 0) & ~np.r_[fresh[1:], True]]] = False
+    first, where = first[keep], where[keep]
+    if not len(where):
+        return select(h[:0], at)
+    order = np.lexsort((first, where))
+    first, where = first[order], where[order]
+    cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+    pos = where[cut]
+    low, high = np.minimum.reduceat(where - first, cut), np.maximum.reduceat(where - first, cut)
+    return doc[pos], pos - at[doc[pos]], g[pos], low.astype(np.int32), high.astype(np.int32)
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(gram, doc_id, text_key, pos) of every minimiser of docs(doc_id, text_key, text)."""
+    """(gram, doc_id, text_key, pos, low, high) of every minimiser of docs(doc_id, text_key, text)."""
 
     def run(batches):
         for batch in batches:
             for a, b, w in slices(batch.column(2)):
-                doc, pos, gram = select(w.hash, w.at)
+                doc, pos, gram, low, high = select(w.hash, w.at)
                 rows = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32))], ["gram", "doc_id", "text_key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(low), pa.array(high)], ["gram", "doc_id", "text_key", "pos", "low", "high"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int, low int, high int")
 
 
 def _around(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +105,14 @@ def _around(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(gram, doc_id, text_key, pos, right, left) of the marks that aren't hot, for found(doc_id, text_key, text, marks), marks being structs of pos, gram, hot."""
+    """(gram, doc_id, text_key, pos, low, high, right, left) of the marks of found(doc_id, text_key, text, marks), marks being structs of gram, pos, low and high."""
+    names = ["gram", "doc_id", "text_key", "pos", "low", "high", "right", "left"]
 
     def run(batches):
         for batch in batches:
             for a, b, w in slices(batch.column(2)):
-                row, flat = _marks(batch.column(3).slice(a, b - a), False)
+                marks = batch.column(3).slice(a, b - a)
+                row, flat = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False)), marks.flatten()
                 pos = flat.field("pos").to_numpy(zero_copy_only=False)
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 right = np.zeros((len(pos), LEAST), np.uint32)
@@ -113,80 +124,10 @@ def contexts(found: DataFrame) -> DataFrame:
                     s = slice(c, c + 20_000)
                     rows = pa.array(row[s] + a)
                     blobs = [pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, x.nbytes + 1, 4 * x.shape[1], dtype=np.int32)), pa.py_buffer(x.astype(">u4").tobytes())]) for x in (right[s], left[s])]
-                    yield pa.RecordBatch.from_arrays([flat.field("gram").slice(c, 20_000), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos[s]), *blobs], ["gram", "doc_id", "text_key", "pos", "right", "left"])
+                    own = [flat.field(k).slice(c, 20_000) for k in ("gram", "pos", "low", "high")]
+                    yield pa.RecordBatch.from_arrays([own[0], batch.column(0).take(rows), batch.column(1).take(rows), *own[1:], *blobs], names)
 
-    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int, right binary, left binary")
-
-
-def _marks(marks: pa.Array, hot: bool) -> tuple[np.ndarray, pa.Array]:
-    """Row and struct of the marks that are hot, or of those that aren't."""
-    row = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False))
-    flat = marks.flatten()
-    some = flat.field("hot").to_numpy(zero_copy_only=False).astype(bool) == hot
-    return row[some], flat.filter(pa.array(some))
-
-
-def hot_windows(found: DataFrame) -> DataFrame:
-    """(window, doc_id, text_key, starts): hash and first words of each window of LEAST words that contains a hot mark's gram."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b, w in slices(batch.column(2)):
-                row, flat = _marks(batch.column(3).slice(a, b - a), True)
-                pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-                out = []
-                for d in np.unique(row).tolist():
-                    h = w.hash[w.at[d] : w.at[d + 1]]
-                    starts = np.unique(pos[row == d][:, None] - np.arange(LEAST - GRAM + 1))
-                    starts = starts[(starts >= 0) & (starts + LEAST <= len(h))]
-                    v = np.zeros(len(starts), U)
-                    for j in range(LEAST):
-                        v = v * _MULTIPLY + h[starts + j]
-                    v = mix(v)
-                    order = np.argsort(v, kind="stable")
-                    cut = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]]) if len(v) else np.zeros(0, np.int64)
-                    out.append((d, v[order][cut], np.r_[cut, len(v)], starts[order]))
-                if out:
-                    rows = pa.array(np.repeat([d for d, *_ in out], [len(v) for _, v, *_ in out]) + a)
-                    ends = np.concatenate([[0], *[np.diff(c) for _, _, c, _ in out]]).cumsum()
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([s for *_, s in out]).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for _, v, *_ in out]).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), lists], ["window", "doc_id", "text_key", "starts"])
-
-    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "window bigint, doc_id bigint, text_key bigint, starts array<int>")
-
-
-def hot_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, other_doc_id) of hot windows that an earlier document has; a row each window and run of touching starts."""
-    windows = hot_windows(found)
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("other_doc_id"), F.max("doc_id").alias("last")).where("other_doc_id < last").drop("last")
-    again = windows.join(first.hint("merge"), "window").where("other_doc_id < doc_id")
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            get = lambda i: batch.column(i).to_numpy(zero_copy_only=False)[row]
-            if len(s):
-                yield from _joined(get(0), get(1), s, s + LEAST, get(3)).to_batches()
-
-    return again.select("doc_id", "text_key", "starts", "other_doc_id").mapInArrow(trimmed(run), SPAN)
-
-
-def nearest_earlier(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Pairs (i, j), j the nearest before or after i in its group whose document is smaller; by the classic stack of increasing values."""
-    pairs = []
-    for order in (range(len(doc)), range(len(doc) - 1, -1, -1)):
-        stack, now = [], None
-        for i in order:
-            if group[i] != now:
-                stack, now = [], group[i]
-            while stack and doc[stack[-1]] >= doc[i]:
-                stack.pop()
-            if stack:
-                pairs.append((i, stack[-1]))
-            stack.append(i)
-    return np.array(pairs, np.int64).reshape(-1, 2)
+    return found.select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(run), "gram bigint, doc_id bigint, text_key bigint, pos int, low int, high int, right binary, left binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -194,52 +135,48 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), x.shape[1], (~same).argmax(1))
 
 
-def _matches(t: pa.Table) -> pa.Table:
-    """Repeats among whole groups of suffixes, sorted by gram and right words."""
+def _compare(batches):
+    """Repeats and open windows of a sorted partition. A batch is a stretch of the order; its first and last gram may go on beyond it."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from _stretch(batch).to_batches()
+
+
+def _stretch(t: pa.RecordBatch) -> pa.Table:
     n = t.num_rows
-    gram = t.column("gram").to_numpy()
+    column = lambda k: t.column(t.schema.get_field_index(k))
+    gram, doc, key, pos, low, high = (column(k).to_numpy(zero_copy_only=False) for k in ("gram", "doc_id", "text_key", "pos", "low", "high"))
     group = np.r_[0, np.cumsum(gram[1:] != gram[:-1])]
-    doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy()
-    before = t.column("left").to_pylist()
-    right, left = (np.frombuffer(b"".join(x), ">u4").reshape(n, -1).astype(np.uint32) for x in (t.column("right").to_pylist(), before))
-    g, d = group.tolist(), doc.tolist()
-    by_left = np.array(sorted(range(n), key=lambda i: (g[i], before[i])), np.int64)
-    pairs = [nearest_earlier(g, d)]
-    pairs.append(by_left[nearest_earlier([g[i] for i in by_left], [d[i] for i in by_left])])
+    before = np.frombuffer(b"".join(column("left").to_pylist()), ">u4").reshape(n, -1)
+    right, left = np.frombuffer(b"".join(column("right").to_pylist()), ">u4").reshape(n, -1).astype(np.uint32), before.astype(np.uint32)
+    by_left = np.argsort(np.ascontiguousarray(before).view(f"S{before.shape[1] * 4}").ravel(), kind="stable")
+    by_left = by_left[np.argsort(group[by_left], kind="stable")]
     earliest = np.lexsort((pos, doc, group))
-    first = earliest[np.searchsorted(group[earliest], group)]
-    pairs.append(np.c_[np.arange(n), first][doc[first] < doc])
-    i, j = np.unique(np.concatenate(pairs), axis=0).T
+    pairs = np.concatenate([np.c_[np.arange(n - 1), np.arange(1, n)], np.c_[by_left[:-1], by_left[1:]], np.c_[np.arange(n), earliest[np.searchsorted(group[earliest], group)]]])
+    pairs = pairs[(group[pairs[:, 0]] == group[pairs[:, 1]]) & (doc[pairs[:, 0]] != doc[pairs[:, 1]])]
+    later = doc[pairs[:, 0]] > doc[pairs[:, 1]]
+    i, j = np.unique(np.where(later[:, None], pairs, pairs[:, ::-1]), axis=0).T
     r, l = _common(right[i], right[j]), _common(left[i], left[j])
     hit = r + l >= LEAST
     i, j, r, l = i[hit], j[hit], r[hit], l[hit]
-    # neighbours have the longest match on one side; a third suffix may reach further on the other
-    more, start, other = _other_windows(group, doc, left, right)
-    who, key = np.r_[i, more], t.column("text_key").to_numpy()
-    start = np.r_[pos[i] - l, pos[more] + start]
-    return _joined(doc[who], key[who], start, np.r_[pos[i] + r, start[len(i) :] + LEAST], np.r_[doc[j], other])
-
-
-def _other_windows(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, first word from its position, other document) of windows of LEAST words around it that an earlier document of its group has at the same place; for groups of three suffixes or more."""
-    some = np.flatnonzero(np.bincount(group)[group] > 2)
-    words = np.concatenate([left[some][:, ::-1], right[some]], 1)
+    repeats = _joined(doc[i], key[i], pos[i] - l, pos[i] + r, doc[j])
+    # of a gram with two suffixes both were compared
+    alone = (np.bincount(group)[group] == 2) & (group > 0) & (group < group[-1])
     places = LEAST - GRAM + 1
+    some = np.flatnonzero(~alone)
+    matched = np.zeros((n, places + 1), np.int32)  # by words before the position
+    np.add.at(matched, (i, np.maximum(0, LEAST - r)), 1)
+    np.add.at(matched, (i, l + 1), -1)
+    before = np.arange(places)
+    row, words = np.nonzero((matched.cumsum(1)[some, :places] == 0) & (before >= low[some, None]) & (before <= high[some, None]))
+    around = np.concatenate([left[some][:, ::-1], right[some]], 1)
     v = np.zeros((len(some), places), U)
     for k in range(LEAST):
-        v = v * _MULTIPLY + words[:, k : k + places]
-    v = mix(v + (group[some].astype(U)[:, None] * U(places) + np.arange(places, dtype=U)) * U(0x9E3779B97F4A7C15))
-    row, place = np.nonzero((words[:, :places] != 0) & (words[:, LEAST - 1 :] != 0))
-    if not len(row):
-        return (np.zeros(0, np.int64),) * 3
-    flat = v[row, place]
-    o = np.argsort(flat, kind="stable")
-    cut = np.flatnonzero(np.r_[True, flat[o][1:] != flat[o][:-1]])
-    first = np.repeat(np.minimum.reduceat(doc[some[row[o]]], cut), np.diff(np.r_[cut, len(o)]))
-    hit = doc[some[row[o]]] > first
-    return some[row[o][hit]], place[o][hit] - (LEAST - GRAM), first[hit]
-
-
+        v = v * _MULTIPLY + around[:, k : k + places]
+    window, row = mix(v[row, places - 1 - words]), some[row]
+    start = (pos[row] - words).astype(np.int32)
+    found = pa.table({"doc_id": doc[row], "text_key": key[row], "start": start, "end": start + np.int32(LEAST), "other_doc_id": pa.nulls(len(row), pa.int64()), "window": window.view(np.int64)})
+    return pa.concat_tables([repeats.append_column("window", pa.nulls(repeats.num_rows, pa.int64())), found])
 
 
 def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.Table:
@@ -253,24 +190,6 @@ def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray
     return pa.table({"doc_id": doc[first], "text_key": key[first], "start": start[first].astype(np.int32), "end": ends.astype(np.int32), "other_doc_id": others})
 
 
-def _compare(batches):
-    """Neighbours of a sorted partition; holds one group and one batch at a time."""
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if t.num_rows == 0:
-            continue
-        gram = t.column("gram").to_numpy()
-        changes = np.flatnonzero(gram[1:] != gram[:-1])
-        cut = int(changes[-1]) + 1 if len(changes) else 0
-        if cut:
-            yield from _matches(t.slice(0, cut).combine_chunks()).to_batches()
-        rest = t.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield from _matches(rest.combine_chunks()).to_batches()
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and text_key, the hash that tells the texts of a repeated doc_id apart."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -286,18 +205,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     own = keyed(docs).where("doc_id is not null and text is not null")
     classes = materialize(own.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.expr(WORD_COUNT)).alias("words")), "texts")
-    grams = materialize(suffixes(own).groupBy("gram", "text_key", "pos").agg(F.min("doc_id").alias("doc_id")), "grams")
-    # a table of its own, so that the join below reads two plain shuffles and AQE can split a hot gram
-    stats = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "shared")
+    grams = materialize(suffixes(own).groupBy("gram", "text_key", "pos").agg(F.min("doc_id").alias("doc_id"), F.min("low").alias("low"), F.max("high").alias("high")), "grams")
+    stats = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("gram", "n"), "shared")
     marks = (
-        grams.join(stats.select("gram", (F.col("n") > HOT).alias("hot")), "gram")
+        spread_join(grams, stats.select("gram"), "gram", "text_key", frequent(stats, "gram")[0])
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("marks"))
+        .agg(F.collect_list(F.struct("gram", "pos", "low", "high")).alias("marks"))
     )
-    found = own.join(marks.hint("merge"), ["doc_id", "text_key"])
-    spans = contexts(found).repartition("gram").sortWithinPartitions("gram", "right", "doc_id", "pos").mapInArrow(trimmed(_compare), SPAN)
-    if not stats.where(F.col("n") > HOT).isEmpty():
-        spans = spans.unionByName(hot_spans(found))
+    around = materialize(contexts(own.join(marks.hint("merge"), ["doc_id", "text_key"])), "around")
+    discard(grams)
+    order = ["gram", "right", "doc_id", "pos"]
+    compared = materialize(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(_compare), COMPARED), "compared")
+    discard(around)
+    open_ = compared.where("window is not null")
+    least = materialize(open_.groupBy("window").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("other < last").select("window", "other", "n"), "windows")
+    checked = spread_join(open_, least.drop("n"), "window", "text_key", frequent(least, "window")[0]).where("other < doc_id").select("doc_id", "text_key", "start", "end", F.col("other").alias("other_doc_id"))
+    spans = compared.where("window is null").drop("window").unionByName(checked)
     copies = (
         own.select("doc_id", "text_key")
         .join(classes.where("last > first").select("text_key", "first", "words"), "text_key")
