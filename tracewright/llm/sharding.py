@@ -1,20 +1,23 @@
 """Minimax contiguous partition of documents into shards of near equal bytes.
 
 Equal texts form an atomic group: a shard has all of a group or none. Groups are ordered by the hash of their text, and
-CELLS ranges of that order are summed in one aggregation. Only those sums, of a fixed number whatever the input, reach the
-driver. There the smallest feasible capacity is binary-searched, each try by a greedy scan, and the order is cut within it.
+ranges of that order are summed in one aggregation. Only those sums, of a bounded number whatever the input, reach the
+driver. There the smallest feasible capacity is binary-searched, each try by a greedy scan. Ranges in which a cut may lie are then
+summed again by finer ranges, down to single groups, until the capacity is the smallest over all groups; the order is cut within it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.workspace import materialize
 
 SHARDS = 40
-#: Ranges of the hash order; a power of two. Their sums take half a MB on the driver.
-CELLS = 1 << 16
+#: Bits of the hash that the first ranges have, and that each further round adds. Some 100,000 sums are on the driver at once.
+BITS, MORE = 16, 8
 #: Rows whose slots one task counts.
 RUN = 20_000
 
@@ -59,6 +62,59 @@ def cuts(sizes: np.ndarray, shards: int) -> list[int]:
     return out
 
 
+class Ranges:
+    """Consecutive ranges of the hash order: first places, leading bits, sizes, and whether each is one group, which can't be cut."""
+
+    def __init__(self, first: np.ndarray, bits: np.ndarray, size: np.ndarray, single: np.ndarray):
+        self.first, self.bits, self.size, self.single = first, bits, size, single
+
+    def open_ranges(self, shards: int) -> tuple[int, np.ndarray]:
+        """The smallest capacity over these ranges, and which of them a cut by the smallest over all groups may lie in."""
+        upto = np.r_[0, np.cumsum(self.size)]
+        most = capacity(self.size, shards)
+        least = max(int(self.size[self.single].max(initial=0)), -(-int(upto[-1]) // shards))
+        large = ~self.single & (self.size > least // 8)
+        if large.any():  # a bound from below needs small ranges
+            return most, large
+        open_ = np.zeros(len(self.size), bool)
+        near = far = 0  # where a shard ends at the earliest, as a range, and at the latest, as a sum
+        for _ in range(shards if least < most else 0):
+            near = int(np.searchsorted(upto, upto[near] + least, "right")) - 1
+            far = min(far + most, int(upto[-1]))
+            open_[near : int(np.searchsorted(upto, far, "left"))] = True
+        return most, open_ & ~self.single
+
+    def refined(self, open_: np.ndarray, finer: Ranges) -> Ranges:
+        keep = ~open_
+        made = [np.concatenate([a[keep], b]) for a, b in ((self.first, finer.first), (self.bits, finer.bits), (self.size, finer.size), (self.single, finer.single))]
+        order = np.argsort(made[0], kind="stable")
+        return Ranges(*(x[order] for x in made))
+
+
+def _summed(sized: DataFrame, bits: int) -> Ranges:
+    """The ranges of so many leading bits of the place that have rows."""
+    found = sized.groupBy(F.shiftright("place", 64 - bits).alias("cell")).agg(F.sum("size"), F.min("place") == F.max("place")).collect()
+    first = np.array([c for c, _, _ in found], np.int64) << (64 - bits)
+    order = np.argsort(first)
+    return Ranges(first[order], np.full(len(found), bits), np.array([s for _, s, _ in found], np.int64)[order], np.array([x for _, _, x in found], bool)[order])
+
+
+def boundaries(sized: DataFrame, shards: int) -> list[int | None]:
+    """The place that each shard but the first begins with, for sized(place, size); None for a shard beyond the last group."""
+    ranges = _summed(sized, BITS)
+    while True:
+        _, open_ = ranges.open_ranges(shards)
+        if not open_.any():
+            break
+        bits = int(ranges.bits[open_].min())
+        open_ &= ranges.bits == bits
+        edge = np.flatnonzero(np.diff(np.r_[0, open_.astype(np.int8), 0]))
+        # neighbours form one stretch, so a shard has few
+        inside = [F.col("place").between(int(ranges.first[a]), int(ranges.first[b - 1]) + (1 << (64 - bits)) - 1) for a, b in edge.reshape(-1, 2).tolist()]
+        ranges = ranges.refined(open_, _summed(sized.where(reduce(lambda x, y: x | y, inside)), min(64, bits + MORE)))
+    return [int(ranges.first[s]) if s < len(ranges.first) else None for s in cuts(ranges.size, shards)[1:]]
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
@@ -71,17 +127,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.col("doc_id").cast("bigint").alias("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"),
             F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64("text"), 64 - CELLS.bit_length() + 1).cast("int").alias("cell"),
+            F.xxhash64("text").alias("place"),
         ),
         "sized",
     )
-    found = sized.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    sizes = np.zeros(CELLS, np.int64)
-    for cell, size, _ in found:
-        sizes[cell] = size
-    starts = cuts(sizes, shards)
-    shard = F.expr(f"cast(size(filter(array({','.join(map(str, starts))}), s -> s <= cell)) - 1 as int)")
-    runs = max(1, sum(r for *_, r in found) // RUN // shards)
+    starts = boundaries(sized, shards)
+    begun = [(F.col("place") >= x).cast("int") for x in starts if x is not None]
+    shard = reduce(lambda a, b: a + b, begun, F.lit(0))
+    runs = max(1, sized.count() // RUN // shards)
     placed = sized.withColumn("shard", shard).withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(runs)).cast("int"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "run").agg(F.count("*").alias("own")).select("shard", "run", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))
