@@ -1,13 +1,17 @@
 """Threshold-scaled sketches of documents, with DataFrame operations only.
 
-A sketch keeps every hash of five-word shingles below a fixed fraction of the hash range. So the sketch of a union is the union
+A sketch keeps every hash of five-word shingles below a fixed fraction of the hash range, and nothing else. So the sketch of a union is the union
 of the sketches, cut by nobody's size, and shared shares of hashes estimate likeness and containment even between a page and a book.
 The fingerprints of documents take the whole range, so that likeness and containment of short texts are right too. Under a smaller
-fraction, a text whose shingles all lie above it keeps its smallest hash, so that no text with words has an empty sketch.
+fraction, a text whose shingles all lie above it has an empty sketch, from which nothing can be said.
 """
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_right
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.llm.expressions import let
@@ -15,8 +19,8 @@ from tracewright.llm.expressions import let
 SHINGLE = 5
 #: One in so many shingle hashes is kept where a sketch is asked for without a scale; fingerprints keep all of them.
 SCALE, WHOLE = 8, 1
-#: Documents that a block is meant to have, and quantiles of doc_id that the blocks start from.
-BLOCK, QUANTILES = 2_000, 256
+#: Documents that a block is meant to have, quantiles of doc_id that the blocks start from, and text bytes that a task is meant to have.
+BLOCK, QUANTILES, TASK = 2_000, 256, 1 << 23
 #: Blocks at most, however many documents: their first keys are broadcast, 3 MB then.
 BLOCKS = 100_000
 
@@ -35,18 +39,12 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
         long = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
         return F.when(F.size(h) >= SHINGLE, long).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.coalesce(let(let(hashes, of), lambda s: _kept(s, scale)), F.array().cast("array<bigint>"))
-
-
-def _kept(s: Column, scale: int) -> Column:
-    if scale == WHOLE:
-        return F.sort_array(F.array_distinct(s))
-    return let(F.sort_array(F.array_distinct(under(s, scale))), lambda low: F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s))
+    return F.coalesce(F.sort_array(F.array_distinct(under(let(hashes, of), scale))), F.array().cast("array<bigint>"))
 
 
-def merged(sketches: Column, scale: int = SCALE) -> Column:
-    """The sketch of the union of documents from an array of their sketches."""
-    return let(F.flatten(sketches), lambda s: _kept(s, scale))
+def merged(sketches: Column) -> Column:
+    """The sketch of the union of documents from an array of their sketches of one scale."""
+    return F.sort_array(F.array_distinct(F.flatten(sketches)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -55,8 +53,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Estimated share of a's shingles that b has, over hashes in the fraction; of an empty a 1, of an a without such hashes null, as nothing is known."""
-    return let(under(a, scale), lambda low: F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(low) > 0, F.size(F.array_intersect(low, b)) / F.size(low)))
+    """Estimated share of a's shingles that b has; of an empty sketch null, as nothing is known, or 1 if sketches are of the whole range and so a has no shingle."""
+    return let(F.size(a), lambda n: F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(F.lit(1.0 if scale == WHOLE else None).cast("double")))
 
 
 def printed(s: Column) -> Column:
@@ -65,38 +63,47 @@ def printed(s: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(key, text, ...) with next, the struct of text and whole sketch of the row after it in the order of (key, text); after the last comes the first.
+    """docs(key, text, ...) with next, the struct of text and whole sketch of the row after it in the order of key, the text's hash and the text; after the last comes the first.
 
-    Rows are dealt into ranges of key. Ranges start from quantiles, each divided evenly, and the first row of
-    each range is also dealt to the range before it. So texts cross the network once, and no task orders more than a range.
+    Rows are dealt into ranges of that order. Ranges of key start from quantiles; a key that several quantiles fall on is a range
+    of its own, divided by the texts' hashes, and any other range is divided by key, so that a key of very many rows is many blocks too. The first row of
+    each block is also dealt to the block before it. So texts cross the network once, and no task orders more than a block.
     """
-    rows, low, high, marks = docs.agg(F.count("*"), F.min("key"), F.max("key"), F.percentile_approx("key", [i / QUANTILES for i in range(1, QUANTILES)], F.lit(10_000))).first()
-    marks = sorted({m for m in marks or [] if m > low}) if rows else []
-    low, high = (low, high) if rows else (0, 0)
-    parts = max(1, -(-min(rows, BLOCK * BLOCKS) // (BLOCK * (len(marks) + 1))))
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    rows, size, low, high, marks = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.min("key"), F.max("key"), F.percentile_approx("key", [i / QUANTILES for i in range(1, QUANTILES)], F.lit(10_000))).first()
+    rows, low, high, marks = (rows, low, high, marks or []) if rows else (0, 0, 0, [])
+    hot = {m for m, n in Counter(marks).items() if n > 1}
+    starts = sorted({low, *marks, *(m + 1 for m in hot if m < high)})
+    share = Counter(starts[bisect_right(starts, m) - 1] for m in marks)
+    per = -(-min(rows, BLOCK * BLOCKS) // (BLOCK * QUANTILES))  # blocks that a quantile's rows make
+    parts = [per * max(1, share[s]) for s in starts]
+    ends = [*starts[1:], min(high + 1, (1 << 63) - 1)]
     array = lambda xs: F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in xs)})")
-    coarse = F.size(F.filter(array(marks or [high + 1]), lambda m: m <= F.col("key")))
-    lows, highs = array([low, *marks]), array([*marks, high + 1] if high < (1 << 63) - 1 else [*marks, high])
-    share = (F.col("key").cast("double") - F.get(lows, coarse)) / F.greatest(F.lit(1.0), F.get(highs, coarse).cast("double") - F.get(lows, coarse))
-    block = (coarse * parts + F.least(F.floor(share * parts), F.lit(parts - 1))).cast("int")
-    dealt = docs.withColumn("block", block)
-    firsts = dealt.groupBy("block").agg(F.min("key").alias("key"))
+    coarse = F.size(F.filter(array(starts), lambda m: m <= F.col("key"))) - 1
+    start, end = F.get(array(starts), F.col("_c")).cast("double"), F.get(array(ends), F.col("_c")).cast("double")
+    by_key = (F.col("key").cast("double") - start) / F.greatest(F.lit(1.0), end - start)
+    by_text = F.col("_h").cast("double") / 2.0**64 + 0.5
+    place = F.when(F.get(array([int(s in hot) for s in starts]), F.col("_c")) == 1, by_text).otherwise(by_key) * F.get(array(parts), F.col("_c"))
+    before = F.get(array([0, *itertools.accumulate(parts)]), F.col("_c"))
+    block = (before + F.least(F.floor(place), F.get(array(parts), F.col("_c")) - 1)).cast("int").alias("block")
+    dealt = docs.withColumn("_c", coarse).select("*", block).drop("_c")
+    firsts = dealt.groupBy("block").agg(F.min(F.struct("key", "_h")).alias("first"))
     order = Window.orderBy("block")
-    before = F.coalesce(F.lag("block").over(order), F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = firsts.withColumn("to", before).withColumn("wraps", F.lag("block").over(order).isNull())
-    ghost_rows = docs.join(F.broadcast(ghosts.select("key", "to", "wraps")), "key").groupBy("to", "wraps").agg(F.min(F.struct("key", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
-    ghost_rows = ghost_rows.select(F.col("to").alias("block"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"), F.col("row.key").alias("key"), F.col("row.text").alias("text"))
+    to = F.coalesce(F.lag("block").over(order), F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ghosts = firsts.select(F.col("first.key"), F.col("first._h"), to.alias("to"), F.lag("block").over(order).isNull().alias("wraps"))
+    ghost_rows = docs.join(F.broadcast(ghosts), ["key", "_h"]).groupBy("to", "wraps", "key", "_h").agg(F.min("text").alias("text"))
+    ghost_rows = ghost_rows.select(F.col("to").alias("block"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"), "key", "_h", "text")
     # sketches may be larger than texts, so they are made after the rows are dealt
-    sketched = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).repartition("block").withColumn("sketch", sketch(F.col("text"), WHOLE))
-    following = F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("ghost", "key", "text"))
-    return sketched.withColumn("next", following).where("ghost = 0").drop("ghost", "block")
+    met = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).repartition(max(1, -(-(size or 0) // TASK)), "block").withColumn("sketch", sketch(F.col("text"), WHOLE))
+    following = F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("ghost", "key", "_h", "text"))
+    return met.withColumn("next", following).where("ghost = 0").drop("ghost", "block", "_h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, contained_in_next for every row of docs.
 
     The edited text ends in the first floor(n_chars / 4) code points of the next document (all of it, if it has fewer) in place
-    of its own last as many. Next is the row after it by doc_id, then text, null doc_ids first; after the last comes the first. Null texts
+    of its own last as many. Next is the row after it by doc_id, then the text's hash, null doc_ids first; after the last comes the first. Null texts
     count as empty. Fingerprints are sketches of the whole range in hex, empty for texts without words; equal texts have equal ones. Other columns play no part.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
