@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.llm.memory import trimmed
@@ -29,15 +30,17 @@ FAMILIES = {
     "uralic": ["fi", "et", "hu"],
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: Anything but letters, of ASCII texts and of others: Python's own word characters include signs such as ½ and ².
+_OTHER, _OTHERS = re.compile(r"[^a-z]+"), regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str | None) -> np.ndarray | None:
     """The text's vector; None if it is null or has no letter."""
     if not text or not _LETTER.search(text):
         return None
-    b = np.frombuffer(f"  {_OTHER.sub(' ', text.lower())} ".encode(), np.uint8).astype(np.uint32)
+    words = (_OTHER if text.isascii() else _OTHERS).sub(" ", text.lower())
+    b = np.frombuffer(f"  {words} ".encode(), np.uint8).astype(np.uint32)
     code = (b[:-2] * 65536 + b[1:-1] * 256 + b[2:]) * np.uint32(2654435761)
     v = np.sqrt(np.bincount(code >> np.uint32(33 - SIZE.bit_length()), minlength=SIZE).astype(np.float32))
     return v / np.linalg.norm(v)
