@@ -25,8 +25,8 @@ from tracewright.llm.memory import trimmed
 
 #: Labelled rows that the lexicon and the score are learnt from at most, the first by a hash of doc_id.
 FIT_ROWS = 20_000
-#: Entries of the learnt lexicon at most, the heaviest by support; toxic pairs and log odds that one needs.
-ENTRIES, LEAST_TOXIC, LEAST_WEIGHT = 20_000, 3, 2.0
+#: Toxic pairs and log odds that a learnt entry needs. So the lexicon is as large as FIT_ROWS rows make it.
+LEAST_TOXIC, LEAST_WEIGHT = 3, 2.0
 PREFIXES = range(4, 11)
 THRESHOLD = 0.7
 
@@ -70,6 +70,19 @@ def entry_counts(docs: DataFrame) -> DataFrame:
     return words.select(F.explode(F.array_compact(F.array(F.concat(F.lit("="), "word"), *starts))).alias("entry"), "toxic", "other").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def uncovered(hits: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits that begin in none of the spans, by one sweep over both in order."""
+    out, spans, reach = {}, iter(sorted(spared)), -1
+    span = next(spans, None)
+    for at in sorted(hits):
+        while span and span[0] <= at:
+            reach = max(reach, span[1])
+            span = next(spans, None)
+        if at >= reach:
+            out[at] = hits[at]
+    return out
+
+
 class Model:
     """The lexicon {entry: (toxic, other)}, the base log odds and the coefficients of the score."""
 
@@ -109,8 +122,8 @@ class Model:
                 w = self.weight(toxic - own[0], max(0, other - own[1]))
                 if w > hits.get(start, 0.0):
                     hits[start] = w
-        for a, b in spared:
-            hits = {s: w for s, w in hits.items() if not a <= s < b}
+        if spared and hits:
+            hits = uncovered(hits, spared)
         return [max(hits.values(), default=0.0), math.log1p(sum(hits.values())), math.log((len(hits) + 0.5) / (len(words) + 20.0)) if hits else -8.0]
 
     def score(self, text: str | None) -> float:
@@ -148,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     base = math.log((toxic + 0.5) / (n - toxic + 1.0)) if n else -2.0
     weight = F.log((F.col("toxic") + 0.5) / (F.col("other") + 1.0)) - base
     counted = entry_counts(rows).where((F.col("toxic") >= LEAST_TOXIC) & (weight >= LEAST_WEIGHT))
-    learnt = {e: (t, o) for e, t, o in counted.orderBy((weight * F.log1p("toxic")).desc(), "entry").limit(ENTRIES).collect()}
+    learnt = {e: (t, o) for e, t, o in counted.orderBy("entry").collect()}
     for w in SEEDS:
         t, o = learnt.get(f"={w}", (0, 0))
         learnt[f"={w}"] = (t + 20, o)
