@@ -3,7 +3,8 @@
 Texts are compared by unit: each line, each paragraph of several lines, and the whole text. Dice can reach THRESHOLD only
 if the smaller set of bigrams has THRESHOLD / (2 - THRESHOLD) times the larger one's members, so a unit whose
 size suits no template is dropped, and the size bound joins each of the others with few templates. Before bigrams
-are made, units without any anchor are dropped: words of which every match has one. Templates are a fixed list, so their bigrams can be broadcast.
+are made, units without any anchor are dropped: words of which every match has one. Templates are the list below or a table that a
+user hands in, of LIMIT rows at most, so their bigrams can be broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from tracewright.llm.expressions import let
 
 #: Dice coefficient from which a unit counts as the template.
 THRESHOLD = 0.8
+#: Templates at most.
+LIMIT = 5_000
 
 # Words that most English texts have.
 COMMON = {"a", "an", "and", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "with"}
@@ -42,6 +45,11 @@ TEMPLATES = {
     "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "0bsd-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "all-rights-reserved-short": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without written permission.",
 }
@@ -52,14 +60,14 @@ def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
 
 
-def anchors(ratio: float) -> list[str]:
+def anchors(known: dict[str, str], ratio: float) -> list[str]:
     """Words of which every unit that reaches the threshold has one.
 
     Such a unit shares ratio or more of the template's bigrams, so it has one of any set of more
     than 1 - ratio of them. Each template gives its longest words until their bigrams are that many, very common ones last.
     """
     found = set()
-    for text in TEMPLATES.values():
+    for text in known.values():
         words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
         pairs = set(zip(words, words[1:], strict=False))
         left = len(pairs) - len(pairs) * (1 - ratio) - 1e-9
@@ -77,24 +85,28 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(pair)
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(license, bigram, t_size) of the fixed list: some hundred rows."""
-    known = spark.createDataFrame(sorted(TEMPLATES.items()), "license string, text string")
-    return known.select("license", let(F.split(normalised(F.col("text")), " "), bigrams).alias("b")).select("license", F.explode("b").alias("bigram"), F.size("b").alias("t_size"))
+def templates(spark: SparkSession, known: dict[str, str]) -> DataFrame:
+    """(license, bigram, t_size) of the templates: some hundred rows for each text at most."""
+    texts = spark.createDataFrame(sorted(known.items()), "license string, text string")
+    return texts.select("license", let(F.split(normalised(F.col("text")), " "), bigrams).alias("b")).select("license", F.explode("b").alias("bigram"), F.size("b").alias("t_size"))
 
 
-def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, unit, n_units, dice): for each document the templates that it holds; unit is the kind of the best unit (line, paragraph or text), n_units how many reach the threshold.
+def matches(docs: DataFrame, threshold: float = THRESHOLD, known: DataFrame | dict[str, str] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, unit, n_units, dice): for each document the templates that it holds; known are the texts by license, or a table (license, text) of LIMIT rows at most, each license once; unit is the kind of the best unit (line, paragraph or text), n_units how many reach the threshold.
 
     A text of one line is a unit of that kind only. Null and empty texts, and units of fewer than two words, hold
     none. Rows with one doc_id are scanned each and reported together. Other columns play no part.
     """
     spark = docs.sparkSession
-    table = templates(spark)
+    if isinstance(known, DataFrame):
+        known = {r["license"]: r["text"] for r in known.select("license", "text").limit(LIMIT + 1).collect()}
+    if len(known) > LIMIT:
+        raise ValueError(f"more than {LIMIT} templates")
+    table = templates(spark, known)
     smallest, largest = table.agg(F.min("t_size"), F.max("t_size")).first()
     ratio = threshold / (2 - threshold)
     least, most = smallest * ratio, largest / ratio
-    words = anchors(ratio)
+    words = anchors(known, ratio)
     anchored = lambda text: let(F.lower(text), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("body")))
     paragraphs = F.transform(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(F.trim(x), F.lit("\n"))), lambda x: F.struct(F.lit("paragraph").alias("unit"), x.alias("body")))
