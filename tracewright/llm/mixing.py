@@ -17,6 +17,8 @@ from tracewright.workspace import materialize
 
 #: Rows a bucket is meant to have.
 BUCKET = 20_000
+#: Buckets at least, so that a source of very many rows is many of them.
+BUCKETS = 256
 #: A source is passed over so often at most.
 PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -68,7 +70,7 @@ def schedule(docs: DataFrame) -> tuple[DataFrame, tuple | None]:
         "sized",
     )
     rows = sized.agg(F.count("*")).first()[0]
-    buckets = max(16, rows // BUCKET)
+    buckets = max(BUCKETS, rows // BUCKET)
     k = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("k")
     dealt = sized.select("*", k, F.pmod("h", F.lit(buckets)).alias("bucket"))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).select(k, "source_size", "target")
@@ -121,14 +123,17 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken (0 to PASSES times), in the order of virtual time.
 
-    A document without words costs no budget and is taken if its time is before the cut. Rows equal in
-    doc_id, text and source are interchangeable: their copies come back as copies of one of them.
+    A document without words costs no budget and is taken if its time is before the cut. Of rows equal in doc_id, text and
+    source, all copies taken come back as copies of the first of them in the order of all columns as JSON, so reruns agree.
     """
     timed, cut = schedule(docs)
-    taken = timed.select("h", "text_key", taken_times(cut).alias("_times")).where("size(_times) > 0").groupBy(F.col("h").alias("_h2"), F.col("text_key").alias("_text2")).agg(F.flatten(F.collect_list("_times")).alias("_times"))
-    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", text_key().alias("text_key")).withColumn("_h", shuffle_key())
-    named = keys.select("_row", "_h", F.col("text_key").alias("_text")).dropDuplicates(["_h", "_text"])
-    joined = named.join(taken, (F.col("_h") == F.col("_h2")) & (F.col("_text") == F.col("_text2")))
+    taken = timed.select("h", "text_key", taken_times(cut).alias("_times")).groupBy(F.col("h").alias("_h"), F.col("text_key").alias("_text")).agg(F.flatten(F.collect_list("_times")).alias("_times"), F.count("*").alias("_rows")).where("size(_times) > 0")
+    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", text_key().alias("text_key")).select("_row", shuffle_key().alias("_h"), F.col("text_key").alias("_text"))
+    joined = keys.join(taken.where("_rows = 1"), ["_h", "_text"]).select("_row", "_times")
+    again = taken.where("_rows > 1")
+    if not again.isEmpty():
+        one = keys.join(again, ["_h", "_text"]).groupBy("_h", "_text").agg(F.min_by("_row", F.to_json("_row")).alias("_row"), F.first("_times").alias("_times"))
+        joined = joined.unionByName(one.select("_row", "_times"))
     return joined.withColumn("_time", F.explode("_times")).repartitionByRange("_time").sortWithinPartitions("_time").select("_row.*")
 
 
@@ -139,7 +144,7 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce('t' || text, 'n')), 1, 15) AS BIGINT) AS text_key FROM documents),
-k AS (SELECT *, CAST('0x' || substr(md5(coalesce('v' || doc_id, 'n') || '|' || coalesce('v' || source, 'n') || '|' || text_key), 1, 15) AS BIGINT) AS h, greatest(16, count(*) OVER () // {BUCKET}) AS buckets FROM d),
+k AS (SELECT *, CAST('0x' || substr(md5(coalesce('v' || doc_id, 'n') || '|' || coalesce('v' || source, 'n') || '|' || text_key), 1, 15) AS BIGINT) AS h, greatest({BUCKETS}, count(*) OVER () // {BUCKET}) AS buckets FROM d),
 f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h % buckets, h, doc_id, text_key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS finish FROM k),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
 c AS (SELECT *, {PASSES} * source_size AS cap, row_number() OVER (ORDER BY {PASSES} * source_size / weight, source NULLS LAST) AS place FROM s),
