@@ -114,10 +114,18 @@ def brute_cover(rows):
     return cover
 
 
-@pytest.mark.parametrize("hot", [20_000, 7])
-def test_repeats(spark, monkeypatch, hot):
-    """Passages of 45 to 120 words in random places, copies, and runs of one word; with a small HOT most grams take the other way."""
-    monkeypatch.setattr(passages, "HOT", hot)
+def check_repeats(docs, rows):
+    want = brute_cover(rows)
+    got = {i: [False] * len(c) for i, c in want.items()}
+    for r in passages.repeats(docs).collect():
+        assert r.other_doc_id < r.doc_id and r.end - r.start >= passages.LEAST
+        got[r.doc_id][r.start : r.end] = [True] * (r.end - r.start)
+    assert got == want
+
+
+@pytest.mark.parametrize("batch", [10_000, 16])
+def test_repeats(spark, batch):
+    """Passages of 45 to 120 words in random places, copies, and runs of one word, two and three; with small batches most grams lie on both sides of a cut."""
     rng = random.Random(5)
     shared = [prose(rng, n).split() for n in (45, 49, 50, 51, 60, 120)]
     rows = []
@@ -126,18 +134,32 @@ def test_repeats(spark, monkeypatch, hot):
         for _ in range(rng.randint(0, 2)):
             at = rng.randint(0, len(w))
             w[at:at] = rng.choice(shared)
-        if i % 10 == 0:
-            w += ["same"] * rng.randint(40, 200)
+        if i % 5 == 0:
+            w += ["same"] * rng.randint(40, 200) + prose(rng, rng.randint(0, 60)).split() * (i % 2) + ["a", "b", "c"][: i % 3 + 1] * rng.randint(1, 60)
         rows.append((i, " ".join(w)))
+    tail = prose(rng, 45)
+    rows += [(70 + i, f"{prose(rng, 3)} {'run ' * (9 * i + 14)} {tail} {prose(rng, i)}") for i in range(12)]
     rows += [(100 + i, t) for i, t in rows[:5]] + [(200, ""), (201, None)]
-    want = brute_cover(rows)
-    got = {i: [False] * len(c) for i, c in want.items()}
-    for r in passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
-        assert r.other_doc_id < r.doc_id and r.end - r.start >= passages.LEAST
-        got[r.doc_id][r.start : r.end] = [True] * (r.end - r.start)
-    missed = sum(a and not b for i in want for a, b in zip(want[i], got[i]))
-    assert not any(b and not a for i in want for a, b in zip(want[i], got[i]))
-    assert missed == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_a_passage_in_a_third_of_documents(spark):
+    """Near copies of one passage, edited in places, so that many suffixes of one gram differ on either side."""
+    rng = random.Random(6)
+    base, rows = prose(rng, 150).split(), []
+    for i in range(900):
+        w = prose(rng, rng.randint(5, 60)).split()
+        if i % 3 == 0:
+            p = list(base)
+            for _ in range(rng.randint(0, 3)):
+                p[rng.randrange(len(p))] = prose(rng, 1)
+            w[2:2] = p[rng.randint(0, 40) :]
+        rows.append((i, " ".join(w)))
+    check_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), rows)
 
 
 def test_without_repeats(spark):
