@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tracewright.sources import catalog
 
@@ -145,24 +147,54 @@ def shortened(c: Column, most: int = 200) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r"[.,;: ]+$", ""), F.lit("...")))
 
 
-_HIVE = r"(?:HKEY_[A-Z_]+|HKLM|HKCU|HKCR|HKCC|HKU)"
-_QUOTED_PATH = rf"""(?i)(?<=["'])((?:{_HIVE}:?\\|\\REGISTRY\\)[^"']*)(?=["'])"""
-_NEW = rf"(?:[A-Za-z]:[\\/]|\\\\|{_HIVE}[:\\]|[-/][A-Za-z-]|[\w.$-]+\.[A-Za-z0-9]{{1,5}}(?:\s|$))"
-_BARE_PATH = rf"""(?i)(?<![\w\\"'])((?:{_HIVE}:?\\|\\REGISTRY\\)[^\s"']*(?: (?!{_NEW})[^\s"']+)*)"""
+_ROOT = re.compile(r"(?i)(hkey_[a-z_]+|hk(lm|cu|cr|cc|u))(:?\\|$)|\\registry\\")
+_WORDS = re.compile(r"""("[^"]*"|'[^']*'|[^\s"']+)(\s*)""")
+#: Programs' verbs that take a file after the path.
+_TWO_ARGUMENTS = {"save", "restore", "load", "export", "copy", "compare"}
 
 
-def command_registry_paths(c: Column) -> Column:
+def registry_paths_of(line: str | None) -> list[str]:
     """Registry paths in a command line, quoted ones first, once each; bare hives are none.
 
-    A quoted path goes up to its quote. Another goes on over a blank, unless what follows is a new root, a flag or a file's name. For commands that take a
-    second argument, such as save or copy, the last word of a path that runs to the end of the line is that argument.
+    A quoted word is a path as it stands. Another path takes the words after it too, up to one that can't belong to it: a
+    quoted word, a flag, the beginning of another path, or a file's name. After a verb with two arguments, the last word of a path that ends the line is the other argument.
     """
-    two = c.rlike(r"(?i)(?<![\w.])reg(?:\.exe)?\s+(save|restore|load|export|copy|compare)\b")
-    quoted = F.regexp_extract_all(c, F.lit(_QUOTED_PATH), F.lit(1))
-    rest = F.regexp_replace(c, r"""(["'])[^"']*\1""", "$1$1")
-    bare = F.transform(F.regexp_extract_all(rest, F.lit(_BARE_PATH), F.lit(1)), lambda p: F.when(two & F.endswith(F.rtrim(rest), p) & F.contains(p, F.lit(" ")), F.regexp_replace(p, r"\s+\S+$", "")).otherwise(p))
-    clean = F.transform(F.concat(quoted, bare), lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, rf"(?i)^({_HIVE}):", "$1"), r"[,;)]+$", ""), r"[\\ ]+$", ""))
-    return F.array_distinct(F.filter(clean, lambda p: p.rlike(r"[^\\]\\[^\\]")))
+    words = [m[1] for m in _WORDS.finditer(line or "")]
+    two = any(re.fullmatch(r"(?i)(.*[\\/])?reg(\.exe)?", a) and b.lower() in _TWO_ARGUMENTS for a, b in zip(words, words[1:], strict=False))
+    quoted, bare, i = [], [], 0
+    while i < len(words):
+        w, i = words[i], i + 1
+        if w[0] in "\"'":
+            quoted += [w[1:-1]] * bool(_ROOT.match(w[1:-1]))
+        elif _ROOT.match(w):
+            path = [w]
+            while i < len(words) and not _ends_path(words[i]):
+                path.append(words[i])
+                i += 1
+            bare.append(" ".join(path[:-1] if two and i == len(words) and len(path) > 1 else path))
+    return list(dict.fromkeys(p for p in map(_tidy, quoted + bare) if "\\" in p.strip("\\")))
+
+
+def _ends_path(word: str) -> bool:
+    flag = word[0] in "-/" and word[1:2].isalpha() or word[0] in "\"'"
+    another = _ROOT.match(word) or word.startswith("\\\\") or word[1:2] == ":" and word[2:3] in ("\\", "/")
+    stem, dot, ending = word.rpartition(".")
+    return bool(flag or another or (dot and stem and "\\" not in word and ending.isalnum() and len(ending) <= 5))
+
+
+def _tidy(path: str) -> str:
+    hive, rest = path.split("\\", 1) if "\\" in path else (path, "")
+    return f"{hive.rstrip(':')}\\{rest}".rstrip(",;)").rstrip("\\ ")
+
+
+def command_registry_paths(c: Column) -> Column:
+    """registry_paths_of each command line, as an array; none for null. Words and quotes need a scan with state, so lines go to Python in Arrow batches."""
+    return _registry_paths(c)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _registry_paths(lines: pd.Series) -> pd.Series:
+    return lines.map(registry_paths_of)
 
 
 def trusted_folder(path: Column) -> Column:

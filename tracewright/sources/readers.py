@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.functions.text import present
@@ -41,8 +43,8 @@ LABELS = {
     "DestinationPort": ["Destination Port"],
     "FilePath": ["Object Name"],
 }
-PAYLOAD = r"(?s)AgentDevice=\S+.*?EventID=\d+.*?Message="
-_LABEL = r"(?s)([A-Z][A-Za-z0-9 /]{1,40}?):\s{1,4}(.*?)(?=(?:\s{2,}[A-Z][A-Za-z0-9 /]{1,40}?:)|$)"
+#: Tags that a payload has, each at the beginning of a tab-separated part or of the text.
+TAGS = ("AgentDevice", "EventID", "Message")
 #: Rows that the payload column is chosen by, and the share of them that must look like one.
 SAMPLE, LEAST = 20, 0.6
 FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd")
@@ -73,21 +75,51 @@ def load_rows(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path)
 
 
+def looks_like_payload(c: Column) -> Column:
+    """Whether the text has all of TAGS in their order, the second with a number."""
+    at = [F.instr(c, f"{t}=") for t in TAGS]
+    return (at[0] > 0) & (at[0] < at[1]) & (at[1] < at[2]) & F.substring(c, at[1] + len(TAGS[1]) + 1, F.lit(1)).between("0", "9")
+
+
 def payload_column(df: DataFrame) -> str | None:
     """Of the first SAMPLE rows, the column that most often looks like a payload, LEAST of them at least; of equal ones the leftmost."""
     if not df.columns:
         return None
-    share = df.limit(SAMPLE).agg(*[F.avg(F.coalesce(F.col(f"`{c}`").rlike(PAYLOAD).cast("int"), F.lit(0))).alias(c) for c in df.columns]).first()
+    share = df.limit(SAMPLE).agg(*[F.avg(F.coalesce(looks_like_payload(F.col(f"`{c}`")).cast("int"), F.lit(0))).alias(c) for c in df.columns]).first()
     best = max(df.columns, key=lambda c: share[c] or 0.0)
     return best if (share[best] or 0.0) >= LEAST else None
 
 
+def _last(pairs: Column) -> Column:
+    """Pairs (k, v) without those whose k comes again."""
+    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+
+
 def tagged(payload: Column) -> Column:
-    """A map of the parts Key=value between tabs; Message takes the rest of the text."""
-    head = F.regexp_replace(payload, r"(?s)\tMessage=.*$", "")
-    pairs = F.filter(F.transform(F.split(head, "\t"), lambda p: F.struct(F.regexp_extract(p, r"(?s)([A-Za-z_][A-Za-z0-9_]*)=(.*)", 1).alias("k"), F.regexp_extract(p, r"(?s)([A-Za-z_][A-Za-z0-9_]*)=(.*)", 2).alias("v"))), lambda p: p["k"] != "")
-    first = F.filter(pairs, lambda p: p["k"] != "Message")
-    return F.map_from_entries(F.concat(F.array_distinct(first), F.array(F.struct(F.lit("Message").alias("k"), F.regexp_extract(payload, r"(?s)\tMessage=(.*)$", 1).alias("v")))))
+    """A map of the parts Key=value between tabs; Message takes the rest of the text. Of a repeated key the last value counts."""
+    at = F.instr(payload, "\tMessage=")
+    head = F.when(at > 0, F.substring(payload, F.lit(1), at - 1)).otherwise(payload)
+    message = F.when(at > 0, F.substring(payload, at + len("\tMessage="), F.length(payload))).otherwise("")
+    parts = F.transform(F.split(head, "\t"), lambda p: F.struct(F.regexp_extract(p, r"([A-Za-z_]\w*)=", 1).alias("k"), F.regexp_replace(p, r"(?s)^.*?\w=", "").alias("v")))
+    return F.map_from_entries(F.concat(_last(F.filter(parts, lambda p: ~p["k"].isin("", "Message"))), F.array(F.struct(F.lit("Message").alias("k"), message.alias("v")))))
+
+
+def message_labels(message: Column) -> Column:
+    """(k, v) of a message's labelled values: pieces between double blanks or line ends; one that begins with a label (a capital, letters, digits, blanks and slashes up
+    to 41, a colon) opens a pair, and any other goes on with the value before it. Of a repeated label the last value counts, at its first place."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    label = r"^[A-Z][A-Za-z0-9 /]{1,40}:"
+
+    def step(acc: Column, piece: Column) -> Column:
+        opened = F.struct(F.trim(F.substring_index(piece, ":", 1)).alias("k"), F.trim(F.regexp_replace(piece, "(?s)^[^:]*:", "")).alias("v"))
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["k"].alias("k"), F.trim(F.concat_ws("  ", last["v"], piece)).alias("v"))))
+        return F.when(piece.rlike(label), F.concat(acc, F.array(opened))).when(F.size(acc) > 0, longer).otherwise(acc)
+
+    pairs = F.aggregate(F.split(F.trim(message), r"\s{2,}"), none, step)
+    value = lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"]
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
+    return F.coalesce(F.transform(first, lambda p: F.struct(p["k"].alias("k"), value(p).alias("v"))), none)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame | None:
@@ -99,15 +131,23 @@ def read_export(spark: SparkSession, path: str) -> DataFrame | None:
 
 def export_rows(payloads: DataFrame) -> DataFrame:
     p = payloads.withColumn("t", tagged(F.col("payload"))).withColumn("m", F.col("t")["Message"])
-    labels = F.zip_with(F.regexp_extract_all("m", F.lit(_LABEL), F.lit(1)), F.regexp_extract_all("m", F.lit(_LABEL), F.lit(2)), lambda k, v: F.struct(F.trim(k).alias("k"), F.trim(v).alias("v")))
-    p = p.withColumn("labels", F.filter(labels, lambda x: present(x["v"]).isNotNull()))
+    p = p.withColumn("labels", F.filter(message_labels(F.col("m")), lambda x: present(x["v"]).isNotNull()))
     pick = lambda ends: F.get(F.filter("labels", lambda x: reduce(lambda a, b: a | b, [F.endswith(x["k"], F.lit(e)) for e in ends])), F.lit(0))["v"]
     seconds = F.regexp_extract(F.col("t")["TimeGenerated"], r"^(\d+)$", 1).try_cast("bigint")
     return p.select(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.col("t")["EventID"].alias("EventID"), F.col("t")["Computer"].alias("Hostname"), F.nullif(F.col("m"), F.lit("")).alias("Message"), *[pick(ends).alias(name) for name, ends in LABELS.items()])
 
 
-def canonical_columns(df: DataFrame) -> DataFrame:
-    """Columns under their fields' names; others keep letters, digits and _; of several of one name the first with a value counts."""
+def positions(df: DataFrame) -> list[Column]:
+    """Columns that order rows as they stand in the files df reads, however those are split; none if df isn't read from files as it is."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return []
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")]
+
+
+def canonical_columns(df: DataFrame, *more: Column) -> DataFrame:
+    """Columns under their fields' names; others keep letters, digits and _; of several of one name the last with a value counts."""
     of = {a: k for k, names in COLUMNS.items() for a in names}
     named: dict[str, list[str]] = {}
     for c in df.columns:
@@ -115,7 +155,7 @@ def canonical_columns(df: DataFrame) -> DataFrame:
         new = of.get(plain) or "".join(x for x in c if x.isascii() and (x.isalnum() or x == "_"))
         named.setdefault(new if new[:1].isalpha() or new[:1] == "_" else f"_{new}", []).append(c)
     blank = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
-    return df.select(*[F.coalesce(*[F.when(F.lower(blank(c)) != "nan", blank(c)) for c in cs]).alias(name) for name, cs in named.items()])
+    return df.select(*[F.coalesce(*[F.when(F.lower(blank(c)) != "nan", blank(c)) for c in reversed(cs)]).alias(name) for name, cs in named.items()], *more)
 
 
 def timestamp(c: Column) -> Column:
@@ -129,19 +169,23 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def write_index(df: DataFrame, path: str, stamp: dict) -> None:
-    """A table whose stamp is written last: without one that fits, open_index refuses the table."""
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    spark = df.sparkSession
-    n = spark.read.parquet(f"{path}/rows").count()
-    spark.createDataFrame([(json.dumps(stamp, sort_keys=True), n)], "stamp string, n bigint").coalesce(1).write.mode("overwrite").json(f"{path}/stamp")
+    """A table of its own folder, checked for its number of rows, and then a stamp that names it. Until the stamp is there open_index gives the table before it, so a build that fails harms nothing."""
+    spark, rows = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    n = df.count()
+    df.write.parquet(f"{path}/{rows}")
+    if spark.read.parquet(f"{path}/{rows}").count() != n:
+        raise ValueError(f"{path}/{rows}: not all rows were written")
+    spark.createDataFrame([(json.dumps(stamp, sort_keys=True), n, rows)], "stamp string, n bigint, rows string").select("*", F.current_timestamp().alias("written")).coalesce(1).write.mode("append").json(f"{path}/stamps")
 
 
 def open_index(spark: SparkSession, path: str, stamp: dict) -> DataFrame:
-    """The table, if its stamp and number of rows are as expected; else an error."""
-    df = spark.read.parquet(f"{path}/rows")
-    found = spark.read.schema("stamp string, n bigint").json(f"{path}/stamp").first()
-    if found is None or found["stamp"] != json.dumps(stamp, sort_keys=True) or found["n"] != df.count():
+    """The table stamped last, if its stamp and number of rows are as expected; else an error."""
+    found = spark.read.schema("stamp string, n bigint, rows string, written timestamp").json(f"{path}/stamps").orderBy(F.col("written").desc()).first()
+    if found is None or found["stamp"] != json.dumps(stamp, sort_keys=True):
         raise ValueError(f"{path}: the index isn't the one asked for")
+    df = spark.read.parquet(f"{path}/{found['rows']}")
+    if found["n"] != df.count():
+        raise ValueError(f"{path}: rows are missing")
     return df
 
 
@@ -150,3 +194,20 @@ def done_already(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return rows.join(results.where("error is null").select(key).distinct(), key, "left_anti") if "error" in results.columns else rows.join(results.select(key).distinct(), key, "left_anti")
 
 
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Results that write_results saved, with the types they had; times come back from their text."""
+    return spark.read.schema(schema).json(path)
+
+
+def index_version(spark: SparkSession, path: str) -> str:
+    """The stamp of the table stamped last; an error if there is none."""
+    found = spark.read.schema("stamp string, written timestamp").json(f"{path}/stamps").orderBy(F.col("written").desc()).first()
+    if found is None:
+        raise ValueError(f"{path}: no index")
+    return found["stamp"]
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, digest, lines) of files: the first 16 digits of sha256, and how many line ends. One file is one cell, so these are result files and not tables."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("digest"), F.size(F.split(F.decode("content", "ISO-8859-1"), "\n")).alias("n")).select("path", "digest", (F.col("n") - 1).cast("bigint").alias("lines"))
