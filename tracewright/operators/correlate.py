@@ -2,12 +2,15 @@
 
 Two rows are related if they share a non-empty field value (letter case aside) or are parent and child process, and lie
 within a window of each other; a row without time fits any. The pairwise definition is never run: rows that share a value are
-chained to their neighbour in time, which gives the same components from a sort in place of a cross product.
+chained to their neighbour in time, which gives the same components from a sort in place of a cross product. A value's rows are cut into slices of
+the window's length, chained inside each and joined at the slices' ends, so a value that very many rows share is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.operators.graph import connected_components
 
@@ -16,48 +19,100 @@ HOURS = 24
 LINEAGE = (("process_guid", "parent_process_guid"), ("process_id", "parent_process_id"))
 
 
+#: Slices that a value's rows without time are dealt into.
+UNTIMED = 64
+
+
+def _window(hours: float) -> tuple[int, Column]:
+    """The window in whole seconds, and as an interval."""
+    seconds = int(hours * 3600)
+    if seconds < 1:
+        raise ValueError("the window must be a second or more")
+    return seconds, F.expr(f"INTERVAL '{seconds}' SECOND")
+
+
+def time_slice(ts: str, seconds: int) -> Column:
+    """The number of the slice of so many seconds that a time lies in. Rows of one slice lie within the window of each other, and rows two slices apart don't."""
+    c = F.col(ts)
+    at = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.floor(at / seconds)
+
+
+def _value(c: str) -> Column:
+    return F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+
+
 def islands(rows: DataFrame, key: list[str], ts: str, order: str, hours: float = HOURS) -> DataFrame:
-    """rows with island: the number, from 1, of the run of rows of one key without a gap of more than hours. A gap of just hours stays together. Null times form no island."""
-    w = Window.partitionBy(*key).orderBy(ts, order)
-    gap = F.col(ts) - F.lag(ts).over(w) > F.expr(f"INTERVAL '{int(hours * 3600)}' SECOND")
-    return rows.where(F.col(ts).isNotNull()).withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """rows with island: the number, from 1, of the run of rows of one key without a gap of more than hours. A gap of just hours stays together. Null times form no island.
+
+    A slice lies in one island, so islands are numbered over slices, and rows only look theirs up; the order of rows within a slice (order) plays no part.
+    """
+    seconds, near = _window(hours)
+    sliced = rows.where(F.col(ts).isNotNull()).withColumn("_s", time_slice(ts, seconds))
+    ends = sliced.groupBy(*key, "_s").agg(F.min(ts).alias("_low"), F.max(ts).alias("_high"))
+    w = Window.partitionBy(*key).orderBy("_s")
+    new = F.when(F.coalesce(F.col("_low") - F.lag("_high").over(w) > near, F.lit(True)), 1).otherwise(0)
+    numbered = ends.withColumn("_new", new).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], F.col("_s").alias("_of"), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)], F.col("_s") == F.col("_of"))
+    return sliced.join(numbered, same).select(*rows.columns, "island")
 
 
 def bucket_keys(items: DataFrame, fields: list[str]) -> DataFrame:
     """(row, ts, bucket): a row for each non-empty value that a row can share."""
-    value = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
-    pairs = F.array(*[F.struct(F.lit(f).alias("k"), value(f).alias("v")) for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("k"), _value(f).alias("v")) for f in fields])
     return items.select("row", "ts", F.explode(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("b")).select("row", "ts", F.concat_ws("\u0001", "b.k", "b.v").alias("bucket")).distinct()
 
 
 def chain_edges(buckets: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(src, dst): neighbours in time of a bucket within the window; in a bucket with a row without time, all rows with that row."""
-    w = Window.partitionBy("bucket").orderBy("ts", "row")
-    near = F.expr(f"INTERVAL '{int(hours * 3600)}' SECOND")
-    timed = buckets.where("ts is not null").select("row", F.lag("row").over(w).alias("dst"), (F.col("ts") - F.lag("ts").over(w)).alias("gap")).where(F.col("gap") <= near)
-    bridges = buckets.where("ts is null").groupBy("bucket").agg(F.min("row").alias("dst"))
-    free = buckets.join(bridges, "bucket").where("row <> dst")
-    return timed.select(F.col("row").alias("src"), "dst").unionByName(free.select(F.col("row").alias("src"), "dst")).distinct()
+    """(src, dst): neighbours in time of a bucket within the window; in a bucket with a row without time, each slice with that row."""
+    seconds, near = _window(hours)
+    none = F.col("ts").isNull()
+    dealt = buckets.withColumn("_none", none).withColumn("_s", F.when(none, F.pmod(F.xxhash64("row"), F.lit(UNTIMED))).otherwise(time_slice("ts", seconds)))
+    neighbour = F.lag("row").over(Window.partitionBy("bucket", "_none", "_s").orderBy("ts", "row"))
+    inside = dealt.select(F.col("row").alias("src"), neighbour.alias("dst"))
+    ends = dealt.groupBy("bucket", "_none", "_s").agg(F.min(F.struct("ts", "row")).alias("first"), F.max(F.struct("ts", "row")).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("bucket", "_none").orderBy("_s"))
+    across = ends.where("not _none").withColumn("before", before).where(F.col("first.ts") - F.col("before.ts") <= near).select(F.col("first.row").alias("src"), F.col("before.row").alias("dst"))
+    bridge = F.min(F.when(F.col("_none"), F.col("first.row"))).over(Window.partitionBy("bucket"))
+    free = ends.select(F.col("first.row").alias("src"), bridge.alias("dst"))
+    return inside.unionByName(across).unionByName(free).where("dst is not null and src <> dst")
 
 
 def lineage_edges(items: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(src, dst) of parents and children alone.
+    """(src, dst) of parents and children alone, enough of them for the same components.
 
-    Two children of one parent id are no relatives unless the parent's row is there, so lineage can't be chained like a shared value: each
-    own id's rows are joined with the rows that name it as parent. An own id has few rows, so this join is of a foreign key's size.
+    Two children of one parent id are no relatives unless the parent's row is there, so lineage isn't chained like a shared value. Of the rows of one
+    id in order of time, as own or as parent's id, each child is tied to the nearest parent before and after it, and each parent to the nearest child: between any
+    two that are related, neighbours of unlike kind follow each other, so all are tied. Each slice also sees the nearest ends of the slices beside it. A row
+    without time is tied to one row of the other kind, and each row of the other kind to one such row.
     """
-    value = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    seconds, near = _window(hours)
     (guid, parent_guid), (pid, parent_pid) = LINEAGE
-    near = F.expr(f"INTERVAL '{int(hours * 3600)}' SECOND")
-
-    def of(own, parent, where):
-        a = items.where(where).select(F.col("row").alias("src"), F.col("ts").alias("a_ts"), value(own).alias("v"))
-        b = items.where(where).select(F.col("row").alias("dst"), F.col("ts").alias("b_ts"), value(parent).alias("v"))
-        gap = F.col("a_ts") - F.col("b_ts")
-        close = F.col("a_ts").isNull() | F.col("b_ts").isNull() | gap.between(-near, near)
-        return a.where("v is not null").join(b.where("v is not null"), "v").where(close & (F.col("src") != F.col("dst"))).select("src", "dst")
 
-    return of(guid, parent_guid, F.lit(True)).unionByName(of(pid, parent_pid, value(guid).isNull())).distinct()
+    def sides(kind, own, parent, where):
+        side = lambda c, name: items.where(where).select("row", "ts", F.lit(kind).alias("kind"), _value(c).alias("v"), F.lit(name).alias("side"))
+        return side(own, "parent").unionByName(side(parent, "child"))
+
+    every = sides("guid", guid, parent_guid, F.lit(True)).unionByName(sides("pid", pid, parent_pid, _value(guid).isNull())).where("v is not null")
+    none = F.col("ts").isNull()
+    dealt = every.withColumn("_none", none).withColumn("_s", F.when(none, F.pmod(F.xxhash64("row"), F.lit(UNTIMED))).otherwise(time_slice("ts", seconds)))
+    at = lambda f, side: f(F.when(F.col("side") == side, F.struct("ts", "row", "side")))
+    ends = dealt.groupBy("kind", "v", "_none", "_s").agg(*[at(f, side).alias(f"{name}_{side}") for f, name in ((F.min, "first"), (F.max, "last")) for side in ("parent", "child")])
+    beside = F.array(*[F.struct((F.col("_s") + (1 if name == "last" else -1)).alias("_s"), F.col(f"{name}_{side}").alias("x")) for name in ("first", "last") for side in ("parent", "child")])
+    ghosts = ends.where("not _none").select("kind", "v", F.explode(beside).alias("e")).where("e.x is not null").select("kind", "v", "e._s", "e.x.*")
+    met = dealt.where("not _none").select("kind", "v", "_s", "ts", "row", "side").unionByName(ghosts)
+    w = Window.partitionBy("kind", "v", "_s").orderBy("ts", "row", "side")
+    other = lambda f, side, rows: f(F.when(F.col("side") == side, F.struct("ts", "row")), ignorenulls=True).over(rows)
+    ahead, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    nearest = F.when(F.col("side") == "child", F.array(other(F.last, "parent", ahead), other(F.first, "parent", behind))).otherwise(F.array(other(F.last, "child", ahead), other(F.first, "child", behind)))
+    timed = met.select("row", "ts", nearest.alias("o")).select("row", "ts", F.explode("o").alias("o")).where((F.col("ts") - F.col("o.ts")).between(-near, near)).select(F.col("row").alias("src"), F.col("o.row").alias("dst"))
+    # rows without time
+    row_of = lambda side, only: F.min(F.when(F.col("_none"), F.col(f"first_{side}.row")) if only else F.col(f"first_{side}.row"))
+    free = ends.groupBy("kind", "v").agg(row_of("parent", True).alias("free_parent"), row_of("child", True).alias("free_child"), row_of("parent", False).alias("parent"), row_of("child", False).alias("child")).where("free_parent is not null or free_child is not null")
+    known = ends.select("kind", "v", "_none", "_s").join(free, ["kind", "v"])
+    tied = F.when(F.col("side") == "child", F.array("free_parent", F.when(F.col("_none"), F.col("parent")))).otherwise(F.array("free_child", F.when(F.col("_none"), F.col("child"))))
+    untimed = dealt.join(known, ["kind", "v", "_none", "_s"]).select(F.col("row").alias("src"), F.explode(tied).alias("dst"))
+    return timed.unionByName(untimed).where("dst is not null and src <> dst")
 
 
 def incident_groups(items: DataFrame, fields: list[str], hours: float = HOURS, lineage: bool = True) -> DataFrame:

@@ -38,7 +38,7 @@ def incidents_by_user(spark, d):
 
 def technique_dedup(spark, d):
     t = incident.dedupe_techniques(_entries(spark, d), ["user_id"])
-    return t.select("user_id", "technique", "occurrences", F.size("rows").cast("bigint").alias("n_rows"), "first_seen", "max_score", "representative", F.array_join("evidence", "|").alias("evidence"))
+    return t.select("user_id", "technique", "occurrences", "n_rows", "first_seen", "max_score", "representative", F.array_join("evidence", "|").alias("evidence"))
 
 
 def strong_weak_split(spark, d):
@@ -79,12 +79,18 @@ def incident_primary_customer(spark, d):
 
 def rule_params(spark, d):
     hits = _islands(spark, d).select("user_id", "island", F.col("event_id").alias("row"), "ts", F.col("event_type").alias("id"), F.col("props").alias("host"), F.col("user_id").cast("string").alias("user"))
-    return incident.rule_parameters(hits, ["user_id", "island"]).withColumn("ids", F.array_join("ids", ","))
-
-
-def _components(spark, d, **window):
-    items = _events(spark, d).select(F.col("event_id").alias("row"), "ts", F.col("user_id").cast("string").alias("user"), F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("type_k"))
-    g = correlate.incident_groups(items, ["user", "type_k"], lineage=False, **window)
+    return incident.rule_parameters(hits, ["user_id", "island"]).withColumn("ids", F.array_join("ids", ",")).drop("processes", "correlate_value")
+
+
+def _components(spark, d, lineage=False, **window):
+    e = _events(spark, d)
+    items = e.select(F.col("event_id").alias("row"), "ts", F.col("user_id").cast("string").alias("user"), F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("type_k"))
+    if lineage:
+        pid = lambda of, n: F.when(F.col("event_type") == of, F.pmod("user_id", F.lit(n)).cast("string"))
+        items = e.select(F.col("event_id").alias("row"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"), F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k")).alias("process_guid"), F.when(F.col("event_type") == "view", F.get_json_object("props", "$.k")).alias("parent_process_guid"), pid("signup", 7).alias("process_id"), pid("error", 7).alias("parent_process_id"), F.lit(None).cast("string").alias("none"))
+        g = correlate.incident_groups(items, ["none"], **window)
+    else:
+        g = correlate.incident_groups(items, ["user", "type_k"], lineage=False, **window)
     return g.groupBy("incident").agg(F.count("*").alias("n"), F.max("row").alias("last_row"), F.sum("row").alias("sum_rows"))
 
 
@@ -93,6 +99,11 @@ def incident_components(spark, d):
     return _components(spark, d, hours=0.05)
 
 
+def lineage_components(spark, d):
+    """Parents and children alone, by GUID and by process id, within a minute and a half; every 97th row has no time."""
+    return _components(spark, d, lineage=True, hours=0.025)
+
+
 def incident_components_day(spark, d):
     """All relations within the operator's own window."""
     return _components(spark, d)
@@ -115,7 +126,7 @@ _SCORED = f"""WITH {_ISLANDS},
 t AS (SELECT user_id, island, event_type AS technique, max(round(value / 500, 4)) AS score FROM i GROUP BY ALL),
 c AS (SELECT t.*, m.tactic, m.phase FROM t JOIN {_PRIMARY_SQL} ON m.event_type = t.technique)"""
 
-QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, incident_components_day, ioc_distinct, reputation_lookup_quota)}
+QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, lineage_components, incident_components_day, ioc_distinct, reputation_lookup_quota)}
 ORACLE_SQL = {
     "incidents_by_user": f"""WITH {_ISLANDS}, g AS (SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS n_types, min(ts) AS first_ts, max(ts) AS last_ts, min(event_id) AS first_row FROM i GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT *, CAST(least(100, 15 * n_types + least(n, 25)) AS INTEGER) AS score FROM g)
@@ -141,6 +152,12 @@ SELECT user_id, island, ids, CASE WHEN hosts = 1 THEN 'host' ELSE 'user' END AS
 b AS (SELECT DISTINCT x.row AS a, y.row AS b FROM k x JOIN k y ON x.key = y.key AND x.row <> y.row AND y.ts BETWEEN x.ts - INTERVAL 180 SECOND AND x.ts + INTERVAL 180 SECOND),
 r(row, label) AS (SELECT DISTINCT a, a FROM b UNION SELECT b.b, r.label FROM r JOIN b ON r.row = b.a WHERE r.label < b.b),
 m AS (SELECT row, min(label) AS incident FROM r GROUP BY row)
+SELECT incident, count(*) AS n, max(row) AS last_row, CAST(sum(row) AS BIGINT) AS sum_rows FROM m GROUP BY incident""",
+    "lineage_components": """WITH RECURSIVE e AS (SELECT event_id AS row, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts, event_type, json_extract_string(props, '$.k') AS k, user_id % 7 AS pid FROM events),
+x AS (SELECT p.row AS a, c.row AS b, p.ts AS s, c.ts AS t FROM e p JOIN e c ON p.event_type = 'click' AND c.event_type = 'view' AND p.k = c.k UNION ALL SELECT p.row, c.row, p.ts, c.ts FROM e p JOIN e c ON p.event_type = 'signup' AND c.event_type = 'error' AND p.pid = c.pid),
+l AS (SELECT a, b FROM x WHERE s IS NULL OR t IS NULL OR abs(epoch_us(s) - epoch_us(t)) <= 90000000), b AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(row, label) AS (SELECT DISTINCT a, a FROM b UNION SELECT b.b, r.label FROM r JOIN b ON r.row = b.a WHERE r.label < b.b),
+m AS (SELECT row, min(label) AS incident FROM r GROUP BY row)
 SELECT incident, count(*) AS n, max(row) AS last_row, CAST(sum(row) AS BIGINT) AS sum_rows FROM m GROUP BY incident""",
     "ioc_distinct": "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS value FROM pages), c AS (SELECT *, lower(value) AS l FROM h WHERE value <> '') SELECT 'host' AS kind, arg_min(value, page_id) AS value, count(*) AS n FROM c GROUP BY l",
     "reputation_lookup_quota": "WITH h AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, page_id FROM pages) SELECT host, min(page_id) AS first_page FROM h WHERE host <> '' GROUP BY host ORDER BY first_page, host LIMIT 10",
