@@ -2,43 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions import logparse
+from tracewright.functions.text import basename, norm_key, present
 from tracewright.operators import correlate, incident, normalise, report, rules
 from tracewright.operators.batch import numbered
-from tracewright.sources.readers import canonical_columns, timestamp
+from tracewright.sources import catalog
+from tracewright.sources.readers import canonical_columns, positions, timestamp
 from tracewright.workspace import materialize
 
 # Fields that relate rows; and the tactic names of the rules' ids.
 SHARED = ["Hostname", "SubjectUserName", "SourceIp", "DestinationIp", "LogonId", "SessionId", "ServiceName", "FilePath"]
 TACTIC_NAMES = {"TA0001": "Initial Access", "TA0002": "Execution", "TA0003": "Persistence", "TA0004": "Privilege Escalation", "TA0005": "Stealth", "TA0006": "Credential Access", "TA0007": "Discovery", "TA0008": "Lateral Movement", "TA0009": "Collection", "TA0010": "Exfiltration", "TA0011": "Command And Control", "TA0040": "Impact", "TA0112": "Defense Impairment"}
+#: Indicators that an incident lists, the first seen.
+INDICATORS = 500
 #: A rule has no score of its own; its level stands for one.
 LEVEL_SCORES = {"high": 0.9, "medium": 0.6, "low": 0.3, "insufficient": 0.1}
 
 
 def items(table: DataFrame) -> DataFrame:
-    """(row, ts, raw, the fields that relate rows): rows numbered in the order of the table, under their fields' names, and as key=value text."""
-    named = canonical_columns(table)
-    order = numbered(named.withColumn("_order", F.monotonically_increasing_id()), "_order").withColumnRenamed("index", "row").drop("_order")
-    columns = [c for c in order.columns if c != "row"]
-    raw = logparse.serialised(order, {c: c for c in columns if c != "CommandLine"} | ({"CommandLine": "CommandLine"} if "CommandLine" in columns else {}))
+    """(row, ts, raw, fields, the fields that relate rows): rows under their fields' names, as key=value text and as a map.
+
+    Rows are numbered as they stand in the table's files, whatever the splits; those of other tables by time and then by text, where rows of equal text are interchangeable.
+    """
+    place = positions(table)
+    named = canonical_columns(table, *place)
+    columns = [c for c in named.columns if c not in ("CommandLine", "_file", "_block", "_place")] + (["CommandLine"] if "CommandLine" in named.columns else [])
     field = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
+    ts = timestamp(field("Timestamp")).cast("timestamp_ntz")
+    order = numbered(named.withColumns({"_ts": ts, "_raw": logparse.serialised(named, {c: c for c in columns})}), ["_file", "_block", "_place"] if place else ["_ts", "_raw"])
     lineage = {"process_guid": "ProcessGuid", "parent_process_guid": "ParentProcessGuid", "process_id": "ProcessId", "parent_process_id": "ParentProcessId"}
-    return order.select(F.col("row").cast("bigint").alias("row"), timestamp(field("Timestamp")).cast("timestamp_ntz").alias("ts"), raw.alias("raw"), *[field(c).alias(c) for c in SHARED], *[field(c).alias(new) for new, c in lineage.items()])
+    return order.select(F.col("index").cast("bigint").alias("row"), F.col("_ts").alias("ts"), F.col("_raw").alias("raw"), column_fields(columns).alias("fields"), *[field(c).alias(c) for c in SHARED], *[field(c).alias(new) for new, c in lineage.items()])
+
+
+def column_fields(columns: list[str]) -> Column:
+    """The field map of a row whose columns are fields already, as parsing its key=value text (_raw) would give it: canonical and older names, names from paths, and Message with the text."""
+    of = {re.sub(r"[\s_]+", "", a).lower(): k for k, names in catalog.FIELDS.items() for a in [k, *names]}
+    value = {}
+    for c in columns:
+        value.setdefault(of.get(re.sub(r"[\s_]+", "", c).lower(), f"unknown.{c}"), F.nullif(F.trim(F.col(c)), F.lit("")))
+    for name, path in catalog.DERIVED.items():
+        if path in value:
+            value[name] = F.coalesce(value[name], basename(present(value[path]))) if name in value else basename(present(value[path]))
+    named = {**value, **{catalog.LEGACY[k]: v for k, v in value.items() if k in catalog.LEGACY}}
+    nested = [logparse.pairs(v, logparse.log_format(v)) for k, v in value.items() if k in catalog.NESTED]
+    named.pop("Message", None)
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in named.items()]), lambda e: e["value"].isNotNull())
+    if nested:  # a log within the log fills what the columns leave open
+        known = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+        inner = F.transform(nested[0], lambda p: F.struct(F.coalesce(known[norm_key(p["key"])], F.concat(F.lit("unknown."), p["key"])).alias("key"), p["value"].alias("value")))
+        older = F.create_map(*[F.lit(x) for kv in catalog.LEGACY.items() for x in kv])
+        both = F.concat(inner, F.filter(F.transform(inner, lambda p: F.struct(older[p["key"]].alias("key"), p["value"].alias("value"))), lambda p: p["key"].isNotNull()))
+        fresh = F.filter(both, lambda p, i: (p["key"] != "Message") & ~F.exists(F.slice(both, F.lit(1), i), lambda q: q["key"] == p["key"]) & ~F.exists(entries, lambda e: e["key"] == p["key"]))
+        entries = F.concat(entries, fresh)
+    return F.map_from_entries(F.concat(entries, F.array(F.struct(F.lit("Message").alias("key"), F.coalesce("_raw", F.lit("")).alias("value")))))
 
 
 def entries(rows: DataFrame, catalogue: list[rules.Rule]) -> DataFrame:
-    """(row, technique, level, score, tactics, evidence, host, account) for each row and technique whose rule matches it; rules that need several rows need them among all."""
-    events = rows.select(F.col("row").alias("event_id"), "raw")
-    maps = materialize(logparse.rule_rows(events, logparse.parse_fields(events)).withColumnRenamed("event_id", "row"), "rows")
+    """(row, technique, level, score, tactics, evidence) for each of rows(row, fields) and technique whose rule matches it; rules that need several rows need them among all."""
     table = F.broadcast(rules.rule_table(rows.sparkSession, catalogue))
-    found = materialize(rules.hits(maps, catalogue).join(table, "rule").where(rules.evidence_allowed(F.col("technique"), F.col("polarity"))), "hits")
+    number = rules.event_number(F.col("fields"))
+    hit = rules.hits(rows.select("row", "fields"), catalogue).join(table, "rule").where(rules.evidence_allowed(F.col("technique"), F.col("polarity")))
+    found = materialize(hit.select("row", "rule", "technique", "rank", "level", "tactic", "min_events"), "hits")
     enough = found.groupBy("rule", "min_events").agg(F.count_distinct("row").alias("n")).where("n >= min_events").select("rule")
     names = F.create_map(*[F.lit(x) for kv in TACTIC_NAMES.items() for x in kv])
-    best = found.join(enough, "rule").groupBy("row", "technique").agg(F.min(F.struct("rank", "level")).alias("b"), F.array_sort(F.collect_set(F.coalesce(names[F.col("tactic")], F.col("tactic")))).alias("tactics"))
+    best = found.join(F.broadcast(enough), "rule").groupBy("row", "technique").agg(F.min(F.struct("rank", "level")).alias("b"), F.array_sort(F.collect_set(F.coalesce(names[F.col("tactic")], F.col("tactic")))).alias("tactics"))
     scores = F.create_map(*[F.lit(x) for kv in LEVEL_SCORES.items() for x in kv])
-    told = normalise.normalised(maps).select("row", "action")
+    told = rows.select("row", normalise.action(number, F.col("fields")).alias("action"))
     return best.join(told, "row").select("row", "technique", F.col("b.level").alias("level"), scores[F.col("b.level")].alias("score"), "tactics", F.array_compact(F.array("action")).alias("evidence"))
 
 
@@ -49,24 +82,28 @@ def incidents(table: DataFrame, catalogue: list[rules.Rule] | None = None, hours
     """
     rows = materialize(items(table), "items")
     member = materialize(correlate.incident_groups(rows, SHARED, hours), "members")
-    inside = rows.join(member, "row")
-    found = materialize(entries(rows, catalogue or rules.catalogue()).join(inside.select("row", "ts", "incident"), "row").withColumn("ord", F.col("row")), "found")
+    inside = rows.select("row", "ts", *SHARED).join(member, "row")
+    found = materialize(entries(rows, catalogue or rules.catalogue()).join(member, "row").join(rows.select("row", "ts"), "row").withColumn("ord", F.col("row")), "found")
     by = ["incident"]
-    tactics = found.groupBy("incident", "technique").agg(F.array_distinct(F.flatten(F.collect_list("tactics"))).alias("tactics"))
+    tactics = found.groupBy("incident", "technique").agg(F.array_distinct(F.flatten(F.collect_set("tactics"))).alias("tactics"))
     techniques = materialize(incident.dedupe_techniques(found, by).join(tactics, ["incident", "technique"]).withColumn("strong", incident.is_strong(F.col("level"), F.col("max_score"))), "techniques")
     strong = techniques.where("strong").withColumn("score", F.col("max_score"))
     chain = report.chain_line(incident.attack_chain(strong, by), by)
     risk = incident.risk_scores(strong, by)
     names = techniques.groupBy("incident").agg(F.array_sort(F.collect_list(F.when(F.col("strong"), F.col("technique")))).alias("techniques"), F.array_sort(F.collect_list(F.when(~F.col("strong"), F.col("technique")))).alias("weak"))
-    span = inside.groupBy("incident").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in [("host", "Hostname"), ("account", "SubjectUserName"), ("ip", "SourceIp"), ("ip", "DestinationIp"), ("file", "FilePath"), ("service", "ServiceName")]])
-    seen = incident.distinct_indicators(inside.select("incident", F.col("row").alias("ord"), F.explode(kinds).alias("x")).select("incident", "ord", "x.*"), by)
-    indicators = seen.groupBy("incident").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "value"))).alias("indicators"))
-    host = incident.most_common(inside, by, "Hostname", "row").select("incident", F.col("Hostname").alias("host"))
-    account = incident.most_common(inside, by, "SubjectUserName", "row").select("incident", F.col("SubjectUserName").alias("account"))
+    # one count of values serves the indicators and the most common host and account
+    values = inside.select("incident", "row", F.explode(F.filter(kinds, lambda x: F.trim(x["value"]) != "")).alias("x")).groupBy("incident", "x.kind", "x.value").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    values = materialize(values, "values")
+    seen = values.groupBy("incident", "kind", F.lower("value")).agg(F.min(F.struct("first", "value")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("incident").orderBy("f", "kind"))
+    listed = seen.withColumn("_n", place).where(F.col("_n") <= INDICATORS).groupBy("incident").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "f.value"))).alias("indicators"))
+    most = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("n", (-F.col("first")).alias("o"), "value")))["value"]
+    common = values.groupBy("incident").agg(most("host").alias("host"), most("account").alias("account"), F.count("*").alias("n_values"))
+    span = inside.groupBy("incident").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     out = span
-    for part in (risk, chain, names, indicators, host, account):
+    for part in (risk, chain, names, listed, common.drop("n_values")):
         out = out.join(part, "incident", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"score": F.coalesce("score", F.lit(0)), "severity": F.coalesce("severity", F.lit("Low")), "phases": F.coalesce("phases", F.lit(0).cast("bigint")), "techniques": F.coalesce("techniques", none), "weak": F.coalesce("weak", none), "indicators": F.coalesce("indicators", none)}).drop("n_techniques")
-    return out.join(report.markdown(out), "incident")
+    return out.withColumn("report", report.markdown_text())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The order of the kill chain's phases.
@@ -13,19 +15,24 @@ STRONG = ["high", "medium"]
 STRONG_SCORE = 0.5
 
 
+def technique_rows(entries: DataFrame, by: list[str]) -> DataFrame:
+    """(by, technique, row) once each: the rows of every technique as a table, as one cell could not hold them."""
+    return entries.where("technique is not null and technique <> ''").select(*by, "technique", "row").distinct()
+
+
 def dedupe_techniques(entries: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each of by and technique: occurrences, distinct rows, first time, best score and its representative (of equal scores the first), and the first EVIDENCE distinct quotes in order.
+    """One row for each of by and technique: occurrences, number of distinct rows, first time, best score and its representative (of equal scores the first), and the first EVIDENCE distinct quotes in order.
 
-    entries: by, technique, row, ord (order within), ts, score, level, evidence ARRAY<STRING>. Entries without technique are left out; a null score counts as 0.
+    entries: by, technique, row, ord (order within), ts, score, level, evidence ARRAY<STRING>. Entries without technique are left out; a null score counts as 0. technique_rows() has the rows.
     """
     key = [*by, "technique"]
     e = entries.where("technique is not null and technique <> ''").withColumn("score", F.coalesce("score", F.lit(0.0)))
     best = F.max(F.struct("score", (-F.col("ord")).alias("o"), "row", "level")).alias("best")
-    main = e.groupBy(*key).agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("row")).alias("rows"), F.min("ts").alias("first_seen"), best)
+    main = e.groupBy(*key, "row").agg(F.count("*").alias("n"), F.min("ts").alias("ts"), best).groupBy(*key).agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_rows"), F.min("ts").alias("first_seen"), F.max("best").alias("best"))
     quotes = e.select(*key, "ord", F.posexplode("evidence").alias("p", "quote")).groupBy(*key, "quote").agg(F.min(F.struct("ord", "p")).alias("at"))
     first = quotes.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).where(F.col("n") <= EVIDENCE)
     evidence = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "quote"))), lambda q: q["quote"]).alias("evidence"))
-    return main.join(evidence, key, "left").select(*key, "occurrences", "rows", "first_seen", F.col("best.score").alias("max_score"), F.col("best.level").alias("level"), F.col("best.row").alias("representative"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+    return main.join(evidence, key, "left").select(*key, "occurrences", "n_rows", "first_seen", F.col("best.score").alias("max_score"), F.col("best.level").alias("level"), F.col("best.row").alias("representative"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
 def is_strong(level: Column, score: Column) -> Column:
@@ -87,11 +94,56 @@ def distinct_indicators(indicators: DataFrame, by: list[str]) -> DataFrame:
     return clean.groupBy(*by, "kind", "_l").agg(first, F.count("*").alias("n")).select(*by, "kind", F.col("f.value").alias("value"), "n")
 
 
+# Ids and words that put a row into a category of indicators.
+CATEGORY_IDS = {"process": ["1", "4688"], "network": ["3", "5156"], "service": ["7045", "4697"], "user": ["4720"], "registry": ["12", "13", "14", "4657"], "credential": ["10"]}
+DOWNLOADS = ["downloadfile", "downloadstring", "invoke-webrequest", "iwr ", "certutil -urlcache", "certutil.exe -urlcache", "bitsadmin", "wget ", "curl "]
+CREDENTIALS = ["lsass", "mimikatz", "sekurlsa"]
+
+
+def indicator_rows(rows: DataFrame) -> DataFrame:
+    """(row, category, detail), a row each category that a row of rows(row, event_id, process, command_line, source_ip, destination_ip, service, file_path, target_image, target_object, target_user) shows.
+
+    Categories: process, network, download, service, user, registry, credential. detail is what the category is about, null if the row doesn't name it.
+    """
+    some = lambda c, words: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(w)) for w in words])
+    of = lambda kind: F.coalesce(F.col("event_id").isin(CATEGORY_IDS[kind]), F.lit(False))
+    there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    kinds = [
+        ("process", of("process") | there("process"), F.col("process")),
+        ("network", of("network") | there("source_ip") | there("destination_ip"), F.concat_ws(" -> ", "source_ip", "destination_ip")),
+        ("download", some(F.col("command_line"), DOWNLOADS), F.col("file_path")),
+        ("service", of("service") | there("service"), F.col("service")),
+        ("user", of("user"), F.col("target_user")),
+        ("registry", of("registry") | there("target_object"), F.col("target_object")),
+        ("credential", of("credential") | some(F.col("target_image"), ["lsass"]) | some(F.col("command_line"), CREDENTIALS) | some(F.col("process"), CREDENTIALS), F.coalesce("target_image", "process")),
+    ]
+    shown = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("category"), d.cast("string").alias("detail"))) for k, c, d in kinds]))
+    return rows.select("row", F.explode(shown).alias("x")).select("row", "x.*")
+
+
+def risk_parts(techniques: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tactics, high_risk, coverage, bonus, volume, confidence, n_techniques): the parts that risk_scores adds, from the same strong techniques, with the tactics behind them in order."""
+    chain = techniques.withColumn("tactic", primary_tactic(F.col("tactics")))
+    rank = F.struct(tactic_rank(F.col("tactic")).alias("r"), F.col("tactic").alias("t"))
+    names = lambda c: F.transform(F.array_sort(F.collect_set(c)), lambda x: x["t"])
+    g = chain.groupBy(*by).agg(names(rank).alias("tactics"), names(F.when(F.col("tactic").isin(HIGH_RISK), rank)).alias("high_risk"), F.count("*").alias("n_techniques"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    return g.select(*by, "tactics", "high_risk", F.round(30.0 * F.size("tactics") / len(TACTICS), 2).alias("coverage"), F.least(15 * F.size("high_risk"), F.lit(30)).alias("bonus"), F.least(3 * F.col("n_techniques"), F.lit(20)).cast("int").alias("volume"), F.round(20 * F.col("mean"), 2).alias("confidence"), "n_techniques")
+
+
+def rebuilt(saved: DataFrame, by: list[str]) -> DataFrame:
+    """(by, strong, weak, phases, score, severity) made anew from saved techniques (by, technique, tactics, level, max_score), as after a change of the rules of presentation."""
+    t = saved.withColumn("_strong", is_strong(F.col("level"), F.col("max_score"))).withColumn("score", F.col("max_score"))
+    counts = t.groupBy(*by).agg(F.count_if("_strong").alias("strong"), F.count_if(~F.col("_strong")).alias("weak"))
+    return counts.join(risk_scores(t.where("_strong"), by).drop("n_techniques"), by, "left").select(*by, "strong", "weak", F.coalesce("phases", F.lit(0).cast("bigint")).alias("phases"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("severity", F.lit("Low")).alias("severity"))
+
+
 def rule_parameters(hits: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ids, correlate_by, window_minutes, threshold) of a detection rule from an incident's hits (by, row, ts, id, host, user); incidents of fewer than two techniques give none.
+    """(by, ids, processes, correlate_by, correlate_value, window_minutes, threshold) of a detection rule from an incident's hits (by, row, ts, id, process, host, user); incidents of fewer than two ids give none.
 
-    The correlation key is the host if all rows have one, else the user likewise. The window is one and a half of the span, from 15 minutes to a day.
+    The correlation key is the host if all rows have one, else the user likewise. The window is one and a half of the span, from 15 minutes to a day. Programs go by their names in lower case.
     """
-    g = hits.groupBy(*by).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.count_distinct("host").alias("hosts"), F.count_distinct("user").alias("users"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).alias("span"), F.count_distinct("row").alias("n"))
+    base = F.lower(F.regexp_extract(F.col("process"), r"([^\\/]+)$", 1)) if "process" in hits.columns else F.lit(None).cast("string")
+    g = hits.withColumn("_p", F.nullif(base, F.lit(""))).groupBy(*by).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("_p")).alias("processes"), F.count_distinct("host").alias("hosts"), F.count_distinct("user").alias("users"), F.min("host").alias("host"), F.min("user").alias("user"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).alias("span"), F.count_distinct("row").alias("n"))
     window = F.greatest(F.lit(15), F.least(F.lit(1440), F.floor(F.col("span") / 60 * 1.5) + 1)).cast("int")
-    return g.where("size(ids) >= 2").select(*by, "ids", F.when(F.col("hosts") == 1, "host").when(F.col("users") == 1, "user").alias("correlate_by"), window.alias("window_minutes"), F.least("n", F.lit(3)).cast("int").alias("threshold"))
+    key = lambda a, b: F.when(F.col("hosts") == 1, a).when(F.col("users") == 1, b)
+    return g.where("size(ids) >= 2").select(*by, "ids", "processes", key(F.lit("host"), F.lit("user")).alias("correlate_by"), key(F.col("host"), F.col("user")).alias("correlate_value"), window.alias("window_minutes"), F.least("n", F.lit(3)).cast("int").alias("threshold"))

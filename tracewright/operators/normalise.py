@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.functions.text import access_class, first_present, mask_bits, mask_value, registry_path
 from tracewright.sources import catalog
 
+#: Rows that an entry of a grouped timeline lists.
+LISTED = 1_000
 # Programs that an analyst wants named.
 TOOLS = ["schtasks.exe", "powershell.exe", "cmd.exe", "wmic.exe", "regsvr32.exe", "rundll32.exe", "mshta.exe", "certutil.exe", "psexec", "mimikatz", "net.exe", "netsh", "bitsadmin", "wscript", "cscript"]
 # Signs of work on another machine.
@@ -104,18 +106,73 @@ def access(event_id: Column, fields: Column) -> Column:
     return F.struct(F.when(done & seen.isNotNull(), seen).otherwise(default).alias("access"), F.when(~done, seen).alias("requested"), source.alias("source"))
 
 
-def search_text(fields: DataFrame, raw: DataFrame) -> DataFrame:
-    """(event_id, query): layers with a blank line between: values that tell events apart and registry paths in one spelling, the action, the raw text. Blank layers are left out.
+def discriminating(fields: DataFrame, dedup: str = "identical") -> DataFrame:
+    """(event_id, ord, name, value) of the long form of parse_fields: values that tell events apart. They are of known fields but ids, no plain numbers, of four letters or more or with a blank or slash, 200 characters at most.
 
-    fields: the long form of parse_fields; raw: event_id, raw. Values are known fields but ids, no plain numbers, of four letters or more, 200 characters at most, once each.
+    dedup: none keeps all; identical keeps the first of equal values, letter case aside; contained also drops a value that another one of the event contains.
     """
     worth = F.col("in_schema") & F.col("informative") & ~F.endswith("name", F.lit(".id")) & ~F.col("value").rlike(r"^(0[xX])?[0-9A-Fa-f]+$") & ((F.length("value") >= 4) | F.col("value").rlike(r"[\s/\\]"))
-    told = fields.where(worth).select("event_id", "ord", F.substring("value", 1, 200).alias("value"))
+    told = fields.where(worth).select("event_id", "ord", "name", F.substring("value", 1, 200).alias("value"))
+    if dedup == "none":
+        return told
+    once = told.withColumn("_n", F.row_number().over(Window.partitionBy("event_id", F.lower("value")).orderBy("ord", "name"))).where("_n = 1").drop("_n")
+    if dedup == "identical":
+        return once
+    if dedup != "contained":
+        raise ValueError(dedup)
+    # an event has few fields, so they fit a cell
+    others = F.collect_list(F.lower("value")).over(Window.partitionBy("event_id"))
+    low = F.lower("value")
+    return once.withColumn("_all", others).where(~F.exists("_all", lambda o: (o != low) & F.contains(o, low))).drop("_all")
+
+
+def semantics(event_id: Column, fields: Column) -> Column:
+    """What an event is in general words: its action's verb, its access class and the data components that record it; null if nothing is known of it."""
+    verb = parts = F.lit(None).cast("string")
+    for i, (name, _, _) in ACTIONS.items():
+        verb = F.when(event_id == i, name).otherwise(verb)
+    for i, (_, _, components, _) in catalog.EVENTS.items():
+        parts = F.when(event_id == i, F.lit(" ".join(components) or None)).otherwise(parts)
+    return F.nullif(F.concat_ws(" ", verb, access(event_id, fields)["access"], parts), F.lit(""))
+
+
+def search_text(fields: DataFrame, raw: DataFrame, rows: DataFrame | None = None, dedup: str = "identical") -> DataFrame:
+    """(event_id, query): layers with a blank line between: values that tell events apart and registry paths in one spelling, what the event is in general words, the raw text. Blank layers are left out.
+
+    fields: the long form of parse_fields; raw: event_id, raw; rows: event_id, fields MAP of rule_rows, without which there is no second layer.
+    """
+    told = discriminating(fields, dedup).select("event_id", "ord", "value")
     told = told.unionByName(told.select("event_id", "ord", registry_path(F.col("value")).alias("value")).where(F.col("value").rlike(r"^HK[A-Z]{1,2}\\")))
-    once = told.withColumn("_n", F.row_number().over(Window.partitionBy("event_id", F.lower("value")).orderBy("ord", "value"))).where("_n = 1")
+    once = told.withColumn("_n", F.row_number().over(Window.partitionBy("event_id", F.lower("value")).orderBy("ord", "value"))).where("_n = 1") if dedup != "none" else told
     layer = once.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), " ").alias("told"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return raw.join(layer, "event_id", "left").select("event_id", F.concat_ws("\n\n", blank(F.col("told")), blank(F.col("raw"))).alias("query"))
+    out = raw.join(layer, "event_id", "left")
+    if rows is None:
+        return out.select("event_id", F.concat_ws("\n\n", blank(F.col("told")), blank(F.col("raw"))).alias("query"))
+    from tracewright.operators.rules import event_number
+
+    means = rows.select("event_id", semantics(event_number(F.col("fields")), F.col("fields")).alias("means"))
+    return out.join(means, "event_id", "left").select("event_id", F.concat_ws("\n\n", blank(F.col("told")), blank(F.col("means")), blank(F.col("raw"))).alias("query"))
+
+
+def enriched(raw: Column, platform_: Column, remote: Column) -> Column:
+    """A text with general terms after it: remote work and the platform. Names of techniques are never added, as finding them is the search's task."""
+    terms = F.concat_ws(", ", F.when(remote, "remote execution, lateral movement"), platform_)
+    return F.when(terms == "", raw).otherwise(F.concat(raw, F.lit("\n\nRelated terms: "), terms))
+
+
+def facts(raw: Column) -> Column:
+    """A map of every key=value pair of a text, the first of a key; of a Message, labelled values fill fields that the pairs leave open."""
+    from tracewright.functions.logparse import message_pairs, spaced_pairs
+    from tracewright.functions.text import norm_key, present
+
+    older = {re.sub(r"[\s_]+", "", a).lower(): catalog.LEGACY.get(k, a) for k, names in catalog.FIELDS.items() for a in [k, *names]}
+    name = F.create_map(*[F.lit(x) for kv in older.items() for x in kv])
+    pairs = F.coalesce(spaced_pairs(raw), F.array().cast("array<struct<key:string,value:string>>"))
+    message = F.get(F.filter(pairs, lambda p: p["key"] == "Message"), F.lit(0))["value"]
+    labelled = F.filter(F.transform(F.coalesce(message_pairs(message), F.array().cast("array<struct<key:string,value:string>>")), lambda p: F.struct(name[norm_key(p["key"])].alias("key"), present(p["value"]).alias("value"))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    both = F.concat(pairs, labelled)
+    return F.map_from_entries(F.filter(both, lambda p, i: ~F.exists(F.slice(both, F.lit(1), i), lambda q: q["key"] == p["key"])))
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -140,5 +197,10 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def grouped_timeline(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(by, sentence, n, first_ts, last_ts, rows): entries that say the same as one."""
-    return entries.groupBy(*by, "sentence").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_list("row")).alias("rows"))
+    """(by, sentence, n, first_ts, last_ts, rows): entries that say the same as one, with the first LISTED of their rows in order."""
+    key = [*by, "sentence"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("row"))
+    first = entries.select(*key, "row").withColumn("_n", place).where(F.col("_n") <= LISTED).groupBy(*key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    right = first.select(*[F.col(c).alias(f"_{c}") for c in key], "rows")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return entries.groupBy(*key).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).join(right, same).select(*key, "n", "first_ts", "last_ts", "rows")

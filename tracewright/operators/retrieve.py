@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewright.workspace import materialize
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 
@@ -13,29 +17,27 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_./:\\-]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term, id, tf), (id, len) and (term, idf) of chunks(id, text). A term in over half of the chunks gets EPSILON of the mean idf."""
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, id, tf, len) of chunks(id, text); len is the chunk's number of words. This is what a keyword index keeps: save it with readers.write_index, its number of chunks in the stamp."""
     words = chunks.select("id", tokens(F.col("text")).alias("w"))
-    lengths = words.select("id", F.size("w").alias("len"))
-    tf = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    n = lengths.count()
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return tf, lengths, idf
+    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "len")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best chunks that share a term with a query; a term that a query repeats counts again. Ties to the smaller id.
+    """(query_id, id, score, rank): the k best chunks that share a term with a query; a term that a query repeats counts again. Ties to the smaller id."""
+    return bm25_of(queries, materialize(postings(chunks), "postings"), chunks.count(), k)
 
-    Only the query's terms are looked up in the postings, by equality.
-    """
-    tf, lengths, idf = postings(chunks)
-    mean = lengths.agg(F.avg("len").alias("avg_len"))
+
+def bm25_of(queries: DataFrame, index: DataFrame, n: int, k: int) -> DataFrame:
+    """bm25 over postings of n chunks. Of the postings only the queries' terms go on, with what their chunks' scores need; a term in over half of the chunks gets EPSILON of the mean idf."""
+    df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    total = index.agg(F.sum("tf")).first()[0] or 0
+    mean = df.agg(F.avg("raw")).first()[0] or 0.0
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = terms.join(idf, "term").join(tf, "term").join(lengths, "id").crossJoin(F.broadcast(mean))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    score = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
+    asked = terms.join(df, "term").select("query_id", "term", "times", idf.alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (total / n if n else 1.0)))
+    score = asked.join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(score, k)
 
 
@@ -52,16 +54,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 5_000) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest vectors(id, v) with another id by cosine, for queries(query_id, v).
+    """(query_id, id, score, rank): the k nearest vectors(id, v) with another id by cosine, for queries(query_id, v); a vector of length 0 has a null score.
 
-    Vectors are dealt into blocks and queries go to every block, so the join is by equality of the block and neither side is broadcast. Each task keeps
-    its k best of a query before they meet.
+    Vectors are dealt into blocks and queries go to every block, so the join is by equality of the block and neither side is broadcast. Vectors are brought to length one before
+    they meet. Each task keeps its k best of a query.
     """
     blocks = max(1, -(-vectors.count() // block))
-    near = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint"))
-    far = queries.select("query_id", F.col("v").alias("q"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda c: F.when(size(F.col(c)) > 0, F.transform(F.arrays_zip(F.col(c).alias("x"), F.array_repeat(size(F.col(c)), F.size(c)).alias("n")), lambda z: z["x"].cast("double") / z["n"]))
+    near = vectors.select("id", unit("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint").alias("block"))
+    far = queries.select("query_id", unit("v").alias("q"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda i, j: i * j), F.lit(0.0), lambda s, x: s + x)
     pairs = far.join(near, "block").where("query_id <> id")
-    return ranked(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
+    return ranked(pairs.select("query_id", "id", F.round(dot, 6).alias("score")), k)
 
 
 def fuse(lists: list[DataFrame]) -> DataFrame:
@@ -121,11 +126,24 @@ def greedy_chunks(items: DataFrame, by: str, order: str, cost: str, limit: int,
     return folded.select(by, F.explode(F.arrays_zip("xs", "b")).alias("z")).select(by, F.col("z.xs.o").alias(order), F.col("z.xs.c").alias(cost), F.col("z.b").alias("bucket"))
 
 
+#: Digests that one digest of the next level covers.
+FAN = 1_000
+
+
 def content_fingerprint(chunks: DataFrame) -> DataFrame:
-    """One row: sha256 over the digests of (id, text) in the order of id, and their number.
+    """One row: n, the number of chunks(id, text), and fingerprint, the root of a tree of sha256 digests. A changed, added or removed chunk changes it; the order of rows and files doesn't.
 
-    Each chunk's digest is made where it lies; the digests of a bucket are joined before the buckets are, so no task holds the texts.
+    Each chunk's digest is made where it lies. Whole-number ids go to groups of FAN neighbours, texts to groups by their hash, and groups to groups of groups until one is left, so no task holds
+    more than some thousand digests.
     """
     line = F.sha2(F.concat_ws("\u0000", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256)
-    buckets = chunks.select(F.floor(F.col("id") / 1000).alias("b"), "id", line.alias("d")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", "d"))), lambda x: x["d"])), 256).alias("d"))
-    return buckets.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("fingerprint"))
+    numbers = chunks.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    place = F.floor(F.col("id") / FAN) if numbers else F.pmod(F.xxhash64("id"), F.lit(FAN ** max(1, math.ceil(math.log(max(2, chunks.count() / FAN), FAN)))))
+    level = chunks.select(place.alias("b"), F.col("id").alias("o"), F.lit(1).cast("bigint").alias("n"), line.alias("d"))
+    while True:
+        level = level.groupBy("b").agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"])), 256).alias("d"))
+        few = materialize(level, "digests")
+        if few.count() <= FAN:
+            break
+        level = few.select(F.floor(F.col("b") / FAN).alias("b"), F.col("b").alias("o"), "n", "d")
+    return few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("fingerprint"))

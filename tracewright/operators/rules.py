@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.text import evidence_allowed, looks_like_registry, polarity, registry_path
 from tracewright.sources import catalog
+from tracewright.workspace import materialize
 
+#: Rows that a finding lists.
+LISTED = 20
 LEVELS = ["high", "medium", "low", "insufficient"]
 
 
@@ -96,16 +99,30 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(i, r.technique, r.name, r.tactic, r.min_events, r.level, LEVELS.index(r.level)) for i, r in enumerate(rules)], "rule int, technique string, name string, tactic string, min_events int, level string, rank int")
 
 
-def findings(rows: DataFrame, rules: list[Rule], by: list[str] = (), event_id: Column | None = None) -> DataFrame:
-    """(by, technique, name, level, evidence_rows, n_rules): rules with enough rows, merged by technique; the strongest level counts. Evidence of polarity where the technique asks for it."""
+def evidence(rows: DataFrame, rules: list[Rule], by: list[str] = (), event_id: Column | None = None) -> DataFrame:
+    """(by, rule, technique, name, rank, row), a row each: rows that match a rule, where the rule has enough of them within by. Evidence of polarity where the technique asks for it."""
     found = hits(rows, rules, event_id).join(F.broadcast(rule_table(rows.sparkSession, rules)), "rule")
-    allowed = found.where(evidence_allowed(F.col("technique"), F.col("polarity")))
-    if by:
-        allowed = allowed.join(rows.select("row", *by), "row")
-    per_rule = allowed.groupBy(*by, "rule", "technique", "name", "rank", "min_events").agg(F.collect_set("row").alias("rows"))
-    enough = per_rule.where(F.size("rows") >= F.col("min_events"))
-    merged = enough.groupBy(*by, "technique").agg(F.min(F.struct("rule", "name")).alias("n"), F.min("rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("evidence_rows"), F.count("*").alias("n_rules"))
-    return merged.select(*by, "technique", F.col("n.name").alias("name"), F.get(F.array(*map(F.lit, LEVELS)), F.col("rank")).alias("level"), "evidence_rows", "n_rules")
+    allowed = found.where(evidence_allowed(F.col("technique"), F.col("polarity"))).select("row", "rule", "technique", "name", "rank", "min_events")
+    allowed = materialize(allowed.join(rows.select("row", *by), "row") if by else allowed, "hits")
+    enough = allowed.groupBy(*by, "rule", "min_events").agg(F.count_distinct("row").alias("n")).where("n >= min_events").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("rule").alias("_rule"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("rule") == F.col("_rule"))
+    return allowed.join(enough, same, "left_semi").drop("min_events")
+
+
+def findings(rows: DataFrame, rules: list[Rule], by: list[str] = (), event_id: Column | None = None) -> DataFrame:
+    """(by, technique, name, level, evidence_rows, n_rows, first_row, last_row, n_rules): rules with enough rows, merged by technique; the strongest level counts.
+
+    evidence_rows are the first LISTED rows; evidence() has them all, a row each, as one cell could not.
+    """
+    found = evidence(rows, rules, by, event_id).groupBy(*by, "technique", "row").agg(F.min(F.struct("rule", "name")).alias("n"), F.min("rank").alias("rank"), F.bit_or(F.expr("shiftleft(1L, rule)")).alias("_rules") if len(rules) <= 63 else F.collect_set("rule").alias("_rules"))
+    found = materialize(found, "found")
+    place = F.row_number().over(Window.partitionBy(*by, "technique").orderBy("row"))
+    first = found.withColumn("_n", place).where(F.col("_n") <= LISTED).groupBy(*by, "technique").agg(F.array_sort(F.collect_list("row")).alias("evidence_rows"))
+    n_rules = F.bit_count(F.bit_or("_rules")).cast("bigint") if len(rules) <= 63 else F.size(F.array_distinct(F.flatten(F.collect_set("_rules")))).cast("bigint")
+    merged = found.groupBy(*by, "technique").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.count("*").alias("n_rows"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), n_rules.alias("n_rules"))
+    right = first.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("technique").alias("_technique"), "evidence_rows")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("technique") == F.col("_technique"))
+    return merged.join(right, same).select(*by, "technique", F.col("n.name").alias("name"), F.get(F.array(*map(F.lit, LEVELS)), F.col("rank")).alias("level"), "evidence_rows", "n_rows", "first_row", "last_row", "n_rules")
 
 
 def coverage(rows: DataFrame, rules: list[Rule], event_id: Column) -> DataFrame:

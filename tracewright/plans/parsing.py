@@ -28,14 +28,14 @@ def _rows(spark, d):
 
 def rules_findings(spark, d):
     f = rules.findings(_rows(spark, d), _RULES, ["user_id"], F.col("event_type"))
-    return f.select("user_id", "technique", "level", F.size("evidence_rows").alias("n_rows"), F.array_min("evidence_rows").alias("first_row"), F.array_max("evidence_rows").alias("last_row"), "n_rules")
+    return f.select("user_id", "technique", "level", "n_rows", "first_row", "last_row", "n_rules")
 
 
 def review_findings(spark, d):
     look = [Rule("licensed", "licensed", "", (), (), ((Condition("Message", r"(?i)licen[cs]e"),), (Condition("Message", r"(?i)version\s+[23]"),)), 1, "low"), Rule("insult", "insult", "", (), (), ((Condition("Message", r"(?i)\b(idiot|moron)\b"),),), 2, "low")]
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.create_map(F.lit("Message"), F.coalesce("text", F.lit(""))).alias("fields"))
     f = rules.findings(rows, look, event_id=F.lit(None).cast("string"))
-    return f.select("technique", F.size("evidence_rows").alias("n_rows"), F.array_max("evidence_rows").alias("last_row"))
+    return f.select("technique", "n_rows", "last_row")
 
 
 def polarity_classes(spark, d):

@@ -83,10 +83,10 @@ def chunk_pack_greedy(spark, d):
 
 def chunk_stats(spark, d):
     """Count and sizes of documents by language: least, middle, ninth tenth and most, by place and not interpolated."""
-    t = _docs(spark, d).select("lang", text.estimated_tokens(F.col("text")).alias("t"))
+    t = _docs(spark, d).groupBy("lang", text.estimated_tokens(F.col("text")).alias("t")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("lang")
-    r = t.withColumn("i", F.row_number().over(w.orderBy("t")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda e: F.max(F.when(F.col("i") == F.floor(F.col("n") * e), F.col("t")))
+    r = t.withColumn("upto", F.sum("c").over(w.orderBy("t"))).withColumn("n", F.sum("c").over(w))
+    at = lambda e: F.min(F.when(F.col("upto") > F.floor(F.col("n") * e), F.col("t")))
     return r.groupBy("lang").agg(F.max("n").alias("n"), F.min("t").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("t").alias("most"))
 
 
@@ -112,6 +112,10 @@ _TOK = "regexp_extract_all(lower(text), '[a-z0-9_./:\\\\-]+')"
 _EST = "CAST(greatest(1, round_even(round(len([w FOR w IN regexp_split_to_array({0}, '\\s+') IF w <> '']) * 1.3::DOUBLE, 6), 0)) AS INTEGER)"
 QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, rrf_fusion, rrf_fusion_capped, platform_filter_fallback, minmax_support, context_pack, history_trim, token_budget, chunk_pack_greedy, chunk_stats, content_fingerprint, embedding_mrr)}
 ORACLE_SQL = {
+    "chunk_pack_greedy": f"""WITH RECURSIVE x AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+l AS (SELECT id, n, {_EST.format("line")} AS cost, row_number() OVER (PARTITION BY id ORDER BY n) AS o FROM x WHERE trim(line, ' ') <> ''),
+s(id, o, n, cost, bucket, used) AS (SELECT id, o, n, cost, 0, 10 + cost FROM l WHERE o = 1 UNION ALL SELECT l.id, l.o, l.n, l.cost, CASE WHEN s.used + l.cost > 600 AND s.used > 10 THEN s.bucket + 1 ELSE s.bucket END, CASE WHEN s.used + l.cost > 600 AND s.used > 10 THEN 10 ELSE s.used END + l.cost FROM s JOIN l ON l.id = s.id AND l.o = s.o + 1)
+SELECT id, CAST(bucket AS INTEGER) AS bucket, count(*) AS lines, CAST(sum(cost) AS BIGINT) AS cost, CAST(min(n) AS INTEGER) AS first_line FROM s GROUP BY id, bucket""",
     "bm25_topk": f"""WITH w AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), l AS (SELECT id, len(w) AS len FROM w), t AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY ALL),
 d AS (SELECT term, ln((SELECT count(*) FROM l) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM t GROUP BY term), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d) ELSE raw END AS idf FROM d),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
