@@ -58,11 +58,34 @@ def test_shards(docs):
     assert len(sizes) == 8 and max(sizes.values()) < 1.5 * min(sizes.values())
 
 
-def test_shards_are_minimax(spark, docs):
+def test_ranges_close_in_on_the_capacity():
+    """Many groups in few ranges, without Spark: the stretches looked at stay few, and the capacity is that over all groups."""
+    rng = np.random.default_rng(5)
+    for n in (3_000, 60_000):
+        place = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        size = (rng.pareto(1.2, n) * 500 + 16).astype(np.int64)
+
+        def summed(keep, bits):
+            first, at = np.unique((place[keep] >> (64 - bits)) << (64 - bits), return_index=True)
+            return sharding.Ranges(first, np.add.reduceat(size[keep], at), np.diff(np.r_[at, keep.sum()]) == 1)
+
+        ranges, bits, rounds = summed(np.ones(n, bool), 8), 8, 0
+        while (open_ := ranges.open_ranges(40)[1]).any():
+            bits, rounds = min(64, bits + 8), rounds + 1
+            edge = np.flatnonzero(np.diff(np.r_[0, open_.astype(np.int8), 0])).reshape(-1, 2)
+            assert len(edge) <= 320 and rounds <= 8
+            ends = np.r_[ranges.first[1:], np.iinfo(np.int64).max]
+            keep = np.any([(place >= ranges.first[a]) & ((place < ends[b - 1]) | (b == len(ends))) for a, b in edge], 0)
+            ranges = ranges.refined(open_, summed(keep, bits))
+        assert sharding.capacity(ranges.size, 40) == sharding.capacity(size, 40)
+
+
+def test_shards_are_minimax(spark, docs, monkeypatch):
     """The largest shard is the smallest over all groups in the order of their hashes, whatever the ranges looked at."""
     from pyspark.sql import functions as F
 
-    for n, copies in ((5, 1), (40, 60), (400, 1)):
+    for n, copies, bits in ((5, 1, 16), (40, 60, 16), (400, 1, 16), (400, 40, 4)):
+        monkeypatch.setattr(sharding, "BITS", bits)
         some = docs.where(F.col("doc_id") < n)
         some = some.unionByName(docs.where("doc_id = 3").select("*").crossJoin(spark.range(copies)).drop("id"))
         groups = some.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 16).alias("s")).orderBy("h").collect()

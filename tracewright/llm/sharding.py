@@ -63,10 +63,10 @@ def cuts(sizes: np.ndarray, shards: int) -> list[int]:
 
 
 class Ranges:
-    """Consecutive ranges of the hash order: first places, leading bits, sizes, and whether each is one group, which can't be cut."""
+    """Consecutive ranges of the hash order: first places, sizes, and whether each is one group, which can't be cut."""
 
-    def __init__(self, first: np.ndarray, bits: np.ndarray, size: np.ndarray, single: np.ndarray):
-        self.first, self.bits, self.size, self.single = first, bits, size, single
+    def __init__(self, first: np.ndarray, size: np.ndarray, single: np.ndarray):
+        self.first, self.size, self.single = first, size, single
 
     def open_ranges(self, shards: int) -> tuple[int, np.ndarray]:
         """The smallest capacity over these ranges, and which of them a cut by the smallest over all groups may lie in."""
@@ -82,11 +82,15 @@ class Ranges:
             near = int(np.searchsorted(upto, upto[near] + least, "right")) - 1
             far = min(far + most, int(upto[-1]))
             open_[near : int(np.searchsorted(upto, far, "left"))] = True
-        return most, open_ & ~self.single
+        # stretches without anything to cut are done; the others stay whole, so they are few
+        edge = np.flatnonzero(np.diff(np.r_[0, open_.astype(np.int8), 0])).reshape(-1, 2)
+        for a, b in edge.tolist():
+            open_[a:b] = not self.single[a:b].all()
+        return most, open_
 
     def refined(self, open_: np.ndarray, finer: Ranges) -> Ranges:
         keep = ~open_
-        made = [np.concatenate([a[keep], b]) for a, b in ((self.first, finer.first), (self.bits, finer.bits), (self.size, finer.size), (self.single, finer.single))]
+        made = [np.concatenate([a[keep], b]) for a, b in ((self.first, finer.first), (self.size, finer.size), (self.single, finer.single))]
         order = np.argsort(made[0], kind="stable")
         return Ranges(*(x[order] for x in made))
 
@@ -96,22 +100,21 @@ def _summed(sized: DataFrame, bits: int) -> Ranges:
     found = sized.groupBy(F.shiftright("place", 64 - bits).alias("cell")).agg(F.sum("size"), F.min("place") == F.max("place")).collect()
     first = np.array([c for c, _, _ in found], np.int64) << (64 - bits)
     order = np.argsort(first)
-    return Ranges(first[order], np.full(len(found), bits), np.array([s for _, s, _ in found], np.int64)[order], np.array([x for _, _, x in found], bool)[order])
+    return Ranges(first[order], np.array([s for _, s, _ in found], np.int64)[order], np.array([x for _, _, x in found], bool)[order])
 
 
 def boundaries(sized: DataFrame, shards: int) -> list[int | None]:
     """The place that each shard but the first begins with, for sized(place, size); None for a shard beyond the last group."""
-    ranges = _summed(sized, BITS)
+    ranges, bits = _summed(sized, BITS), BITS
     while True:
         _, open_ = ranges.open_ranges(shards)
         if not open_.any():
             break
-        bits = int(ranges.bits[open_].min())
-        open_ &= ranges.bits == bits
-        edge = np.flatnonzero(np.diff(np.r_[0, open_.astype(np.int8), 0]))
-        # neighbours form one stretch, so a shard has few
-        inside = [F.col("place").between(int(ranges.first[a]), int(ranges.first[b - 1]) + (1 << (64 - bits)) - 1) for a, b in edge.reshape(-1, 2).tolist()]
-        ranges = ranges.refined(open_, _summed(sized.where(reduce(lambda x, y: x | y, inside)), min(64, bits + MORE)))
+        bits = min(64, bits + MORE)
+        edge = np.flatnonzero(np.diff(np.r_[0, open_.astype(np.int8), 0])).reshape(-1, 2)
+        ends = np.r_[ranges.first[1:], np.iinfo(np.int64).max]
+        inside = [F.col("place").between(int(ranges.first[a]), int(ends[b - 1]) - (b < len(ends))) for a, b in edge.tolist()]
+        ranges = ranges.refined(open_, _summed(sized.where(reduce(lambda x, y: x | y, inside)), bits))
     return [int(ranges.first[s]) if s < len(ranges.first) else None for s in cuts(ranges.size, shards)[1:]]
 
 
