@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-OBJECT = "id string, type string, name string, description string, external_references array<struct<source_name:string,external_id:string,url:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, x_mitre_is_subtechnique boolean, x_mitre_platforms array<string>, x_mitre_shortname string, x_mitre_deprecated boolean, revoked boolean, relationship_type string, source_ref string, target_ref string, x_mitre_analytic_refs array<string>, x_mitre_log_source_references array<struct<x_mitre_data_component_ref:string,name:string>>"
+from tracewright.functions.text import estimated_tokens
+
+OBJECT = "id string, type string, name string, description string, external_references array<struct<source_name:string,external_id:string,url:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, x_mitre_is_subtechnique boolean, x_mitre_platforms array<string>, x_mitre_shortname string, x_mitre_deprecated boolean, revoked boolean, created string, modified string, relationship_type string, source_ref string, target_ref string, x_mitre_analytic_refs array<string>, x_mitre_log_source_references array<struct<x_mitre_data_component_ref:string,name:string>>"
 
 
 def load_bundle(spark, path: str) -> DataFrame:
@@ -27,7 +29,11 @@ def first_edge(edges: DataFrame, src: str, dst: str, order: str) -> DataFrame:
 
 
 def techniques(objects: DataFrame) -> DataFrame:
-    """(attack_id, name, is_subtechnique, parent, tactics, platforms, mitigations, users, components, revoked, revoked_by) by equal joins over the edges."""
+    """A row each technique, by equal joins over the edges: attack_id, name, is_subtechnique, parent, tactics, platforms, mitigations, users, components, revoked, revoked_by, then object_type,
+    description, groups, software, procedures (actor, actor_type, description), detection, created, modified, deprecated and source_url.
+
+    Relations of one technique fit a cell: they number some hundreds.
+    """
     o = external_id(objects.where(F.col("type") != "relationship"))
     t = o.where(F.col("type") == "attack-pattern")
     name = o.select(F.col("id").alias("_id"), F.col("attack_id").alias("_aid"), F.col("name").alias("_name"), F.col("type").alias("_type"))
@@ -42,11 +48,19 @@ def techniques(objects: DataFrame) -> DataFrame:
     strategies = objects.where(F.col("type") == "x-mitre-detection-strategy").select(F.col("id").alias("strategy"), F.explode("x_mitre_analytic_refs").alias("analytic"))
     found = related(objects, "detects").select(F.col("source_ref").alias("strategy"), F.col("target_ref").alias("id")).join(strategies, "strategy").join(analytics, "analytic").join(name, F.col("component") == F.col("_id"), "left")
     components = found.groupBy("id").agg(F.array_sort(F.collect_set(F.coalesce("_name", "fallback"))).alias("components"))
+    by_whom = related(objects, "uses").withColumnRenamed("description", "_what").join(name.where("_type in ('intrusion-set', 'malware', 'tool')"), F.col("source_ref") == F.col("_id"))
+    pick = lambda *kinds: F.array_sort(F.collect_set(F.when(F.col("_type").isin(*kinds), F.col("_name"))))
+    example = F.when(F.coalesce(F.trim("_what"), F.lit("")) != "", F.struct(F.col("_name").alias("actor"), F.col("_type").alias("actor_type"), F.trim("_what").alias("description")))
+    procedures = by_whom.groupBy(F.col("target_ref").alias("id")).agg(pick("intrusion-set").alias("groups"), pick("malware", "tool").alias("software"), F.array_sort(F.collect_list(example)).alias("procedures"))
+    texts = objects.where(F.col("type") == "x-mitre-analytic").select(F.col("id").alias("analytic"), F.nullif(F.trim("description"), F.lit("")).alias("_text"))
+    detection = related(objects, "detects").select(F.col("source_ref").alias("strategy"), F.col("target_ref").alias("id")).join(strategies, "strategy").join(texts, "analytic").where("_text is not null").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("_text")), "\n").alias("detection"))
     out = t
-    for extra in (tactics, parents, successors, mitigations, users, components):
+    for extra in (tactics, parents, successors, mitigations, users, components, procedures, detection):
         out = out.join(extra, "id", "left")
     none = F.array().cast("array<string>")
-    return out.select("attack_id", "name", F.coalesce("x_mitre_is_subtechnique", F.lit(False)).alias("is_subtechnique"), "parent", F.coalesce("tactics", none).alias("tactics"), F.coalesce("x_mitre_platforms", none).alias("platforms"), F.coalesce("mitigations", none).alias("mitigations"), F.coalesce("users", none).alias("users"), F.coalesce("components", none).alias("components"), F.coalesce("revoked", F.lit(False)).alias("revoked"), "revoked_by")
+    return out.select("attack_id", "name", F.coalesce("x_mitre_is_subtechnique", F.lit(False)).alias("is_subtechnique"), "parent", F.coalesce("tactics", none).alias("tactics"), F.coalesce("x_mitre_platforms", none).alias("platforms"), F.coalesce("mitigations", none).alias("mitigations"), F.coalesce("users", none).alias("users"), F.coalesce("components", none).alias("components"), F.coalesce("revoked", F.lit(False)).alias("revoked"), "revoked_by",
+        F.when(F.col("x_mitre_is_subtechnique"), "sub-technique").otherwise("technique").alias("object_type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("groups", none).alias("groups"), F.coalesce("software", none).alias("software"),
+        F.coalesce("procedures", F.array().cast("array<struct<actor:string,actor_type:string,description:string>>")).alias("procedures"), "detection", "created", "modified", F.coalesce("x_mitre_deprecated", F.lit(False)).alias("deprecated"), F.col("url").alias("source_url"))
 
 
 def chunks(kb: DataFrame) -> DataFrame:
@@ -55,3 +69,43 @@ def chunks(kb: DataFrame) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(k).alias("content_type"), F.concat(head, F.col(k)).alias("text")) for k in ("description", "detection")])
     full = kb.withColumns({"description": F.nullif(F.trim("description"), F.lit("")), "detection": F.nullif(F.trim("detection"), F.lit(""))})
     return full.select("attack_id", F.explode(F.filter(parts, lambda p: p["text"].isNotNull())).alias("p")).select(F.concat_ws("::", "attack_id", "p.content_type", F.lit("0")).alias("chunk_id"), "attack_id", "p.content_type", "p.text")
+
+
+def _head(kb: DataFrame) -> Column:
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("-")
+    return F.concat(F.lit("["), F.col("attack_id"), F.lit("] "), F.col("name"), F.lit(" ("), F.col("object_type"), F.lit(")\nTactics: "), listed("tactics"), F.lit("\nPlatforms: "), listed("platforms"))
+
+
+def procedure_chunks(kb: DataFrame, limit: int = 600) -> DataFrame:
+    """(chunk_id, attack_id, content_type, text): the procedures of each technique, packed in order into chunks of about limit tokens, each under the technique's head."""
+    head = _head(kb)
+    lines = kb.select("attack_id", head.alias("head"), F.posexplode("procedures").alias("n", "p")).withColumn("line", F.concat(F.lit("- "), "p.actor", F.lit(" ("), "p.actor_type", F.lit("): "), "p.description"))
+    start = lines.withColumn("cost", estimated_tokens(F.col("line"))).withColumn("start", estimated_tokens(F.col("head")))
+    folded = start.groupBy("attack_id", "head", "start").agg(F.array_sort(F.collect_list(F.struct("n", "line", "cost"))).alias("xs"))
+    # as greedy_chunks, but each technique's head has a cost of its own
+    empty = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        full = (acc["used"] > 0) & (acc["used"] + x["cost"] + F.col("start") > limit)
+        bucket = F.when(full, acc["bucket"] + 1).otherwise(acc["bucket"])
+        return F.struct(bucket.alias("bucket"), (F.when(full, F.lit(0).cast("bigint")).otherwise(acc["used"]) + x["cost"]).alias("used"), F.concat(acc["out"], F.array(bucket)).alias("out"))
+
+    dealt = folded.select("attack_id", "head", F.explode(F.arrays_zip("xs", F.aggregate("xs", empty, step, lambda a: a["out"]).alias("b"))).alias("z")).select("attack_id", "head", "z.xs.n", "z.xs.line", F.col("z.b").alias("bucket"))
+    packed = dealt.groupBy("attack_id", "head", "bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return packed.select(F.concat_ws("::", "attack_id", F.lit("procedure_example"), "bucket").alias("chunk_id"), "attack_id", F.lit("procedure_example").alias("content_type"), F.concat("head", F.lit("\nProcedures:\n"), "body").alias("text"))
+
+
+def naive_chunks(kb: DataFrame) -> DataFrame:
+    """(chunk_id, attack_id, content_type, text): one large chunk each technique, to compare with: description, mitigations, the first three procedures, detection."""
+    three = F.array_join(F.transform(F.slice("procedures", 1, 3), lambda p: F.concat(F.lit("- "), p["actor"], F.lit(": "), p["description"])), "\n")
+    parts = [_head(kb), F.lit(""), F.col("description"), F.when(F.size("mitigations") > 0, F.concat(F.lit("\nMitigations: "), F.array_join("mitigations", ", "))), F.when(F.size("procedures") > 0, F.concat(F.lit("\nProcedures:\n"), three)), F.concat(F.lit("\nDetection: "), "detection")]
+    return kb.select(F.concat(F.col("attack_id"), F.lit("::naive::0")).alias("chunk_id"), "attack_id", F.lit("naive_full").alias("content_type"), F.concat_ws("\n", *parts).alias("text"))
+
+
+def mitigation_chunks(objects: DataFrame) -> DataFrame:
+    """(chunk_id, attack_id, content_type, text): each mitigation with the techniques that it counters, in order."""
+    o = external_id(objects.where(F.col("type") != "relationship"))
+    counters = related(objects, "mitigates").join(o.select(F.col("id").alias("target_ref"), F.col("attack_id").alias("_aid")), "target_ref").groupBy(F.col("source_ref").alias("id")).agg(F.array_sort(F.collect_set("_aid")).alias("ids"))
+    m = o.where(F.col("type") == "course-of-action").join(counters, "id", "left")
+    text = F.concat(F.lit("["), "attack_id", F.lit("] "), "name", F.lit(" (mitigation)\n\n"), F.coalesce("description", F.lit("")), F.lit("\n\nTechniques: "), F.coalesce(F.array_join("ids", ", "), F.lit("-")))
+    return m.select(F.concat(F.col("attack_id"), F.lit("::mitigation::0")).alias("chunk_id"), "attack_id", F.lit("mitigation").alias("content_type"), text.alias("text"))

@@ -69,6 +69,34 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 5_000)
     return ranked(pairs.select("query_id", "id", F.round(dot, 6).alias("score")), k)
 
 
+def living(chunks: DataFrame) -> DataFrame:
+    """chunks without those of revoked and deprecated entries, before anything is ranked; a filter that reaches the scan."""
+    return chunks.where(~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("deprecated", F.lit(False)))
+
+
+#: Characters of a token: the cautious ratio, and the largest that a measured one may take.
+CHARS, MOST_CHARS = 1.9, 3.0
+
+
+def chat_tokens(text: Column, ratio: Column | None = None) -> Column:
+    """Tokens that a text may take, rather too many; ratio is a measured number of characters a token."""
+    r = F.lit(CHARS) if ratio is None else F.least(F.greatest(F.coalesce(ratio, F.lit(CHARS)), F.lit(CHARS)), F.lit(MOST_CHARS))
+    return (F.floor(F.length(F.coalesce(text, F.lit(""))) / r) + 1).cast("bigint")
+
+
+def budget_status(turns: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """(by, total, fits, overflow): whether the tokens of all turns(by, text) fit a budget."""
+    total = F.coalesce(F.sum(chat_tokens(F.col("text"))), F.lit(0))
+    return turns.groupBy(*by).agg(total.alias("total")).withColumn("fits", F.col("total") <= budget).withColumn("overflow", F.greatest(F.col("total") - budget, F.lit(0)))
+
+
+def trimmed_history(turns: DataFrame, by: list[str], order: str, budget: int) -> DataFrame:
+    """turns(by, order, text) that a budget of tokens holds, from the newest back; the last always stays, and nothing before the first that doesn't fit."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
+    running = F.sum(chat_tokens(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return turns.withColumn("tokens", chat_tokens(F.col("text"))).withColumn("_sum", running).withColumn("_n", F.row_number().over(w)).where((F.col("_sum") <= budget) | (F.col("_n") == 1)).drop("_sum", "_n")
+
+
 def fuse(lists: list[DataFrame]) -> DataFrame:
     """(query_id, id, score, rank) by reciprocal ranks of lists (query_id, id, rank); the first list decides who takes part. Ties to the smaller id."""
     parts = [x.select("query_id", "id", (1.0 / (RRF + F.col("rank"))).alias("s"), F.lit(int(i == 0)).alias("f")) for i, x in enumerate(lists)]

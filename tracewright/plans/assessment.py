@@ -95,7 +95,7 @@ def _expected(spark, d):
 
 
 def _predicted(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("N"), (F.col("l_partkey") % 30).cast("string")).alias("id"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("N"), (F.col("l_partkey") % 30).cast("string")).alias("id"))
 
 
 def _nations(spark, d):
@@ -142,7 +142,7 @@ def loss_layers(spark, d):
 _DEC = """d AS (SELECT l_orderkey, l_linenumber AS idx, l_partkey, l_suppkey, l_partkey % 10 = 0 AND l_suppkey % 3 = 0 AS a, l_quantity > 35 AND l_returnflag = 'R' AS b, l_suppkey % 5 = 0 AS x, l_quantity > 8 AND l_quantity <= 20 AND l_returnflag = 'A' AND l_suppkey % 3 <> 0 AS z FROM lineitem),
 v AS (SELECT l_orderkey, idx, l_partkey, l_suppkey, CASE WHEN a THEN 'SUFFICIENT_SUSPICIOUS' WHEN b AND x THEN 'SUFFICIENT_BENIGN' WHEN b THEN 'SUFFICIENT_SUSPICIOUS' WHEN z THEN 'SUFFICIENT_BENIGN' ELSE 'INSUFFICIENT_DATA' END AS verdict, CASE WHEN a THEN 'A' WHEN b THEN 'B' WHEN z THEN 'noise' ELSE 'none' END AS path, NOT a AND b AND x AS suppressed FROM d)"""
 _EXP = """e AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' || o_orderkey % 25 END AS id, 'N' || (o_orderkey + 1) % 25 AS alt, 'R' || o_orderkey % 5 AS tactic FROM orders),
-p AS (SELECT l_orderkey AS key, l_linenumber AS rank, 'N' || l_partkey % 30 AS id FROM lineitem WHERE l_linenumber <= 3),
+p AS (SELECT l_orderkey AS key, l_linenumber AS rank, 'N' || l_partkey % 30 AS id FROM lineitem),
 k AS (SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || (n_nationkey + 3) % 25 END AS parent, 'R' || n_regionkey AS tactic FROM nation)"""
 QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, loss_layers)}
 ORACLE_SQL = {

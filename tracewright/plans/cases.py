@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import logparse, text
 from tracewright.operators import assess, batch, incident, knowledge, normalise, report, retrieve, rules, triage
 from tracewright.plans.incidents import _ISLANDS, _techniques
-from tracewright.plans.retrieval import ORACLE_SQL as _RETRIEVAL_SQL
+from tracewright.plans.retrieval import _COS, ORACLE_SQL as _RETRIEVAL_SQL
 from tracewright.sources import catalog, readers
 from tracewright.workspace import shared_dir, table
 
@@ -281,7 +281,29 @@ def kb_techniques(spark, d):
     return t.select("attack_id", "name", "is_subtechnique", "parent", F.array_join("tactics", ",").alias("tactics"), F.size("mitigations").alias("n_mitigations"), F.array_join("users", ",").alias("users"))
 
 
-QUERIES = {f.__name__: f for f in (event_assets, event_verdicts, facts_extract, search_layers, distinct_values, enriched_query, nested_fill_gap, message_fields, payload_column_discovery, export_payloads, event_split_lines, indicator_categories, risk_sentences, rebuilt_incidents, incident_summary, incident_reports, incident_rule_drafts, event_rule_drafts, reviewer_meetings, model_decisions, added_techniques, rule_diagnosis, evidence_kept_and_missing, component_sets, public_addresses, reputation_queue, reputation_words, scope_reasons, asks_for_indicators, required_terms, refine_and_merge, bm25_saved_index, kb_techniques)}
+def kb_mitigation_chunks(spark, d):
+    return knowledge.mitigation_chunks(_bundle(spark, d)).select("chunk_id", "text")
+
+
+def kb_naive_chunks(spark, d):
+    return knowledge.naive_chunks(knowledge.techniques(_bundle(spark, d))).select("chunk_id", "text")
+
+
+def chat_history(spark, d):
+    return retrieve.trimmed_history(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", 300).select("conv_id", "turn", "tokens")
+
+
+def chat_budget(spark, d):
+    return retrieve.budget_status(table(spark, d, "conversations").select("conv_id", "text"), ["conv_id"], 300)
+
+
+def living_vectors(spark, d):
+    """The nearest of those that are neither revoked nor deprecated."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("label") == 3).alias("revoked"), F.when(F.col("label") > 0, F.col("label") == 5).alias("deprecated"))
+    return retrieve.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), retrieve.living(e).select("id", "v"), 5)
+
+
+QUERIES = {f.__name__: f for f in (kb_mitigation_chunks, kb_naive_chunks, chat_history, chat_budget, living_vectors, event_assets, event_verdicts, facts_extract, search_layers, distinct_values, enriched_query, nested_fill_gap, message_fields, payload_column_discovery, export_payloads, event_split_lines, indicator_categories, risk_sentences, rebuilt_incidents, incident_summary, incident_reports, incident_rule_drafts, event_rule_drafts, reviewer_meetings, model_decisions, added_techniques, rule_diagnosis, evidence_kept_and_missing, component_sets, public_addresses, reputation_queue, reputation_words, scope_reasons, asks_for_indicators, required_terms, refine_and_merge, bm25_saved_index, kb_techniques)}
 
 _ADDRESS = "(['10', '8', '192', '172', '127', '9'])[o_custkey % 6 + 1] || '.' || CASE o_custkey % 6 WHEN 2 THEN '168' WHEN 3 THEN CAST(o_custkey % 40 AS VARCHAR) ELSE '1' END || '.' || o_custkey % 250 || '.7'"
 _PUBLIC = "(o_custkey % 6 IN (1, 5) OR (o_custkey % 6 = 3 AND o_custkey % 40 NOT BETWEEN 16 AND 31))"
@@ -289,7 +311,14 @@ _HIGH = ", ".join(f"'{x}'" for x in incident.HIGH_RISK)
 _PRIMARY = "(VALUES ('click', 'Execution', 4), ('error', 'Credential Access', 9), ('purchase', 'Exfiltration', 14), ('signup', 'Initial Access', 3), ('view', 'Discovery', 10)) m(event_type, tactic, phase)"
 _T = f"{_ISLANDS}, t AS (SELECT user_id, island, event_type, count(*) AS occurrences, min(ts) AS first_seen, max(round(value / 500, 4)) AS score FROM i GROUP BY ALL), c AS (SELECT t.*, tactic, phase FROM t JOIN {_PRIMARY} USING (event_type))"
 _NUM = "regexp_replace(printf('%.2f', CAST({0} AS DOUBLE)), '\\.?0+$', '')"
+_TOKENS = "(CAST(floor(length(coalesce(text, '')) / 1.9::DOUBLE) AS BIGINT) + 1)"
 ORACLE_SQL = {
+    "kb_mitigation_chunks": "SELECT 'M' || s_suppkey || '::mitigation::0' AS chunk_id, '[M' || s_suppkey || '] ' || s_name || ' (mitigation)' || chr(10) || chr(10) || chr(10) || chr(10) || 'Techniques: T' || s_nationkey AS text FROM supplier",
+    "kb_naive_chunks": """WITH m AS (SELECT s_nationkey AS k, string_agg(DISTINCT 'M' || s_suppkey, ', ' ORDER BY 'M' || s_suppkey) AS ids FROM supplier GROUP BY 1)
+SELECT 'T' || n_nationkey || '::naive::0' AS chunk_id, '[T' || n_nationkey || '] ' || n_name || CASE WHEN n_nationkey % 5 = 4 THEN ' (sub-technique)' ELSE ' (technique)' END || chr(10) || 'Tactics: ' || r_name || chr(10) || 'Platforms: -' || chr(10) || chr(10) || coalesce(chr(10) || chr(10) || 'Mitigations: ' || ids, '') AS text FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN m ON m.k = n_nationkey""",
+    "chat_history": f"SELECT conv_id, turn, {_TOKENS} AS tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) QUALIFY sum({_TOKENS}) OVER w <= 300 OR row_number() OVER w = 1",
+    "chat_budget": f"WITH t AS (SELECT conv_id, CAST(sum({_TOKENS}) AS BIGINT) AS total FROM conversations GROUP BY 1) SELECT conv_id, total, total <= 300 AS fits, greatest(total - 300, 0) AS overflow FROM t",
+    "living_vectors": f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND coalesce(e.label, -1) NOT IN (3, 5)) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5",
     "event_assets": """SELECT p_partkey AS row, CASE p_partkey % 4 WHEN 0 THEN 'HKLM\\SAM\\K' || p_partkey WHEN 1 THEN 'HKLM\\SAMPLE\\K' || p_partkey WHEN 2 THEN CASE WHEN p_partkey % 8 = 2 THEN 'HKLM\\SAM' END END AS path,
 CASE WHEN p_partkey % 4 = 0 OR p_partkey % 8 = 2 THEN 'critical' WHEN p_partkey % 4 = 1 THEN 'unknown' ELSE 'none' END AS level, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 8 = 2 THEN 'credential-hive' END AS family FROM part""",
     "event_verdicts": """WITH e AS (SELECT *, event_type = 'click' AS t, event_type = 'click' AND value > 250 AS c, event_id % 3 AS k, event_type = 'error' AS w FROM events)
