@@ -36,6 +36,33 @@ def test_odd(spark, odd, odd_rows, name):
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in odd_rows)
 
 
+def test_values_of_odd_rows(spark, odd, odd_rows):
+    """Null, empty, blank, repeated and long texts have the values that the docstrings give them."""
+    by = lambda name: {(r.doc_id, i): r for i, r in enumerate(sorted(QUERIES[name](spark, odd).collect(), key=str))}
+    of = lambda rows, i: [r for (k, _), r in rows.items() if k == i]
+    text = {}
+    for i, t, *_ in odd_rows:
+        text.setdefault(i, []).append(t or "")
+    near = by("op3_minmax_dedup")
+    assert [r.component_id for r in of(near, 1) + of(near, 2) + of(near, 7) + of(near, 8)] == [1, 1, 1, 7, 7]
+    assert all(r.kept and r.n_shingles == 0 and r.component_id == i for i in (3, 4, 5) for r in of(near, i)) and all(r.kept and r.component_id is None for r in of(near, None))
+    assert of(near, 9)[0].n_shingles == of(near, 6)[0].n_shingles == 1 and of(near, 10)[0].n_shingles == 1
+    words = lambda t: len(t.encode().split())
+    for name, value in (("op4_minimax_shards", lambda r: r.size - 16), ("op9_mix_sources", lambda r: r.size), ("op7_scaled_sketches", lambda r: r.n_chars)):
+        got = by(name)
+        for i, ts in text.items():
+            want = sorted(len(t.encode()) if "op4" in name else words(t) if "op9" in name else len(t) for t in ts)
+            assert sorted(value(r) for r in of(got, i)) == want, (name, i)
+    langs = by("op6_language")
+    assert all(of(langs, i)[0].lang_pred == "und" and of(langs, i)[0].score == 0 for i in (3, 4, 5, 11))
+    tokens = by("op10_bpe_trie")
+    assert of(tokens, 3)[0].n_tokens == of(tokens, 4)[0].n_tokens == 0 and of(tokens, 10)[0].n_tokens > 300
+    toxic = by("op1_toxicity")
+    assert of(toxic, 3)[0].score == of(toxic, 4)[0].score == of(toxic, 5)[0].score == min(r.score for r in toxic.values())
+    best = sorted((r.query_id, r["rank"], r.vec_id) for r in QUERIES["op5_nra_topk"](spark, odd).collect())
+    assert best == [(200, 1, 2), (200, 2, 2)]
+
+
 def test_extra_columns(spark, write, odd_rows):
     """Columns named as those that operators make for themselves change nothing."""
     extra = ", n bigint, rep bigint, key bigint, block int, h bigint, k string, size bigint, text_key bigint, score double, predicted int, component bigint, target double, bands array<bigint>, toxic int, _id bigint, cell int"
