@@ -8,6 +8,7 @@ from tracewright.llm.licenses import op8_license_dice
 from tracewright.llm.minhash import op3_minmax_dedup
 from tracewright.llm.mixing import op9_mix_sources
 from tracewright.llm.passages import op2_repeated_passages
+from tracewright.llm.pieces import op11_piece_chunks
 from tracewright.llm.sharding import op4_minimax_shards
 from tracewright.llm.topk import op5_nra_topk
 from tracewright.llm.toxicity import op1_toxicity
@@ -31,5 +32,6 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
+    "op11_piece_chunks": op11_piece_chunks,
 }
 ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op3_minmax_dedup": minhash.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}

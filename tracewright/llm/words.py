@@ -66,7 +66,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_large_binary(column.type) else pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
