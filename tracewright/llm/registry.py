@@ -12,6 +12,8 @@ from tracewright.llm.pieces import op11_piece_chunks
 from tracewright.llm.sharding import op4_minimax_shards
 from tracewright.llm.topk import op5_nra_topk
 from tracewright.llm.toxicity import op1_toxicity
+from tracewright.llm import wand
+from tracewright.llm.wand import op12_block_max_search
 
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline."""
@@ -33,5 +35,6 @@ QUERIES = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op11_piece_chunks": op11_piece_chunks,
+    "op12_block_max_search": op12_block_max_search,
 }
-ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op3_minmax_dedup": minhash.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
+ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op3_minmax_dedup": minhash.ORACLE_SQL, "op12_block_max_search": wand.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
