@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from tracewright.llm.words import text_arrays
 
 #: Bytes of text that are cut at once, and distinct chunks and their bytes that a task keeps at most; when more come the table starts anew.
-SLICE, KEEP, KEEP_BYTES = 8 << 20, 400_000, 32 << 20
+SLICE, KEEP, KEEP_BYTES = 8 << 20, 500_000, 32 << 20
 
 
 def marked(column: pa.Array) -> pa.Array:

@@ -1,5 +1,6 @@
 """Queries of the numbered operators, and their SQL where SQL can express them."""
 
+from tracewright.llm.alignment import op13_pair_alignment
 from tracewright.llm.bpe import op10_bpe_trie
 from tracewright.llm.fingerprints import op7_scaled_sketches
 from tracewright.llm import licenses, minhash, mixing, topk
@@ -36,5 +37,6 @@ QUERIES = {
     "op3_minmax_dedup": op3_minmax_dedup,
     "op11_piece_chunks": op11_piece_chunks,
     "op12_block_max_search": op12_block_max_search,
+    "op13_pair_alignment": op13_pair_alignment,
 }
 ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op3_minmax_dedup": minhash.ORACLE_SQL, "op12_block_max_search": wand.ORACLE_SQL, "op5_nra_topk": topk.ORACLE_SQL, "op8_license_dice": licenses.ORACLE_SQL}
