@@ -115,3 +115,54 @@ def test_criticality(spark):
 )
 def test_command_paths(spark, command, want):
     assert one(spark, text.command_registry_paths, command) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('{"Image": "a", "odd": "%s", "Image": "b"}' % ("x " * 500_000), {"process.name": "b", "unknown.odd": "x " * 499_999 + "x"}),
+        ('CommandLine="%s" Image=b' % ('y\\"' * 300_000), {"process.command_line": 'y"' * 300_000, "process.name": "b"}),
+        ("CommandLine=%sImage=b" % ("word " * 200_000), {"process.command_line": ("word " * 200_000).strip(), "process.name": "b"}),
+        ("CommandLine=%s" % ("x" * 1_000_000), {"process.command_line": "x" * 1_000_000}),
+        ("{Process Name=%s, Account Name=b}" % ("z, " * 330_000), {"process.name": ("z, " * 330_000).strip().rstrip(","), "account.name": "b"}),
+        ("Process Name:  %s\n\tAccount Name:  b" % ("word " * 200_000), {"process.name": ("word " * 200_000).strip(), "account.name": "b"}),
+        ("plain words " * 90_000, {}),
+        ("Plain" * 200_000, {}),
+        (" \n" * 500_000 + "x", {}),
+        ("{" * 1_000_000, {}),
+        ("9.a=1 b = 2", {"unknown.a": "1 b = 2"}),
+        ('{"a": 1} {"a": 2}', {}),
+        ('{"a": 1, "a": 2, "b": {"c": 1, "c": 2}}', None),
+        ("{'a': '1=2'}", {"unknown.'a': '1": "2'"}),
+        ('{"a": 1, "a": 2,}', {}),
+        ('{"a": 1, "a": 2', {}),
+    ],
+)
+def test_megabytes_and_repeats(spark, raw, want):
+    """Nothing recurses, scans twice or loses an event; values are whole."""
+    got, _, _ = fields(spark, raw)
+    if want is None:
+        assert got["unknown.a"] == "2" and "unknown.b" in got
+    else:
+        assert {k: v.strip() for k, v in got.items()} == want
+
+
+def test_megabytes_are_split(spark):
+    for raw in ("word " * 200_000, "Account Name: " * 70_000, "x" * 1_000_000, "a=b " * 200_000):
+        assert logparse.split_events(raw)[0]
+
+
+def test_many_repeats(spark):
+    """A hundred thousand pairs of two keys: the last value of each, at the first one's place."""
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct((i % 2).cast("string").alias("k"), i.cast("string").alias("v"))).alias("p"))
+    assert [tuple(r) for r in df.select(text.last_of_each(F.col("p"), "k", "v").alias("x")).first().x] == [("0", "99998"), ("1", "99999")]
+
+
+def test_a_format_wins_by_its_place(spark):
+    own = logparse.Format("dots", lambda raw: F.contains(raw, F.lit("::")), lambda raw: F.array(F.struct(F.lit("Image").alias("key"), F.substring_index(raw, "::", -1).alias("value"))))
+    df = spark.createDataFrame([(1, "EventID=1 Image=a::b"), (2, "only::c")], "event_id bigint, raw string")
+    got = lambda formats: {(r.event_id, r.format): r.value for r in logparse.parse_fields(df, formats).where("name = 'process.name'").collect()}
+    assert got(logparse.with_format(own, "json")) == {(1, "dots"): "b", (2, "dots"): "c"}
+    assert got(logparse.with_format(own)) == {(1, "space_kv"): "a::b", (2, "dots"): "c"}
+    with pytest.raises(ValueError):
+        logparse.with_format(logparse.Format("json", None, None))

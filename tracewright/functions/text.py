@@ -19,7 +19,42 @@ def norm_key(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: in a lambda it would be computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_of_each(pairs: Column, key: str, value: str) -> Column:
+    """Of pairs with the same key the last value, at the first one's place. By sorting, so that a million pairs are no trouble."""
+    one = lambda i, p: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v"))
+
+    def settled(s: Column) -> Column:
+        same = lambda a, b: F.coalesce(F.get(s, a)["k"].eqNullSafe(F.get(s, b)["k"]), F.lit(False))
+        first = F.filter(s, lambda x, i: (i == 0) | ~same(i, i - 1))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | ~same(i, i + 1))
+        placed = F.array_sort(F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), a["k"].alias("k"), b["v"].alias("v"))))
+        return F.transform(placed, lambda x: F.struct(x["k"].alias(key), x["v"].alias(value)))
+
+    return let(F.array_sort(F.transform(pairs, lambda p, i: one(i, p))), settled)
+
+
+def cut_at_gaps(c: Column) -> Column:
+    """Pieces that begin after a line end or two blanks; each keeps the white space behind it, so that joining them gives the text again."""
+    return F.split(c, r"(?<=\n|\s\s)(?=\S)")
+
+
+def runs_after(pieces: Column, opens, between: str = "") -> Column:
+    """An array of structs (head, rest): each piece for which opens(piece) is true, and what follows it up to the next such piece, joined by between. What stands before the first is left out."""
+
+    def of(p: Column, at: Column) -> Column:
+        rest = lambda a, b: F.array_join(F.slice(p, a + 2, b - a - 1), between)
+        return F.transform(at, lambda a, j: F.struct(F.get(p, a).alias("head"), rest(a, F.coalesce(F.get(at, j + 1), F.size(p))).alias("rest")))
+
+    places = lambda p: F.filter(F.transform(p, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+    return let(pieces, lambda p: let(places(p), lambda at: of(p, at)))
 
 
 def present(c: Column) -> Column:

@@ -88,6 +88,33 @@ def alias_first_wins(spark, d):
     return f.select("event_id", "name", "value", "informative", "format")
 
 
+def repeated_and_long(spark, d):
+    """Logs of four formats with a repeated key or a value of tens of thousands of characters and words: what is left of each, as length and digest."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), "c_name", "c_mktsegment")
+    many = F.repeat(F.concat("c_name", F.lit(" ")), 1500)
+    kind = F.col("event_id") % 5
+    raw = (
+        F.when(kind == 0, F.concat(F.lit('{"Image": "'), "c_name", F.lit('", "odd": "'), F.repeat("c_name", 1000), F.lit('", "Image": "'), "c_mktsegment", F.lit('"}')))
+        .when(kind == 1, F.concat(F.lit('EventID=1 CommandLine="'), many, F.lit('" Image='), "c_name"))
+        .when(kind == 2, F.concat(F.lit("EventID=1 CommandLine="), many, F.lit("x=y Image="), "c_name"))
+        .when(kind == 3, F.concat(F.lit("{Process Name="), many, F.lit(", Account Name="), "c_name", F.lit("}")))
+        .otherwise(F.concat(F.lit("Process Name:  "), many, F.lit("\n\tAccount Name:  "), "c_name"))
+    )
+    f = logparse.parse_fields(c.select("event_id", raw.alias("raw")))
+    return f.select("event_id", "name", F.length("value").cast("bigint").alias("size"), F.md5(F.col("value").cast("binary")).alias("digest"), "format")
+
+
+def own_format(spark, d):
+    """A format of the user's own, key|value|key|value, tried before all others: it also takes what would be key=value text."""
+    cells = lambda raw: F.split(raw, r"\|")
+    own = logparse.Format("bars", lambda raw: F.startswith(raw, F.lit("|")), lambda raw: text.let(cells(raw), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2, F.lit(2)), lambda i: F.struct(F.get(c, i).alias("key"), F.get(c, i + 1).alias("value")))))
+    p = table(spark, d, "part")
+    bars = F.concat(F.lit("|Image|"), "p_name", F.lit("|size|"), F.col("p_size").cast("string"), F.lit("|x=y|"), "p_brand")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Image="), "p_name")).otherwise(bars)
+    f = logparse.parse_fields(p.select(F.col("p_partkey").alias("event_id"), raw.alias("raw")), logparse.with_format(own, "json"))
+    return f.select("event_id", "name", "value", "format")
+
+
 def derived_basename(spark, d):
     raw = F.concat(F.lit("{Parent Process Path=C:\\Tools\\"), F.col("page_id").cast("string"), F.lit(".exe, Process Name=a.exe}"))
     f = logparse.parse_fields(table(spark, d, "pages").select(F.col("page_id").alias("event_id"), raw.alias("raw")))
@@ -115,7 +142,7 @@ def discriminating_fields(spark, d):
 
 
 _SQL_BITS = catalog.MASKS["registry"] + catalog.MASKS["standard"]
-QUERIES = {f.__name__: f for f in (rules_findings, review_findings, polarity_classes, coverage_report, log_source_range_join, prefix_longest_match, kv_serialize, kv_parse_roundtrip, json_field_extract, alias_first_wins, derived_basename, event_split, access_mask_decode, discriminating_fields)}
+QUERIES = {f.__name__: f for f in (rules_findings, review_findings, polarity_classes, coverage_report, log_source_range_join, prefix_longest_match, kv_serialize, kv_parse_roundtrip, json_field_extract, alias_first_wins, repeated_and_long, own_format, derived_basename, event_split, access_mask_decode, discriminating_fields)}
 ORACLE_SQL = {
     "rules_findings": """WITH r AS (
   SELECT 0 AS rule, 'T1' AS technique, 0 AS rank, 3 AS least, user_id, event_id FROM events WHERE event_type = 'purchase' AND regexp_matches(CAST(value AS VARCHAR), '^[2-4]\\d\\d')
@@ -141,6 +168,15 @@ SELECT row, coalesce(level, 'unknown') AS level, family FROM j WHERE r = 1""",
     "kv_parse_roundtrip": """SELECT o_orderkey AS event_id, 'event.id' AS name, CAST(o_orderkey AS VARCHAR) AS value, true AS in_schema FROM orders UNION ALL SELECT o_orderkey, 'account.name', CAST(o_custkey AS VARCHAR), true FROM orders UNION ALL SELECT o_orderkey, 'process.command_line', o_orderpriority, true FROM orders UNION ALL SELECT o_orderkey, 'host.name', o_orderstatus, true FROM orders""",
     "json_field_extract": "SELECT event_id, 'unknown.k' AS name, json_extract_string(props, '$.k') AS value, false AS in_schema, 'json' AS format FROM events",
     "alias_first_wins": "SELECT c_custkey AS event_id, 'process.name' AS name, c_name AS value, true AS informative, 'brace_kv' AS format FROM customer UNION ALL SELECT c_custkey, 'account.name', 'N/A', false, 'brace_kv' FROM customer UNION ALL SELECT c_custkey, 'unknown.Odd Key', c_mktsegment, false, 'brace_kv' FROM customer",
+    "repeated_and_long": """WITH c AS (SELECT c_custkey AS event_id, c_custkey % 5 AS k, c_name, c_mktsegment, trim(repeat(c_name || ' ', 1500)) AS many FROM customer),
+f AS (SELECT event_id, 'json' AS format, unnest(['process.name', 'unknown.odd']) AS name, unnest([c_mktsegment, repeat(c_name, 1000)]) AS value FROM c WHERE k = 0
+UNION ALL SELECT event_id, 'space_kv', unnest(['event.id', 'process.command_line', 'process.name']), unnest(['1', many, c_name]) FROM c WHERE k = 1
+UNION ALL SELECT event_id, 'space_kv', unnest(['event.id', 'process.command_line', 'process.name']), unnest(['1', many || ' x=y', c_name]) FROM c WHERE k = 2
+UNION ALL SELECT event_id, 'brace_kv', unnest(['process.name', 'account.name']), unnest([many, c_name]) FROM c WHERE k = 3
+UNION ALL SELECT event_id, 'windows_message', unnest(['process.name', 'account.name']), unnest([many, c_name]) FROM c WHERE k = 4)
+SELECT event_id, name, length(value) AS size, md5(value) AS digest, format FROM f""",
+    "own_format": """SELECT p_partkey AS event_id, 'process.name' AS name, p_name AS value, CASE WHEN p_partkey % 3 = 0 THEN 'space_kv' ELSE 'bars' END AS format FROM part
+UNION ALL SELECT p_partkey, 'unknown.size', CAST(p_size AS VARCHAR), 'bars' FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 'unknown.x=y', p_brand, 'bars' FROM part WHERE p_partkey % 3 > 0""",
     "derived_basename": r"SELECT page_id AS event_id, 'parent.process.path' AS name, 'C:\Tools\' || page_id || '.exe' AS value FROM pages UNION ALL SELECT page_id, 'parent.process.name', page_id || '.exe' FROM pages",
     "access_mask_decode": f"""WITH m AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN '0x' || upper(printf('%x', CAST(l_quantity AS BIGINT))) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS m, CAST(l_quantity AS BIGINT) AS v FROM lineitem)
 SELECT m, concat_ws('|', {", ".join(f"CASE WHEN v & {b} = {b} THEN '{n}' END" for b, n, _ in _SQL_BITS)}) AS names, CASE WHEN {" OR ".join(f"v & {b} = {b}" for b, _, k in _SQL_BITS if k == "write")} THEN 'write' WHEN {" OR ".join(f"v & {b} = {b}" for b, _, k in _SQL_BITS)} THEN 'read' ELSE 'unknown' END AS kind, count(*) AS n FROM m GROUP BY ALL""",

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.functions.text import present
+from tracewright.functions.text import last_of_each, present, runs_after
 
 # Column names of log tables and the field each stands for, blanks, case and underscores aside.
 COLUMNS = {
@@ -45,6 +45,8 @@ LABELS = {
 }
 #: Tags that a payload has, each at the beginning of a tab-separated part or of the text.
 TAGS = ("AgentDevice", "EventID", "Message")
+#: Shortest and longest label of an export's message.
+LABEL_LENGTHS = (2, 41)
 #: Rows that the payload column is chosen by, and the share of them that must look like one.
 SAMPLE, LEAST = 20, 0.6
 FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd")
@@ -90,36 +92,32 @@ def payload_column(df: DataFrame) -> str | None:
     return best if (share[best] or 0.0) >= LEAST else None
 
 
-def _last(pairs: Column) -> Column:
-    """Pairs (k, v) without those whose k comes again."""
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-
-
 def tagged(payload: Column) -> Column:
     """A map of the parts Key=value between tabs; Message takes the rest of the text. Of a repeated key the last value counts."""
     at = F.instr(payload, "\tMessage=")
     head = F.when(at > 0, F.substring(payload, F.lit(1), at - 1)).otherwise(payload)
     message = F.when(at > 0, F.substring(payload, at + len("\tMessage="), F.length(payload))).otherwise("")
-    parts = F.transform(F.split(head, "\t"), lambda p: F.struct(F.regexp_extract(p, r"([A-Za-z_]\w*)=", 1).alias("k"), F.regexp_replace(p, r"(?s)^.*?\w=", "").alias("v")))
-    return F.map_from_entries(F.concat(_last(F.filter(parts, lambda p: ~p["k"].isin("", "Message"))), F.array(F.struct(F.lit("Message").alias("k"), message.alias("v")))))
+    parts = F.transform(F.split(head, "\t"), lambda p: F.struct(F.regexp_extract(p, r"([A-Za-z_]\w*+)=", 1).alias("k"), F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)).alias("v")))
+    return F.map_from_entries(F.concat(last_of_each(F.filter(parts, lambda p: ~p["k"].isin("", "Message")), "k", "v"), F.array(F.struct(F.lit("Message").alias("k"), message.alias("v")))))
 
 
 def message_labels(message: Column) -> Column:
-    """(k, v) of a message's labelled values: pieces between double blanks or line ends; one that begins with a label (a capital, letters, digits, blanks and slashes up
-    to 41, a colon) opens a pair, and any other goes on with the value before it. Of a repeated label the last value counts, at its first place."""
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    label = r"^[A-Z][A-Za-z0-9 /]{1,40}:"
-
-    def step(acc: Column, piece: Column) -> Column:
-        opened = F.struct(F.trim(F.substring_index(piece, ":", 1)).alias("k"), F.trim(F.regexp_replace(piece, "(?s)^[^:]*:", "")).alias("v"))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["k"].alias("k"), F.trim(F.concat_ws("  ", last["v"], piece)).alias("v"))))
-        return F.when(piece.rlike(label), F.concat(acc, F.array(opened))).when(F.size(acc) > 0, longer).otherwise(acc)
-
-    pairs = F.aggregate(F.split(F.trim(message), r"\s{2,}"), none, step)
-    value = lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"]
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
-    return F.coalesce(F.transform(first, lambda p: F.struct(p["k"].alias("k"), value(p).alias("v"))), none)
+    """(k, v) of a message's labelled values: pieces between double blanks or line ends; one that begins with a label opens a pair, and any other goes on with the value
+    before it. A label has 2 to 41 letters, digits, blanks and slashes before its colon, the first a capital. Of a repeated label the last value counts, at its first place."""
+    name = lambda piece: F.substring_index(piece, ":", 1)
+
+    def opens(piece: Column) -> Column:
+        label = name(piece)
+        plain = F.translate(F.upper(label), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 /", "") == ""
+        return F.contains(piece, F.lit(":")) & F.length(label).between(*LABEL_LENGTHS) & plain & F.substring(label, 1, 1).between("A", "Z")
+
+    def pair(x: Column) -> Column:
+        head = x["head"]
+        first = F.trim(F.substring(head, F.length(name(head)) + 2, F.length(head)))
+        return F.struct(F.trim(name(head)).alias("k"), F.trim(F.concat_ws("  ", first, F.nullif(x["rest"], F.lit("")))).alias("v"))
+
+    found = runs_after(F.split(F.trim(message), r"\s\s\s*+"), opens, "  ")
+    return F.coalesce(last_of_each(F.transform(found, pair), "k", "v"), F.array().cast("array<struct<k:string,v:string>>"))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame | None:
