@@ -22,6 +22,11 @@ def stripped(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
+def ascii_lower(c: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once: in a lambda it would be computed again for every element."""
     return F.transform(F.array(value), use)[0]

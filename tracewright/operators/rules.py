@@ -1,4 +1,4 @@
-"""Technique rules: compiled to one expression each, evaluated over all rows in one pass."""
+"""Technique rules: up to COMPILED of them as one expression each, more by the literals of their patterns (rulebook), over all rows in one pass."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.text import evidence_allowed, looks_like_registry, polarity, registry_path
+from tracewright.operators import rulebook
 from tracewright.sources import catalog
 from tracewright.workspace import materialize
 
+#: Rules that are compiled into the plan; more are tested as data.
+COMPILED = 200
 #: Rows that a finding lists.
 LISTED = 20
 LEVELS = ["high", "medium", "low", "insufficient"]
@@ -85,8 +88,10 @@ def event_number(fields: Column) -> Column:
 
 
 def hits(rows: DataFrame, rules: list[Rule], event_id: Column | None = None) -> DataFrame:
-    """(row, rule, polarity): rule is the place in rules. rows: row and fields MAP. One projection tests all rules; no row meets another."""
+    """(row, rule, polarity): rule is the place in rules. rows: row and fields MAP. One projection tests all rules, or one automaton beyond COMPILED of them; no row meets another."""
     number = event_number(F.col("fields")) if event_id is None else event_id
+    if len(rules) > COMPILED:
+        return rulebook.hits(rows, rules, number)
     on_paths = sorted({c.field for r in rules for any_of in r.conditions for c in any_of if c.on_paths})
     spelt = {f"_path{i}": F.when(looks_like_registry(F.col("fields")[f]), registry_path(F.col("fields")[f])) for i, f in enumerate(on_paths)}
     paths = {f: F.col(f"_path{i}") for i, f in enumerate(on_paths)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import logparse, text
-from tracewright.operators import rules
+from tracewright.operators import rulebook, rules
 from tracewright.operators.rules import Condition, Rule
 from tracewright.sources import catalog
 from tracewright.workspace import materialize, table
@@ -38,6 +38,24 @@ def review_findings(spark, d):
     return f.select("technique", "n_rows", "last_row")
 
 
+def _word_rules(spark, d):
+    """A table of rules, one for each word of five to nine letters in the conversations: by its length for any document, for those without a word, or for two languages alone."""
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(text.ascii_lower(F.col("text")), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w")).where("w rlike '^[a-z]{5,9}$'").distinct()
+    kind, none = F.length("w") % 3, F.lit(None).cast("string")
+    condition = F.struct(F.lit("Message").alias("field"), F.concat(F.lit(r"(?i)\b"), "w", F.lit(r"\b")).alias("must"), F.when(kind == 1, F.lit(r"(?i)\b(?:the|les)\b")).otherwise(none).alias("must_not"))
+    required = F.when(kind == 2, F.array(F.lit("en"), F.lit("fr")))
+    made = words.select(F.concat(F.lit("W-"), F.substring("w", 1, 1)).alias("technique"), F.col("w").alias("name"), F.lit("").alias("tactic"), required.alias("required"), F.lit(None).cast("array<string>").alias("forbidden"), F.array(F.array(condition)).alias("conditions"), F.lit(2).alias("min_events"), F.when(kind == 0, "low").otherwise("medium").alias("level"))
+    return made.orderBy("name")
+
+
+def rules_from_table(spark, d):
+    """Some thousand rules of a table over all documents, merged by technique."""
+    book = [r for part in rulebook.from_table(_word_rules(spark, d)) for r in part]
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.col("lang").alias("_lang"), F.create_map(F.lit("Message"), F.coalesce("text", F.lit(""))).alias("fields"))
+    f = rules.findings(rows, book, event_id=F.col("_lang"))
+    return f.select("technique", "level", "n_rows", "first_row", "last_row", "n_rules")
+
+
 def polarity_classes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, " rule added").otherwise(""), F.when(F.col("doc_id") % 7 == 0, " was allowed").otherwise("")).alias("t"))
     return docs.groupBy(text.polarity(F.col("t")).alias("polarity")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
@@ -142,7 +160,7 @@ def discriminating_fields(spark, d):
 
 
 _SQL_BITS = catalog.MASKS["registry"] + catalog.MASKS["standard"]
-QUERIES = {f.__name__: f for f in (rules_findings, review_findings, polarity_classes, coverage_report, log_source_range_join, prefix_longest_match, kv_serialize, kv_parse_roundtrip, json_field_extract, alias_first_wins, repeated_and_long, own_format, derived_basename, event_split, access_mask_decode, discriminating_fields)}
+QUERIES = {f.__name__: f for f in (rules_findings, rules_from_table, review_findings, polarity_classes, coverage_report, log_source_range_join, prefix_longest_match, kv_serialize, kv_parse_roundtrip, json_field_extract, alias_first_wins, repeated_and_long, own_format, derived_basename, event_split, access_mask_decode, discriminating_fields)}
 ORACLE_SQL = {
     "rules_findings": """WITH r AS (
   SELECT 0 AS rule, 'T1' AS technique, 0 AS rank, 3 AS least, user_id, event_id FROM events WHERE event_type = 'purchase' AND regexp_matches(CAST(value AS VARCHAR), '^[2-4]\\d\\d')
@@ -152,6 +170,12 @@ ORACLE_SQL = {
   UNION ALL SELECT 4, 'T1685', 0, 1, user_id, event_id FROM events WHERE event_type = 'view' AND regexp_matches(CAST(value AS VARCHAR), '^1') AND event_id % 3 = 0),
 k AS (SELECT user_id, rule FROM r GROUP BY user_id, rule HAVING count(*) >= max(least))
 SELECT user_id, technique, ['high', 'medium', 'low'][min(rank) + 1] AS level, CAST(count(DISTINCT event_id) AS INTEGER) AS n_rows, min(event_id) AS first_row, max(event_id) AS last_row, count(DISTINCT rule) AS n_rules FROM r JOIN k USING (user_id, rule) GROUP BY user_id, technique""",
+    "rules_from_table": r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS w FROM conversations) WHERE regexp_matches(w, '^[a-z]{5,9}$')),
+d AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS ws FROM documents),
+t AS (SELECT doc_id, lang, list_contains(ws, 'the') OR list_contains(ws, 'les') AS barred, unnest(ws) AS w FROM d),
+h AS (SELECT w, doc_id FROM t JOIN w USING (w) WHERE CASE length(w) % 3 WHEN 1 THEN NOT barred WHEN 2 THEN coalesce(lang IN ('en', 'fr'), false) ELSE true END),
+k AS (SELECT w FROM h GROUP BY w HAVING count(DISTINCT doc_id) >= 2)
+SELECT 'W-' || w[1] AS technique, CASE WHEN bool_or(length(w) % 3 > 0) THEN 'medium' ELSE 'low' END AS level, count(DISTINCT doc_id) AS n_rows, min(doc_id) AS first_row, max(doc_id) AS last_row, count(DISTINCT w) AS n_rules FROM h JOIN k USING (w) GROUP BY 1""",
     "review_findings": """SELECT 'licensed' AS technique, CAST(count(*) AS INTEGER) AS n_rows, max(doc_id) AS last_row FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e') AND regexp_matches(text, '(?i)version\\s+[23]') HAVING count(*) >= 1
 UNION ALL SELECT 'insult', CAST(count(*) AS INTEGER), max(doc_id) FROM documents WHERE regexp_matches(text, '(?i)\\b(idiot|moron)\\b') HAVING count(*) >= 2""",
     "polarity_classes": f"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' rule added' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' was allowed' ELSE '' END AS t FROM documents),
