@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from tracewright.functions import text
-from tracewright.operators import retrieve
-from tracewright.workspace import table
+from tracewright.operators import retrieve, vectors
+from tracewright.workspace import shared_dir, table
 
 
 def _docs(spark, d):
@@ -21,13 +23,39 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 10)
 
 
-def _vectors(spark, d, k):
+def _embeddings(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return retrieve.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, k)
+    return e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e
+
+
+def _vectors(spark, d, k):
+    return retrieve.nearest(*_embeddings(spark, d), k)
+
+
+def _index(spark, e):
+    """The vectors' index, saved and opened again."""
+    return vectors.save(vectors.build(e), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", {"of": "embeddings", "dim": e.selectExpr("max(size(v)) n").first().n})
 
 
 def vector_topk(spark, d):
-    return _vectors(spark, d, 20)
+    """The 20 nearest of each query through the stored index, exactly."""
+    queries, e = _embeddings(spark, d)
+    return vectors.search(queries, _index(spark, e), 20)
+
+
+def vector_lists(spark, d):
+    """How many queries opened how many of the index's lists for their 5 nearest, exactly."""
+    queries, e = _embeddings(spark, d)
+    return vectors.lists_read(queries, _index(spark, e), 5).groupBy("lists_read", "lists").agg(F.count("*").alias("queries"))
+
+
+def vector_recall(spark, d):
+    """Recall of the 10 nearest when each query opens half of the lists, against comparing all; true if it reaches 0.9."""
+    queries, e = _embeddings(spark, d)
+    index = _index(spark, e)
+    best = vectors.search(queries, index, 10).select("query_id", "id")
+    found = vectors.search(queries, index, 10, probes=max(1, index.centroids.count() // 2)).select("query_id", "id", F.lit(1).alias("hit"))
+    return best.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def _fused(spark, d):
@@ -110,7 +138,7 @@ u AS (SELECT v.query_id, v.id, round(1.0::DOUBLE / (60 + v.rank) + coalesce(1.0:
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM u)"""
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9_./:\\\\-]+')"
 _EST = "CAST(greatest(1, round_even(round(len([w FOR w IN regexp_split_to_array({0}, '\\s+') IF w <> '']) * 1.3::DOUBLE, 6), 0)) AS INTEGER)"
-QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, rrf_fusion, rrf_fusion_capped, platform_filter_fallback, minmax_support, context_pack, history_trim, token_budget, chunk_pack_greedy, chunk_stats, content_fingerprint, embedding_mrr)}
+QUERIES = {f.__name__: f for f in (bm25_topk, vector_topk, vector_lists, vector_recall, rrf_fusion, rrf_fusion_capped, platform_filter_fallback, minmax_support, context_pack, history_trim, token_budget, chunk_pack_greedy, chunk_stats, content_fingerprint, embedding_mrr)}
 ORACLE_SQL = {
     "chunk_pack_greedy": f"""WITH RECURSIVE x AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
 l AS (SELECT id, n, {_EST.format("line")} AS cost, row_number() OVER (PARTITION BY id ORDER BY n) AS o FROM x WHERE trim(line, ' ') <> ''),
@@ -122,6 +150,7 @@ q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id,
 s AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))), 6) AS score FROM q JOIN i USING (term) JOIN t USING (term) JOIN l USING (id) GROUP BY ALL)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
     "vector_topk": f"WITH {_VEC} SELECT * FROM v",
+    "vector_recall": "SELECT 10 * count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id, score, rank FROM f",
     "rrf_fusion_capped": f"WITH {_FUSED} SELECT query_id, id, label AS technique, rank FROM f JOIN embeddings ON id = vec_id QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) <= 2",
     "platform_filter_fallback": """WITH c AS (SELECT doc_id % 50 AS query_id, doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN lang = CASE (doc_id % 50) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'xx' END ELSE true END AS f FROM documents)
