@@ -59,6 +59,29 @@ def test_confidence_leaves_unknown_parts_out(spark):
     assert got == [1.0, 0.0, round((0.3 * 0.5 + 0.15) / 0.55, 6)]
 
 
+def test_redirects_of_any_length(spark):
+    """A chain of 200, a circle, a way into it, an unknown end, a repeated id, a null id, a key that many lead to."""
+    rows = [(f"c{i}", f"c{i + 1}") for i in range(200)] + [("c200", None)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("u", "gone"), ("self", "self"), ("c7", None), (None, "c1")] + [(f"m{i}", "c200") for i in range(500)]
+    got = {r.id: (r.target, r.hops) for r in assess.redirects(spark.createDataFrame(rows, "id string, revoked_by string")).collect()}
+    assert got["c8"] == ("c200", 192) and got["c199"] == ("c200", 1) and got["c0"] == ("c7", 7) and got["c7"] == ("c7", 0)
+    assert all(got[k] == (None, None) for k in ("x", "y", "z", "w", "u", "self")) and got["m3"] == ("c200", 1) and len(got) == 707
+
+
+def test_access_names(spark):
+    from tracewright.functions import text
+    from tracewright.operators import normalise
+
+    want = {"ReadData (or ListDirectory)": ("FILE_READ_DATA", "contained"), "DELETE": ("DELETE", "equal"), "Child": ("FILE_DELETE_CHILD", "contained"), "data": (None, "ambiguous"), "Execute/Traverse": ("FILE_EXECUTE", "contained"), "zzz": (None, "unknown"), "": (None, "unknown"), None: (None, "unknown")}
+    df = spark.createDataFrame([(1, i, n, "file") for i, n in enumerate(want)] + [(2, 0, "Notify about changes to keys", "registry"), (2, 1, "DELETE", None)], "row int, ord int, name string, family string")
+    got = {(r.row, r.name): (r.bit, r.how) for r in normalise.access_names(df).collect()}
+    assert {n: got[1, n] for n in want} == want and got[2, "Notify about changes to keys"] == ("KEY_NOTIFY", "alias") and got[2, "DELETE"] == ("DELETE", "equal")
+    for r in df.where("row = 1").select("name", text.access_bit(F.col("name"), "file").alias("b")).collect():
+        assert (r.b and r.b.name) == want[r.name][0], r
+    two = spark.createDataFrame([("f", "A_B", "read"), ("f", "B_A", "write"), ("f", "A_B_C", "read")], "family string, bit string, kind string")
+    one = normalise.access_names(spark.createDataFrame([(1, 0, "a b", "f")], "row int, ord int, name string, family string"), two).first()
+    assert (one.bit, one.how) == ("A_B_C", "contained")
+
+
 def test_knowledge(spark, tmp_path):
     ref = lambda i: [{"source_name": "mitre-attack", "external_id": i, "url": f"u/{i}"}]
     objects = [

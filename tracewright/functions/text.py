@@ -139,6 +139,34 @@ def mask_bits(mask: Column, family: str) -> Column:
     return F.filter(table, lambda t: mask.bitwiseAND(t["bit"]) == t["bit"])
 
 
+def name_tokens(c: Column) -> Column:
+    """The words of a right's name in lower case, sorted, once each: what is in brackets and alternatives behind a slash don't count; words end at blanks, _ and -, and before a capital after a small letter."""
+    plain = F.substring_index(F.regexp_replace(c, r"\([^)]*+\)", " "), "/", 1)
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(plain, "([a-z0-9])(?=[A-Z])", "$1 ")), r"[\s_\-]++"), lambda w: w != "")))
+
+
+def known_bits(family: str | None) -> list[tuple[int, str, str]]:
+    """Bits of a family and the standard rights; of all families for None. A name stands once."""
+    rows = [*catalog.MASKS.get(family, []), *catalog.MASKS["standard"]] if family else [r for f in catalog.MASKS.values() for r in f]
+    return list({n: (b, n, k) for b, n, k in rows}.values())
+
+
+def access_bit(name: Column, family: str | None) -> Column:
+    """Struct (name, kind) of the bit that a right's name means: the only one whose words are the same, else the only one whose words contain all of its words. Null if several might be meant, or none."""
+    split = lambda n: sorted({w for w in n.lower().split("_") if w})
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.array(*map(F.lit, split(n))).alias("words")) for _, n, k in known_bits(family)])
+    alias = F.create_map(*[F.lit(x) for kv in catalog.ACCESS_ALIASES.items() for x in kv])[F.lower(F.regexp_replace(name, r"[\s_\-]++", ""))]
+
+    def meant(words: Column) -> Column:
+        equal = F.filter(table, lambda b: b["words"] == words)
+        larger = F.filter(table, lambda b: (F.size(words) < F.size(b["words"])) & (F.size(F.array_except(words, b["words"])) == 0))
+        found = F.when(F.size(equal) == 1, equal[0]).when((F.size(words) > 0) & (F.size(larger) == 1), larger[0])
+        return F.coalesce(F.get(F.filter(table, lambda b: b["name"] == alias), F.lit(0)), found)
+
+    one = let(name_tokens(name), meant)
+    return F.when(one.isNotNull(), F.struct(one["name"].alias("name"), one["kind"].alias("kind")))
+
+
 def access_class(bits: Column) -> Column:
     """write if any bit writes, else read if any reads, else unknown."""
     return F.when(F.exists(bits, lambda b: b["kind"] == "write"), "write").when(F.size(bits) > 0, "read").otherwise("unknown")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.functions.text import evidence_norm, quoted_share
 from tracewright.operators.rules import LEVELS
 from tracewright.sources import catalog
+from tracewright.workspace import discard, materialize
 
 # Shares of the parts of a composite confidence.
 WEIGHTS = {"retrieval": 0.30, "evidence": 0.30, "fields": 0.15, "event_id": 0.15, "platform": 0.10}
@@ -40,21 +41,24 @@ def confidence(parts: dict[str, Column]) -> Column:
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
-def redirects(kb: DataFrame, hops: int = 8) -> DataFrame:
-    """(id, target, hops): where a revoked entry leads; null for a chain that ends in a circle or in an unknown entry. kb: id, revoked_by.
+def redirects(kb: DataFrame) -> DataFrame:
+    """(id, target, hops): where a revoked entry leads after any number of hops; null for a chain that ends in a circle or in an unknown entry. kb: id, revoked_by.
 
-    Chains are short, so each hop is one equal join; those that have arrived take no part in the next.
+    Every entry points to where it leads, and each round it takes over what its own target points to, so a chain of n hops takes log2(n) rounds of one equal join. What still moves when
+    chains of all entries would have ended is in a circle or leads into one. Of a repeated id the row with the least revoked_by counts, none before any; rounds are written to the shared folder.
     """
-    step = kb.select(F.col("id").alias("_at"), F.col("revoked_by").alias("_next"))
-    now = kb.select("id", F.col("id").alias("_at"), F.lit(0).alias("hops"))
-    done = None
-    for n in range(hops + 1):
-        found = now.join(step, "_at", "left")
-        here = found.where("_next is null").select("id", F.col("_at").alias("target"), "hops")
-        done = here if done is None else done.unionByName(here)
-        now = found.where("_next is not null").select("id", F.col("_next").alias("_at"), F.lit(n + 1).alias("hops"))
-    good = done.join(kb.select(F.col("id").alias("target")), "target", "left_semi")
-    return kb.select("id").join(good, "id", "left").select("id", "target", "hops")
+    once = kb.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("revoked_by").isNotNull(), "revoked_by")).alias("r")).select("id", F.col("r.revoked_by").alias("next"))
+    now = materialize(once.select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("hops"), F.col("next").isNull().alias("done")), "redirects")
+    rounds = now.count().bit_length() + 1
+    for _ in range(rounds):
+        if now.where("not done and at is not null").isEmpty():
+            break
+        step = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        moving = now.where("not done and at is not null").join(step, "at", "left").select("id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.coalesce("_done", F.lit(True)).alias("done"))
+        last, now = now, materialize(now.where("done or at is null").unionByName(moving), "redirects")
+        discard(last)
+    arrived = F.col("done") & F.col("at").isNotNull()
+    return now.select("id", F.when(arrived, F.col("at")).alias("target"), F.when(arrived, F.col("hops")).cast("int").alias("hops"))
 
 
 def validated(mappings: DataFrame, kb: DataFrame, grounded: DataFrame) -> DataFrame:

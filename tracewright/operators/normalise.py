@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.functions.text import access_class, first_present, mask_bits, mask_value, registry_path
+from tracewright.functions.text import access_bit, access_class, name_tokens, first_present, mask_bits, mask_value, registry_path
 from tracewright.sources import catalog
 
 #: Rows that an entry of a grouped timeline lists.
@@ -89,11 +89,12 @@ def access(event_id: Column, fields: Column) -> Column:
     mask = mask_value(fields["access.mask"])
     family = {f: kind.isin([k for k, v in catalog.OBJECT_TYPES.items() if v == f]) for f in catalog.MASKS}
     by_mask = F.coalesce(*[F.when(c, access_class(mask_bits(mask, f))) for f, c in family.items() if f != "standard"], access_class(mask_bits(mask, "standard")))
-    words = lambda s: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\([^)]*\)", " "), r"([a-z])([A-Z])", "$1 $2"), r"^.*/", "")), r"[^a-z0-9]+"), lambda w: w != "")))
-    names = F.filter(F.transform(F.split(fields["access.list"], r"[|,;\n]|\s{2,}"), F.trim), lambda x: x != "")
-    bits = {n: k for rows in catalog.MASKS.values() for _, n, k in rows}
-    table = [(sorted(set(n.lower().removeprefix("key_").removeprefix("file_").removeprefix("process_").split("_"))), k) for n, k in bits.items()] + [(sorted(set(n.lower().split("_"))), k) for n, k in bits.items()]
-    class_of = lambda s: F.coalesce(*[F.when(words(s) == F.array(*map(F.lit, w)), k) for w, k in table], F.lit("unknown"))
+    names = F.filter(F.transform(F.split(fields["access.list"], r"[|,;\r\n]|[ \t]{2,}"), F.trim), lambda x: x != "")
+
+    def class_of(name: Column) -> Column:
+        by_type = F.coalesce(*[F.when(c, access_bit(name, f)["kind"]) for f, c in family.items()])
+        return F.coalesce(F.when(reduce(lambda a, b: a | b, family.values()), by_type).otherwise(access_bit(name, None)["kind"]), F.lit("unknown"))
+
     classes = F.transform(names, class_of)
     by_name = F.when(F.size(names) > 0, F.when(F.array_contains(classes, "write"), "write").when(F.array_contains(classes, "unknown"), "unknown").otherwise("read"))
     default = F.lit(None).cast("string")
@@ -106,6 +107,33 @@ def access(event_id: Column, fields: Column) -> Column:
     return F.struct(F.when(done & seen.isNotNull(), seen).otherwise(default).alias("access"), F.when(~done, seen).alias("requested"), source.alias("source"))
 
 
+def access_names(names: DataFrame, bits: DataFrame | None = None) -> DataFrame:
+    """names(row, ord, name, family) with bit, kind and how (equal, contained, alias, ambiguous or unknown), as access_bit tells it, for tables of any size.
+
+    bits(family, bit, kind): the catalogue's unless given; a family of names also has the rights of the family standard. Names and bits meet by their words, so a name is
+    held only against bits that share its rarest word; the number of common words then tells equal from contained.
+    """
+    spark = names.sparkSession
+    if bits is None:
+        bits = spark.createDataFrame([(f, n, k) for f, rows in catalog.MASKS.items() for _, n, k in rows], "family string, bit string, kind string")
+    known = bits.dropDuplicates(["family", "bit"]).select(F.col("family").alias("look"), "bit", "kind", name_tokens(F.lower("bit")).alias("words")).withColumn("size", F.size("words"))
+    index = known.select("look", "bit", "kind", "size", "words", F.explode("words").alias("word"))
+    often = index.groupBy("look", "word").agg(F.count("*").alias("n"))
+    asked = names.select("row", "ord", "name", "family", name_tokens(F.col("name")).alias("asked"))
+    both = asked.withColumn("look", F.explode(F.array_distinct(F.array(F.coalesce("family", F.lit("standard")), F.lit("standard")))))
+    rare = both.select("row", "ord", "look", F.explode("asked").alias("word")).join(often, ["look", "word"], "left").groupBy("row", "ord", "look").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select("row", "ord", "look", F.col("r.word").alias("word"))
+    met = both.join(rare, ["row", "ord", "look"]).join(index, ["look", "word"]).where(F.size(F.array_except("asked", "words")) == 0)
+    equal = F.col("size") == F.size("asked")
+    found = met.groupBy("row", "ord").agg(F.count_if(equal).alias("equals"), F.count_if(~equal).alias("larger"), F.min(F.when(equal, F.struct("bit", "kind"))).alias("same"), F.min(F.when(~equal, F.struct("bit", "kind"))).alias("any"))
+    alias = F.create_map(*[F.lit(x) for kv in catalog.ACCESS_ALIASES.items() for x in kv])[F.lower(F.regexp_replace("name", r"[\s_\-]++", ""))]
+    by_alias = both.withColumn("bit", alias).join(known.select("look", "bit", "kind"), ["look", "bit"]).groupBy("row", "ord").agg(F.min(F.struct("bit", "kind")).alias("told"))
+    # bits with the same words are told by none; then the only one that has all of the words and more
+    one = F.when(F.col("equals") == 1, F.col("same")).when(F.col("larger") == 1, F.col("any"))
+    how = F.when(F.col("told").isNotNull(), "alias").when(F.col("equals") == 1, "equal").when(F.col("larger") == 1, "contained").when(F.col("equals") + F.col("larger") > 0, "ambiguous").otherwise("unknown")
+    out = asked.join(found, ["row", "ord"], "left").join(by_alias, ["row", "ord"], "left").withColumn("b", F.coalesce("told", one))
+    return out.select("row", "ord", "name", "family", F.col("b.bit").alias("bit"), F.coalesce("b.kind", F.lit("unknown")).alias("kind"), how.alias("how"))
+
+
 def discriminating(fields: DataFrame, dedup: str = "identical") -> DataFrame:
     """(event_id, ord, name, value) of the long form of parse_fields: values that tell events apart. They are of known fields but ids, no plain numbers, of four letters or more or with a blank or slash, 200 characters at most.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import assess, evaluate
+from tracewright.operators import assess, evaluate, normalise
 from tracewright.operators.rules import LEVELS
+from tracewright.sources import catalog
 from tracewright.workspace import table
 
 def quote_check(spark, d):
@@ -25,6 +26,25 @@ def mapping_redirects(spark, d):
     return assess.redirects(_kb(spark, d))
 
 
+def redirect_chains(spark, d):
+    """Chains of up to 39 hops, circles and unknown ends."""
+    k = F.col("o_orderkey")
+    after = F.when(k % 1000 == 7, k - 6).when(k % 1000 == 50, F.lit(-5)).when(k % 40 != 0, F.when(k % 1000 == 1, k + 6).otherwise(k - 1))
+    return assess.redirects(table(spark, d, "orders").select(k.alias("id"), after.alias("revoked_by")))
+
+
+_NAMES = ["ReadData (or ListDirectory)", "DELETE", "Query key value", "Set key value", "Notify about changes to keys", "Child", "data", "Execute/Traverse", "DeleteChild", "read", "no such right", "-", "WRITE_DAC"]
+
+
+def access_name_bits(spark, d):
+    """Names of rights to bits: the same words, the only bit that has them all, several, none."""
+    e = table(spark, d, "events")
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES)).cast("int"))
+    family = F.get(F.array(*map(F.lit, ["file", "registry", "process"])), (F.col("user_id") % 3).cast("int"))
+    n = normalise.access_names(e.select(F.col("event_id").alias("row"), F.lit(0).alias("ord"), name.alias("name"), family.alias("family")))
+    return n.groupBy("name", "family", "bit", "kind", "how").agg(F.count("*").alias("n"))
+
+
 def mapping_validation(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("mapping_id"), F.concat(F.lit("K"), F.col("c_custkey") % 28).alias("technique"), F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("name"), F.get(F.array(*map(F.lit, LEVELS)), (F.col("c_custkey") % 4).cast("int")).alias("level"), F.concat(F.lit("customer segment "), F.lower("c_mktsegment")).alias("text"), F.array(F.concat(F.lit("segment "), F.lower("c_mktsegment")), F.lit("nowhere present")).alias("evidence"))
     grounded = c.where("mapping_id % 3 <> 0").select("mapping_id", F.when(F.col("technique").isin("K3", "K4"), "K5").otherwise(F.col("technique")).alias("technique"))
@@ -144,8 +164,20 @@ v AS (SELECT l_orderkey, idx, l_partkey, l_suppkey, CASE WHEN a THEN 'SUFFICIENT
 _EXP = """e AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' || o_orderkey % 25 END AS id, 'N' || (o_orderkey + 1) % 25 AS alt, 'R' || o_orderkey % 5 AS tactic FROM orders),
 p AS (SELECT l_orderkey AS key, l_linenumber AS rank, 'N' || l_partkey % 30 AS id FROM lineitem),
 k AS (SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || (n_nationkey + 3) % 25 END AS parent, 'R' || n_regionkey AS tactic FROM nation)"""
-QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, loss_layers)}
+QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, redirect_chains, access_name_bits, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, loss_layers)}
 ORACLE_SQL = {
+    "redirect_chains": """WITH RECURSIVE k AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN o_orderkey - 6 WHEN o_orderkey % 1000 = 50 THEN -5 WHEN o_orderkey % 40 <> 0 THEN CASE WHEN o_orderkey % 1000 = 1 THEN o_orderkey + 6 ELSE o_orderkey - 1 END END AS nxt FROM orders),
+w AS (SELECT id, id AS at, 0 AS hops FROM k UNION ALL SELECT w.id, nxt, hops + 1 FROM w JOIN k ON k.id = w.at WHERE nxt IS NOT NULL AND hops < 60),
+t AS (SELECT w.id, w.at, w.hops FROM w JOIN k ON k.id = w.at WHERE k.nxt IS NULL)
+SELECT k.id, t.at AS target, t.hops FROM k LEFT JOIN t ON t.id = k.id""",
+    "access_name_bits": f"""WITH b AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{n}', '{k}')" for f in ("file", "registry", "process") for _, n, k in catalog.MASKS[f] + catalog.MASKS["standard"])}) v(family, bit, kind)),
+n AS (SELECT * FROM (VALUES ('ReadData (or ListDirectory)', ['read', 'data']), ('DELETE', ['delete']), ('Query key value', ['query', 'key', 'value']), ('Set key value', ['set', 'key', 'value']), ('Notify about changes to keys', ['notify', 'about', 'changes', 'to', 'keys']), ('Child', ['child']), ('data', ['data']), ('Execute/Traverse', ['execute']), ('DeleteChild', ['delete', 'child']), ('read', ['read']), ('no such right', ['no', 'such', 'right']), ('-', []), ('WRITE_DAC', ['write', 'dac'])) v(name, ws)),
+f AS (SELECT * FROM (VALUES ('file'), ('registry'), ('process')) v(family)),
+m AS (SELECT name, f.family, bit, kind, len(string_split(lower(bit), '_')) = len(ws) AS same FROM n, f JOIN b USING (family) WHERE len(ws) > 0 AND list_has_all(string_split(lower(bit), '_'), ws)),
+g AS (SELECT name, family, count(*) FILTER (same) AS e, count(*) FILTER (NOT same) AS l, min({{'bit': bit, 'kind': kind}}) FILTER (same) AS s, min({{'bit': bit, 'kind': kind}}) FILTER (NOT same) AS o FROM m GROUP BY name, family),
+r AS (SELECT name, family, CASE WHEN name LIKE 'Notify%' AND family = 'registry' THEN {{'bit': 'KEY_NOTIFY', 'kind': 'read'}} WHEN e = 1 THEN s WHEN l = 1 THEN o END AS b, CASE WHEN name LIKE 'Notify%' AND family = 'registry' THEN 'alias' WHEN e = 1 THEN 'equal' WHEN l = 1 THEN 'contained' WHEN e + l > 0 THEN 'ambiguous' ELSE 'unknown' END AS how FROM n CROSS JOIN f LEFT JOIN g USING (name, family)),
+q AS (SELECT [{", ".join(f"'{x}'" for x in _NAMES)}][event_id % {len(_NAMES)} + 1] AS name, ['file', 'registry', 'process'][user_id % 3 + 1] AS family FROM events)
+SELECT name, family, b.bit AS bit, coalesce(b.kind, 'unknown') AS kind, how, count(*) AS n FROM q JOIN r USING (name, family) GROUP BY ALL""",
     "mapping_redirects": "SELECT 'K' || n_nationkey AS id, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey IN (3, 4) THEN 'K5' ELSE 'K' || n_nationkey END AS target, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 4 THEN 1 ELSE 0 END AS hops FROM nation",
     "evidence_gate": """WITH m AS (SELECT 'T' || user_id % 4 AS technique, event_id AS row, event_type, value, event_id % 5 <> 0 AS has FROM events)
 SELECT technique, row, CASE technique WHEN 'T3' THEN 'silent' WHEN 'T0' THEN CASE WHEN event_type = 'error' THEN 'confirm' WHEN NOT has THEN 'abstain' ELSE 'reject' END WHEN 'T1' THEN CASE WHEN value > 300 THEN 'confirm' ELSE 'reject' END ELSE CASE WHEN NOT has THEN 'abstain' ELSE 'reject' END END AS verdict FROM m""",

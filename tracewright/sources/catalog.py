@@ -290,6 +290,8 @@ MASKS = {
     'process': [(16, 'PROCESS_VM_READ', 'read'), (32, 'PROCESS_VM_WRITE', 'write'), (8, 'PROCESS_VM_OPERATION', 'write'), (1024, 'PROCESS_QUERY_INFORMATION', 'read')],
 }
 OBJECT_TYPES = {'key': 'registry', 'registry': 'registry', 'file': 'file', 'directory': 'file', 'process': 'process', 'token': 'standard'}
+# Names whose words don't tell the bit, without blanks, underscores and dashes.
+ACCESS_ALIASES = {'notifyaboutchangestokeys': 'KEY_NOTIFY'}
 # Log sources by id: single ids first, then ranges.
 SOURCE_IDS = {'4104': 'PowerShell operational', '400': 'PowerShell classic', '403': 'PowerShell classic', '104': 'PowerShell classic', '1102': 'Windows Security'}
 SOURCE_RANGES = [(1, 30, 'Sysmon'), (4000, 5999, 'Windows Security'), (7000, 7999, 'Windows System')]
