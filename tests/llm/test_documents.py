@@ -411,9 +411,27 @@ def test_bounds_leave_few():
     rng = np.random.default_rng(4)
     rows = np.floor(1024 * (v := rng.normal(size=(3000, 64))) / np.linalg.norm(v, axis=1)[:, None])
     ids, scores = np.arange(3000), rows @ rows[:20].T
+    rows = rows.astype(np.int64)
     seeds = np.array([topk.kth(np.delete(scores[:700, x], x), 10) for x in range(20)])
     found, resolved = topk.Lists(rows, ids).top(rows[:20], ids[:20], seeds, 10)
     assert resolved < 0.05 * 20 * 3000
     for x in range(20):
         best = sorted((-int(s), i) for i, s in enumerate(scores[:, x].tolist()) if i != x)[:10]
         assert [(i, s) for q, i, s in found if q == x] == [(i, -s) for s, i in best]
+
+
+@pytest.mark.parametrize("size", [1e5, 3e6, 1e9, 3e9, 1e15])
+def test_topk_of_large_components(spark, size):
+    """Whole numbers are exact beyond 2^53, and scores beyond 64 bits keep their order."""
+    rng = np.random.default_rng(11)
+    rows = np.floor(rng.normal(size=(300, 64)) * size).astype(np.int64)
+    rows[50:60] = rows[40:50]  # equal scores
+    rows[60:70] = rows[40:50]
+    rows[60:70, 0] += 1  # scores that differ in the last digits
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, v array<bigint>").repartition(3)
+    got = {}
+    for r in topk.top(df, df.where("vec_id in (0, 45, 100)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 45, 100):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q].tolist(), r.tolist(), strict=True)), i) for i, r in enumerate(rows) if i != q)[:10]
+        assert got[q] == [(i, topk.fitting(-s)) for s, i in scores]

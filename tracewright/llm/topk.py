@@ -7,7 +7,7 @@ A candidate whose upper bound is below the k-th best lower bound is out. Reading
 rounds end; only then are the final scores of those that are left resolved.
 
 The first k-th lower bound of a query is its k-th best score among a bounded sample of candidates, so most outsiders go in the first round, which is one
-matrix product for all queries at hand. Candidates are never copied, however many queries there are: a task holds one block of
+matrix product for all queries at hand. Bounds are floating-point numbers that allow for their own error; final scores are whole numbers, exact at any size. Candidates are never copied, however many queries there are: a task holds one block of
 them and the queries stream by. A last window keeps each query's k best of all blocks.
 """
 
@@ -32,11 +32,31 @@ def kth(scores: np.ndarray, k: int) -> float:
     return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
 
 
+def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers: as 64-bit integers where they fit, else as Python's."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    most = int(np.abs(rows.astype(object)).max() if (rows == np.iinfo(np.int64).min).any() else np.abs(rows).max()) * sum(abs(int(x)) for x in query)
+    return rows @ query if most < 1 << 63 else rows.astype(object) @ query.astype(object)
+
+
+def fitting(score: int) -> int:
+    """The nearest 64-bit integer."""
+    return max(-(1 << 63), min(int(score), (1 << 63) - 1))
+
+
+def slack(rows: int, most: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """How far a product of floating-point numbers may be from the whole number it stands for, a query: rows components of at most `most` each."""
+    return np.abs(queries) @ most * (rows + 4) * 2.0**-51
+
+
 class Lists:
-    """A block's candidates with their sorted lists. Whole numbers within 2^53 are exact."""
+    """A block's candidates with their sorted lists. whole are the candidates as 64-bit integers."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray):
-        self.rows, self.ids, self.lists = rows, ids, np.sort(rows, axis=0)
+    def __init__(self, whole: np.ndarray, ids: np.ndarray):
+        rows = whole.astype(np.float64)
+        self.whole, self.rows, self.ids, self.lists = whole, rows, ids, np.sort(rows, axis=0)
+        self.most = np.abs(rows).max(0)
         head, foot = self.read(DEPTHS[0])
         self.first = np.concatenate([np.maximum(rows, head), np.minimum(rows, foot)], 1)
 
@@ -46,24 +66,26 @@ class Lists:
         t = min(n, max(1, int(n * depth)))
         return self.lists[n - t], self.lists[t - 1]
 
-    def top(self, queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
-        """(query id, id, score) of each query's k best with another id and a score of its seed or more, ties to the smaller id; and how many candidates were left to resolve."""
+    def top(self, whole: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
+        """(query id, id, score) of each query's k best with another id and a score of its seed or more, ties to the smaller id; and how many candidates were left to resolve. A score is the nearest 64-bit integer, ranks follow the whole number."""
+        queries = whole.astype(np.float64)
         upper = self.first @ np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1).T
+        may_err = slack(queries.shape[1], self.most, queries)
         out, resolved = [], 0
-        for x, (q, own, seed) in enumerate(zip(queries, query_ids.tolist(), seeds.tolist(), strict=True)):
-            alive = np.flatnonzero((upper[:, x] >= seed) & (self.ids != own))
+        for x, (q, own, seed, err) in enumerate(zip(queries, query_ids.tolist(), seeds.tolist(), may_err.tolist(), strict=True)):
+            seed -= err
+            alive = np.flatnonzero((upper[:, x] >= seed - err) & (self.ids != own))
             for depth in DEPTHS[1:]:
                 if len(alive) <= k:
                     break
                 head, foot = self.read(depth)
                 last, rest, rows = np.where(q > 0, head, foot), np.where(q > 0, self.lists[0], self.lists[-1]), self.rows[alive]
                 seen = np.where(q > 0, rows >= last, rows <= last)
-                least = max(seed, kth(np.where(seen, rows, rest) @ q, k))
-                alive = alive[np.where(seen, rows, last) @ q >= least]
+                least = max(seed, kth(np.where(seen, rows, rest) @ q, k) - err)
+                alive = alive[np.where(seen, rows, last) @ q >= least - err]
             resolved += len(alive)
-            score = self.rows[alive] @ q
-            alive, score = alive[score >= seed], score[score >= seed]
-            best = np.lexsort((self.ids[alive], -score))[:k]
+            score = exact(self.whole[alive], whole[x])
+            best = sorted(range(len(alive)), key=lambda i: (-score[i], self.ids[alive[i]]))[:k] if score.dtype == object else np.lexsort((self.ids[alive], -score))[:k]
             out += [(own, int(self.ids[alive[b]]), int(score[b])) for b in best]
         return out, resolved
 
@@ -76,7 +98,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
 
 
 def seeded(queries: DataFrame, vectors: DataFrame, rows: int, k: int) -> DataFrame:
@@ -85,7 +107,7 @@ def seeded(queries: DataFrame, vectors: DataFrame, rows: int, k: int) -> DataFra
     sample = {}
     for dim, i, v in vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).limit(2 * SAMPLE).select("dim", "vec_id", "v").collect():
         sample.setdefault(dim, []).append((i, v))
-    sample = {dim: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.float64)) for dim, x in sample.items()}
+    sample = {dim: (np.array([i for i, _ in x]), np.array([v for _, v in x], np.int64).astype(np.float64)) for dim, x in sample.items()}
 
     def run(batches):
         for batch in batches:
@@ -94,7 +116,8 @@ def seeded(queries: DataFrame, vectors: DataFrame, rows: int, k: int) -> DataFra
             for dim in set(dims.tolist()) & set(sample):
                 other, known = sample[dim]
                 for some in np.array_split(np.flatnonzero(dims == dim), max(1, int((dims == dim).sum()) // CHUNK)):
-                    scores = known @ _matrix(batch.column(2).take(pa.array(some))).T
+                    asked = _matrix(batch.column(2).take(pa.array(some))).astype(np.float64)
+                    scores = known @ asked.T - slack(dim, np.abs(known).max(0), asked)
                     scores[other[:, None] == ids[some]] = -np.inf
                     if len(other) >= k:
                         seeds[some] = np.partition(scores, len(other) - k, axis=0)[len(other) - k]
@@ -104,7 +127,10 @@ def seeded(queries: DataFrame, vectors: DataFrame, rows: int, k: int) -> DataFra
 
 
 def top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries(vec_id, v) its k best rows of vectors(vec_id, v) with another vec_id and as many components. Repeated rows count as often as they are there."""
+    """query_id, rank, vec_id, score: for each row of queries(vec_id, v) its k best rows of vectors(vec_id, v) with another vec_id and as many components. Repeated rows count as often as they are there.
+
+    A score that no 64-bit integer holds is given as the nearest one; its rank is that of the whole number, to 53 bits of what it exceeds by. Components beyond 64 bits count as the nearest that fits.
+    """
     dim = F.size("v").alias("dim")
     vectors, queries = vectors.select(dim, "vec_id", "v"), queries.select(dim, "vec_id", "v")
     counts = vectors.groupBy("dim").agg(F.count("*").alias("n"))
@@ -136,11 +162,13 @@ def top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 for c in range(0, b - a if lists else 0, CHUNK):
                     some = part.slice(c, CHUNK)
                     found, _ = lists.top(_matrix(some.column(4)), ids[c : c + CHUNK], some.column(5).to_numpy(zero_copy_only=False), k)
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+                    # a score beyond 64 bits is ranked by its excess too
+                    columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([fitting(f[2]) for f in found], pa.int64()), pa.array([float(f[2] - fitting(f[2])) for f in found])]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "excess"])
 
     met = near.unionByName(far).repartition("dim", "block").sortWithinPartitions(*order)
-    found = met.select(*order, "vec_id", "v", "seed").mapInArrow(trimmed(search), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = met.select(*order, "vec_id", "v", "seed").mapInArrow(trimmed(search), "query_id bigint, vec_id bigint, score bigint, excess double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("excess").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
