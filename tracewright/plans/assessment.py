@@ -153,18 +153,61 @@ def run_compare(spark, d):
     return evaluate.run_compare(a, b, "o_orderkey", "v")
 
 
+def _given(spark, d):
+    """Techniques that a run gave each order, and those it was to give."""
+    l = table(spark, d, "lineitem")
+    given = l.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("T"), F.col("l_partkey") % 97).alias("technique"))
+    return given, l.where("l_suppkey % 3 = 0").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("T"), F.col("l_partkey") % 97).alias("technique"))
+
+
+def frequent_false_positives(spark, d):
+    return evaluate.false_positives(*_given(spark, d), 10)
+
+
+def majority_baseline(spark, d):
+    o = table(spark, d, "orders")
+    say = lambda c: F.get(F.array(*map(F.lit, ["INSUFFICIENT_DATA", "SUFFICIENT_BENIGN", "SUFFICIENT_SUSPICIOUS"])), c.cast("int"))
+    made = o.select(F.col("o_orderkey").alias("key"), say(F.col("o_orderkey") % 7 % 3).alias("decision"), say(F.col("o_custkey") % 5 % 3).alias("expected"), (F.col("o_custkey") % 4 == 0).alias("negative"))
+    return evaluate.decision_scores(made, "SUFFICIENT_SUSPICIOUS")
+
+
+_ARMS, _METRICS = ["none", "agents", "loop"], ["score", "abstained"]
+
+
+def arm_means(spark, d):
+    k = F.col("o_orderkey")
+    wide = table(spark, d, "orders").select(k.alias("key"), *[((k * (i + 2)) % 10 / 10).alias(f"{a}_score") for i, a in enumerate(_ARMS)], *[F.when(k % 3 == 0, (k % (i + 2) == 0).cast("int")).alias(f"{a}_abstained") for i, a in enumerate(_ARMS)])
+    return evaluate.arm_summary(evaluate.arm_rows(wide, _ARMS, _METRICS), _METRICS)
+
+
+def _runs(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("place"), F.concat(F.lit("T"), F.col("l_partkey") % 97).alias("technique"), "l_suppkey", "l_partkey")
+    return l.where("l_suppkey % 11 > 0").select("key", "place", "technique"), l.withColumn("technique", F.when(F.col("l_partkey") % 13 == 0, "T-new").otherwise(F.col("technique"))).where("l_suppkey % 7 > 0").select("key", "place", "technique")
+
+
+def run_technique_changes(spark, d):
+    return evaluate.technique_changes(*_runs(spark, d))
+
+
+def arm_differences(spark, d):
+    k = F.col("o_orderkey")
+    return evaluate.arm_compare(*_runs(spark, d), table(spark, d, "orders").select(k.alias("key"), (k % 10 / 10).alias("a"), ((k * 3) % 10 / 10).alias("b")))
+
+
 def loss_layers(spark, d):
     k = F.col("o_orderkey")
     layer = evaluate.loss_layer(k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0, k % 11 == 0)
     return table(spark, d, "orders").groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
+_RUNS = """l AS (SELECT l_orderkey AS key, l_linenumber AS place, 'T' || l_partkey % 97 AS technique, l_suppkey, l_partkey FROM lineitem),
+a AS (SELECT key, place, technique FROM l WHERE l_suppkey % 11 > 0), b AS (SELECT key, place, CASE WHEN l_partkey % 13 = 0 THEN 'T-new' ELSE technique END AS technique FROM l WHERE l_suppkey % 7 > 0)"""
 _DEC = """d AS (SELECT l_orderkey, l_linenumber AS idx, l_partkey, l_suppkey, l_partkey % 10 = 0 AND l_suppkey % 3 = 0 AS a, l_quantity > 35 AND l_returnflag = 'R' AS b, l_suppkey % 5 = 0 AS x, l_quantity > 8 AND l_quantity <= 20 AND l_returnflag = 'A' AND l_suppkey % 3 <> 0 AS z FROM lineitem),
 v AS (SELECT l_orderkey, idx, l_partkey, l_suppkey, CASE WHEN a THEN 'SUFFICIENT_SUSPICIOUS' WHEN b AND x THEN 'SUFFICIENT_BENIGN' WHEN b THEN 'SUFFICIENT_SUSPICIOUS' WHEN z THEN 'SUFFICIENT_BENIGN' ELSE 'INSUFFICIENT_DATA' END AS verdict, CASE WHEN a THEN 'A' WHEN b THEN 'B' WHEN z THEN 'noise' ELSE 'none' END AS path, NOT a AND b AND x AS suppressed FROM d)"""
 _EXP = """e AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' || o_orderkey % 25 END AS id, 'N' || (o_orderkey + 1) % 25 AS alt, 'R' || o_orderkey % 5 AS tactic FROM orders),
 p AS (SELECT l_orderkey AS key, l_linenumber AS rank, 'N' || l_partkey % 30 AS id FROM lineitem),
 k AS (SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || (n_nationkey + 3) % 25 END AS parent, 'R' || n_regionkey AS tactic FROM nation)"""
-QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, redirect_chains, access_name_bits, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, loss_layers)}
+QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, redirect_chains, access_name_bits, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, frequent_false_positives, majority_baseline, arm_means, run_technique_changes, arm_differences, loss_layers)}
 ORACLE_SQL = {
     "redirect_chains": """WITH RECURSIVE k AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN o_orderkey - 6 WHEN o_orderkey % 1000 = 50 THEN -5 WHEN o_orderkey % 40 <> 0 THEN CASE WHEN o_orderkey % 1000 = 1 THEN o_orderkey + 6 ELSE o_orderkey - 1 END END AS nxt FROM orders),
 w AS (SELECT id, id AS at, 0 AS hops FROM k UNION ALL SELECT w.id, nxt, hops + 1 FROM w JOIN k ON k.id = w.at WHERE nxt IS NOT NULL AND hops < 60),
@@ -178,6 +221,20 @@ g AS (SELECT name, family, count(*) FILTER (same) AS e, count(*) FILTER (NOT sam
 r AS (SELECT name, family, CASE WHEN name LIKE 'Notify%' AND family = 'registry' THEN {{'bit': 'KEY_NOTIFY', 'kind': 'read'}} WHEN e = 1 THEN s WHEN l = 1 THEN o END AS b, CASE WHEN name LIKE 'Notify%' AND family = 'registry' THEN 'alias' WHEN e = 1 THEN 'equal' WHEN l = 1 THEN 'contained' WHEN e + l > 0 THEN 'ambiguous' ELSE 'unknown' END AS how FROM n CROSS JOIN f LEFT JOIN g USING (name, family)),
 q AS (SELECT [{", ".join(f"'{x}'" for x in _NAMES)}][event_id % {len(_NAMES)} + 1] AS name, ['file', 'registry', 'process'][user_id % 3 + 1] AS family FROM events)
 SELECT name, family, b.bit AS bit, coalesce(b.kind, 'unknown') AS kind, how, count(*) AS n FROM q JOIN r USING (name, family) GROUP BY ALL""",
+    "frequent_false_positives": """WITH g AS (SELECT DISTINCT l_orderkey AS key, 'T' || l_partkey % 97 AS technique FROM lineitem), e AS (SELECT DISTINCT l_orderkey AS key, 'T' || l_partkey % 97 AS technique FROM lineitem WHERE l_suppkey % 3 = 0),
+c AS (SELECT technique, count(*) AS n FROM g ANTI JOIN e USING (key, technique) GROUP BY technique)
+SELECT technique, n, CAST(row_number() OVER (ORDER BY n DESC, technique) AS INTEGER) AS rank FROM c QUALIFY rank <= 10""",
+    "majority_baseline": """WITH o AS (SELECT ['INSUFFICIENT_DATA', 'SUFFICIENT_BENIGN', 'SUFFICIENT_SUSPICIOUS'][o_orderkey % 7 % 3 + 1] AS decision, ['INSUFFICIENT_DATA', 'SUFFICIENT_BENIGN', 'SUFFICIENT_SUSPICIOUS'][o_custkey % 5 % 3 + 1] AS expected, o_custkey % 4 = 0 AS negative FROM orders),
+m AS (SELECT decision AS majority FROM o GROUP BY 1 ORDER BY count(*) DESC, decision LIMIT 1)
+SELECT count(*) AS n, count(*) FILTER (decision = expected) AS "right", count(*) FILTER (decision = 'SUFFICIENT_SUSPICIOUS' AND negative) AS false_alarms, count(*) FILTER (negative) AS negatives, count(*) FILTER (expected = 'SUFFICIENT_SUSPICIOUS' AND decision <> expected) AS missed, max(majority) AS majority, count(*) FILTER (expected = majority) AS baseline, count(*) FILTER (decision = expected) > count(*) FILTER (expected = majority) AS beats_baseline FROM o, m""",
+    "arm_means": """WITH a AS (SELECT * FROM (VALUES ('none', 2), ('agents', 3), ('loop', 4)) v(arm, f))
+SELECT arm, round(avg((o_orderkey * f) % 10 / 10), 4) AS score, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % f = 0 AS INTEGER) END), 4) AS abstained FROM orders, a GROUP BY arm""",
+    "run_technique_changes": f"""WITH {_RUNS}, x AS (SELECT DISTINCT key, technique FROM a), y AS (SELECT DISTINCT key, technique FROM b), k AS (SELECT key FROM x INTERSECT SELECT key FROM y),
+d AS (SELECT technique, 1 AS p, 0 AS q FROM (SELECT * FROM x EXCEPT SELECT * FROM y) SEMI JOIN k USING (key) UNION ALL SELECT technique, 0, 1 FROM (SELECT * FROM y EXCEPT SELECT * FROM x) SEMI JOIN k USING (key))
+SELECT technique, CAST(sum(p) AS BIGINT) AS only_a, CAST(sum(q) AS BIGINT) AS only_b FROM d GROUP BY technique""",
+    "arm_differences": f"""WITH {_RUNS}, c AS (SELECT DISTINCT key FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))),
+s AS (SELECT o_orderkey % 10 / 10 AS x, (o_orderkey * 3) % 10 / 10 AS y, c.key IS NOT NULL AS changed FROM orders LEFT JOIN c ON c.key = o_orderkey)
+SELECT count(*) AS n, round(round(avg(y), 4) - round(avg(x), 4), 4) AS delta, count(*) FILTER (changed) AS changed, count(*) FILTER (changed AND y > x) AS improved, count(*) FILTER (changed AND y < x) AS worsened FROM s""",
     "mapping_redirects": "SELECT 'K' || n_nationkey AS id, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey IN (3, 4) THEN 'K5' ELSE 'K' || n_nationkey END AS target, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 4 THEN 1 ELSE 0 END AS hops FROM nation",
     "evidence_gate": """WITH m AS (SELECT 'T' || user_id % 4 AS technique, event_id AS row, event_type, value, event_id % 5 <> 0 AS has FROM events)
 SELECT technique, row, CASE technique WHEN 'T3' THEN 'silent' WHEN 'T0' THEN CASE WHEN event_type = 'error' THEN 'confirm' WHEN NOT has THEN 'abstain' ELSE 'reject' END WHEN 'T1' THEN CASE WHEN value > 300 THEN 'confirm' ELSE 'reject' END ELSE CASE WHEN NOT has THEN 'abstain' ELSE 'reject' END END AS verdict FROM m""",
