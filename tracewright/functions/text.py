@@ -46,6 +46,17 @@ def last_of_each(pairs: Column, key: str, value: str) -> Column:
     return let(F.array_sort(F.transform(pairs, lambda p, i: one(i, p))), settled)
 
 
+def first_of_each(pairs: Column, key: str, value: str) -> Column:
+    """The first of the pairs with the same key, in their order. By sorting, as last_of_each."""
+
+    def settled(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | ~F.coalesce(F.get(s, i - 1)["k"].eqNullSafe(x["k"]), F.lit(False)))
+        placed = F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), x["v"].alias("v"))))
+        return F.transform(placed, lambda x: F.struct(x["k"].alias(key), x["v"].alias(value)))
+
+    return let(F.array_sort(F.transform(pairs, lambda p, i: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v")))), settled)
+
+
 def cut_at_gaps(c: Column) -> Column:
     """Pieces that begin after a line end or two blanks; each keeps the white space behind it, so that joining them gives the text again."""
     return F.split(c, r"(?<=\n|\s\s)(?=\S)")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.functions.text import evidence_norm, quoted_share
+from tracewright.functions.text import evidence_norm, quoted_share, shortened
 from tracewright.operators.rules import LEVELS
 from tracewright.sources import catalog
 from tracewright.workspace import discard, materialize
@@ -20,6 +20,8 @@ REQUIRED_TERMS = {
     "T1047": ["wmic.exe", "WMI", "Win32_Process", "COM WMI", "powershell Get-WmiObject"],
     "T1021.006": ["WinRM", "winrs", "WSMAN", "port 5985", "port 5986"],
 }
+#: Characters of a summary at most.
+SUMMARY = 600
 VERDICTS = ["INSUFFICIENT_DATA", "SUFFICIENT_BENIGN", "SUFFICIENT_SUSPICIOUS"]
 HARDNESS = {"SUFFICIENT_BENIGN": 0, "INSUFFICIENT_DATA": 1, "SUFFICIENT_SUSPICIOUS": 2}
 
@@ -85,6 +87,41 @@ def validated(mappings: DataFrame, kb: DataFrame, grounded: DataFrame) -> DataFr
     )
 
 
+def corrected(mappings: DataFrame, kb: DataFrame, grounded: DataFrame) -> DataFrame:
+    """What validated gives, and every claim about a technique put right by the knowledge base: mapping_id, technique, status, name, object_type, tactics, source_url, level, summary, evidence, notes.
+
+    mappings: those of validated, and object_type, tactics ARRAY, source_url, summary; kb: id, name, revoked_by, is_subtechnique, tactics ARRAY, source_url, deprecated. A mapping without
+    one of the terms that its technique needs is rejected. Tactics that aren't the technique's give way to all of its own, addresses are compared without slashes at their
+    end, an unknown level is low, a summary is shortened to SUMMARY characters at a sentence or word, and a deprecated technique is noted.
+    """
+    out = validated(mappings, kb, grounded)
+    know = kb.select(F.col("id").alias("_id"), F.when(F.coalesce("is_subtechnique", F.lit(False)), "sub-technique").otherwise("technique").alias("_type"), F.coalesce("tactics", F.array().cast("array<string>")).alias("_tactics"), F.col("source_url").alias("_url"), F.coalesce("deprecated", F.lit(False)).alias("_old")).dropDuplicates(["_id"])
+    claimed = mappings.select(F.col("mapping_id").alias("_m"), F.col("object_type").alias("_said"), F.coalesce("tactics", F.array().cast("array<string>")).alias("_claims"), F.col("source_url").alias("_at"), F.col("level").alias("_level"), "summary", F.col("text").alias("_text"))
+    j = out.join(claimed, F.col("mapping_id") == F.col("_m")).join(know, F.col("technique") == F.col("_id"), "left")
+    accepted = F.col("status") == "accepted"
+    lacks = accepted & ~required_evidence(F.col("technique"), F.coalesce("_text", F.lit("")))
+    typed = accepted & ~F.col("_said").eqNullSafe(F.col("_type"))
+    moved = accepted & (F.size(F.array_except("_claims", "_tactics")) > 0)
+    address = lambda c: F.rtrim(F.coalesce(c, F.lit("")), F.lit("/"))
+    linked = accepted & (address("_at") != address("_url"))
+    odd = ~F.coalesce(F.col("_level").isin(LEVELS), F.lit(False))
+    long = F.length("summary") > SUMMARY
+    notes = F.array_compact(F.array(*[F.when(c, n) for c, n in ((lacks, "no_required_evidence"), (typed, "type"), (moved, "tactics"), (linked, "url"), (odd, "level"), (accepted & F.col("_old"), "deprecated"), (long, "summary"))]))
+    return j.select(
+        "mapping_id",
+        "technique",
+        F.when(lacks, "rejected").otherwise(F.col("status")).alias("status"),
+        "name",
+        F.when(accepted, F.col("_type")).otherwise(F.col("_said")).alias("object_type"),
+        F.when(moved, F.col("_tactics")).otherwise(F.col("_claims")).alias("tactics"),
+        F.when(linked, F.col("_url")).otherwise(F.col("_at")).alias("source_url"),
+        F.when(odd, "low").otherwise(F.col("level")).alias("level"),
+        F.when(long, shortened(F.col("summary"), SUMMARY)).otherwise(F.col("summary")).alias("summary"),
+        "evidence",
+        F.concat("notes", notes).alias("notes"),
+    )
+
+
 def required_evidence(technique: Column, text: Column) -> Column:
     """Whether the text has one of the terms that the technique needs; true for those that need none."""
     norm = evidence_norm(text)

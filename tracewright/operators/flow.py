@@ -17,7 +17,7 @@ from tracewright.workspace import materialize
 # Fields that relate rows; and the tactic names of the rules' ids.
 SHARED = ["Hostname", "SubjectUserName", "SourceIp", "DestinationIp", "LogonId", "SessionId", "ServiceName", "FilePath"]
 TACTIC_NAMES = {"TA0001": "Initial Access", "TA0002": "Execution", "TA0003": "Persistence", "TA0004": "Privilege Escalation", "TA0005": "Stealth", "TA0006": "Credential Access", "TA0007": "Discovery", "TA0008": "Lateral Movement", "TA0009": "Collection", "TA0010": "Exfiltration", "TA0011": "Command And Control", "TA0040": "Impact", "TA0112": "Defense Impairment"}
-#: Indicators that an incident lists, the first seen.
+#: Indicators that an incident lists, the first seen; indicators() has them all.
 INDICATORS = 500
 #: A rule has no score of its own; its level stands for one.
 LEVEL_SCORES = {"high": 0.9, "medium": 0.6, "low": 0.3, "insufficient": 0.1}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.text import estimated_tokens
+from tracewright.operators.retrieve import greedy_chunks
 
 OBJECT = "id string, type string, name string, description string, external_references array<struct<source_name:string,external_id:string,url:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, x_mitre_is_subtechnique boolean, x_mitre_platforms array<string>, x_mitre_shortname string, x_mitre_deprecated boolean, revoked boolean, created string, modified string, relationship_type string, source_ref string, target_ref string, x_mitre_analytic_refs array<string>, x_mitre_log_source_references array<struct<x_mitre_data_component_ref:string,name:string>>"
 
@@ -63,6 +64,20 @@ def techniques(objects: DataFrame) -> DataFrame:
         F.coalesce("procedures", F.array().cast("array<struct<actor:string,actor_type:string,description:string>>")).alias("procedures"), "detection", "created", "modified", F.coalesce("x_mitre_deprecated", F.lit(False)).alias("deprecated"), F.col("url").alias("source_url"))
 
 
+def tactics(objects: DataFrame) -> DataFrame:
+    """(attack_id, name, shortname, description, source_url, deprecated) of each tactic."""
+    o = external_id(objects.where(F.col("type") == "x-mitre-tactic"))
+    return o.select("attack_id", "name", F.col("x_mitre_shortname").alias("shortname"), F.coalesce("description", F.lit("")).alias("description"), F.col("url").alias("source_url"), F.coalesce("x_mitre_deprecated", F.lit(False)).alias("deprecated"))
+
+
+def mitigations(objects: DataFrame) -> DataFrame:
+    """(attack_id, name, description, techniques, source_url, deprecated) of each mitigation; techniques are the ids that it counters, in order."""
+    o = external_id(objects.where(F.col("type") != "relationship"))
+    ids = related(objects, "mitigates").join(o.where(F.col("type") == "attack-pattern").select(F.col("id").alias("target_ref"), F.col("attack_id").alias("_aid")), "target_ref").groupBy(F.col("source_ref").alias("id")).agg(F.array_sort(F.collect_set("_aid")).alias("techniques"))
+    m = o.where(F.col("type") == "course-of-action").join(ids, "id", "left")
+    return m.select("attack_id", "name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("techniques", F.array().cast("array<string>")).alias("techniques"), F.col("url").alias("source_url"), F.coalesce("x_mitre_deprecated", F.lit(False)).alias("deprecated"))
+
+
 def chunks(kb: DataFrame) -> DataFrame:
     """(chunk_id, attack_id, content_type, text): description and detection of each technique of kb(attack_id, name, tactics, description, detection); blank ones have none."""
     head = F.concat(F.col("attack_id"), F.lit(" "), F.col("name"), F.lit(" ["), F.array_join("tactics", ", "), F.lit("]\n"))
@@ -81,16 +96,8 @@ def procedure_chunks(kb: DataFrame, limit: int = 600) -> DataFrame:
     head = _head(kb)
     lines = kb.select("attack_id", head.alias("head"), F.posexplode("procedures").alias("n", "p")).withColumn("line", F.concat(F.lit("- "), "p.actor", F.lit(" ("), "p.actor_type", F.lit("): "), "p.description"))
     start = lines.withColumn("cost", estimated_tokens(F.col("line"))).withColumn("start", estimated_tokens(F.col("head")))
-    folded = start.groupBy("attack_id", "head", "start").agg(F.array_sort(F.collect_list(F.struct("n", "line", "cost"))).alias("xs"))
-    # as greedy_chunks, but each technique's head has a cost of its own
-    empty = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["used"] > 0) & (acc["used"] + x["cost"] + F.col("start") > limit)
-        bucket = F.when(full, acc["bucket"] + 1).otherwise(acc["bucket"])
-        return F.struct(bucket.alias("bucket"), (F.when(full, F.lit(0).cast("bigint")).otherwise(acc["used"]) + x["cost"]).alias("used"), F.concat(acc["out"], F.array(bucket)).alias("out"))
-
-    dealt = folded.select("attack_id", "head", F.explode(F.arrays_zip("xs", F.aggregate("xs", empty, step, lambda a: a["out"]).alias("b"))).alias("z")).select("attack_id", "head", "z.xs.n", "z.xs.line", F.col("z.b").alias("bucket"))
+    bucket = greedy_chunks(start, "attack_id", "n", "cost", limit, "start").select("attack_id", "n", "bucket")
+    dealt = start.join(bucket, ["attack_id", "n"])
     packed = dealt.groupBy("attack_id", "head", "bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return packed.select(F.concat_ws("::", "attack_id", F.lit("procedure_example"), "bucket").alias("chunk_id"), "attack_id", F.lit("procedure_example").alias("content_type"), F.concat("head", F.lit("\nProcedures:\n"), "body").alias("text"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.functions.text import access_bit, access_class, name_tokens, first_present, mask_bits, mask_value, registry_path
+from tracewright.functions.text import access_bit, access_class, first_of_each, let, name_tokens, first_present, mask_bits, mask_value, registry_path
 from tracewright.sources import catalog
 
 #: Rows that an entry of a grouped timeline lists.
@@ -190,17 +190,21 @@ def enriched(raw: Column, platform_: Column, remote: Column) -> Column:
 
 
 def facts(raw: Column) -> Column:
-    """A map of every key=value pair of a text, the first of a key; of a Message, labelled values fill fields that the pairs leave open."""
+    """A map of every key=value pair of a text, the first of a key that says something; of a Message, labelled values fill fields that the pairs leave open."""
     from tracewright.functions.logparse import message_pairs, spaced_pairs
     from tracewright.functions.text import norm_key, present
 
     older = {re.sub(r"[\s_]+", "", a).lower(): catalog.LEGACY.get(k, a) for k, names in catalog.FIELDS.items() for a in [k, *names]}
     name = F.create_map(*[F.lit(x) for kv in older.items() for x in kv])
-    pairs = F.coalesce(spaced_pairs(raw), F.array().cast("array<struct<key:string,value:string>>"))
-    message = F.get(F.filter(pairs, lambda p: p["key"] == "Message"), F.lit(0))["value"]
-    labelled = F.filter(F.transform(F.coalesce(message_pairs(message), F.array().cast("array<struct<key:string,value:string>>")), lambda p: F.struct(name[norm_key(p["key"])].alias("key"), present(p["value"]).alias("value"))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    both = F.concat(pairs, labelled)
-    return F.map_from_entries(F.filter(both, lambda p, i: ~F.exists(F.slice(both, F.lit(1), i), lambda q: q["key"] == p["key"])))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def told(pairs: Column) -> Column:
+        message = F.get(F.filter(pairs, lambda p: p["key"] == "Message"), F.lit(0))["value"]
+        labelled = F.filter(F.transform(F.coalesce(message_pairs(message), none), lambda p: F.struct(name[norm_key(p["key"])].alias("key"), present(p["value"]).alias("value"))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+        says = lambda p: present(p["value"]).isNotNull()
+        return F.map_from_entries(first_of_each(F.concat(F.filter(pairs, says), labelled, F.filter(pairs, lambda p: ~says(p))), "key", "value"))
+
+    return let(F.coalesce(spaced_pairs(raw), none), told)
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -225,10 +229,58 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def grouped_timeline(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(by, sentence, n, first_ts, last_ts, rows): entries that say the same as one, with the first LISTED of their rows in order."""
+    """(by, sentence, n, first_ts, last_ts, rows): entries that say the same as one, with the first LISTED of their rows in order; timeline_rows has them all."""
     key = [*by, "sentence"]
     place = F.row_number().over(Window.partitionBy(*key).orderBy("row"))
     first = entries.select(*key, "row").withColumn("_n", place).where(F.col("_n") <= LISTED).groupBy(*key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
     right = first.select(*[F.col(c).alias(f"_{c}") for c in key], "rows")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
     return entries.groupBy(*key).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).join(right, same).select(*key, "n", "first_ts", "last_ts", "rows")
+
+
+def timeline_rows(entries: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sentence, place, row, ts): every row of every entry of grouped_timeline, a row each, numbered within its entry."""
+    key = [*by, "sentence"]
+    return entries.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("row")).alias("place"), "row", "ts")
+
+
+# Words before a value in running text, for logs that no format fits.
+_LAST = {
+    "process": r"(?i)\b(?:new process name|process name|newprocessname|image)\s*+[:=]\s*+(\"[^\"\n]++\"|[^\s,;{}]++)",
+    "command_line": r"(?i)\b(?:process command line|command line|commandline)\s*+[:=]\s*+(\"(?:[^\"\\\n]++|\\.)*+\"|[^\n]++)",
+    "account": r"(?i)\b(?:account name|subjectusername|user name|username|user)\s*+[:=]\s*+(\"[^\"\n]++\"|[^\s,;{}]++)",
+}
+_FACT_NAMES = {"process": ("process.name", "NewProcessName"), "command_line": ("process.command_line", "CommandLine"), "account": ("account.name", "SubjectUserName")}
+
+
+def by_authority(events: DataFrame) -> DataFrame:
+    """(event_id, format, id, process, process_from, command_line, command_line_from, account, account_from, facts MAP) of events(event_id, raw).
+
+    A value comes from the format's own fields, else from the text's pairs and labels (facts), else from words in running text; <value>_from says which: fields, facts or text. facts
+    are the fields under their own and older names; where the format is key=value or none, pairs and labels of the text fill what these leave open. So a parser's whole value is never covered by a cut one.
+    """
+    from tracewright.functions.logparse import parse_fields
+    from tracewright.functions.text import unescape
+    from tracewright.operators.rules import event_number
+
+    older = F.create_map(*[F.lit(x) for kv in catalog.LEGACY.items() for x in kv])
+    parsed = parse_fields(events).where("informative or not in_schema")
+    named = parsed.select("event_id", "format", F.explode(F.array_compact(F.array(F.struct(F.col("name").alias("key"), "value", "ord"), F.when(older[F.col("name")].isNotNull(), F.struct(older[F.col("name")].alias("key"), "value", "ord"))))).alias("x"))
+    once = named.groupBy("event_id", "x.key").agg(F.min(F.struct("x.ord", "x.value")).alias("v"), F.first("format").alias("format"))
+    own = once.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("v.value")))).alias("own"), F.first("format").alias("format"))
+    e = events.select("event_id", F.coalesce("raw", F.lit("")).alias("raw")).join(own, "event_id", "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<string,string>")))
+    loose = F.col("format").isNull() | (F.col("format") == "space_kv")
+    known = F.map_filter("own", lambda k, _: ~F.startswith(k, F.lit("unknown.")) | ~loose)
+    e = e.withColumn("own", known).withColumn("_told", F.when(loose, facts(F.col("raw"))).otherwise(F.create_map().cast("map<string,string>")))
+    e = e.withColumn("facts", F.map_concat("own", F.map_filter("_told", lambda k, _: ~F.map_contains_key("own", k)))).withColumn("id", event_number(F.map_concat(F.map_filter("own", lambda k, _: k != "Message"), F.create_map(F.lit("Message"), F.col("raw")))))
+
+    def best(name: str) -> list[Column]:
+        field, fact = _FACT_NAMES[name]
+        found = F.nullif(F.trim(F.regexp_extract("raw", _LAST[name], 1)), F.lit(""))
+        bare = F.when(F.startswith(found, F.lit('"')) & F.endswith(found, F.lit('"')) & (F.length(found) > 1), unescape(F.substring(found, F.lit(2), F.length(found) - 2))).otherwise(found)
+        # labels of a Message give their values under canonical names where no older name stands
+        bare = first_present(bare)
+        first, second = first_present(F.col("own")[field]), first_present(F.col("facts")[fact], F.col("facts")[field])
+        return [F.coalesce(first, second, bare).alias(name), F.when(first.isNotNull(), "fields").when(second.isNotNull(), "facts").when(bare.isNotNull(), "text").alias(f"{name}_from")]
+
+    return e.select("event_id", "format", "id", *[c for name in _FACT_NAMES for c in best(name)], "facts")

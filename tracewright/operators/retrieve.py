@@ -136,22 +136,52 @@ def pack(blocks: DataFrame, by: list[str], order: str, size: str, budget: int) -
     return blocks.withColumn("running", total).withColumn("place", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("place") == 1))
 
 
-def greedy_chunks(items: DataFrame, by: str, order: str, cost: str, limit: int, header: int) -> DataFrame:
-    """items with bucket: filled in order until the next item would pass the limit, each starting with the header's cost.
+def greedy_chunks(items: DataFrame, by: str, order: str, cost: str, limit: int, header: int | str) -> DataFrame:
+    """items(by, order, cost) with bucket: filled in order until the next item would pass the limit, each starting with the header's cost, which is a number or a column.
 
-    The fold needs each group's items in order and holds costs alone; a group is one technique's examples or one document's lines.
+    Groups are dealt over tasks and sorted there; a task goes once through its rows and remembers a bucket and a sum, so neither a group's size nor its cells matter. A null cost is 0.
     """
-    packed = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("bigint").alias("c")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("bucket"), F.lit(header).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
+    start = F.lit(header) if isinstance(header, int) else F.col(header)
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (by, order)}
+    dealt = items.select(by, order, F.coalesce(F.col(cost), F.lit(0)).cast("bigint").alias("_c"), F.coalesce(start, F.lit(0)).cast("bigint").alias("_h")).repartition(by).sortWithinPartitions(by, order)
 
-    def step(acc, x):
-        full = (acc["used"] + x["c"] > limit) & (acc["used"] > header)
-        bucket = F.when(full, acc["bucket"] + 1).otherwise(acc["bucket"])
-        used = F.when(full, F.lit(header).cast("bigint")).otherwise(acc["used"]) + x["c"]
-        return F.struct(bucket.alias("bucket"), used.alias("used"), F.concat(acc["out"], F.array(bucket)).alias("out"))
+    def run(batches):
+        import pyarrow as pa
 
-    folded = packed.select(by, "xs", F.aggregate("xs", start, step, lambda a: a["out"]).alias("b"))
-    return folded.select(by, F.explode(F.arrays_zip("xs", "b")).alias("z")).select(by, F.col("z.xs.o").alias(order), F.col("z.xs.c").alias(cost), F.col("z.b").alias("bucket"))
+        group, used, bucket = object(), 0, 0
+        for batch in batches:
+            out = []
+            for key, c, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if key != group:
+                    group, used, bucket = key, h, 0
+                elif used + c > limit and used > h:
+                    bucket, used = bucket + 1, h
+                used += c
+                out.append(bucket)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int32())], [by, order, cost, "bucket"])
+
+    return dealt.mapInArrow(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{cost}` bigint, bucket int")
+
+
+def context_blocks(chunks: DataFrame, budget: int | None = 8_500, clip: int = 900, first: int | None = 8) -> DataFrame:
+    """(query_id, place, attack_id, block): what a model is shown of chunks(query_id, rank, attack_id, content_type, text, name, object_type, url, revoked, deprecated).
+
+    The first chunks of a query by rank count, all for None. A text longer than clip is cut there, without blanks at its end, and marked. Chunks of one entry stand together where its best one stands, under a line that names it,
+    and above its address. Blocks follow until one would pass budget characters with the two between blocks; the first always stays, and nothing after the first that doesn't fit.
+    """
+    by_rank = Window.partitionBy("query_id").orderBy("rank")
+    some = chunks.withColumn("_n", F.row_number().over(by_rank)).where(F.col("_n") <= first) if first else chunks.withColumn("_n", F.row_number().over(by_rank))
+    text = F.when(F.length("text") > clip, F.concat(F.rtrim(F.substring("text", 1, clip), F.lit(" \t\n\r\f\x0b")), F.lit(" [...]"))).otherwise(F.col("text"))
+    told = some.withColumn("_line", F.struct("_n", F.concat(F.lit("("), "content_type", F.lit(") "), text).alias("t"), "name", "object_type", "url", F.coalesce("revoked", F.lit(False)).alias("revoked"), F.coalesce("deprecated", F.lit(False)).alias("deprecated")))
+    entry = told.groupBy("query_id", "attack_id").agg(F.array_sort(F.collect_list("_line")).alias("l")).withColumn("h", F.get("l", F.lit(0)))
+    placed = entry.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("h._n")))
+    title = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.col("attack_id"), F.lit(" | "), F.coalesce("h.name", F.lit("-")), F.lit(" | "), F.coalesce("h.object_type", F.lit("-")), F.when(F.col("h.revoked"), " | revoked").otherwise(""), F.when(F.col("h.deprecated"), " | deprecated").otherwise(""))
+    block = F.concat_ws("\n", title, F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.concat(F.lit("Source: "), F.coalesce("h.url", F.lit("-"))))
+    blocks = placed.select("query_id", "place", "attack_id", block.alias("block"))
+    if budget is None:
+        return blocks
+    upto = F.sum(F.length("block") + 2).over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - 2
+    return blocks.withColumn("_upto", upto).where((F.col("_upto") <= budget) | (F.col("place") == 1)).drop("_upto")
 
 
 #: Digests that one digest of the next level covers.

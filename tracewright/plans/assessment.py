@@ -52,6 +52,22 @@ def mapping_validation(spark, d):
     return v.select("mapping_id", "technique", "status", "name", "level", F.size("evidence").alias("quotes"), F.array_join("notes", ",").alias("notes"))
 
 
+def mapping_corrections(spark, d):
+    """Claims about techniques put right: each note has rows."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    of = k % 10
+    technique = F.when(of == 9, F.lit("T1021.006")).otherwise(F.concat(F.lit("K"), of.cast("string")))
+    m = c.select(
+        k.alias("mapping_id"), technique.alias("technique"), F.concat(F.lit("NATION_"), of.cast("string")).alias("name"), F.get(F.array(*map(F.lit, [*LEVELS, "sure"])), (k % 5).cast("int")).alias("level"), F.concat(F.lit("segment "), F.lower("c_mktsegment"), F.when(k % 20 == 9, " by winrs").otherwise("")).alias("text"),
+        F.array(F.concat(F.lit("segment "), F.lower("c_mktsegment"))).alias("evidence"), F.when(k % 3 > 0, "technique").alias("object_type"), F.when(k % 4 == 0, F.array(F.lit("R9"))).when(k % 4 == 1, F.array(F.lit("R1"), F.lit("R2"))).alias("tactics"), F.when(k % 2 == 0, F.concat(F.lit("u/"), of.cast("string"), F.lit("/"))).otherwise("other").alias("source_url"), F.repeat(F.lit("word "), (k % 7 * 30).cast("int")).alias("summary"),
+    )
+    n = F.col("n_nationkey")
+    kb = table(spark, d, "nation").where("n_nationkey < 10").select(F.when(n == 9, "T1021.006").otherwise(F.concat(F.lit("K"), n.cast("string"))).alias("id"), F.concat(F.lit("NATION_"), n.cast("string")).alias("name"), F.lit(None).cast("string").alias("revoked_by"), (n % 2 == 1).alias("is_subtechnique"), F.array(F.lit("R1"), F.lit("R2")).alias("tactics"), F.concat(F.lit("u/"), n.cast("string")).alias("source_url"), (n == 4).alias("deprecated"))
+    v = assess.corrected(m, kb, m.select("mapping_id", "technique"))
+    return v.select("mapping_id", "status", "object_type", F.array_join("tactics", ",").alias("tactics"), "source_url", "level", F.length("summary").alias("summary"), F.array_join("notes", ",").alias("notes"))
+
+
 def evidence_gate(spark, d):
     e = table(spark, d, "events")
     m = e.select(F.concat(F.lit("T"), F.col("user_id") % 4).alias("technique"), F.col("event_id").alias("row"))
@@ -96,18 +112,6 @@ def suppression_semijoin(spark, d):
     return assess.suppressed(s, assess.expected_actors(spark)).select("s_suppkey")
 
 
-def kb_parent_child(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name").agg(F.count("*").alias("children"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"))
-
-
-def kb_three_hop(spark, d):
-    """Regions to the part types that their suppliers deliver, over nation, supplier and lineitem."""
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
-    used = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("n_regionkey", "l_partkey").distinct()
-    return used.join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).groupBy("n_regionkey").agg(F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
-
-
 def _expected(spark, d):
     o = table(spark, d, "orders")
     ids = F.when(F.col("o_orderkey") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string"))))
@@ -207,7 +211,7 @@ v AS (SELECT l_orderkey, idx, l_partkey, l_suppkey, CASE WHEN a THEN 'SUFFICIENT
 _EXP = """e AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' || o_orderkey % 25 END AS id, 'N' || (o_orderkey + 1) % 25 AS alt, 'R' || o_orderkey % 5 AS tactic FROM orders),
 p AS (SELECT l_orderkey AS key, l_linenumber AS rank, 'N' || l_partkey % 30 AS id FROM lineitem),
 k AS (SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || (n_nationkey + 3) % 25 END AS parent, 'R' || n_regionkey AS tactic FROM nation)"""
-QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, redirect_chains, access_name_bits, mapping_validation, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, kb_parent_child, kb_three_hop, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, frequent_false_positives, majority_baseline, arm_means, run_technique_changes, arm_differences, loss_layers)}
+QUERIES = {f.__name__: f for f in (quote_check, mapping_redirects, redirect_chains, access_name_bits, mapping_validation, mapping_corrections, evidence_gate, apply_decisions, confidence_composite, event_decision, alarm_combine, suppression_semijoin, metric_hierarchical, metric_recall_at_k, metric_hallucination, metric_abstention, run_summary, run_compare, frequent_false_positives, majority_baseline, arm_means, run_technique_changes, arm_differences, loss_layers)}
 ORACLE_SQL = {
     "redirect_chains": """WITH RECURSIVE k AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN o_orderkey - 6 WHEN o_orderkey % 1000 = 50 THEN -5 WHEN o_orderkey % 40 <> 0 THEN CASE WHEN o_orderkey % 1000 = 1 THEN o_orderkey + 6 ELSE o_orderkey - 1 END END AS nxt FROM orders),
 w AS (SELECT id, id AS at, 0 AS hops FROM k UNION ALL SELECT w.id, nxt, hops + 1 FROM w JOIN k ON k.id = w.at WHERE nxt IS NOT NULL AND hops < 60),
@@ -235,6 +239,10 @@ SELECT technique, CAST(sum(p) AS BIGINT) AS only_a, CAST(sum(q) AS BIGINT) AS on
     "arm_differences": f"""WITH {_RUNS}, c AS (SELECT DISTINCT key FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))),
 s AS (SELECT o_orderkey % 10 / 10 AS x, (o_orderkey * 3) % 10 / 10 AS y, c.key IS NOT NULL AS changed FROM orders LEFT JOIN c ON c.key = o_orderkey)
 SELECT count(*) AS n, round(round(avg(y), 4) - round(avg(x), 4), 4) AS delta, count(*) FILTER (changed) AS changed, count(*) FILTER (changed AND y > x) AS improved, count(*) FILTER (changed AND y < x) AS worsened FROM s""",
+    "mapping_corrections": """WITH m AS (SELECT c_custkey AS mapping_id, c_custkey % 10 AS t, ['high', 'medium', 'low', 'insufficient', 'sure'][c_custkey % 5 + 1] AS level, CASE WHEN c_custkey % 3 > 0 THEN 'technique' END AS said, CASE c_custkey % 4 WHEN 0 THEN ['R9'] WHEN 1 THEN ['R1', 'R2'] ELSE [] END AS ta, CASE WHEN c_custkey % 2 = 0 THEN 'u/' || c_custkey % 10 || '/' ELSE 'other' END AS url, c_custkey % 7 * 30 AS words FROM customer),
+r AS (SELECT *, t = 9 AND mapping_id % 20 <> 9 AS lacks, CASE WHEN t % 2 = 1 THEN 'sub-technique' ELSE 'technique' END AS ty FROM m)
+SELECT mapping_id, CASE WHEN lacks THEN 'rejected' ELSE 'accepted' END AS status, ty AS object_type, CASE WHEN mapping_id % 4 = 0 THEN 'R1,R2' ELSE array_to_string(ta, ',') END AS tactics, CASE WHEN rtrim(url, '/') <> 'u/' || t THEN 'u/' || t ELSE url END AS source_url, CASE WHEN level = 'sure' THEN 'low' ELSE level END AS level, CAST(CASE WHEN words * 5 > 600 THEN 602 ELSE words * 5 END AS INTEGER) AS summary,
+concat_ws(',', CASE WHEN lacks THEN 'no_required_evidence' END, CASE WHEN said IS DISTINCT FROM ty THEN 'type' END, CASE WHEN mapping_id % 4 = 0 THEN 'tactics' END, CASE WHEN rtrim(url, '/') <> 'u/' || t THEN 'url' END, CASE WHEN level = 'sure' THEN 'level' END, CASE WHEN t = 4 THEN 'deprecated' END, CASE WHEN words * 5 > 600 THEN 'summary' END) AS notes FROM r""",
     "mapping_redirects": "SELECT 'K' || n_nationkey AS id, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey IN (3, 4) THEN 'K5' ELSE 'K' || n_nationkey END AS target, CASE WHEN n_nationkey IN (8, 9, 12) THEN NULL WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 4 THEN 1 ELSE 0 END AS hops FROM nation",
     "evidence_gate": """WITH m AS (SELECT 'T' || user_id % 4 AS technique, event_id AS row, event_type, value, event_id % 5 <> 0 AS has FROM events)
 SELECT technique, row, CASE technique WHEN 'T3' THEN 'silent' WHEN 'T0' THEN CASE WHEN event_type = 'error' THEN 'confirm' WHEN NOT has THEN 'abstain' ELSE 'reject' END WHEN 'T1' THEN CASE WHEN value > 300 THEN 'confirm' ELSE 'reject' END ELSE CASE WHEN NOT has THEN 'abstain' ELSE 'reject' END END AS verdict FROM m""",
@@ -248,8 +256,6 @@ SELECT *, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' WH
     "alarm_combine": f"""WITH {_DEC}, r AS (SELECT *, CASE verdict WHEN 'SUFFICIENT_SUSPICIOUS' THEN 2 WHEN 'INSUFFICIENT_DATA' THEN 1 ELSE 0 END AS h FROM v)
 SELECT l_orderkey, arg_max(verdict, h * 1000 - idx) AS verdict, arg_max(idx, h * 1000 - idx) AS by_event, count(*) FILTER (h = 1) AS insufficient_data, count(*) FILTER (h = 0) AS sufficient_benign, count(*) FILTER (h = 2) AS sufficient_suspicious, count(*) FILTER (suppressed) AS n_suppressed FROM r GROUP BY 1""",
     "suppression_semijoin": "SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0 AND s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 AND s_acctbal > 0",
-    "kb_parent_child": "SELECT r_name, count(*) AS children, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
-    "kb_three_hop": "WITH u AS (SELECT DISTINCT n_regionkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) SELECT n_regionkey, count(*) AS parts, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM u JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "metric_hierarchical": f"""WITH {_EXP}, s AS (SELECT e.key, e.id AS want, max(CASE WHEN p.id IS NULL THEN NULL WHEN p.id = e.id THEN 1.0 WHEN p.id = e.alt THEN 0.7 WHEN p.id = w.parent THEN 0.5 WHEN k.tactic = e.tactic THEN 0.1 ELSE 0.0 END) AS best FROM e LEFT JOIN p USING (key) LEFT JOIN k ON p.id = k.id LEFT JOIN k w ON w.id = e.id GROUP BY ALL)
 SELECT key, CAST(CASE WHEN want IS NULL THEN CASE WHEN best IS NULL THEN 1 ELSE 0 END ELSE coalesce(best, 0) END AS DOUBLE) AS score FROM s""",
     "metric_recall_at_k": f"""WITH {_EXP}, f AS (SELECT key, id, min(rank) AS r FROM p GROUP BY ALL), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY r, id) <= 2)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracewright.functions import logparse, text
-from tracewright.operators import assess, batch, incident, knowledge, normalise, report, retrieve, rules, triage
+from tracewright.operators import assess, batch, incident, normalise, report, retrieve, rules, triage
 from tracewright.plans.incidents import _ISLANDS, _techniques
 from tracewright.plans.retrieval import _COS, ORACLE_SQL as _RETRIEVAL_SQL
 from tracewright.sources import catalog, readers
@@ -149,7 +149,7 @@ def incident_reports(spark, d):
 
 
 def incident_rule_drafts(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 5 = 0")
+    o = table(spark, d, "orders")
     hits = o.select("o_custkey", F.col("o_orderkey").alias("row"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("id"), F.concat(F.lit("C:\\Dir\\"), F.substring("o_orderpriority", 1, 1), F.lit(".EXE")).alias("process"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("h"), "o_custkey")).otherwise(F.col("o_orderkey").cast("string")).alias("host"), F.lit("bob").alias("user"))
     p = incident.rule_parameters(hits, ["o_custkey"]).withColumn("name", F.concat(F.lit("inc-"), "o_custkey"))
     return report.rule_draft(p).select("o_custkey", "draft")
@@ -176,7 +176,7 @@ def model_decisions(spark, d):
 
 def added_techniques(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("technique"), "value")
-    return triage.added_techniques(e.where("value < 490"), e, ["user_id"])
+    return triage.added_techniques(e.where("technique <> 'error' or value < 200 and user_id % 3 > 0"), e, ["user_id"])
 
 
 def rule_diagnosis(spark, d):
@@ -249,46 +249,6 @@ def bm25_saved_index(spark, d):
     return retrieve.bm25_of(queries, readers.open_index(spark, path, {"chunks": n}), n, 10)
 
 
-def _bundle(spark, d):
-    """Nations as techniques, regions as tactics, suppliers as mitigations, customers as users."""
-    spec = spark.createDataFrame([], knowledge.OBJECT).schema
-    ref = lambda c: F.array(F.struct(F.lit("mitre-attack").alias("source_name"), c.cast("string").alias("external_id"), F.lit("u").alias("url")))
-
-    def made(df, **kv):
-        cols = [(kv[f.name] if f.name in kv else F.lit(None)).cast(f.dataType).alias(f.name) for f in spec]
-        return df.select(*cols)
-
-    n, r, s, c = (table(spark, d, t) for t in ("nation", "region", "supplier", "customer"))
-    say = lambda p, k: F.concat(F.lit(p), F.col(k))
-    phase = F.array(F.struct(F.lit("k").alias("kill_chain_name"), say("r", "n_regionkey").alias("phase_name")))
-    parts = [
-        made(n, id=say("ap--", "n_nationkey"), type=F.lit("attack-pattern"), name=F.col("n_name"), external_references=ref(say("T", "n_nationkey")), kill_chain_phases=phase, x_mitre_is_subtechnique=F.col("n_nationkey") % 5 == 4),
-        made(r, id=say("ta--", "r_regionkey"), type=F.lit("x-mitre-tactic"), name=F.col("r_name"), external_references=ref(say("TA", "r_regionkey")), x_mitre_shortname=say("r", "r_regionkey")),
-        made(s, id=say("co--", "s_suppkey"), type=F.lit("course-of-action"), name=F.col("s_name"), external_references=ref(say("M", "s_suppkey"))),
-        made(c.where("c_custkey <= 500"), id=say("in--", "c_custkey"), type=F.lit("intrusion-set"), name=F.col("c_name"), external_references=ref(say("G", "c_custkey"))),
-        made(n.where("n_nationkey % 5 = 4"), id=say("r1--", "n_nationkey"), type=F.lit("relationship"), relationship_type=F.lit("subtechnique-of"), source_ref=say("ap--", "n_nationkey"), target_ref=F.concat(F.lit("ap--"), F.col("n_nationkey") - 4)),
-        made(s, id=say("r2--", "s_suppkey"), type=F.lit("relationship"), relationship_type=F.lit("mitigates"), source_ref=say("co--", "s_suppkey"), target_ref=say("ap--", "s_nationkey")),
-        made(c.where("c_custkey <= 500"), id=say("r3--", "c_custkey"), type=F.lit("relationship"), relationship_type=F.lit("uses"), source_ref=say("in--", "c_custkey"), target_ref=say("ap--", "c_nationkey")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def kb_techniques(spark, d):
-    t = knowledge.techniques(_bundle(spark, d))
-    return t.select("attack_id", "name", "is_subtechnique", "parent", F.array_join("tactics", ",").alias("tactics"), F.size("mitigations").alias("n_mitigations"), F.array_join("users", ",").alias("users"))
-
-
-def kb_mitigation_chunks(spark, d):
-    return knowledge.mitigation_chunks(_bundle(spark, d)).select("chunk_id", "text")
-
-
-def kb_naive_chunks(spark, d):
-    return knowledge.naive_chunks(knowledge.techniques(_bundle(spark, d))).select("chunk_id", "text")
-
-
 def chat_history(spark, d):
     return retrieve.trimmed_history(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", 300).select("conv_id", "turn", "tokens")
 
@@ -303,7 +263,7 @@ def living_vectors(spark, d):
     return retrieve.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), retrieve.living(e).select("id", "v"), 5)
 
 
-QUERIES = {f.__name__: f for f in (kb_mitigation_chunks, kb_naive_chunks, chat_history, chat_budget, living_vectors, event_assets, event_verdicts, facts_extract, search_layers, distinct_values, enriched_query, nested_fill_gap, message_fields, payload_column_discovery, export_payloads, event_split_lines, indicator_categories, risk_sentences, rebuilt_incidents, incident_summary, incident_reports, incident_rule_drafts, event_rule_drafts, reviewer_meetings, model_decisions, added_techniques, rule_diagnosis, evidence_kept_and_missing, component_sets, public_addresses, reputation_queue, reputation_words, scope_reasons, asks_for_indicators, required_terms, refine_and_merge, bm25_saved_index, kb_techniques)}
+QUERIES = {f.__name__: f for f in (chat_history, chat_budget, living_vectors, event_assets, event_verdicts, facts_extract, search_layers, distinct_values, enriched_query, nested_fill_gap, message_fields, payload_column_discovery, export_payloads, event_split_lines, indicator_categories, risk_sentences, rebuilt_incidents, incident_summary, incident_reports, incident_rule_drafts, event_rule_drafts, reviewer_meetings, model_decisions, added_techniques, rule_diagnosis, evidence_kept_and_missing, component_sets, public_addresses, reputation_queue, reputation_words, scope_reasons, asks_for_indicators, required_terms, refine_and_merge, bm25_saved_index)}
 
 _ADDRESS = "(['10', '8', '192', '172', '127', '9'])[o_custkey % 6 + 1] || '.' || CASE o_custkey % 6 WHEN 2 THEN '168' WHEN 3 THEN CAST(o_custkey % 40 AS VARCHAR) ELSE '1' END || '.' || o_custkey % 250 || '.7'"
 _PUBLIC = "(o_custkey % 6 IN (1, 5) OR (o_custkey % 6 = 3 AND o_custkey % 40 NOT BETWEEN 16 AND 31))"
@@ -313,9 +273,6 @@ _T = f"{_ISLANDS}, t AS (SELECT user_id, island, event_type, count(*) AS occurre
 _NUM = "regexp_replace(printf('%.2f', CAST({0} AS DOUBLE)), '\\.?0+$', '')"
 _TOKENS = "(CAST(floor(length(coalesce(text, '')) / 1.9::DOUBLE) AS BIGINT) + 1)"
 ORACLE_SQL = {
-    "kb_mitigation_chunks": "SELECT 'M' || s_suppkey || '::mitigation::0' AS chunk_id, '[M' || s_suppkey || '] ' || s_name || ' (mitigation)' || chr(10) || chr(10) || chr(10) || chr(10) || 'Techniques: T' || s_nationkey AS text FROM supplier",
-    "kb_naive_chunks": """WITH m AS (SELECT s_nationkey AS k, string_agg(DISTINCT 'M' || s_suppkey, ', ' ORDER BY 'M' || s_suppkey) AS ids FROM supplier GROUP BY 1)
-SELECT 'T' || n_nationkey || '::naive::0' AS chunk_id, '[T' || n_nationkey || '] ' || n_name || CASE WHEN n_nationkey % 5 = 4 THEN ' (sub-technique)' ELSE ' (technique)' END || chr(10) || 'Tactics: ' || r_name || chr(10) || 'Platforms: -' || chr(10) || chr(10) || coalesce(chr(10) || chr(10) || 'Mitigations: ' || ids, '') AS text FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN m ON m.k = n_nationkey""",
     "chat_history": f"SELECT conv_id, turn, {_TOKENS} AS tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) QUALIFY sum({_TOKENS}) OVER w <= 300 OR row_number() OVER w = 1",
     "chat_budget": f"WITH t AS (SELECT conv_id, CAST(sum({_TOKENS}) AS BIGINT) AS total FROM conversations GROUP BY 1) SELECT conv_id, total, total <= 300 AS fits, greatest(total - 300, 0) AS overflow FROM t",
     "living_vectors": f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND coalesce(e.label, -1) NOT IN (3, 5)) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5",
@@ -345,7 +302,7 @@ SELECT *, CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHE
 p AS (SELECT user_id, island, string_agg(tactic || ': ' || event_type || ' (' || occurrences || ' rows)', chr(10) || '- ' ORDER BY phase) AS flow, string_agg(tactic, ', ' ORDER BY phase) FILTER (tactic IN ({_HIGH})) AS risky FROM c WHERE score >= 0.5 GROUP BY ALL)
 SELECT user_id, island, CASE WHEN n = 0 THEN 'No technique has enough evidence.' ELSE concat_ws(chr(10) || chr(10), 'On h1, by u' || user_id || ', ' || strftime(f, '%Y-%m-%d %H:%M:%S') || CASE WHEN f = l THEN '' WHEN CAST(f AS DATE) = CAST(l AS DATE) THEN ' to ' || strftime(l, '%H:%M:%S') ELSE ' to ' || strftime(l, '%Y-%m-%d %H:%M:%S') END || ': ' || n_rows || ' rows in one incident, ' || n || ' techniques in ' || n || ' phases.',
 '- ' || flow, 'High risk: ' || risky || '.', CASE WHEN weak > 0 THEN weak || ' weak signals are left out.' END) END AS summary FROM s LEFT JOIN p USING (user_id, island)""",
-    "incident_rule_drafts": """WITH h AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS ids, count(DISTINCT o_orderstatus) AS k, string_agg(DISTINCT lower(substr(o_orderpriority, 1, 1)) || '.exe', ', ' ORDER BY lower(substr(o_orderpriority, 1, 1)) || '.exe') AS programs, count(*) AS n, epoch(date_trunc('second', max(o_orderdate))) - epoch(date_trunc('second', min(o_orderdate))) AS span FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1)
+    "incident_rule_drafts": """WITH h AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS ids, count(DISTINCT o_orderstatus) AS k, string_agg(DISTINCT lower(substr(o_orderpriority, 1, 1)) || '.exe', ', ' ORDER BY lower(substr(o_orderpriority, 1, 1)) || '.exe') AS programs, count(*) AS n, epoch(date_trunc('second', max(o_orderdate))) - epoch(date_trunc('second', min(o_orderdate))) AS span FROM orders GROUP BY 1)
 SELECT o_custkey, 'Rule inc-' || o_custkey || chr(10) || 'when at least ' || least(n, 3) || ' events with id in (' || ids || ')' || chr(10) || 'of programs (' || programs || ')' || CASE WHEN o_custkey % 2 = 0 THEN ' with the same host (h' || o_custkey || ')' ELSE ' with the same user (bob)' END || chr(10) || 'are seen within ' || CAST(greatest(15, least(1440, floor(span / 60 * 1.5) + 1)) AS INTEGER) || ' minutes' AS draft FROM h WHERE k >= 2""",
     "event_rule_drafts": """SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 6 = 0 THEN 'Rule [T1] ' || event_type || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'and the platform is Windows' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN chr(10) || 'and the program is b.exe' WHEN event_id % 5 = 0 THEN chr(10) || 'and the program is one of net.exe or cmd.exe' ELSE '' END
 || CASE WHEN event_id % 7 = 0 THEN chr(10) || 'and the command line contains ' || repeat('x', 80) ELSE '' END || CASE WHEN event_id % 11 = 0 THEN chr(10) || 'and the destination is 10.1.1.1' WHEN event_id % 13 = 0 THEN chr(10) || 'and the destination is the remote machine (not named in the event)' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN chr(10) || 'and the account is bob' ELSE '' END
@@ -353,7 +310,7 @@ SELECT o_custkey, 'Rule inc-' || o_custkey || chr(10) || 'when at least ' || lea
     "reviewer_meetings": "WITH f AS (SELECT 'T' || user_id % 5 AS technique FROM events) SELECT technique, reviewer, count(*) AS n FROM f JOIN (VALUES ('general', NULL), ('three', 'T3'), ('four', 'T4'), ('three-b', 'T3')) r(reviewer, own) ON own IS NULL OR own = technique GROUP BY ALL",
     "model_decisions": """WITH c AS (SELECT c_custkey, c_custkey % 5 AS v, c_custkey % 7 = 0 AS silent, c_custkey % 4 AS l FROM customer)
 SELECT c_custkey, CASE WHEN silent OR v NOT IN (1, 2) OR l >= 2 THEN 'abstain' ELSE 'downgrade' END AS verdict, CASE WHEN NOT silent AND v IN (1, 2) AND l < 2 THEN 'low' END AS downgrade_to, CASE WHEN silent THEN 'no reason' WHEN v = 0 THEN 'model' WHEN v IN (3, 4) THEN 'unknown view' WHEN l >= 2 THEN 'no lower level' ELSE 'model' END AS note FROM c""",
-    "added_techniques": "SELECT DISTINCT user_id, event_type AS technique FROM events EXCEPT SELECT user_id, event_type FROM events WHERE value < 490",
+    "added_techniques": "SELECT DISTINCT user_id, event_type AS technique FROM events EXCEPT SELECT user_id, event_type FROM events WHERE event_type <> 'error' OR value < 200 AND user_id % 3 > 0",
     "rule_diagnosis": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'CommandLine is missing' WHEN NOT regexp_matches(p_name, '(?i)green') THEN 'CommandLine does not match /(?i)green/: ' || p_name WHEN regexp_matches(p_name, '(?i)red') THEN 'CommandLine matches the forbidden /(?i)red/: ' || p_name END AS why FROM part",
     "evidence_kept_and_missing": """SELECT p_partkey AS row, concat_ws('|', CASE WHEN p_size > 25 AND lower('Odd') < 'a' THEN NULL END, CASE WHEN p_size > 25 THEN 'Odd: ' || p_type END, 'command line: winrs ' || p_brand, CASE WHEN p_partkey % 4 = 0 THEN 'T1021.006 needs WinRM|T1021.006 needs port 5985' WHEN p_partkey % 2 = 0 THEN 'T1021.006 needs winrs' END) AS detected,
 CASE WHEN p_partkey % 4 = 0 THEN 'T1021.006 needs WSMAN|T1021.006 needs port 5986|T1021.006 needs winrs' WHEN p_partkey % 2 = 0 THEN 'T1021.006 needs WSMAN|T1021.006 needs WinRM|T1021.006 needs port 5985|T1021.006 needs port 5986' ELSE '' END AS missing FROM part""",
@@ -367,6 +324,4 @@ CASE WHEN p_partkey % 4 = 0 THEN 'T1021.006 needs WSMAN|T1021.006 needs port 598
     "refine_and_merge": """WITH f AS (SELECT user_id, event_type AS technique, max(value) AS value FROM events WHERE value < 100 GROUP BY ALL), n AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (value < 100) = 0 OR count(*) FILTER (value > 490) > 0),
 s AS (SELECT user_id, event_type AS technique, max(value) AS value FROM events JOIN n USING (user_id) WHERE value BETWEEN 200 AND 300 GROUP BY ALL) SELECT * FROM f UNION ALL SELECT s.* FROM s ANTI JOIN f USING (user_id, technique)""",
     "bm25_saved_index": _RETRIEVAL_SQL["bm25_topk"],
-    "kb_techniques": """WITH m AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1), u AS (SELECT c_nationkey AS k, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS users FROM customer WHERE c_custkey <= 500 GROUP BY 1)
-SELECT 'T' || n_nationkey AS attack_id, n_name AS name, n_nationkey % 5 = 4 AS is_subtechnique, CASE WHEN n_nationkey % 5 = 4 THEN 'T' || (n_nationkey - 4) END AS parent, r_name AS tactics, CAST(coalesce(n, 0) AS INTEGER) AS n_mitigations, coalesce(users, '') AS users FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN m ON m.k = n_nationkey LEFT JOIN u ON u.k = n_nationkey""",
 }
