@@ -91,7 +91,7 @@ def test_tables_that_start_anew(want, monkeypatch):
     monkeypatch.setattr(chunks, "SLICE", 300)
     a = alignment.aligner(bpe.vocabulary(), pieces.vocabulary())
     table, total = chunks.Table(a.make), Counter()
-    for _, numbers, _ in alignment._cut([pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS)), pa.int64()), pa.array(TEXTS, pa.string())], ["d", "t"])], table):
+    for _, numbers, _ in alignment._cut([pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS)), pa.int64()), pa.array(TEXTS, pa.string())], ["d", "t"])], table, alignment.starts(a.b)):
         at = np.r_[0, np.cumsum(table.column("n_links"))]
         keys = table.column("keys")
         for i in numbers.tolist():
@@ -110,9 +110,9 @@ def test_segments_are_apart():
     whole.encode_special_tokens = True
     a = alignment.aligner(bpe.vocabulary(), pieces.vocabulary())
     rng = random.Random(9)
-    alpha = "ab .'s\n\t  　  \x1c\x1f\x85é漢1٣!"
-    texts = ["".join(rng.choice(alpha) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    parts, at = chunks.cut(chunks.marked(pa.array(texts, pa.string())), alignment.before_words)
+    alpha = "abAZ .'s\n\t  　  \x1c\x1f\x85é漢1٣!"
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randint(1, 30))) for _ in range(6000)]
+    parts, at = chunks.cut(chunks.marked(pa.array(texts, pa.string())), alignment.starts(a.b))
     ids, ends = a.encode(parts)
     for i, t in enumerate(texts):
         assert ids[ends[at[i]] : ends[at[i + 1]]].tolist() == whole.encode(" " + t, add_special_tokens=False).ids, repr(t)

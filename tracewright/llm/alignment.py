@@ -1,6 +1,6 @@
 """Two tokenizers' tokens of the same texts, aligned by the bytes they cover.
 
-A, a byte-level vocabulary, and B, a piece model, both begin a token at a space that follows a visible character, so a
+A, a byte-level vocabulary, and B, a piece model, both begin a token at a space that follows a visible character, and at a mark that follows a letter, so a
 text falls into segments that are aligned apart; each distinct segment of a task is encoded and aligned once. Links are the
 pairs of an A and a B token whose byte ranges overlap. A pair of ids is one 64-bit key, B's id above A's.
 
@@ -50,6 +50,11 @@ def before_words(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def starts(c: pieces.PieceCoder):
+    """Where segments begin. A's words end where letters end, and none begins within white space but at its last blank; B's pieces may say more."""
+    return (lambda data: before_words(data) | chunks.beside_letters(data)) if c.letters_apart else before_words
+
+
 class Aligner:
     """Tokens, groups and links of segments for one pair of vocabularies. Special tokens of A are plain text."""
 
@@ -127,14 +132,14 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
-def _cut(batches, table):
+def _cut(batches, table, where=before_words):
     """(rows of doc_id, numbers of all segments, where each text's begin) by slices. Texts that B can't give back (they hold its marker) have no segments."""
     for batch in batches:
         for row, texts in chunks.slices(batch.column(1)):
             keys = batch.column(0).slice(row, len(texts))
             texts = texts.cast(pa.large_string()).fill_null("")
             texts = chunks.marked(pc.if_else(pc.match_substring(texts, pieces.MARKER), pa.scalar("", pa.large_string()), texts))
-            parts, at = chunks.cut(texts, before_words)
+            parts, at = chunks.cut(texts, where)
             yield keys, table.numbers(parts), at
 
 
@@ -159,7 +164,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for i in range(0, len(distinct), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(distinct[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["key", "n"])
 
-        for _, numbers, _ in _cut(batches, table):
+        for _, numbers, _ in _cut(batches, table, starts(a.b)):
             more = np.bincount(numbers, minlength=table.n)
             more[: len(often)] += often
             often = more
@@ -274,7 +279,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             return n[back], (n == top[distinct >> 32])[back]
 
         table = chunks.Table(lambda parts: a.make(parts, look))
-        for keys, numbers, at in _cut(batches, table):
+        for keys, numbers, at in _cut(batches, table, starts(a.b)):
             if len(numbers):
                 text, cuts = chunks.joined(table.column("text"), numbers, at)
                 sums = [np.diff(np.r_[0, np.cumsum(table.column(x)[numbers])][at]) for x in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]

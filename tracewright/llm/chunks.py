@@ -54,6 +54,20 @@ def before_spaces(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[10, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def beside_letters(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII mark or line end follows an ASCII letter, and where such a letter follows a line end that stands alone behind a visible ASCII character."""
+    letter = _LETTER[data]
+    out = np.zeros(len(data), bool)
+    out[1:] = letter[:-1] & _MARK[data[1:]]
+    out[2:] |= (data[:-2] > 32) & (data[:-2] < 127) & (data[1:-1] == 10) & letter[2:]
+    return out
+
+
 class Table:
     """Distinct chunks and what make(chunks) gives for them: a dict of arrays with an entry a chunk."""
 

@@ -26,14 +26,36 @@ class Merges:
         order = order[np.r_[True, np.diff(key[order]) > 0]] if len(order) else order
         self.key, self.rank, self.new = key[order], np.asarray(rank, np.int32)[order], np.asarray(new, np.int32)[order]
         self._one: dict[int, tuple[int, int]] | None = None
+        # open addressing, a quarter full at most
+        self._bits = max(4, (4 * len(self.key)).bit_length())
+        self._slots = np.full(1 << self._bits, -1, np.int32)
+        todo = np.arange(len(self.key), dtype=np.int32)
+        at = self._slot(self.key)
+        while len(todo):
+            free = self._slots[at] < 0
+            self._slots[at[free]] = todo[free]  # of several for one slot the last stays
+            lost = self._slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & ((1 << self._bits) - 1)
+        self._keys = np.where(self._slots >= 0, self.key[self._slots] if len(self.key) else -1, -1)
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the table, or -1."""
-        if not len(self.key):
-            return np.full(left.shape, -1, np.int32)
-        key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, at, -1).astype(np.int32)
+        shape, key = left.shape, (left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF).ravel()
+        at = self._slot(key)
+        held = self._keys[at]
+        out = np.where(held == key, self._slots[at], np.int32(-1))
+        far = np.flatnonzero((held != key) & (held >= 0))
+        while len(far):
+            at[far] = (at[far] + 1) & ((1 << self._bits) - 1)
+            held = self._keys[at[far]]
+            hit = held == key[far]
+            out[far[hit]] = self._slots[at[far[hit]]]
+            far = far[~hit & (held >= 0)]
+        out[key < 0] = -1
+        return out.reshape(shape)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
     def __call__(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merged sequences of symbols[at[i]:at[i+1]], flat, and where each begins (one entry more)."""

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a table of distinct chunks (BPE models with byte fallback).
 
 Spaces are written as markers, and no piece of the vocabulary has a marker after another character. So a text falls
-into chunks (markers and what follows up to the next marker) that are encoded apart: each distinct chunk of a task is
+into chunks (markers and what follows up to the next marker, marks behind a word apart) that are encoded apart: each distinct chunk of a task is
 segmented once, and a text's ids are joined from the table by the positions of its chunks.
 """
 
@@ -54,6 +54,8 @@ class PieceCoder:
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         if any(MARKER in p.lstrip(MARKER) for p in normal):
             raise ValueError("a piece crosses a marker")
+        #: Whether no piece has a letter before a mark or line end, or behind a line end, so that chunks may end there too.
+        self.letters_apart = not any("\n" in p or chunks.beside_letters(np.frombuffer(p.encode(), np.uint8)).any() for p in normal)
         # every character of a piece is a symbol; those that are no pieces themselves get ids behind the vocabulary
         symbol = dict(normal)
         for c in sorted({c for p in normal for c in p} - set(normal)):
@@ -105,6 +107,11 @@ class PieceCoder:
         out[np.repeat(to[odd] - np.r_[0, np.cumsum(n[odd])[:-1]], n[odd]) + np.arange(len(flat))] = flat
         return out, to[ends]
 
+    def starts(self, data: np.ndarray) -> np.ndarray:
+        """Where chunks begin: at markers, and beside letters where the vocabulary allows it, so that a word is one chunk with and without a mark behind it."""
+        out = chunks.before_spaces(data)
+        return out | chunks.beside_letters(data) if self.letters_apart else out
+
     def table(self) -> chunks.Table:
         def make(parts):
             ids, ends = self.segment(parts)
@@ -164,7 +171,7 @@ def _ids(c: PieceCoder, batches):
             texts = pc.replace_substring(chunks.marked(texts), MARKER, " ")
             if table.full():
                 table.start_anew()
-            parts, at = chunks.cut(texts, chunks.before_spaces)
+            parts, at = chunks.cut(texts, c.starts)
             data, edges = chunks.joined(table.column("ids"), numbers, at) if len(numbers := table.numbers(parts)) else (memoryview(b""), np.zeros(len(texts) + 1, np.int64))
             yield batch.column(0).slice(row, len(texts)), data, edges
 
