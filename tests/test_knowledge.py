@@ -43,7 +43,7 @@ def test_authority(spark):
     raw = {
         1: 'CommandLine=cmd /c set X=1 SubjectUserName=jdoe',
         2: 'Image="C:\\a b\\x.exe" Message=New Process Name: late.exe  Account Name:  label',
-        3: "no format, process name: \"C:\\p q.exe\" and user = bob, event id = 4625",
+        3: "no format, process name: \"C:\\p q.exe\" and user: bob, event id: 4625",
         4: None,
         5: "",
         6: '{"CommandLine": "-", "Message": "CommandLine=inner arg"}',
