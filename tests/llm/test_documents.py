@@ -435,3 +435,18 @@ def test_topk_of_large_components(spark, size):
     for q in (0, 45, 100):
         scores = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q].tolist(), r.tolist(), strict=True)), i) for i, r in enumerate(rows) if i != q)[:10]
         assert got[q] == [(i, topk.fitting(-s)) for s, i in scores]
+
+
+def test_many_templates_are_joined(spark, monkeypatch):
+    """Beyond LIMIT templates meet units by their rarest bigrams: the same matches as when all are broadcast."""
+    rng = random.Random(12)
+    texts = dict(licenses.TEMPLATES)
+    changed = [t if rng.random() < 0.3 else " ".join(w for w in t.split() if rng.random() < 0.93) for t in texts.values() for _ in range(4)]
+    docs = [(i, "prose here\n" * rng.randint(0, 3) + t + rng.choice(["", "\nmore prose", "\n\n" + rng.choice(changed)])) for i, t in enumerate(changed)] + [(900, None), (901, ""), (902, "one"), (None, texts["mit"]), (3, texts["mit"])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    known = spark.createDataFrame(sorted(texts.items()) + [("empty", ""), ("none", None), ("word", "word")], "license string, text string")
+    key = lambda r: (str(r.doc_id), r.license, r.unit, r.n_units, round(r.dice, 9))
+    want = sorted(map(key, licenses.matches(df).collect()))
+    monkeypatch.setattr(licenses, "LIMIT", 5)
+    assert sorted(map(key, licenses.matches(df, known=known).collect())) == want and len(want) > 60
+    assert licenses.matches(df, known=known.where("false")).collect() == []

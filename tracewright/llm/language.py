@@ -101,7 +101,7 @@ class Model:
 def train(docs: DataFrame) -> Model | None:
     """Learns from documents with a language whose crc32(doc_id) mod 4 is not 2; None if there are none.
 
-    The rows chosen are FIT_ROWS at most, so their ids can be broadcast to the texts and their vectors come to the driver (32 MB).
+    The rows chosen are FIT_ROWS at most, so their ids can be broadcast to the texts and their vectors come to the driver (32 MB); of a doc_id's texts one stands for all.
     """
     of = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("_h"))
     # as many languages as rows at most, the commonest, so the counts can be broadcast
@@ -117,7 +117,7 @@ def train(docs: DataFrame) -> Model | None:
             made = [(lang, v.tobytes()) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary())], ["lang", "v"])
 
-    rows = sorted(map(tuple, docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang").mapInArrow(trimmed(run), "lang string, v binary").collect()))
+    rows = sorted(map(tuple, docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("t.text").alias("text"), F.col("_lang").alias("lang")).mapInArrow(trimmed(run), "lang string, v binary").collect()))
     return Model(np.array([np.frombuffer(v, np.float32) for _, v in rows]), [lang for lang, _ in rows]) if rows else None
 
 

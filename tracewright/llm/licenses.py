@@ -4,7 +4,8 @@ Texts are compared by unit: each line, each paragraph of several lines, and the
 if the smaller set of bigrams has THRESHOLD / (2 - THRESHOLD) times the larger one's members, so a unit whose
 size suits no template is dropped, and the size bound joins each of the others with few templates. Before bigrams
 are made, units without any anchor are dropped: words of which every match has one. Templates are the list below or a table that a
-user hands in, of LIMIT rows at most, so their bigrams can be broadcast.
+user hands in. Up to LIMIT their bigrams are broadcast. More of them meet the units by a join of their rarest bigrams, of which every match shares one,
+and the pairs so found are compared in full.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewright.llm.expressions import let
+from tracewright.workspace import materialize
 
 #: Dice coefficient from which a unit counts as the template.
 THRESHOLD = 0.8
-#: Templates at most.
+#: Templates whose bigrams are broadcast at most.
 LIMIT = 5_000
 
 # Words that most English texts have.
@@ -91,30 +93,58 @@ def templates(spark: SparkSession, known: dict[str, str]) -> DataFrame:
     return texts.select("license", let(F.split(normalised(F.col("text")), " "), bigrams).alias("b")).select("license", F.explode("b").alias("bigram"), F.size("b").alias("t_size"))
 
 
+def _units(least: float, most: float, worth=None) -> Column:
+    """The units of a text whose number of bigrams is from least to most, as structs of pos, unit, body_key and b; worth(body) drops more before bigrams are made."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("body")))
+    paragraphs = F.transform(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(F.trim(x), F.lit("\n"))), lambda x: F.struct(F.lit("paragraph").alias("unit"), x.alias("body")))
+    whole = F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit("text").alias("unit"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<unit:string,body:string>>"))
+    made = lambda u, i: F.struct(i.alias("pos"), u["unit"].alias("unit"), F.xxhash64(u["body"]).alias("body_key"), let(F.split(normalised(u["body"]), " "), bigrams).alias("b"))
+    # a word has a byte at least and a separator follows it; so shorter bodies have too few bigrams
+    long = F.filter(F.concat(lines, paragraphs, whole), lambda u: (F.length(u["body"]) > F.lit(2 * least)) & (worth(u["body"]) if worth else F.lit(True)))
+    return F.filter(F.transform(long, made), lambda u: F.size(u["b"]).between(least, most))
+
+
+def _by_join(docs: DataFrame, threshold: float, known: DataFrame) -> DataFrame:
+    """matches for templates of any number. A unit that reaches the threshold shares ratio or more of a template's bigrams, so it has one of any more than 1 - ratio of them; each template is joined by
+    so many of its bigrams that fewest templates have. What meets is compared in full, by joins of unit and license; nothing is broadcast by us."""
+    ratio = threshold / (2 - threshold)
+    t = materialize(known.select("license", let(F.split(normalised(F.col("text")), " "), bigrams).alias("t")).where("size(t) > 0").withColumn("t_size", F.size("t")), "templates")
+    smallest, largest = t.agg(F.min("t_size"), F.max("t_size")).first()
+    flat = t.select("license", "t_size", F.explode("t").alias("bigram"))
+    often = flat.groupBy("bigram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("license").orderBy("n", "bigram"))
+    signs = flat.join(often, "bigram").withColumn("place", place).where(F.col("place") <= F.floor((1 - ratio) * F.col("t_size") + 1e-9) + 1).select("bigram", "license", "t_size")
+    # the outer form keeps the optimizer from computing the units again in a filter before the explosion
+    units = docs.select("doc_id", F.explode_outer(_units(smallest * ratio, largest / ratio)).alias("u")).where("u is not null").select("doc_id", "u.*", F.size("u.b").alias("u_size"), F.monotonically_increasing_id().alias("uid"))
+    units = materialize(units, "units")
+    near = F.least("u_size", "t_size") >= ratio * F.greatest("u_size", "t_size")
+    met = units.select("uid", "u_size", F.explode("b").alias("bigram")).join(signs, "bigram").where(near).select("uid", "license").distinct()
+    both = met.join(units, "uid").join(t, "license")
+    dice = both.select("doc_id", "license", "unit", (2 * F.size(F.array_intersect("b", "t")) / (F.col("u_size") + F.col("t_size"))).alias("dice")).where(F.col("dice") >= threshold)
+    return dice.groupBy("doc_id", "license").agg(F.max(F.struct("dice", "unit")).alias("best"), F.count("*").alias("n_units")).select("doc_id", "license", "best.unit", "n_units", "best.dice")
+
+
 def matches(docs: DataFrame, threshold: float = THRESHOLD, known: DataFrame | dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, unit, n_units, dice): for each document the templates that it holds; known are the texts by license, or a table (license, text) of LIMIT rows at most, each license once; unit is the kind of the best unit (line, paragraph or text), n_units how many reach the threshold.
+    """(doc_id, license, unit, n_units, dice): for each document the templates that it holds; known are the texts by license, or a table (license, text), each license once; unit is the kind of the best unit (line, paragraph or text), n_units how many reach the threshold.
 
     A text of one line is a unit of that kind only. Null and empty texts, and units of fewer than two words, hold
     none. Rows with one doc_id are scanned each and reported together. Other columns play no part.
     """
     spark = docs.sparkSession
     if isinstance(known, DataFrame):
-        known = {r["license"]: r["text"] for r in known.select("license", "text").limit(LIMIT + 1).collect()}
-    if len(known) > LIMIT:
-        raise ValueError(f"more than {LIMIT} templates")
+        few = known.select("license", "text").limit(LIMIT + 1).collect()
+        if len(few) > LIMIT:
+            return _by_join(docs, threshold, known)
+        known = {r["license"]: r["text"] for r in few}
+    if not known:
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, unit string, n_units bigint, dice double")
     table = templates(spark, known)
     smallest, largest = table.agg(F.min("t_size"), F.max("t_size")).first()
     ratio = threshold / (2 - threshold)
     least, most = smallest * ratio, largest / ratio
     words = anchors(known, ratio)
     anchored = lambda text: let(F.lower(text), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("body")))
-    paragraphs = F.transform(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(F.trim(x), F.lit("\n"))), lambda x: F.struct(F.lit("paragraph").alias("unit"), x.alias("body")))
-    whole = F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit("text").alias("unit"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<unit:string,body:string>>"))
-    made = lambda u, i: F.struct(i.alias("pos"), u["unit"].alias("unit"), F.xxhash64(u["body"]).alias("body_key"), let(F.split(normalised(u["body"]), " "), bigrams).alias("b"))
-    # a word has a byte at least and a separator follows it; so shorter bodies have too few bigrams
-    long = F.filter(F.concat(lines, paragraphs, whole), lambda u: (F.length(u["body"]) > F.lit(2 * least)) & anchored(u["body"]))
-    fit = F.filter(F.transform(long, made), lambda u: F.size(u["b"]).between(least, most))
+    fit = _units(least, most, anchored)
     # the outer form keeps the optimizer from computing the units again in a filter before the explosion
     sized = docs.where(anchored(F.col("text"))).select("doc_id", F.explode_outer(fit).alias("u")).where("u is not null").select("doc_id", "u.*", F.size("u.b").alias("u_size"))
     shared = sized.select("doc_id", "pos", "body_key", "unit", "u_size", F.explode_outer("b").alias("bigram")).join(F.broadcast(table), "bigram").where(F.least("u_size", "t_size") >= ratio * F.greatest("u_size", "t_size"))

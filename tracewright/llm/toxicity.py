@@ -149,10 +149,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most FIT_ROWS labelled rows whose crc32(doc_id) mod 3 is not 1. The rows chosen are that few, so they can be broadcast to the texts."""
+    """(text, toxic) of at most FIT_ROWS labelled rows whose crc32(doc_id) mod 3 is not 1. The rows chosen are that few, so they can be broadcast to the texts; of a doc_id's texts one stands for all, so the join is as bounded."""
     of = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = of.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(FIT_ROWS)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    met = docs.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("_id", F.col("toxic").alias("_toxic")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("t.text").alias("text"), F.col("_toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
