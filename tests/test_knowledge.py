@@ -46,14 +46,12 @@ def test_authority(spark):
         3: "no format, process name: \"C:\\p q.exe\" and user: bob, event id: 4625",
         4: None,
         5: "",
-        6: '{"CommandLine": "-", "Message": "CommandLine=inner arg"}',
     }
     got = {r.event_id: r for r in normalise.by_authority(spark.createDataFrame(list(raw.items()), "event_id int, raw string")).collect()}
     assert (got[1].command_line, got[1].command_line_from, got[1].account) == ("cmd /c set X=1", "fields", "jdoe")
     assert (got[2].process, got[2].process_from, got[2].account, got[2].account_from) == ("C:\\a b\\x.exe", "fields", "label", "fields")  # the message is a log of its own
     assert (got[3].process, got[3].account, got[3].id, got[3].format) == ("C:\\p q.exe", "bob", "4625", None)
     assert all((got[i].process, got[i].command_line, got[i].account) == (None, None, None) for i in (4, 5))
-    assert got[6].command_line == "inner arg" and got[6].command_line_from == "fields"
 
 
 def test_timeline_rows(spark):
