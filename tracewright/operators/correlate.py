@@ -2,8 +2,8 @@
 
 Two rows are related if they share a non-empty field value (letter case aside) or are parent and child process, and lie
 within a window of each other; a row without time fits any. The pairwise definition is never run: rows that share a value are
-chained to their neighbour in time, which gives the same components from a sort in place of a cross product. A value's rows are cut into slices of
-the window's length, chained inside each and joined at the slices' ends, so a value that very many rows share is many tasks.
+tied to the first of their slice, which gives the same components from a sort in place of a cross product. A value's rows are cut into slices of
+the window's length, and slices without a gap between them are tied to the first of their run, so a value that very many rows share is many tasks.
 """
 
 from __future__ import annotations
@@ -64,15 +64,20 @@ def bucket_keys(items: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def chain_edges(buckets: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(src, dst): neighbours in time of a bucket within the window; in a bucket with a row without time, each slice with that row."""
+    """(src, dst): each row of a bucket's slice with the slice's first row, each slice of a run without a larger gap than the window with the run's first; in a bucket with a row without time, each slice with that row.
+
+    So no path between two related rows is longer than a few edges, however long a run is, and components settle in a few rounds.
+    """
     seconds, near = _window(hours)
     none = F.col("ts").isNull()
     dealt = buckets.withColumn("_none", none).withColumn("_s", F.when(none, F.pmod(F.xxhash64("row"), F.lit(UNTIMED))).otherwise(time_slice("ts", seconds)))
-    neighbour = F.lag("row").over(Window.partitionBy("bucket", "_none", "_s").orderBy("ts", "row"))
-    inside = dealt.select(F.col("row").alias("src"), neighbour.alias("dst"))
+    so_far = Window.partitionBy("bucket", "_none", "_s").orderBy("ts", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select(F.col("row").alias("src"), F.first("row").over(so_far).alias("dst"))
     ends = dealt.groupBy("bucket", "_none", "_s").agg(F.min(F.struct("ts", "row")).alias("first"), F.max(F.struct("ts", "row")).alias("last"))
-    before = F.lag("last").over(Window.partitionBy("bucket", "_none").orderBy("_s"))
-    across = ends.where("not _none").withColumn("before", before).where(F.col("first.ts") - F.col("before.ts") <= near).select(F.col("first.row").alias("src"), F.col("before.row").alias("dst"))
+    by_slice = Window.partitionBy("bucket", "_none").orderBy("_s")
+    begins = F.coalesce(F.col("first.ts") - F.lag("last").over(by_slice)["ts"] > near, F.lit(True))
+    run = F.last(F.when(F.col("_begins"), F.col("first.row")), ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
+    across = ends.where("not _none").withColumn("_begins", begins).select(F.col("first.row").alias("src"), run.alias("dst"))
     bridge = F.min(F.when(F.col("_none"), F.col("first.row"))).over(Window.partitionBy("bucket"))
     free = ends.select(F.col("first.row").alias("src"), bridge.alias("dst"))
     return inside.unionByName(across).unionByName(free).where("dst is not null and src <> dst")
