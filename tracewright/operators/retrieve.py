@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.workspace import materialize
+from tracewright.workspace import materialize, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -24,20 +24,34 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best chunks that share a term with a query; a term that a query repeats counts again. Ties to the smaller id."""
-    return bm25_of(queries, materialize(postings(chunks), "postings"), chunks.count(), k)
+    """(query_id, id, score, rank): the k best chunks that share a term with a query; a term that a query repeats counts again. Ties to the smaller id.
+
+    Without a saved index: how many chunks hold a term is counted over all terms, as the mean idf needs them, but only the queries' terms are counted within chunks.
+    """
+    words = materialize(spread(chunks.select("id", "text")).select("id", tokens(F.col("text")).alias("w")), "words")
+    n, total = words.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    df = materialize(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    held = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    return _bm25(queries, held, df, n, total, k)
 
 
 def bm25_of(queries: DataFrame, index: DataFrame, n: int, k: int) -> DataFrame:
     """bm25 over postings of n chunks. Of the postings only the queries' terms go on, with what their chunks' scores need; a term in over half of the chunks gets EPSILON of the mean idf."""
-    df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = materialize(index.groupBy("term").agg(F.count("*").alias("df")), "df")
     total = index.agg(F.sum("tf")).first()[0] or 0
+    wanted = queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    return _bm25(queries, index.join(wanted, "term", "left_semi"), df, n, total, k)
+
+
+def _bm25(queries, held, df, n, total, k):
+    df = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw")).first()[0] or 0.0
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
     asked = terms.join(df, "term").select("query_id", "term", "times", idf.alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (total / n if n else 1.0)))
-    score = asked.join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    score = asked.join(held, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(score, k)
 
 

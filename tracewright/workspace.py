@@ -63,5 +63,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores if its files give fewer, as a small table of one file does; larger ones stay as they are and nothing is shuffled. For tables as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
