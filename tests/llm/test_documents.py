@@ -140,9 +140,24 @@ def test_mix(spark, docs, monkeypatch, bucket):
     assert {r.doc_id: r.taken for r in rows if r.taken} == {i: n for i, n in mix.items() if n}
 
 
-def shingle_set(t, n=5):
+def shingle_set(t):
+    """All shingles of a text, as the sketches' docstring defines them."""
     w = t.lower().split()
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    return {tuple(w)} if len(w) == 1 else {tuple(w[i : i + n]) for n in fingerprints.LENGTHS for i in range(len(w) - n + 1)}
+
+
+def _kept(spark, texts):
+    """For each text the hashes of its shingles that lie in the fraction, by Spark's hash but none of the operator's code."""
+    from pyspark.sql import functions as F
+
+    of = sorted({s for t in texts for s in shingle_set(t)})
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(of)], "i int, w array<string>").select("i", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    chain = F.lit(None).cast("bigint")
+    for n in (1, *fingerprints.LENGTHS):
+        chain = F.when(F.size("w") == n, F.xxhash64(*[F.get("w", F.lit(j)) for j in range(n)])).otherwise(chain)
+    h = {of[r.i]: r.h for r in df.select("i", chain.alias("h")).collect()}
+    limit = -(1 << 63) + (1 << 64) // fingerprints.SCALE
+    return lambda t: {h[s] for s in shingle_set(t) if h[s] < limit}
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -157,31 +172,33 @@ def test_fingerprints(spark, docs, monkeypatch, hot):
     got = fingerprints.fingerprints(docs).collect()
     want = []
     like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        q = len(t) // 4
-        edited = t[: len(t) - q] + after[:q]
-        a, b, c = shingle_set(t), shingle_set(edited), shingle_set(after)
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), 16 * len(a), 16 * len(b), round(like(a, b), 9), round(like(a, c), 9), round(len(a & c) / len(a) if a else 1.0, 9)))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9), round(r.contained_in_next, 9)) for r in got) == sorted(want)
+    edited = lambda t, after: t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+    pairs = [(i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows)]
+    kept = _kept(spark, [x for _, t, after in pairs for x in (t, edited(t, after))])
+    for i, t, after in pairs:
+        a, b, c = kept(t), kept(edited(t, after)), kept(after)
+        want.append((i, len(t), hashlib.sha256(edited(t, after).encode()).hexdigest(), 8 * len(a), 8 * len(b), round(like(a, b), 9), round(like(a, c), 9), round(len(a & c) / len(a), 9) if a else -1.0))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9), -1.0 if r.contained_in_next is None else round(r.contained_in_next, 9)) for r in got) == sorted(want)
     by_text = {}
     for r in got:
         if not hot:
             by_text.setdefault(dict(rows)[r.doc_id], set()).add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values())
+    assert sum(len(r.fingerprint) for r in got) < sum(len(t.encode()) for _, t in rows)
 
 
 def test_sketches_merge(spark):
-    """Under a fraction, a merged sketch is exactly the hashes of the union's shingles below the limit, and an empty one says nothing."""
+    """By the query's own scale, a merged sketch is exactly the hashes of the union's shingles below the limit, and an empty one says nothing."""
     from pyspark.sql import functions as F
 
     rng = random.Random(9)
-    rows = [(prose(rng, 5 + i), prose(rng, 40)) for i in range(40)]
+    rows = [(prose(rng, 1 + i // 2), prose(rng, 40)) for i in range(40)]
     t = spark.createDataFrame(rows, "a string, b string")
     of = lambda c, scale: fingerprints.sketch(F.col(c), scale)
     limit = -(1 << 63) + (1 << 64) // fingerprints.SCALE
     some = 0
-    for r in t.select(of("a", 8).alias("x"), of("b", 8).alias("y"), of("a", 1).alias("p"), of("b", 1).alias("q")).withColumn("m", fingerprints.merged(F.array("x", "y"))).withColumn("c", fingerprints.containment(F.col("x"), F.col("m"))).collect():
+    own = fingerprints.SCALE
+    for r in t.select(of("a", own).alias("x"), of("b", own).alias("y"), of("a", 1).alias("p"), of("b", 1).alias("q")).withColumn("m", fingerprints.merged(F.array("x", "y"))).withColumn("c", fingerprints.containment(F.col("x"), F.col("m"))).collect():
         low = lambda *s: sorted(h for h in set().union(*s) if h < limit)
         assert (r.x, r.y, r.m) == (low(r.p), low(r.q), low(r.p, r.q))
         assert r.c == (1.0 if r.x else None)
@@ -189,18 +206,22 @@ def test_sketches_merge(spark):
     assert 0 < some < 40
 
 
-def test_fingerprints_of_short_texts(spark):
-    """Likeness and containment are those of the shingle sets, however few."""
+def test_errors_of_fingerprints(spark):
+    """Estimates against the whole shingle sets: mean errors by size, and containment between a page and a book."""
     rng = random.Random(8)
-    texts = [prose(rng, n) for n in range(1, 60)]
-    texts += [" ".join(texts[-1].split()[:40]), texts[-1], "", "one two"]
+    sizes = [10] * 60 + [40] * 60 + [150] * 60 + [800] * 20
+    texts = [prose(rng, n) for n in sizes]
+    texts += [texts[-1] + " " + prose(rng, 6000)]
     got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    for i, t in enumerate(texts):
-        after = texts[(i + 1) % len(texts)]
+    errors = {}
+    for i, t in enumerate(texts[:-1]):
+        after = texts[i + 1]
         q = len(t) // 4
         a, b, c = shingle_set(t), shingle_set(t[: len(t) - q] + after[:q]), shingle_set(after)
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert (got[i].near_edited, got[i].near_next, got[i].contained_in_next) == pytest.approx((like(a, b), like(a, c), len(a & c) / len(a) if a else 1.0))
+        errors.setdefault(sizes[i], []).append(max(abs(got[i].near_edited - like(a, b)), abs(got[i].near_next - like(a, c))))
+    assert {n: sum(e) / len(e) < most for (n, e), most in zip(sorted(errors.items()), (0.25, 0.12, 0.06, 0.03), strict=True)} == dict.fromkeys(errors, True), errors
+    assert got[len(sizes) - 1].contained_in_next == 1.0
 
 
 def test_licenses(spark):

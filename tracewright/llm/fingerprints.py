@@ -1,9 +1,9 @@
 """Threshold-scaled sketches of documents, with DataFrame operations only.
 
-A sketch keeps every hash of five-word shingles below a fixed fraction of the hash range, and nothing else. So the sketch of a union is the union
+A sketch keeps every hash of a text's shingles below a fixed fraction of the hash range, and nothing else. So the sketch of a union is the union
 of the sketches, cut by nobody's size, and shared shares of hashes estimate likeness and containment even between a page and a book.
-The fingerprints of documents take the whole range, so that likeness and containment of short texts are right too. Under a smaller
-fraction, a text whose shingles all lie above it has an empty sketch, from which nothing can be said.
+Shingles are of several lengths, which gives a short text some hashes where five-word ones alone would leave it none or one. A text
+whose shingles all lie above the fraction has an empty sketch, from which nothing can be said.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.llm.expressions import let
 
-SHINGLE = 5
-#: One in so many shingle hashes is kept where a sketch is asked for without a scale; fingerprints keep all of them.
-SCALE, WHOLE = 8, 1
+#: Words of a shingle.
+LENGTHS = (2, 3, 5)
+#: One in so many shingle hashes is kept; and the scale that keeps all, to compare with.
+SCALE, WHOLE = 4, 1
+#: Bits of a hash that are printed, below those that the fraction leaves open.
+PRINTED = 48
 #: Documents that a block is meant to have, quantiles of doc_id that the blocks start from, and text bytes that a task is meant to have.
 BLOCK, QUANTILES, TASK = 2_000, 256, 1 << 23
 #: Blocks at most, however many documents: their first keys are broadcast, 3 MB then.
@@ -31,15 +34,19 @@ def under(s: Column, scale: int) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE) -> Column:
-    """The sorted sketch of a text as array<bigint>: words are lower-cased runs of other than ASCII white space, fewer than five are one shingle. Null and empty texts have none."""
+    """The sorted sketch of a text as array<bigint>: shingles of each of LENGTHS words, which are lower-cased runs of other than ASCII white space; a text of one word is one shingle. Null and empty texts have none."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
+    none = F.array().cast("array<bigint>")
 
     def of(h: Column) -> Column:
-        long = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
-        return F.when(F.size(h) >= SHINGLE, long).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        def shingles(n: int) -> Column:
+            made = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+            return F.when(F.size(h) >= n, under(made, scale)).otherwise(none)
 
-    return F.coalesce(F.sort_array(F.array_distinct(under(let(hashes, of), scale))), F.array().cast("array<bigint>"))
+        return F.when(F.size(h) == 1, under(F.transform(h, lambda x: F.xxhash64(x)), scale)).otherwise(F.concat(*[shingles(n) for n in LENGTHS]))
+
+    return F.coalesce(F.sort_array(F.array_distinct(let(hashes, of))), none)
 
 
 def merged(sketches: Column) -> Column:
@@ -58,12 +65,15 @@ def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
 
 
 def printed(s: Column) -> Column:
-    """A sketch as text: 16 hex digits a hash."""
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """A sketch of SCALE as text: of each hash, in order, the PRINTED bits behind those that the fraction fixes, in base 64: eight letters a hash."""
+    open_bits = 64 - (SCALE - 1).bit_length()
+    digits = PRINTED // 4
+    part = lambda x: F.lpad(F.hex(F.shiftrightunsigned(x - F.lit(-(1 << 63)), open_bits - PRINTED)), digits, "0")
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(s, part), ""))), "\r\n", "")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(key, text, ...) with next, the struct of text and whole sketch of the row after it in the order of key, the text's hash and the text; after the last comes the first.
+    """docs(key, text, ...) with next, the struct of text and sketch of the row after it in the order of key, the text's hash and the text; after the last comes the first.
 
     Rows are dealt into ranges of that order. Ranges of key start from quantiles; a key that several quantiles fall on is a range
     of its own, divided by the texts' hashes, and any other range is divided by key, so that a key of very many rows is many blocks too. The first row of
@@ -93,8 +103,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ghosts = firsts.select(F.col("first.key"), F.col("first._h"), to.alias("to"), F.lag("block").over(order).isNull().alias("wraps"))
     ghost_rows = docs.join(F.broadcast(ghosts), ["key", "_h"]).groupBy("to", "wraps", "key", "_h").agg(F.min("text").alias("text"))
     ghost_rows = ghost_rows.select(F.col("to").alias("block"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"), "key", "_h", "text")
-    # sketches may be larger than texts, so they are made after the rows are dealt
-    met = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).repartition(max(1, -(-(size or 0) // TASK)), "block").withColumn("sketch", sketch(F.col("text"), WHOLE))
+    # sketches are made after the rows are dealt, so that texts alone cross the network
+    met = dealt.withColumn("ghost", F.lit(0)).unionByName(ghost_rows, allowMissingColumns=True).repartition(max(1, -(-(size or 0) // TASK)), "block").withColumn("sketch", sketch(F.col("text")))
     following = F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("ghost", "key", "_h", "text"))
     return met.withColumn("next", following).where("ghost = 0").drop("ghost", "block", "_h")
 
@@ -104,14 +114,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text ends in the first floor(n_chars / 4) code points of the next document (all of it, if it has fewer) in place
     of its own last as many. Next is the row after it by doc_id, then the text's hash, null doc_ids first; after the last comes the first. Null texts
-    count as empty. Fingerprints are sketches of the whole range in hex, empty for texts without words; equal texts have equal ones. Other columns play no part.
+    count as empty. Fingerprints are printed sketches, empty for texts without words or without a shingle in the fraction; equal texts have equal ones, and equal ones a likeness of 1. Other columns play no part.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     rows = with_next(docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_null")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.substring(F.col("next.text"), F.lit(1), quarter)))
     sketched = edited.select(
-        F.when(~F.col("_null"), F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", F.col("next.sketch").alias("next_sketch"), sketch(F.col("edited"), WHOLE).alias("edited_sketch")
+        F.when(~F.col("_null"), F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", F.col("next.sketch").alias("next_sketch"), sketch(F.col("edited")).alias("edited_sketch")
     )
     return sketched.select(
         "doc_id",
@@ -121,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         printed(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("next_sketch"), WHOLE).alias("contained_in_next"),
+        containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"),
     )
 
 
