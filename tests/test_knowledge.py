@@ -59,3 +59,20 @@ def test_timeline_rows(spark):
     (one,) = normalise.grouped_timeline(df, ["u"]).collect()
     assert one.n == 3000 and len(one.rows) == normalise.LISTED
     assert sorted(r.row for r in normalise.timeline_rows(df, ["u"]).collect()) == list(range(3000))
+
+
+def test_quotes_by_their_rarest_words(spark):
+    """Against every pair, with words that all texts have, words that none has, repeated ids, nulls and shares just at the bound."""
+    from tracewright.operators import assess
+
+    rng = random.Random(13)
+    words = ["common", "often"] + [f"word{i}" for i in range(60)]
+    texts = [(i, "common often " + " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(80)] + [(81, None), (82, ""), (3, "word1 word2"), (83, "a an the")]
+    quotes = [(i, " ".join(rng.sample([*words, "gone1", "gone2", "abc"], rng.randint(1, 8)))) for i in range(60)] + [(70, None), (71, "gone1 gone2"), (72, "common"), (73, "common gone1"), (74, "a an")]
+    got = {(r.quote_id, r.text_id): r.share for r in assess.quoted_matches(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(texts, "text_id int, text string")).collect()}
+    of = lambda t: {w for w in (t or "").split() if len(w) > 3}
+    held: dict = {}
+    for i, t in texts:
+        held.setdefault(i, set()).update(of(t))
+    want = {(q, t): round(len(of(x) & w) / len(of(x)), 6) for q, x in quotes if of(x) for t, w in held.items() if len(of(x) & w) / len(of(x)) >= 0.5}
+    assert got == want and len(got) > 100

@@ -195,13 +195,26 @@ def second_pass(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
 def quoted_matches(quotes: DataFrame, texts: DataFrame, least: float = 0.5) -> DataFrame:
     """(quote_id, text_id, share) of quotes(quote_id, quote) that texts(text_id, text) bear out: share of the quote's distinct words of over three letters that the text has as words.
 
-    Words meet by equality, so no quote is held against a text without a word in common.
+    A text that bears out a quote has one of any of its words that are more than it may lack; a quote looks for the rarest so many, so a word that most texts have brings no pairs together.
+    What meets is compared in full. A repeated quote_id or text_id counts with all of its rows' words.
     """
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[^\s\p{Punct}]+"), F.lit(0)), lambda w: F.length(w) > 3))
-    q = quotes.select("quote_id", words(F.col("quote")).alias("w")).where("size(w) > 0").select("quote_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    t = texts.select("text_id", F.explode(words(F.col("text"))).alias("word"))
-    share = F.count("*") / F.first("n")
-    return q.join(t, "word").groupBy("quote_id", "text_id").agg(F.round(share, 6).alias("share")).where(F.col("share") >= least)
+    of = lambda df, key, c: df.select(key, words(F.col(c)).alias("w")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w")).where("size(w) > 0")
+    q = materialize(of(quotes, "quote_id", "quote"), "quotes")
+    t = materialize(of(texts, "text_id", "text"), "texts")
+    asked = q.select("quote_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    held = t.select("text_id", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    often = held.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("quote_id").orderBy("df", "word"))
+    rare = asked.join(often, "word").withColumn("_n", place)
+    # words that no text has are the rarest, and take up that many of the places
+    missing = asked.join(often, "word", "left_anti").groupBy("quote_id").agg(F.count("*").alias("gone"))
+    wanted = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - F.coalesce("gone", F.lit(0))
+    signs = rare.join(missing, "quote_id", "left").where(F.col("_n") <= wanted).select("quote_id", "word")
+    met = signs.join(held, "word").select("quote_id", "text_id").distinct()
+    both = met.join(q.select("quote_id", F.col("w").alias("qw")), "quote_id").join(t, "text_id")
+    share = F.size(F.array_intersect("qw", "w")) / F.size("qw")
+    return both.select("quote_id", "text_id", F.round(share, 6).alias("share")).where(F.col("share") >= least)
 
 
 # Programs whose scheduled tasks are routine; rights that read memory; products that open every process.
