@@ -24,6 +24,11 @@ def numbered(rows: DataFrame, order: str | list[str]) -> DataFrame:
     return runs.join(offsets, F.col("_run").eqNullSafe(F.col("_of"))).withColumn("index", F.col("_offset") + place - 1).drop("_run", "_of", "_offset")
 
 
+def incident_ids(incidents: DataFrame, key: str = "incident") -> DataFrame:
+    """incidents with id: INC-1, INC-2 and so on in the order of key, the incident's smallest row; equal keys are numbered in any order."""
+    return numbered(incidents, [key]).withColumn("id", F.concat(F.lit("INC-"), (F.col("index") + 1).cast("string"))).drop("index")
+
+
 def platform_override(c: Column) -> Column:
     """The platform that a column names; null if it is none of the known."""
     v = F.lower(stripped(c))

@@ -57,6 +57,20 @@ def timeline_diagram(entries: DataFrame, by: list[str]) -> DataFrame:
     return one.groupBy(*by).agg(F.concat(F.lit("flowchart LR\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n")).alias("diagram"))
 
 
+def chain_diagram(chain: DataFrame, by: list[str]) -> DataFrame:
+    """(by, diagram): a flow chart of attack_chain's phases in order, a box each with its techniques in it, and an arrow from each box to the next. Techniques and tactics keep their names, safe for labels."""
+    box = F.struct("phase", "tactic", "techniques")
+    boxes = chain.groupBy(*by).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+    def drawn(b: Column, i: Column) -> Column:
+        name = F.concat(F.lit("p"), i.cast("string"))
+        nodes = F.transform(b["techniques"], lambda t, j: F.concat(F.lit("    "), name, F.lit("t"), j.cast("string"), F.lit('["'), mermaid(F.coalesce(t, F.lit("-"))), F.lit('"]')))
+        arrow = F.when(i > 0, F.concat(F.lit("\n  p"), (i - 1).cast("string"), F.lit(" --> "), name)).otherwise("")
+        return F.concat(F.lit("  subgraph "), name, F.lit('["'), mermaid(F.coalesce(b["tactic"], F.lit("-"))), F.lit('"]\n'), F.array_join(nodes, "\n"), F.when(F.size(b["techniques"]) > 0, "\n").otherwise(""), F.lit("  end"), arrow)
+
+    return boxes.select(*by, F.concat(F.lit("flowchart TD\n"), F.array_join(F.transform("boxes", drawn), "\n")).alias("diagram"))
+
+
 def rule_draft(rules: DataFrame) -> DataFrame:
     """rules(name, ids, processes, correlate_by, correlate_value, window_minutes, threshold) with draft: a detection rule in words."""
     same = F.when(F.col("correlate_by").isNotNull(), F.format_string(" with the same %s (%s)", "correlate_by", "correlate_value")).otherwise("")

@@ -198,6 +198,15 @@ def context_blocks(chunks: DataFrame, budget: int | None = 8_500, clip: int = 90
     return blocks.withColumn("_upto", upto).where((F.col("_upto") <= budget) | (F.col("place") == 1)).drop("_upto")
 
 
+def chunk_stats(chunks: DataFrame, by: str, size: str) -> DataFrame:
+    """(by, n, least, p50, p90, most) of a column of whole numbers: by place in order, floor(n / 2) and floor(0.9 n), and not interpolated. Equal sizes are counted first, so no task orders more than the distinct sizes of a group."""
+    counted = chunks.where(F.col(size).isNotNull()).groupBy(by, F.col(size).alias("t")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    r = counted.withColumn("upto", F.sum("c").over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = lambda e: F.min(F.when(F.col("upto") > F.floor(F.col("n") * e), F.col("t")))
+    return r.groupBy(by).agg(F.max("n").alias("n"), F.min("t").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("t").alias("most"))
+
+
 #: Digests that one digest of the next level covers.
 FAN = 1_000
 

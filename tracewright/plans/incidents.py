@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import correlate, incident
+from tracewright.operators import batch, correlate, incident, report
 from tracewright.workspace import table
 
 # A phase or two for each event type, so that the chain has something to place.
@@ -58,6 +58,18 @@ def attack_chain_primary(spark, d):
     return c.select("user_id", "island", "phase", "tactic", F.array_join("techniques", ",").alias("techniques"))
 
 
+def chain_diagrams(spark, d):
+    """A flow chart of each incident's phases."""
+    c = incident.attack_chain(_techniques(spark, d), ["user_id", "island"])
+    return report.chain_diagram(c, ["user_id", "island"]).select("user_id", "island", F.md5(F.col("diagram").cast("binary")).alias("digest"), F.length("diagram").alias("size"))
+
+
+def incident_ids(spark, d):
+    """Orders by customer as incidents, numbered in the order of their first row."""
+    i = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("incident"), F.count("*").alias("n"))
+    return batch.incident_ids(i).select("id", "incident", "n")
+
+
 def attack_chain_all(spark, d):
     c = incident.attack_chain(_techniques(spark, d), ["user_id", "island"], primary_only=False)
     return c.select("user_id", "island", "phase", "tactic", F.array_join("techniques", ",").alias("techniques"))
@@ -126,7 +138,7 @@ _SCORED = f"""WITH {_ISLANDS},
 t AS (SELECT user_id, island, event_type AS technique, max(round(value / 500, 4)) AS score FROM i GROUP BY ALL),
 c AS (SELECT t.*, m.tactic, m.phase FROM t JOIN {_PRIMARY_SQL} ON m.event_type = t.technique)"""
 
-QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, lineage_components, incident_components_day, ioc_distinct, reputation_lookup_quota)}
+QUERIES = {f.__name__: f for f in (incidents_by_user, technique_dedup, strong_weak_split, attack_chain_primary, chain_diagrams, incident_ids, attack_chain_all, incident_risk, incident_timeline, incident_primary_customer, rule_params, incident_components, lineage_components, incident_components_day, ioc_distinct, reputation_lookup_quota)}
 ORACLE_SQL = {
     "incidents_by_user": f"""WITH {_ISLANDS}, g AS (SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS n_types, min(ts) AS first_ts, max(ts) AS last_ts, min(event_id) AS first_row FROM i GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT *, CAST(least(100, 15 * n_types + least(n, 25)) AS INTEGER) AS score FROM g)
@@ -139,6 +151,12 @@ SELECT b.user_id, b.technique, count(*) AS occurrences, count(DISTINCT event_id)
 FROM b JOIN v USING (user_id, technique) GROUP BY b.user_id, b.technique""",
     "strong_weak_split": f"WITH {_ISLANDS}, t AS (SELECT user_id, island, event_type, max(round(value / 500, 4)) AS s FROM i GROUP BY ALL) SELECT user_id, island, count(*) FILTER (s >= 0.5) AS strong, count(*) FILTER (s < 0.5) AS weak FROM t GROUP BY ALL",
     "attack_chain_primary": f"WITH {_ISLANDS} SELECT user_id, island, CAST(phase AS INTEGER) AS phase, tactic, string_agg(DISTINCT i.event_type, ',' ORDER BY i.event_type) AS techniques FROM i JOIN {_PRIMARY_SQL} USING (event_type) GROUP BY ALL",
+    "chain_diagrams": f"""WITH {_ISLANDS}, c AS (SELECT user_id, island, phase, tactic, list(DISTINCT i.event_type ORDER BY i.event_type) AS t FROM i JOIN {_PRIMARY_SQL} USING (event_type) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY phase, tactic) - 1 AS k FROM c),
+b AS (SELECT user_id, island, k, '  subgraph p' || k || '["' || tactic || '"]' || chr(10) || array_to_string([('    p' || k || 't' || (x - 1) || '["' || t[x] || '"]') FOR x IN range(1, len(t) + 1)], chr(10)) || chr(10) || '  end' || CASE WHEN k > 0 THEN chr(10) || '  p' || (k - 1) || ' --> p' || k ELSE '' END AS s FROM p),
+d AS (SELECT user_id, island, 'flowchart TD' || chr(10) || string_agg(s, chr(10) ORDER BY k) AS diagram FROM b GROUP BY ALL)
+SELECT user_id, island, md5(diagram) AS digest, CAST(length(diagram) AS INTEGER) AS size FROM d""",
+    "incident_ids": "WITH i AS (SELECT min(o_orderkey) AS incident, count(*) AS n FROM orders GROUP BY o_custkey) SELECT 'INC-' || row_number() OVER (ORDER BY incident) AS id, incident, n FROM i",
     "attack_chain_all": f"WITH {_ISLANDS} SELECT user_id, island, CAST(phase AS INTEGER) AS phase, tactic, string_agg(DISTINCT i.event_type, ',' ORDER BY i.event_type) AS techniques FROM i JOIN {_ALL_SQL} USING (event_type) GROUP BY ALL",
     "incident_risk": f"""{_SCORED}, g AS (SELECT user_id, island, count(DISTINCT tactic) AS phases, count(DISTINCT tactic) FILTER (tactic IN ({", ".join(repr(x) for x in incident.HIGH_RISK)})) AS high, count(*) AS n_techniques, avg(score) AS mean FROM c WHERE score >= 0.5 GROUP BY ALL),
 s AS (SELECT user_id, island, phases, n_techniques, CAST(greatest(0, least(100, round_even(round(30.0::DOUBLE * phases / 15 + least(15 * high, 30) + least(3 * n_techniques, 20) + 20 * mean, 6), 0))) AS INTEGER) AS score FROM g)

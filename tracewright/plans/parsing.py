@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import logparse, text
-from tracewright.operators import rulebook, rules
+from tracewright.operators import normalise, rulebook, rules
 from tracewright.operators.rules import Condition, Rule
 from tracewright.sources import catalog
 from tracewright.workspace import materialize, table
@@ -154,9 +154,8 @@ def discriminating_fields(spark, d):
     """Field values worth searching for: not ids, not plain numbers, four letters or more or with a blank, once each in any case."""
     p = table(spark, d, "part")
     long = p.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(i).alias("ord"), F.substring(F.col(c).cast("string"), 1, 200).alias("value")) for i, (k, c) in enumerate([("part.id", "p_partkey"), ("part.name", "p_name"), ("part.type", "p_type"), ("part.size", "p_size"), ("part.brand", "p_brand")])])).alias("f")).select("p_partkey", "f.*")
-    good = long.where(~F.endswith("name", F.lit(".id")) & ~F.col("value").rlike(r"^(0[xX])?[0-9A-Fa-f]+$") & ((F.length("value") >= 4) | F.col("value").rlike(r"[\s/\\]")))
-    first = good.groupBy("p_partkey", F.lower("value").alias("l")).agg(F.min(F.struct("ord", "value")).alias("v"))
-    return first.groupBy("p_partkey").agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"])).alias("fields_"))
+    told = normalise.discriminating(long.select(F.col("p_partkey").alias("event_id"), "ord", "name", "value", F.lit(True).alias("in_schema"), F.lit(True).alias("informative")))
+    return told.groupBy(F.col("event_id").alias("p_partkey")).agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])).alias("fields_"))
 
 
 _SQL_BITS = catalog.MASKS["registry"] + catalog.MASKS["standard"]

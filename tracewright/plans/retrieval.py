@@ -111,11 +111,7 @@ def chunk_pack_greedy(spark, d):
 
 def chunk_stats(spark, d):
     """Count and sizes of documents by language: least, middle, ninth tenth and most, by place and not interpolated."""
-    t = _docs(spark, d).groupBy("lang", text.estimated_tokens(F.col("text")).alias("t")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("lang")
-    r = t.withColumn("upto", F.sum("c").over(w.orderBy("t"))).withColumn("n", F.sum("c").over(w))
-    at = lambda e: F.min(F.when(F.col("upto") > F.floor(F.col("n") * e), F.col("t")))
-    return r.groupBy("lang").agg(F.max("n").alias("n"), F.min("t").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("t").alias("most"))
+    return retrieve.chunk_stats(_docs(spark, d).withColumn("t", text.estimated_tokens(F.col("text"))), "lang", "t")
 
 
 def content_fingerprint(spark, d):
