@@ -6,21 +6,22 @@ from tests.llm.conftest import DOCS
 from tracewright.llm.registry import QUERIES
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
+ITEMS = "item_id bigint, text string"
 NAMES = sorted(QUERIES)
 
 
-def _tables(rows, labels, vectors):
-    return {"documents": (rows, DOCS), "labels": (labels, "doc_id bigint, quality int, toxic int"), "embeddings": (vectors, VECTORS)}
+def _tables(rows, labels, vectors, items):
+    return {"documents": (rows, DOCS), "labels": (labels, "doc_id bigint, quality int, toxic int"), "embeddings": (vectors, VECTORS), "benchmark": (items, ITEMS)}
 
 
 @pytest.fixture(scope="module")
 def empty(write):
-    return write(**_tables([], [], []))
+    return write(**_tables([], [], [], []))
 
 
 @pytest.fixture(scope="module")
 def odd(write, odd_rows):
-    return write(**_tables(odd_rows, [(1, 1, 0), (2, None, 1), (None, 0, 1), (6, 1, None), (1, 1, 0)], [(0, None, 1), (100, [1.0, None], 1), (None, [1.0, 2.0], 1), (200, [1.0, 2.0], None), (1, [float("nan"), 1.0], 1), (2, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (3, [], 1)]))
+    return write(**_tables(odd_rows, [(1, 1, 0), (2, None, 1), (None, 0, 1), (6, 1, None), (1, 1, 0)], [(0, None, 1), (100, [1.0, None], 1), (None, [1.0, 2.0], 1), (200, [1.0, 2.0], None), (1, [float("nan"), 1.0], 1), (2, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (3, [], 1)], [(1, odd_rows[0][1]), (1, odd_rows[0][1]), (2, None), (3, ""), (None, "one the"), (4, "!!")]))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -31,7 +32,7 @@ def test_empty(spark, empty, name):
 @pytest.mark.parametrize("name", NAMES)
 def test_odd(spark, odd, odd_rows, name):
     rows = QUERIES[name](spark, odd).collect()
-    if name in ("op1_toxicity", "op3_minmax_dedup", "op4_minimax_shards", "op6_language", "op7_scaled_sketches", "op9_mix_sources", "op10_bpe_trie"):
+    if name in ("op1_toxicity", "op3_minmax_dedup", "op4_minimax_shards", "op6_language", "op7_scaled_sketches", "op9_mix_sources", "op10_bpe_trie", "op11_piece_chunks", "op13_pair_alignment"):
         assert len(rows) == len(odd_rows)
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in odd_rows)
 
@@ -57,6 +58,17 @@ def test_values_of_odd_rows(spark, odd, odd_rows):
     assert all(of(langs, i)[0].lang_pred == "und" and of(langs, i)[0].score == 0 for i in (3, 4, 5, 11))
     tokens = by("op10_bpe_trie")
     assert of(tokens, 3)[0].n_tokens == of(tokens, 4)[0].n_tokens == 0 and of(tokens, 10)[0].n_tokens > 300
+    pieces = by("op11_piece_chunks")
+    assert of(pieces, 3)[0].n_tokens == of(pieces, 4)[0].n_tokens == 2 and of(pieces, 10)[0].n_tokens > 300 and of(pieces, 3)[0].decoded_sha256 == of(tokens, 3)[0].decoded_sha256
+    aligned = by("op13_pair_alignment")
+    for i in (3, 4):
+        r = of(aligned, i)[0]
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) == (0, 0, 0, 0, 0, 0, "")
+    assert len({(r.n_links, r.groups_sha256) for r in of(aligned, 1) + of(aligned, 2)}) == 1 and of(aligned, 9)[0].n_b == of(pieces, 9)[0].n_tokens - 2
+    ranked = sorted((str(r.item_id), r["rank"], r.doc_id, r.score) for r in QUERIES["op12_block_max_search"](spark, odd).collect())
+    mine = [r for r in ranked if r[0] == "1"]
+    assert [r[2] for r in mine[:4]] == [1, 1, 2, None] and len({r[3] for r in mine[:4]}) == 1 and [r[1] for r in mine] == list(range(1, len(mine) + 1))
+    assert {r[0] for r in ranked} == {"1", "None"}
     toxic = by("op1_toxicity")
     assert of(toxic, 3)[0].score == of(toxic, 4)[0].score == of(toxic, 5)[0].score == min(r.score for r in toxic.values())
     best = sorted((r.query_id, r["rank"], r.vec_id) for r in QUERIES["op5_nra_topk"](spark, odd).collect())
@@ -68,8 +80,9 @@ def test_extra_columns(spark, write, odd_rows):
     extra = ", n bigint, rep bigint, key bigint, block int, h bigint, k string, size bigint, text_key bigint, score double, predicted int, component bigint, target double, bands array<bigint>, toxic int, _id bigint, cell int"
     rows = [(*r, 7, 7, 7, 7, 7, "7", 7, 7, 7.0, 7, 7, 7.0, [7], 7, 7, 7) for r in odd_rows]
     labels = ([(1, 1, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int")
-    wide = write(documents=(rows, DOCS + extra), labels=labels)
-    slim = write(documents=(odd_rows, DOCS), labels=labels)
+    items = ([(1, odd_rows[0][1])], ITEMS)
+    wide = write(documents=(rows, DOCS + extra), labels=labels, benchmark=items)
+    slim = write(documents=(odd_rows, DOCS), labels=labels, benchmark=items)
     for name in NAMES:
         if name not in ("op5_nra_topk", "pipeline"):
             a, b = ([sorted(map(str, QUERIES[name](spark, d).collect()))] for d in (wide, slim))
