@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.text import stripped
 from tracewright.operators.rules import log_source
 from tracewright.workspace import materialize
 
+#: Events that a merged technique lists.
+LISTED = 1_000
 #: Rows that one task numbers.
 RUN = 100_000
 
@@ -42,9 +46,19 @@ def required_sources(ids: DataFrame) -> DataFrame:
 
 
 def merged_alarm(mappings: DataFrame, by: list[str]) -> DataFrame:
-    """(by, technique, level, events) of mappings(by, event, technique, level): each technique once, as its first event has it, with the events it was seen in."""
+    """(by, technique, level, events) of mappings(by, event, technique, level): each technique once, as its first event has it, with the first LISTED of the events it was seen in; alarm_events has them all."""
+    key = [*by, "technique"]
     first = F.min(F.struct("event", "level")).alias("f")
-    return mappings.groupBy(*by, "technique").agg(first, F.array_sort(F.collect_set("event")).alias("events")).select(*by, "technique", F.col("f.level").alias("level"), "events")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("event"))
+    listed = alarm_events(mappings, by).withColumn("_n", place).where(F.col("_n") <= LISTED).groupBy(*key).agg(F.array_sort(F.collect_list("event")).alias("events"))
+    right = listed.select(*[F.col(c).alias(f"_{c}") for c in key], "events")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return mappings.groupBy(*key).agg(first).join(right, same, "left").select(*key, F.col("f.level").alias("level"), F.coalesce("events", F.array().cast(listed.schema["events"].dataType)).alias("events"))
+
+
+def alarm_events(mappings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, technique, event) once each: every event of every technique of merged_alarm, a row each."""
+    return mappings.where("event is not null").select(*by, "technique", "event").distinct()
 
 
 def evidence_text(quotes: Column, reasoning: Column, technique: Column) -> Column:
