@@ -114,10 +114,12 @@ def train(docs: DataFrame) -> Model | None:
 
     def run(batches):
         for batch in batches:
-            made = [(lang, v.tobytes()) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary())], ["lang", "v"])
+            made = [(i, lang, v.tobytes()) for i, t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if (v := features(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], batch.column(0).type), pa.array([x[1] for x in made], pa.string()), pa.array([x[2] for x in made], pa.binary())], ["id", "lang", "v"])
 
-    rows = sorted(map(tuple, docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("t.text").alias("text"), F.col("_lang").alias("lang")).mapInArrow(trimmed(run), "lang string, v binary").collect()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    met = docs.where("lang is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_id", "text", "lang")
+    rows = sorted(map(tuple, met.mapInArrow(trimmed(run), f"id {kind}, lang string, v binary").groupBy("id", "lang").agg(F.min("v").alias("v")).select("lang", "v").collect()))
     return Model(np.array([np.frombuffer(v, np.float32) for _, v in rows]), [lang for lang, _ in rows]) if rows else None
 
 

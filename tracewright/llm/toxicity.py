@@ -149,11 +149,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most FIT_ROWS labelled rows whose crc32(doc_id) mod 3 is not 1. The rows chosen are that few, so they can be broadcast to the texts; of a doc_id's texts one stands for all, so the join is as bounded."""
+    """(_id, text, toxic) of at most FIT_ROWS labels whose crc32(doc_id) mod 3 is not 1, a row for each text of their documents. The labels chosen are that few, so they can be broadcast to the texts."""
     of = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = of.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(FIT_ROWS)
-    met = docs.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"))
-    return met.groupBy("_id", F.col("toxic").alias("_toxic")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("t.text").alias("text"), F.col("_toxic").alias("toxic"))
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -179,10 +178,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for batch in batches:
-            rows = [[*model.features(t, y), float(y)] for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T], ["a", "b", "c", "y"])
+            rows = [[*model.features(t, y), float(y)] for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T]], ["id", "a", "b", "c", "y"])
 
-    xy = np.array([tuple(r) for r in rows.mapInArrow(trimmed(run), "a double, b double, c double, y double").collect()])
+    # of a label's texts one stands for all, so that no more rows come here than labels were chosen
+    kind = rows.schema["_id"].dataType.simpleString()
+    told = rows.mapInArrow(trimmed(run), f"id {kind}, a double, b double, c double, y double").groupBy("id", "y").agg(F.min(F.struct("a", "b", "c")).alias("x"))
+    xy = np.array([tuple(r) for r in told.select("x.a", "x.b", "x.c", "y").collect()])
     xy = xy[np.lexsort(xy.T)]
     model.coefficients = logistic(xy[:, :3], xy[:, 3]).tolist()
     return model
