@@ -178,12 +178,19 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "key bigint, n bigint")
 
 
+def _shared_uri(spark) -> str:
+    """The shared folder with its store's name, so that pyarrow opens what Spark means by it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return f"file:///{uri.removeprefix('file:').lstrip('/')}" if uri.startswith("file:") else uri
+
+
 def count_shards(counts: DataFrame) -> DataFrame:
     """(path, first, n, ids, most): sorted counts of all keys, a shard a range of keys, left in the shared folder as <path>.keys and <path>.counts; ids and most: the highest count of each B id in it.
 
     counts(key, n) should be a written table, as ranges are sampled from it. Only shards whose row was returned belong to the result; a task that ran twice leaves files that none reads.
     """
-    folder = f"{shared_dir(counts.sparkSession)}/pair-counts-{uuid.uuid4().hex}"
+    folder = f"{_shared_uri(counts.sparkSession)}/pair-counts-{uuid.uuid4().hex}"
 
     def run(batches):
         place, top = fs.FileSystem.from_uri(folder)
