@@ -76,3 +76,19 @@ def test_quotes_by_their_rarest_words(spark):
         held.setdefault(i, set()).update(of(t))
     want = {(q, t): round(len(of(x) & w) / len(of(x)), 6) for q, x in quotes if of(x) for t, w in held.items() if len(of(x) & w) / len(of(x)) >= 0.5}
     assert got == want and len(got) > 100
+
+
+def test_sentences_by_the_events_own_fields(spark):
+    from tracewright.operators import report
+
+    fields = {
+        1: {"EventID": "5156", "process.name": "C:\\a\\b.exe", "destination.ip": "fe80::1", "destination.port": "443", "object.name": "not told"},
+        2: {"EventID": "4663", "process.name": "-", "account.name": "bob", "object.name": "x" * 90},
+        3: {"EventID": "4624"},
+        4: {"EventID": "77", "account.name": "bob"},
+        5: None,
+    }
+    rows = spark.createDataFrame(list(fields.items()), "row int, fields map<string,string>")
+    t = spark.createDataFrame([(1, f"T{i}", i, None) for i in fields] + [(1, "T1", 9, None), (1, "late", 9, None), (1, None, 1, None), (1, "T2", 4, None)], "g int, technique string, row int, ts timestamp")
+    got = {r.technique: r.sentence for r in report.technique_sentences(t, rows.union(rows.limit(1)), ["g"]).collect()}
+    assert got == {"T1": "b.exe > [fe80::1]:443, network connection made (5156)", "T2": "bob > " + "x" * 67 + "..., object accessed (4663)"}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.text import basename, first_present
 from tracewright.operators.incident import HIGH_RISK, primary_tactic, tactic_rank
+from tracewright.operators.normalise import ACTIONS
+from tracewright.sources import catalog
 
 
 def sentence(fields: Column, verb: Column) -> Column:
@@ -16,6 +18,53 @@ def sentence(fields: Column, verb: Column) -> Column:
     return F.when(actor.isNotNull() | target.isNotNull(), F.concat_ws(" ", short(actor), verb, short(target)))
 
 
+# Fields of who acts and of what is acted on, the first that an event has counts; and the port that belongs to an address.
+ACTORS = ["process.name", "process.path", "account.name"]
+TARGETS = ["object.name", "target.image", "service.name", "share.name", "file.path", "destination.ip", "source.ip", "host.name"]
+PORTS = {"destination.ip": "destination.port", "source.ip": "source.port"}
+
+
+def told_of(event_id: Column, fields: Column, ts: Column) -> Column:
+    """What happened in one event: time of day, who, what was acted on, what was done, the id. Only the fields that say most about such an event (catalog.EVENTS) are looked at; null if the id is unknown or none of them is there.
+
+    A program is named without its folder; a value of over 70 characters is cut and marked; a port that the event tells of follows its address, in brackets if that has colons. Parts that aren't there are left out.
+    """
+    said = F.lit(None).cast("array<string>")
+    done = F.lit(None).cast("string")
+    for i, (_, _, _, names) in catalog.EVENTS.items():
+        said = F.when(event_id == i, F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).otherwise(said)
+        done = F.when(event_id == i, F.lit(ACTIONS[i][0] if i in ACTIONS else None)).otherwise(done)
+    known = lambda f: F.when(F.array_contains(said, f), first_present(F.regexp_replace(fields[f], r"\s++", " ")))
+    short = lambda c: F.when(F.length(c) > 70, F.concat(F.rtrim(F.substring(c, 1, 67)), F.lit("..."))).otherwise(c)
+
+    def actor(f: str) -> Column:
+        v = known(f)
+        return v if f == "account.name" else F.coalesce(F.nullif(basename(v), F.lit("")), v)
+
+    def target(f: str) -> Column:
+        v = known(f)
+        if f not in PORTS:
+            return v
+        port = known(PORTS[f])
+        host = F.when(F.contains(v, F.lit(":")), F.concat(F.lit("["), v, F.lit("]"))).otherwise(v)
+        return F.when(port.isNotNull(), F.concat(host, F.lit(":"), port)).otherwise(v)
+
+    who, what = F.coalesce(*map(actor, ACTORS)), F.coalesce(*map(target, TARGETS))
+    line = F.concat_ws(" ", F.date_format(ts, "HH:mm"), F.concat_ws(" > ", short(who), short(what)))
+    return F.when(who.isNotNull() | what.isNotNull(), F.concat(F.concat_ws(", ", line, done), F.lit(" ("), event_id, F.lit(")")))
+
+
+def technique_sentences(techniques: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, technique, sentence) of techniques(by, technique, row, ts), a row for each row that a technique was seen in, and rows(row, fields MAP): what happened in the first of them that rows has. A technique without a sentence isn't listed; a repeated row counts once."""
+    from tracewright.operators.rules import event_number
+
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("_n = 1").select("row", "fields")
+    seen = techniques.where("technique is not null").join(rows.select("row").distinct(), "row", "left_semi")
+    first = seen.groupBy(*by, "technique").agg(F.min("row").alias("row"), F.min("ts").alias("ts"))
+    told = first.join(once, "row").withColumn("_id", event_number(F.col("fields")))
+    return told.select(*by, "technique", told_of(F.col("_id"), F.col("fields"), F.col("ts")).alias("sentence")).where("sentence is not null")
+
+
 def chain_line(chain: DataFrame, by: list[str]) -> DataFrame:
     """(by, chain): phases in order, three techniques of each named and the rest counted."""
     named = F.concat(F.array_join(F.slice("techniques", 1, 3), ", "), F.when(F.size("techniques") > 3, F.format_string(" +%d more", F.size("techniques") - 3)).otherwise(""))
