@@ -100,6 +100,15 @@ def test_criticality(spark):
     assert got[2][0] == got[5][0] == got[6][0] == "unknown"
 
 
+def test_asset_paths(spark):
+    """Users' hives are one, with and without a security id."""
+    same = ["HKU\\S-1-5-21-1-2-3-1001\\Software\\Foo", "HKCU\\Software\\Foo", "\\REGISTRY\\USER\\S-1-5-18\\SOFTWARE\\Foo\\", "HKEY_USERS\\S-1-5-21-9_Classes\\Software\\Foo", "HKCU\\S-1-5-20\\Software\\Foo"]
+    assert {one(spark, text.asset_path, p) for p in same} == {"HKCU\\SOFTWARE\\FOO"}
+    assert one(spark, text.asset_path, "HKLM\\S-1-5\\x") == "HKLM\\X" and one(spark, text.asset_path, "HKUX\\a") == "HKUX\\A" and one(spark, text.asset_path, " ") is None
+    got = {r.row: r.level for r in rules.criticality(spark.createDataFrame([(1, same[0]), (2, "HKU\\S-1-5-21-1\\Other")], "row bigint, path string"), [("HKCU\\Software\\Foo", "high", "f")]).collect()}
+    assert got == {1: "high", 2: "unknown"}
+
+
 @pytest.mark.parametrize(
     ("command", "want"),
     [

@@ -112,6 +112,12 @@ def registry_path(c: Column) -> Column:
     return F.nullif(F.trim(F.array_join(segments, "\\")), F.lit(""))
 
 
+def asset_path(c: Column) -> Column:
+    """A registry path as assets are compared: its one spelling, where HKU and HKCU are the same hive and a user's security id behind it is left out, so that each user's key is one asset."""
+    p = F.regexp_replace(registry_path(c), r"^HKU(?=\\|$)", "HKCU")
+    return F.regexp_replace(p, r"^(HK[A-Z]+)\\S-1-[0-9-]++(?:_CLASSES)?(?=\\|$)", "$1")
+
+
 def _renamed(pattern: str, name: str):
     return lambda s: F.when(s.rlike(f"(?i)^{pattern}$"), name).otherwise(s)
 

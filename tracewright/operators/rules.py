@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.functions.text import evidence_allowed, looks_like_registry, polarity, registry_path
+from tracewright.functions.text import asset_path, evidence_allowed, looks_like_registry, polarity, registry_path
 from tracewright.operators import rulebook
 from tracewright.sources import catalog
 from tracewright.workspace import materialize
@@ -155,12 +155,12 @@ def criticality(paths: DataFrame, assets: list[tuple[str, str, str]] | None = No
     """paths(row, path) with level and family of the longest asset path that covers each; unknown if none does.
 
     All beginnings of a path at segment bounds are looked up by equality, so the join grows with the paths and not with paths times assets. A path without a hive
-    is tried below HKLM and HKCU.
+    is tried below HKLM and HKCU; a user's own hive counts as HKCU, whoever the user is.
     """
     spark = paths.sparkSession
     raw = spark.createDataFrame([(i, *a) for i, a in enumerate(assets or catalog.ASSETS)], "n int, pattern string, level string, family string")
-    table = raw.withColumn("pattern", registry_path(F.col("pattern"))).where(F.contains("pattern", F.lit("\\"))).withColumn("len", F.length("pattern"))
-    norm = paths.withColumn("norm", registry_path(F.col("path")))
+    table = raw.withColumn("pattern", asset_path(F.col("pattern"))).where(F.contains("pattern", F.lit("\\"))).withColumn("len", F.length("pattern"))
+    norm = paths.withColumn("norm", asset_path(F.col("path")))
     tried = F.when(F.col("norm").rlike(r"^HK[A-Z]+(\\|$)"), F.array("norm")).otherwise(F.transform(F.array(F.lit("HKLM\\"), F.lit("HKCU\\")), lambda h: F.concat(h, F.col("norm"))))
     full = norm.select("row", "path", F.explode_outer(tried).alias("full"))
     heads = F.transform(F.sequence(F.lit(1), F.size(F.split("full", r"\\"))), lambda i: F.array_join(F.slice(F.split("full", r"\\"), 1, i), "\\"))
