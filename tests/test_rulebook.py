@@ -71,3 +71,40 @@ def test_passes_and_table(spark, monkeypatch):
     assert sorted((r.row, r.rule) for r in rules.hits(rows, book).collect()) == [(i, i) for i in range(299)]
     with pytest.raises(ValueError):
         rulebook.hits(rows, [Rule("T", "n", "t", (), (), ((Condition("Message", "(a"),),))], F.lit(None).cast("string"))
+
+
+def test_plain_patterns():
+    assert rulebook.plain(r"(?i)\bAb_9\b") == ("Ab_9", True, True, True) and rulebook.plain("a b-c") == ("a b-c", False, False, False)
+    assert all(rulebook.plain(p) is None for p in (None, "", "ab", r"(?i)\bab", "ab[cd]", r"abc\B", "^abc", "abc|abd", "größe", "(?m)abc", "abc$", r"\b"))
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcABC_ -é\u212a", k=rng.randint(0, 12))) for _ in range(300)]
+    patterns = [f"{i}{a}{''.join(rng.choices('abcABC_ -', k=3))}{z}" for i in ("", "(?i)") for a in ("", r"\b") for z in ("", r"\b") for _ in range(60)]
+    book = rulebook.Book([Rule("T", p, "t", (), (), ((Condition("Message", p),),)) for p in patterns])
+    met = 0
+    for t in texts:
+        want = [i for i, p in enumerate(patterns) if rulebook.compiled(p).search(t)]
+        met += len(want)
+        assert book.hits(None, {"Message": t}, {}) == want
+    assert met > 100
+
+
+def test_many_words_in_long_texts_search_no_text_again(monkeypatch):
+    """A word is settled where the automaton finds it; a pattern that many rules share is searched once a row."""
+    searched = []
+    real = rulebook.compiled
+
+    class Counted:
+        def __init__(self, p):
+            self.p, self.re = p, real(p)
+
+        def search(self, t):
+            searched.append(self.p)
+            return self.re.search(t)
+
+    monkeypatch.setattr(rulebook, "compiled", Counted)
+    words = [f"word{i:03d}" for i in range(500)]
+    book = rulebook.Book([Rule("T", w, "t", (), (), ((Condition("Message", rf"(?i)\b{w}\b", r"(?i)\b(?:the|les)\b"),),)) for w in words])
+    text = " ".join(words[::2]) + " " + "x".join(words)
+    assert book.hits(None, {"Message": text}, {}) == [*range(0, 500, 2)]
+    assert book.hits(None, {"Message": text + " The"}, {}) == []
+    assert searched == [r"(?i)\b(?:the|les)\b"] * 2
