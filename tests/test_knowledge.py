@@ -92,3 +92,13 @@ def test_sentences_by_the_events_own_fields(spark):
     t = spark.createDataFrame([(1, f"T{i}", i, None) for i in fields] + [(1, "T1", 9, None), (1, "late", 9, None), (1, None, 1, None), (1, "T2", 4, None)], "g int, technique string, row int, ts timestamp")
     got = {r.technique: r.sentence for r in report.technique_sentences(t, rows.union(rows.limit(1)), ["g"]).collect()}
     assert got == {"T1": "b.exe > [fe80::1]:443, network connection made (5156)", "T2": "bob > " + "x" * 67 + "..., object accessed (4663)"}
+
+
+def test_sentence_stays_small_in_the_plan(spark):
+    """The sentence's expression doesn't repeat itself for each use of its parts: it took the driver's memory."""
+    from tracewright.operators import report
+
+    rows = spark.createDataFrame([(1, {"EventID": "4663", "account.name": "bob"})], "row int, fields map<string,string>")
+    t = spark.createDataFrame([(1, "T", 1, None)], "g int, technique string, row int, ts timestamp")
+    made = report.technique_sentences(t, rows, ["g"])
+    assert len(made._jdf.queryExecution().analyzed().toString()) < 200_000
