@@ -152,3 +152,18 @@ def test_shuffle_is_fixed_by_its_seed(spark):
 def test_numbers_of_any_columns(spark):
     df = spark.createDataFrame([(None, "b"), (2, "a"), (1, "z"), (1, "c")], "x int, y string").repartition(3)
     assert [(r.x, r.y) for r in batch.numbered(df, ["x", "y"]).orderBy("index").collect()] == [(None, "b"), (1, "c"), (1, "z"), (2, "a")]
+
+
+def test_two_places_by_the_binary_value(spark):
+    import random
+
+    from tracewright.functions.text import hundredths
+    from tracewright.operators import incident, report
+
+    rng = random.Random(8)
+    xs = [0.605, 0.975, 0.125, 0.375, 0.005, 0.015, 17.005, 2.675, 0.0, 1.0, 0.5, 30.0, 0.995, 1e-9, 123456.785] + [round(rng.random() * 20, 3) for _ in range(2000)] + [i / 2000 for i in range(2001)]
+    got = [r.n for r in spark.createDataFrame([(x,) for x in xs], "x double").select(hundredths(F.col("x")).alias("n")).collect()]
+    assert [f"{n // 100}.{n % 100:02d}" for n in got] == [f"{x:.2f}" for x in xs]
+    t = spark.createDataFrame([(1, ["Discovery"], 0.605), (2, ["Discovery"], 0.975), (3, ["Discovery"], 0.60475)], "g int, tactics array<string>, score double")
+    said = {r.g: r.sentences.split("\n")[-1] for r in report.risk_breakdown(incident.risk_parts(t, ["g"])).collect()}
+    assert said[1] == "confidence: mean 0.6 x 20, +12.1" and said[2] == "confidence: mean 0.97 x 20, +19.5"
