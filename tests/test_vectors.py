@@ -71,3 +71,38 @@ def test_odd_vectors(spark):
         vectors.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, v array<double>"))
     names = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<double>")
     assert [i for i, _ in rows(vectors.search(names.withColumnRenamed("id", "query_id").where("query_id = 'a'"), vectors.build(names), 2))["a"]] == ["b", "c"]
+
+
+def test_nearest_in_blocks_and_closest(spark):
+    """Against all pairs: copies, no direction, odd sizes, over several blocks and parts. Each task gives on only what may be among the best."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import retrieve
+
+    rng = random.Random(9)
+    vs = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    rows = [(i, vs[i % 40], i % 3) for i in range(300)] + [(300, [0.0] * 4, 1), (301, None, 1), (302, [1.0, 2.0], None), (303, [1.0, None, 2.0, 3.0], 1), (None, vs[0], 1)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, label int")
+    asked = df.where("id % 25 = 0 or id > 299").withColumnRenamed("id", "query_id")
+    got = retrieve.nearest(asked.select("query_id", "v"), df.select("id", "v"), 7, block=50, together=4)
+    dot = F.aggregate(F.zip_with("q", "v", lambda i, j: i * j), F.lit(0.0), lambda s, x: s + x)
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    pairs = asked.select("query_id", F.col("v").alias("q")).join(df, F.col("query_id") != F.col("id"))
+    want = retrieve.ranked(pairs.select("query_id", "id", F.round(F.when((size("q") > 0) & (size("v") > 0), dot / size("q") / size("v")), 6).alias("score")), 7)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 7 * asked.count()
+    low = retrieve._nearest_of(7)(pa_table(asked.where("query_id < 300"), "query_id", "own", "q"), pa_table(df.where("id < 300"), "id", None, "v"))
+    assert low.num_rows < 12 * 40
+    near = retrieve.closest(asked.select("query_id", "label"), df.select("id", "label"), "label", 5, block=20, together=3)
+    of = {i: x for i, _, x in rows}
+    best = {(q, i) for q in of if q is not None and (q % 25 == 0 or q > 299) and of[q] is not None for i in sorted((i for i in of if i is not None and i != q and of[i] == of[q]), key=lambda i: (abs(i - q), i))[:5]}
+    assert {(r.query_id, r.id) for r in near.collect()} == best
+
+
+def pa_table(df, first, own, v):
+    import pyarrow as pa
+
+    got = [(r[0], r.v) for r in df.select(first, "v").collect()]
+    ids = pa.array([x for x, _ in got], pa.int64())
+    return pa.table({first: ids, **({own: ids} if own else {}), v: pa.array([x for _, x in got], pa.list_(pa.float64()))})
