@@ -1,5 +1,10 @@
 """Bulk runs, ranking and packing on small rows."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +48,49 @@ def test_bm25_common_terms(spark):
     assert got[1, 1] > got[1, 2] > 0 and {k for k in got if k[0] == 2} == {(2, 1)} and not [k for k in got if k[0] == 3]
 
 
+def _plain_bm25(queries, chunks, k):
+    """BM25 of every query and chunk by plain loops, as (query_id, id, score)."""
+    words = {i: re.findall(r"[a-z0-9_./:\\-]+", t.lower()) for i, t in chunks}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    n, average = len(words), sum(map(len, words.values())) / len(words)
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    mean, out = sum(raw.values()) / len(raw), []
+    for q, text in queries:
+        times, scores = Counter(t for t in text.lower().split() if t in df), {}
+        for i, ws in words.items():
+            if shared := set(ws) & set(times):
+                part = lambda t: times[t] * (0.25 * mean if raw[t] < 0 else raw[t]) * ws.count(t) * 2.5 / (ws.count(t) + 1.5 * (0.25 + 0.75 * len(ws) / average))  # noqa: B023, E731
+                scores[i] = round(sum(map(part, shared)), 6)
+        out += [(q, i, s) for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]]
+    return out
+
+
+def test_bm25_in_small_groups(spark, monkeypatch):
+    """Blocks, parts and slices of a few rows give what plain loops give, ties and scores of 0 and less among it."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcdefgh") + rnd.choice(["", "x"]) for _ in range(n))
+    some = [(i, text(rnd.randint(0, 9))) for i in range(60)]
+    few = [(1, "a b"), (2, "a c"), (3, "b"), (4, "a c")]  # b stands in half of them: its idf is 0; the mean is negative
+    for name, value in {"CHUNKS": 7, "ASKING": 3, "AT_ONCE": 2, "CELLS": 12}.items():
+        monkeypatch.setattr(retrieve, name, value)
+    for chunks, queries in ((some + [(i + 60, t) for i, t in some[:20]], [(i, text(4)) for i in range(11)]), (few, [(1, "b"), (2, "a a"), (3, "c zzz")])):
+        c, q = spark.createDataFrame(chunks, "id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string")
+        for got in (retrieve.bm25(q, c, 4), retrieve.bm25_of(q, retrieve.postings(c), len(chunks), 4)):
+            got = [(r.query_id, r.id, r.score) for r in got.orderBy("query_id", "rank").collect()]
+            assert got == [(a, b, pytest.approx(s, abs=1.1e-6)) for a, b, s in _plain_bm25(queries, chunks, 4)]
+
+
+def test_bm25_pairs_are_no_rows(spark, monkeypatch):
+    """What is ranked are the best of each group, and not every query with every chunk that shares a term."""
+    seen, ranked = [], retrieve.ranked
+    monkeypatch.setattr(retrieve, "ranked", lambda scores, k: (seen.append(scores.count()), ranked(scores, k))[1])
+    c = spark.range(500).select("id", F.concat(F.lit("the same words "), F.col("id")).alias("text"))
+    q = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("the same "), F.col("id")).alias("text"))
+    for got in (retrieve.bm25(q, c, 3), retrieve.bm25_of(q, retrieve.postings(c), 500, 3)):
+        assert {(r.query_id, r.id) for r in got.where("rank = 1").collect()} == {(i, i) for i in range(20)}
+    assert max(seen) <= 20 * 2 * 3
+
+
 def test_cosine_of_nothing(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0])], "a array<float>, b array<float>")
     assert [r.c for r in df.select(retrieve.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [None, 1.0, 0.0]
