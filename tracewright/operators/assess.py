@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.functions.text import evidence_norm, quoted_share, shortened
 from tracewright.operators.rules import LEVELS
 from tracewright.sources import catalog
-from tracewright.workspace import discard, materialize
+from tracewright.workspace import materialize
 
 # Shares of the parts of a composite confidence.
 WEIGHTS = {"retrieval": 0.30, "evidence": 0.30, "fields": 0.15, "event_id": 0.15, "platform": 0.10}
@@ -46,21 +46,25 @@ def confidence(parts: dict[str, Column]) -> Column:
 def redirects(kb: DataFrame) -> DataFrame:
     """(id, target, hops): where a revoked entry leads after any number of hops; null for a chain that ends in a circle or in an unknown entry. kb: id, revoked_by.
 
-    Every entry points to where it leads, and each round it takes over what its own target points to, so a chain of n hops takes log2(n) rounds of one equal join. What still moves when
-    chains of all entries would have ended is in a circle or leads into one. Of a repeated id the row with the least revoked_by counts, none before any; rounds are written to the shared folder.
+    Every entry points to where it leads, and each round it takes over what its own target points to, so a chain of n hops takes log2(n) rounds of one equal join. An entry also keeps the
+    least entry on its way: where that is the entry itself it stands in a circle, and whatever came by it can stop. Rows that have arrived are written once, and a round writes only what still
+    moves, to the shared folder. Of a repeated id the row with the least revoked_by counts, none before any.
     """
     once = kb.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("revoked_by").isNotNull(), "revoked_by")).alias("r")).select("id", F.col("r.revoked_by").alias("next"))
-    now = materialize(once.select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("hops"), F.col("next").isNull().alias("done")), "redirects")
-    rounds = now.count().bit_length() + 1
-    for _ in range(rounds):
-        if now.where("not done and at is not null").isEmpty():
+    first = materialize(once.select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("hops"), F.col("next").isNull().alias("done"), F.col("next").alias("least")), "redirects")
+    settled, moving = first.where("done"), first.where("not done")
+    for _ in range(first.count().bit_length() + 1):  # then chains of all entries would have ended
+        if moving.isEmpty():
             break
-        step = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
-        moving = now.where("not done and at is not null").join(step, "at", "left").select("id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.coalesce("_done", F.lit(True)).alias("done"))
-        last, now = now, materialize(now.where("done or at is null").unionByName(moving), "redirects")
-        discard(last)
+        step = settled.unionByName(moving).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"), F.col("least").alias("_least"))
+        moved = materialize(moving.join(step, "at", "left").select("id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.coalesce("_done", F.lit(True)).alias("done"), F.least("least", "_least").alias("least")), "redirects")
+        settled, moving = settled.unionByName(moved.where("done or at is null")), moved.where("not done and at is not null")
+        circles = moving.where("least = id").select("least")
+        if not circles.isEmpty():
+            sorted_out = materialize(moving.join(circles.withColumn("_in", F.lit(True)), "least", "left").select("id", F.when(F.col("_in").isNull(), F.col("at")).alias("at"), "hops", "done", "least"), "redirects")
+            settled, moving = settled.unionByName(sorted_out.where("at is null")), sorted_out.where("at is not null")
     arrived = F.col("done") & F.col("at").isNotNull()
-    return now.select("id", F.when(arrived, F.col("at")).alias("target"), F.when(arrived, F.col("hops")).cast("int").alias("hops"))
+    return settled.unionByName(moving).select("id", F.when(arrived, F.col("at")).alias("target"), F.when(arrived, F.col("hops")).cast("int").alias("hops"))
 
 
 def validated(mappings: DataFrame, kb: DataFrame, grounded: DataFrame) -> DataFrame:
