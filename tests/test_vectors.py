@@ -106,3 +106,18 @@ def pa_table(df, first, own, v):
     got = [(r[0], r.v) for r in df.select(first, "v").collect()]
     ids = pa.array([x for x, _ in got], pa.int64())
     return pa.table({first: ids, **({own: ids} if own else {}), v: pa.array([x for _, x in got], pa.list_(pa.float64()))})
+
+
+def test_tasks_make_little_at_once(spark, monkeypatch):
+    """A large Arrow batch is planned some queries at a time: a query leaves a row of each list, with its vector, and all of them at once grow with queries times lists."""
+    import pyarrow as pa
+
+    v = np.random.default_rng(4).normal(size=(400, 8))
+    index = vectors.build(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>"))
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "query_id bigint, v array<double>")
+    plans, through = [], type(queries).mapInArrow
+    monkeypatch.setattr(type(queries), "mapInArrow", lambda df, f, schema, *a: (plans.append(f) if f.__name__ == "plan" else None, through(df, f, schema, *a))[1])
+    vectors.search(queries, index, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(v.tolist())], ["query_id", "v"])
+    sizes = [b.num_rows for b in plans[0](iter([batch]))]
+    assert sum(sizes) == 400 * 20 and max(sizes) <= vectors.PLANNED * 20

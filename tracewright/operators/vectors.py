@@ -23,6 +23,8 @@ SAMPLE, LISTS, BLOCK, TOGETHER, FIRST = 20_000, 1_024, 4_096, 256, 4
 #: Bytes of centroids that are sent to each task.
 CENTROID_BYTES = 64 << 20
 ROUNDS = 8
+#: Distances to centroids that a task holds at once, and queries, each of which leaves it with a row of every list.
+DISTANCES, PLANNED = 1 << 20, 32
 
 
 class Index(NamedTuple):
@@ -47,6 +49,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
+def _slices(batches, rows: int):
+    """Batches cut into some rows each, so that what a task makes of them is bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Centroids by rounds of k-means on the sphere; a list that runs empty keeps its centroid."""
     c = sample[np.unique(np.linspace(0, len(sample) - 1, lists).astype(int))]
@@ -78,13 +87,11 @@ def build(vectors: DataFrame, lists: int | None = None) -> Index:
     c = _centroids(_matrix(sample.column("v").combine_chunks()), lists)
 
     def assign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                m = _matrix(batch.column(1))
-                dot = m @ c.T
-                near = dot.argmax(1)
-                far = np.sqrt(((m - c[near]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(far), pa.array([x.tobytes() for x in m], pa.binary())], ["id", "list", "far", "unit"])
+        for batch in _slices(batches, max(1, DISTANCES // len(c))):
+            m = _matrix(batch.column(1))
+            near = (m @ c.T).argmax(1)
+            far = np.sqrt(((m - c[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(far), pa.array([x.tobytes() for x in m], pa.binary())], ["id", "list", "far", "unit"])
 
     put = materialize(good.mapInArrow(assign, f"id {kind}, list int, far double, unit binary"), "assigned")
     radii = put.groupBy("list").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
@@ -133,9 +140,7 @@ def _search(queries, index, k, probes):
 
     def plan(batches):
         """For each query all lists that are read first, and for the others how near they may come."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, max(1, min(PLANNED, DISTANCES // len(c)))):
             m = _matrix(batch.column(1))
             far = np.sqrt(np.maximum(0, 2 - 2 * (m @ c.T)))
             order = np.argsort(far, axis=1, kind="stable")
@@ -180,7 +185,7 @@ def _scores(asked, lists, groups, k, q_kind, kind):
                 asking, q = batch.column(0)[i].values, np.frombuffer(b"".join(batch.column(1)[i].as_py()), np.float64)
                 ids = batch.column(2)[i].values
                 m = np.frombuffer(batch.column(3)[i].as_py(), np.float64).reshape(len(ids), -1)
-                dot = q.reshape(len(asking), -1) @ m.T
+                dot, kept = q.reshape(len(asking), -1) @ m.T, [(np.empty(0, int), np.empty(0, int), np.empty(0))]
                 for j, own in enumerate(asking):
                     s = np.where(pc.equal(ids, own).fill_null(False).to_numpy(zero_copy_only=False), -np.inf, dot[j])
                     if len(s) > 2 * k:  # all that may be among the k best once rounded
@@ -188,7 +193,8 @@ def _scores(asked, lists, groups, k, q_kind, kind):
                         at = np.flatnonzero((s >= least) & (s > -np.inf))
                     else:
                         at = np.flatnonzero(s > -np.inf)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(at), asking.type), ids.take(pa.array(at)), pa.array(s[at])], ["query_id", "id", "score"])
+                    kept.append((np.full(len(at), j), at, s[at]))
+                of, at, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(of)), ids.take(pa.array(at)), pa.array(score)], ["query_id", "id", "score"])
 
     return pairs.mapInArrow(run, f"query_id {q_kind}, id {kind}, score double")
