@@ -167,3 +167,15 @@ def test_two_places_by_the_binary_value(spark):
     t = spark.createDataFrame([(1, ["Discovery"], 0.605), (2, ["Discovery"], 0.975), (3, ["Discovery"], 0.60475)], "g int, tactics array<string>, score double")
     said = {r.g: r.sentences.split("\n")[-1] for r in report.risk_breakdown(incident.risk_parts(t, ["g"])).collect()}
     assert said[1] == "confidence: mean 0.6 x 20, +12.1" and said[2] == "confidence: mean 0.97 x 20, +19.5"
+
+
+def test_logs_are_parsed_once_by_all_cores(spark, monkeypatch):
+    """A table of one file is dealt over the cores, and the layers of a search text read one table of fields."""
+    from tracewright.plans import cases
+
+    made, materialize, parse, events = [], cases.materialize, cases.logparse.parse_fields, []
+    monkeypatch.setattr(cases, "materialize", lambda df, name: (made.append(name), materialize(df, name))[1])
+    monkeypatch.setattr(cases.logparse, "parse_fields", lambda df: (events.append(df.rdd.getNumPartitions()), parse(df))[1])
+    got = cases.search_layers(spark, "/root/testdata/sf0.001")
+    assert made == ["fields"] and events[0] >= spark.sparkContext.defaultParallelism
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()

@@ -170,7 +170,8 @@ def search_text(fields: DataFrame, raw: DataFrame, rows: DataFrame | None = None
     fields: the long form of parse_fields; raw: event_id, raw; rows: event_id, fields MAP of rule_rows, without which there is no second layer.
     """
     told = discriminating(fields, dedup).select("event_id", "ord", "value")
-    told = told.unionByName(told.select("event_id", "ord", registry_path(F.col("value")).alias("value")).where(F.col("value").rlike(r"^HK[A-Z]{1,2}\\")))
+    path = registry_path(F.col("value"))
+    told = told.select("event_id", "ord", F.explode(F.array_compact(F.array("value", F.when(path.rlike(r"^HK[A-Z]{1,2}\\"), path)))).alias("value"))
     once = told.withColumn("_n", F.row_number().over(Window.partitionBy("event_id", F.lower("value")).orderBy("ord", "value"))).where("_n = 1") if dedup != "none" else told
     layer = once.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), " ").alias("told"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))

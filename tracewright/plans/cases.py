@@ -11,7 +11,7 @@ from tracewright.operators import assess, batch, incident, normalise, report, re
 from tracewright.plans.incidents import _ISLANDS, _techniques
 from tracewright.plans.retrieval import _COS, ORACLE_SQL as _RETRIEVAL_SQL
 from tracewright.sources import catalog, readers
-from tracewright.workspace import shared_dir, table
+from tracewright.workspace import materialize, shared_dir, spread, table
 
 _map = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("__", ".")), v)]), lambda k, v: v.isNotNull())
 
@@ -49,17 +49,17 @@ def facts_extract(spark, d):
 def _logs(spark, d):
     k = F.col("p_partkey")
     raw = F.concat(F.lit("EventID=4663 ObjectName=HKEY_LOCAL_MACHINE\\SAM\\K"), k, F.lit(" ProcessName=tool.exe AccountName="), F.when(k % 2 == 0, "tool.exe").otherwise("bob"), F.lit(" HandleId=0x10"))
-    return table(spark, d, "part").select(k.alias("event_id"), raw.alias("raw"))
+    return spread(table(spark, d, "part").select(k.alias("event_id"), raw.alias("raw")))
 
 
 def search_layers(spark, d):
     events = _logs(spark, d)
-    fields = logparse.parse_fields(events)
+    fields = materialize(logparse.parse_fields(events), "fields")  # two layers read them
     return normalise.search_text(fields, events, logparse.rule_rows(events, fields))
 
 
 def distinct_values(spark, d):
-    fields = logparse.parse_fields(_logs(spark, d))
+    fields = materialize(logparse.parse_fields(_logs(spark, d)), "fields")
     one = lambda mode: normalise.discriminating(fields, mode).groupBy("event_id").agg(F.count("*").alias(mode))
     return one("none").join(one("identical"), "event_id").join(one("contained"), "event_id")
 
