@@ -179,3 +179,17 @@ def test_logs_are_parsed_once_by_all_cores(spark, monkeypatch):
     got = cases.search_layers(spark, "/root/testdata/sf0.001")
     assert made == ["fields"] and events[0] >= spark.sparkContext.defaultParallelism
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_index_is_made_once(spark, tmp_path):
+    """An index is counted as it is written, an empty one too."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    readers.write_index(spark.range(50).mapInArrow(run, "id bigint"), str(tmp_path / "i"), {"v": 1})
+    readers.write_index(spark.range(5).where("id > 9"), str(tmp_path / "none"), {"v": 1})
+    assert made.value == 50 and readers.open_index(spark, str(tmp_path / "i"), {"v": 1}).count() == 50 and readers.open_index(spark, str(tmp_path / "none"), {"v": 1}).count() == 0
