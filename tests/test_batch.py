@@ -109,3 +109,14 @@ def test_pack_stops_at_the_first_that_does_not_fit(spark):
 def test_required_evidence(spark):
     df = spark.createDataFrame([("T1047", "used WMIC.exe here"), ("T1047", "nothing"), ("T9", "nothing")], "t string, x string")
     assert [r.v for r in df.select(assess.required_evidence(F.col("t"), F.col("x")).alias("v")).collect()] == [True, False, True]
+
+
+def test_numbered_in_one_shuffle(spark):
+    """Rows sorted by ranges have their place within a range already, so numbering moves them no second time."""
+    df = spark.range(1000).selectExpr("if(id % 10 = 0, null, id % 7) AS a", "cast(id AS string) AS b")
+    got = batch.numbered(df, ["a", "b"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    order = sorted(((r.a is not None, r.a or 0, r.b) for r in df.collect()))
+    assert [(r.a is not None, r.a or 0, r.b) for r in got.orderBy("index").collect()] == order
+    assert [r["index"] for r in got.orderBy("index").collect()] == list(range(1000))

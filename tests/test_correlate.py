@@ -92,3 +92,19 @@ def test_queries_take_the_whole_window(spark, tmp_path):
     assert sorted(day) == sizes(lambda a, b: a[2] == b[2] or a[3] == b[3] and a[5] == b[5]) != []
     bulk = [r.n_rows for r in QUERIES["bulk_incidents"](spark, str(tmp_path)).collect()]
     assert sorted(bulk) == sizes(lambda a, b: a[2] == b[2] or a[5] == b[5])
+
+
+def test_rows_of_the_same_slices_are_no_edges(spark, monkeypatch):
+    """What components are made of grows with slices that meet, and not with rows: 600 rows of two users on two hosts within a day."""
+    from datetime import datetime, timedelta
+
+    from tracewright.operators import correlate
+
+    seen = []
+    monkeypatch.setattr(correlate, "connected_components", lambda edges: seen.append(edges.where("src <> dst").distinct().count()) or connected_components(edges))
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=i), f"u{i % 2}", f"h{i % 2}") for i in range(600)] + [(600, start + timedelta(days=9), "u0", None), (601, None, None, "h1")]
+    df = spark.createDataFrame(rows, "row bigint, ts timestamp_ntz, user string, host string")
+    got = {r.row: r.incident for r in incident_groups(df, ["user", "host"], lineage=False).collect()}
+    assert got == {**{i: i % 2 for i in range(600)}, 601: 1}
+    assert seen[0] <= 4

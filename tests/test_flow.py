@@ -31,3 +31,15 @@ def test_incidents(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     (tmp_path / "log.csv").write_text(CSV.splitlines()[0] + "\n")
     assert flow.incidents(readers.read_csv(spark, str(tmp_path / "log.csv"))).collect() == []
+
+
+def test_weak_rules_and_rows_in_no_incident(spark):
+    """A rule that needs several rows has them among all rows, and what lies in no incident gives an incident no technique."""
+    from tracewright.operators.rules import Condition, Rule
+
+    book = [Rule("T1", "one", "TA0002", ("10",)), Rule("T1", "weak", "TA0003", ("11",), level="low"), Rule("T2", "three", "TA0003", ("12",), min_events=3, level="low"), Rule("T3", "four", "TA0003", ("13",), min_events=4), Rule("T1562", "off", "Own", ("14",), conditions=((Condition("Message", "x"),),))]
+    ids = ["10", "11", "12", "12", "13", "13", "14", "14"]
+    rows = [("2024-01-01 00:00:00", i, "web", f"disabled x{n}" if n == 6 else f"x{n}") for n, i in enumerate(ids)] + [("2024-03-01 00:00:00", "12", "far", "x"), ("2024-05-01 00:00:00", "13", "alone", "x")]
+    got = flow.incidents(spark.createDataFrame(rows, "Timestamp string, EventID string, Hostname string, Message string"), book).collect()
+    assert [(r.n_rows, r.techniques, r.weak, r.host) for r in got] == [(8, ["T1", "T1562"], ["T2"], "web")]
+    assert got[0].chain == "Execution: T1 -> Own: T1562"
