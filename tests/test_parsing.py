@@ -1,5 +1,8 @@
 """Formats, fields, splitting, scalar functions and rules on rows of our own."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +178,61 @@ def test_a_format_wins_by_its_place(spark):
     assert got(logparse.with_format(own)) == {(1, "space_kv"): "a::b", (2, "dots"): "c"}
     with pytest.raises(ValueError):
         logparse.with_format(logparse.Format("json", None, None))
+
+
+def test_words_at_once_and_one_by_one(spark):
+    """Values of bare words are cut as if each word were looked at."""
+    rng = random.Random(4)
+    bits = ["a", "Image", "image", "ab ", "x=", "=", " ", "  ", "\n", "\t", "\r", '"', "\\", "é", "7.", "EventID", " = ", "\n="]
+    df = spark.createDataFrame([("".join(rng.choices(bits, k=rng.randint(1, 25))),) for _ in range(4000)] + [("CommandLine=" + "word " * 50_000 + "x=y Image=b",), ("a=b" + " " * 100_000 + "\n=c",)], "raw string")
+    single = logparse._SPACED.replace(f"{logparse._WORDS}|", "")
+    assert single != logparse._SPACED
+    rows = df.select("raw", *[F.regexp_extract_all("raw", F.lit(p), F.lit(0)).alias(n) for n, p in (("one", single), ("many", logparse._SPACED))]).collect()
+    assert [r.raw for r in rows if r.one != r.many] == [] and sum(any(" " in x for x in r.one) for r in rows) > 500
+
+
+def test_labels_as_of_pieces(spark):
+    """Labels stand at the beginning of pieces that line ends and two blanks part."""
+
+    def want(raw):
+        found = []
+        for piece in re.split(r"(?:(?<=\n)|(?<=\s\s))(?=\S)", raw, flags=re.ASCII):
+            m = re.match(r"([A-Z][a-zA-Z]+(?: [a-zA-Z]+)*):(?=[ \t])", piece) if len(piece) else None
+            if m:
+                found.append([m[1], piece[m.end() :]])
+            elif found:
+                found[-1][1] += piece
+        return len(found), [(k, v.strip(text.WHITE)) for k, v in found if v.strip(text.WHITE)]
+
+    rng = random.Random(5)
+    bits = ["Ab", "\nAb: ", "  Cd ef:\t", "Cd ef", "g", "H", ":", ": ", ":\t", ":  ", " ", "  ", "\n", "\t", "\r", " \t", "é", "9", "\x0b", "x" * 9]
+    raws = ["".join(rng.choices(bits, k=rng.randint(1, 20))) for _ in range(4000)]
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    got = df.select("raw", logparse.message_pairs(F.col("raw")).alias("p"), logparse.FORMATS[-1].matches(F.col("raw")).alias("m")).collect()
+    assert [r.raw for r in got if ([tuple(x) for x in r.p], r.m) != (want(r.raw)[1], want(r.raw)[0] >= 2)] == []
+    assert sum(r.m for r in got) > 200
+
+
+@pytest.mark.parametrize("end", ["", " ", ",", ", ,", "\t ,\n", "\x0b\f\r \t\n", "\u00a0", "}"])
+def test_trimmed_ends(spark, end):
+    for v in (f" \t{end}a b{end}", end, f"é,{end}"):
+        assert one(spark, text.stripped_long, v) == v.strip(text.WHITE)
+        assert one(spark, lambda c: text.ends_trimmed(c, ","), v) == v.rstrip(",")
+
+
+def test_a_text_is_told_once(spark):
+    """The format of a log is found once, and once more for a log inside it."""
+    own = logparse.Format("own", lambda raw: F.contains(raw, F.lit("told-by-this")), lambda raw: F.array().cast(logparse.PAIRS))
+    df = logparse.parse_fields(spark.createDataFrame([(1, "EventID=1")], "event_id bigint, raw string"), logparse.with_format(own, "json"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("told-by-this") == 2
+    assert [(r.name, r.value) for r in df.collect()] == [("event.id", "1")]
+
+
+def test_one_file_of_long_logs_is_dealt_out(spark, tmp_path, monkeypatch):
+    from tracewright.plans import parsing
+
+    spark.createDataFrame([(i, f"Customer#{i:09d}", "BUILDING") for i in range(20)], "c_custkey bigint, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    seen, parse = [], logparse.parse_fields
+    monkeypatch.setattr(logparse, "parse_fields", lambda df: (seen.append(df.rdd.getNumPartitions()), parse(df))[1])
+    got = parsing.repeated_and_long(spark, str(tmp_path)).collect()
+    assert seen == [spark.sparkContext.defaultParallelism] and len(got) == 48 and sum(r.size > 20_000 for r in got) == 16

@@ -8,7 +8,7 @@ from tracewright.functions import logparse, text
 from tracewright.operators import normalise, rulebook, rules
 from tracewright.operators.rules import Condition, Rule
 from tracewright.sources import catalog
-from tracewright.workspace import materialize, table
+from tracewright.workspace import materialize, spread, table
 
 _RULES = [
     Rule("T1", "Bulk purchase", "TA1", ("purchase",), (), ((Condition("value", r"^[2-4]\d\d"),),), 3, "high"),
@@ -108,7 +108,7 @@ def alias_first_wins(spark, d):
 
 def repeated_and_long(spark, d):
     """Logs of four formats with a repeated key or a value of tens of thousands of characters and words: what is left of each, as length and digest."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), "c_name", "c_mktsegment")
+    c = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), "c_name", "c_mktsegment"))
     many = F.repeat(F.concat("c_name", F.lit(" ")), 1500)
     kind = F.col("event_id") % 5
     raw = (
