@@ -1,5 +1,6 @@
 """Rules as data against rules compiled into the plan."""
 
+import pickle
 import random
 
 import pytest
@@ -108,3 +109,57 @@ def test_many_words_in_long_texts_search_no_text_again(monkeypatch):
     assert book.hits(None, {"Message": text}, {}) == [*range(0, 500, 2)]
     assert book.hits(None, {"Message": text + " The"}, {}) == []
     assert searched == [r"(?i)\b(?:the|les)\b"] * 2
+
+
+def test_words_are_looked_up_as_patterns_match(spark):
+    """Rules of one word against their patterns: cases, bounds of ASCII, ids, barred texts, several rules of one word."""
+    rng = random.Random(7)
+    words, ids = ["ab", "Ab", "a_1", "9", "the", "Key", "word"], ["1", "2", None]
+    book = []
+    for _ in range(120):
+        must = rng.choice(["(?i)", ""]) + rf"\b{rng.choice(words)}\b"
+        condition = Condition(rng.choice(FIELDS[:2]), must, rng.choice([None, None, r"(?i)\b(?:the|les)\b", "x"]))
+        book.append(Rule("T", "n", "t", tuple(rng.sample("12", rng.randint(0, 1))), tuple(rng.sample("23", rng.randint(0, 1))), ((condition,),)))
+    assert all(map(rulebook.one_word, book))
+    assert [rulebook.one_word(Rule("T", "n", "t", (), (), c)) for c in (((Condition("f", r"\bab"),),), ((Condition("f", r"\ba b\b"),),), ((Condition("f", r"\bab\b"), Condition("f", "x")),), ((Condition("f", r"\bab\b", "HKLM\\\\x"),),), ((Condition("f", None, "ab"),),))] == [None] * 5
+    rows = [(i, {"EventID": rng.choice(ids), **{f: "".join(rng.choices([*words, " ", " ", ".", "-", "\n", "THE", "x"], k=rng.randint(0, 9))) for f in FIELDS[:2]}}) for i in range(500)]
+    rows += [(900, {}), (901, None), (902, {"Message": None, "EventID": "1"})]
+    assert len(_same(spark, rows, book)) > 500
+    (part,) = rulebook._passes(book)
+    ready = rulebook.Words(*pickle.loads(part)[0])
+    for _ in range(2000):  # letters beyond ASCII are no part of a word
+        e, t = rng.choice(ids), "".join(rng.choices([*words, " ", "é", "\u212aey", "\u0130", "\U0001f600", "\ud800", "THE"], k=rng.randint(0, 6)))
+        holds = lambda c: c.field == "Message" and rulebook.compiled(c.must).search(t) and not (c.must_not and rulebook.compiled(c.must_not).search(t))
+        want = [i for i, r in enumerate(book) if (not r.required or e in r.required) and e not in r.forbidden and holds(r.conditions[0][0])]
+        assert sorted(ready.hits(e, {"Message": t, "process.name": None})) == want
+
+
+def _words(n):
+    return [Rule("W-%d" % (i % 3), f"word{i}", "t", (), (), ((Condition("Message", rf"(?i)\bword{i}\b"),),), 1 + i % 2) for i in range(n)]
+
+
+def test_many_words_take_one_pass_and_no_polarity(spark, monkeypatch):
+    """Rules of one word take no pass of their own, and no text is searched for polarity that no rule asks for."""
+    monkeypatch.setattr(rulebook, "RULES_A_PASS", 64)
+    rows = spark.createDataFrame([(i, {"Message": f"a word{i} and Word{i + 1}, word{i + 2}x"}) for i in range(300)], "row bigint, fields map<string,string>")
+    plan = lambda book: rules.allowed_hits(rows, book)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(_words(300)).count("MapInArrow") == 1 and "RLIKE" not in plan(_words(300)) and "RLIKE" in plan([*_words(300), Rule("T1562", "n", "t", ("1",))])
+    assert sorted((r.row, r.rule) for r in rules.hits(rows, _words(300)).collect()) == sorted((i, j) for i in range(300) for j in (i, i + 1) if j < 300)
+    monkeypatch.setattr(rulebook, "WORDS_A_PASS", 128)
+    assert plan(_words(300)).count("MapInArrow") == 3
+    assert sorted((r.row, r.rule) for r in rules.hits(rows, _words(300)).collect()) == sorted((i, j) for i in range(300) for j in (i, i + 1) if j < 300)
+
+
+@pytest.mark.parametrize("by", [[], ["who"], ["who", "day"]])
+def test_findings_of_many_rules_are_those_of_few(spark, monkeypatch, by):
+    """The same findings whether rules are compiled or data: least numbers by group, polarity where it counts, repeated rows, several passes."""
+    rng = random.Random(8)
+    book = _words(30) + [Rule(rng.choice(["W-1", "T1562", "T1562"]), f"r{i}", "t", (), ("4",), ((Condition("Message", rng.choice(["(?i)word2.", "was [bd]", "a word"])),),), rng.randint(1, 4), rng.choice(rules.LEVELS)) for i in range(12)]
+    text = lambda: " ".join(rng.choices([f"word{i}" for i in range(30)] + ["was disabled", "was blocked", "a"], k=rng.randint(0, 6)))
+    rows = spark.createDataFrame([(rng.randint(0, 150), rng.choice(["x", "y", None]), rng.randint(1, 2), {"EventID": rng.choice("1234"), "Message": text()}) for _ in range(200)], "row bigint, who string, day int, fields map<string,string>").repartition(3)
+    found = lambda: sorted(map(repr, rules.findings(rows, book, by).collect()))
+    few = found()
+    monkeypatch.setattr(rules, "COMPILED", 5)
+    monkeypatch.setattr(rulebook, "RULES_A_PASS", 7)
+    monkeypatch.setattr(rulebook, "WORDS_A_PASS", 11)
+    assert few == found() and len(few) >= 4

@@ -51,7 +51,7 @@ def _word_rules(spark, d):
 def rules_from_table(spark, d):
     """Some thousand rules of a table over all documents, merged by technique."""
     book = [r for part in rulebook.from_table(_word_rules(spark, d)) for r in part]
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.col("lang").alias("_lang"), F.create_map(F.lit("Message"), F.coalesce("text", F.lit(""))).alias("fields"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("row"), F.col("lang").alias("_lang"), F.create_map(F.lit("Message"), F.coalesce("text", F.lit(""))).alias("fields"))
     f = rules.findings(rows, book, event_id=F.col("_lang"))
     return f.select("technique", "level", "n_rows", "first_row", "last_row", "n_rules")
 
